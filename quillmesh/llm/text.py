@@ -1,6 +1,7 @@
 """Words, word shingles and MinHash values of a batch of texts, as numpy arrays.
 
-A word is a maximal run of bytes above 0x20 of the lower-cased UTF-8 text. Hashes have 64 bits.
+A word is a maximal run of bytes above 0x20 of the lower-cased UTF-8 text; with ``bare``, of ASCII letters and digits
+and all bytes above 0x7f, so that ASCII punctuation doesn't count. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -60,7 +61,11 @@ class Words:
     text_start: np.ndarray
 
 
-def words_of(texts: Sequence[str | None]) -> Words:
+#: Bytes of bare words, in lower case.
+BARE = np.array([chr(b).isalnum() or b > 0x7F for b in range(256)])
+
+
+def words_of(texts: Sequence[str | None], bare: bool = False) -> Words:
     """Split a batch into words; None counts as an empty text."""
     coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     data = b" ".join(coded) + b" "
@@ -68,7 +73,7 @@ def words_of(texts: Sequence[str | None]) -> Words:
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
     text_start = np.concatenate(([0], np.cumsum(sizes)))[: len(coded)] if coded else np.zeros(0, np.int64)
     solid = np.zeros(len(raw) + 1, np.int8)
-    solid[1:] = raw > 0x20
+    solid[1:] = BARE[raw] if bare else raw > 0x20
     edge = np.flatnonzero(np.diff(solid))
     start, end = edge[0::2], edge[1::2]
     up, down = _powers.upto(len(raw) + 1)
