@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, media, secret_scan
+from quillmesh.llm import bpe, decontaminate, jaccard_join, media, secret_scan
 from quillmesh.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op3_jaccard_join": op3_jaccard_join,
     "op9_media": op9_media,
     "op2_byte_bpe": op2_byte_bpe,
 }
