@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.text import Words, grams, words_of
+from quillmesh.llm.text import Words, grams, slices, words_of
 
 GRAM = 3
 #: The part of an item's n-grams, rarest first, that are its seeds.
@@ -168,7 +168,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
         def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(len(known), np.int64)
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch)):
                 values, bounds = grams(words_of(b["text"], bare=True), GRAM)
                 at = np.searchsorted(known, values)
                 found = np.flatnonzero(np.append(known, np.uint64(0))[at] == values)
@@ -183,7 +183,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
     def leaks(block: Items) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch)):
                 found = block.search(words_of(b["text"], bare=True))
                 ids = b["doc_id"].astype("Int64").array
                 found.insert(0, "doc_id", ids[found["row"].to_numpy(np.int64)])

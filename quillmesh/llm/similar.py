@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
-from quillmesh.llm.text import minhash, mix, set_ids, shingle_sets, words_of
+from quillmesh.llm.text import minhash, mix, set_ids, shingle_sets, slices, words_of
 
 #: Most texts, and most characters of texts, in one block of a leader's texts.
 BLOCK_TEXTS, BLOCK_CHARS = 4096, 1 << 25
@@ -154,12 +154,12 @@ def similar_sets(texts: DataFrame, n: int, threshold: float, trees: int, max_dep
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             ids, keys, _ = signatures(b["text"].tolist(), n, trees, depth)
             yield b[kept].assign(set_id=ids.view(np.int64), keys=list(keys.view(np.int64)), chars=b["text"].str.len().fillna(0).astype("int64"))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             values, bounds = shingle_sets(words_of(b["text"].tolist()), n)
             yield pd.DataFrame({"set_id": set_ids(values, bounds).view(np.int64), "id": b["id"].astype("Int64").array, "text": b["text"]})
 

@@ -6,10 +6,11 @@ and all bytes above 0x7f, so that ASCII punctuation doesn't count. Hashes have 6
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 # Odd multipliers: the base of word hashes, the base of shingle hashes, and the finisher's two.
 WORD_BASE = 0x9E3779B97F4A7C15
@@ -29,6 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batch: pd.DataFrame, chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """A batch's rows in order, in parts of about ``chars`` characters of text (one row at least), so that the arrays of a part stay small."""
+    size = batch["text"].str.len().fillna(0).to_numpy(np.int64)
+    part = (np.cumsum(size) - size) // chars
+    for group in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
+        if len(group):
+            yield batch.iloc[group[0] : group[-1] + 1]
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
 

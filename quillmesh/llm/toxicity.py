@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.labelled import Adam, frequent, lookup, remainder, sample, sigmoid, trigrams
-from quillmesh.llm.text import Words, words_of
+from quillmesh.llm.text import Words, slices, words_of
 
 WINDOW, STRIDE = 48, 24
 EMBED, HIDDEN, ATTEND, CHAR_BUCKETS = 8, 8, 8, 4096
 #: Bounds of the training sample: rows of each class, characters of a text; texts that a word must be in.
-PER_CLASS, MOST_CHARS, LEAST_TEXTS = 1500, 6000, 8
+PER_CLASS, MOST_CHARS, LEAST_TEXTS = 2500, 6000, 8
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Windows scored at once.
 SCORED = 2048
@@ -211,8 +211,7 @@ def score_documents(docs: DataFrame, network: Network | None, threshold: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for a in range(0, len(b), 1024):
-                part = b.iloc[a : a + 1024]
+            for part in slices(b):
                 score, at = network.score(part["text"].tolist()) if network else (np.zeros(len(part)), np.zeros(len(part), np.int64))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "score": score, "predicted": (score >= threshold).astype(np.int32), "worst_word": at})
 
