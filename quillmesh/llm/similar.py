@@ -164,12 +164,12 @@ def similar_sets(texts: DataFrame, n: int, threshold: float, trees: int, max_dep
             yield pd.DataFrame({"set_id": set_ids(values, bounds).view(np.int64), "id": b["id"].astype("Int64").array, "text": b["text"]})
 
     members = publish(texts.mapInPandas(sign, f"{schema}, set_id long, keys array<long>, chars long"))
-    sets = members.filter("set_id != 0").groupBy("set_id").agg(F.min(id_col).alias("id"), F.count("*").alias("copies"), F.max("chars").alias("chars"))
-    placed = members.filter("set_id != 0").select("set_id", F.explode("keys").alias("key")).distinct()
-    # Buckets with one set only go; the others' texts learn their leaders.
+    sets = publish(members.filter("set_id != 0").groupBy("set_id").agg(F.min(id_col).alias("id"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys")))
+    placed = sets.select("set_id", F.explode("keys").alias("key"))
+    # Buckets with one set only go; the other buckets' texts learn their leaders.
     buckets = placed.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("most")).filter("leader < most").drop("most")
-    led = publish(placed.join(buckets, "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders")))
-    here = publish(led.join(sets, "set_id"))
+    led = placed.join(buckets, "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    here = publish(led.join(sets.drop("keys"), "set_id"))
     each = here.select("set_id", "id", "copies", "chars", "leaders", F.explode("leaders").alias("home"))
     homes = each.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     source = texts.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(name, "set_id long, id long, text string")
