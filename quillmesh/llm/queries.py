@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, jaccard_join, media, secret_scan, substring_dedup, toxicity
+from quillmesh.llm import bpe, decontaminate, jaccard_join, media, secret_scan, substring_dedup, suffix_dedup, toxicity
 from quillmesh.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op2_byte_bpe": op2_byte_bpe,
