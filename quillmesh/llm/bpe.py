@@ -123,10 +123,10 @@ def stitch(split: regex.Pattern, chunks: list[tuple[int, str, list[int]]]) -> li
     return pieces
 
 
-def digest(v: Vocabulary, pieces: list[str]) -> tuple[int, str, str]:
+def digest(v: Vocabulary, pieces: list[str]) -> tuple[int, str, str, list[int]]:
     ids = v.encode(pieces)
     listed = " ".join(map(v.text_of.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()
+    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest(), ids
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, keep_ids: bool = False) -> DataFrame:
@@ -139,8 +139,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def row(v: Vocabulary, doc_id, pieces: list[str]) -> tuple:
-        got = digest(v, pieces)
-        return (doc_id, *got, v.encode(pieces)) if keep_ids else (doc_id, *got)
+        return (doc_id, *digest(v, pieces)[: 4 if keep_ids else 3])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])

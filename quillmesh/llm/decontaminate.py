@@ -152,6 +152,30 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
+def choose_seeds(block: Items, docs: DataFrame) -> None:
+    """Count in how many documents each n-gram of the block occurs, and keep the rarest of each item."""
+    known = block.known
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(known), np.int64)
+        for b in (part for batch in batches for part in slices(batch)):
+            values, bounds = grams(words_of(b["text"], bare=True), GRAM)
+            at = np.searchsorted(known, values)
+            found = np.flatnonzero(np.append(known, np.uint64(0))[at] == values)
+            found = found[at[found] < len(known)]
+            row = np.searchsorted(bounds, found, "right") - 1
+            pair = np.unique(row * len(known) + at[found])
+            total += np.bincount(pair % len(known), minlength=len(known)) if len(pair) else 0
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"gram": known[some].view(np.int64), "n": total[some]})
+
+    if len(known):
+        counted = docs.select("text").mapInPandas(counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        block.choose({r["gram"]: r["n"] for r in counted.collect()})
+    else:
+        block.choose({})
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of a document and a test item of which it holds a copy, edited or not.
 
@@ -163,24 +187,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def count(block: Items) -> DataFrame:
-        known = block.known
-
-        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(known), np.int64)
-            for b in (part for batch in batches for part in slices(batch)):
-                values, bounds = grams(words_of(b["text"], bare=True), GRAM)
-                at = np.searchsorted(known, values)
-                found = np.flatnonzero(np.append(known, np.uint64(0))[at] == values)
-                found = found[at[found] < len(known)]
-                row = np.searchsorted(bounds, found, "right") - 1
-                pair = np.unique(row * len(known) + at[found])
-                total += np.bincount(pair % len(known), minlength=len(known)) if len(pair) else 0
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": known[some].view(np.int64), "n": total[some]})
-
-        return docs.mapInPandas(counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
     def leaks(block: Items) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in (part for batch in batches for part in slices(batch)):
@@ -193,6 +199,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
     out = []
     for block in blocks(items, block_bytes):
-        block.choose(dict(map(tuple, count(block).collect())) if len(block.known) else {})
+        choose_seeds(block, docs)
         out.append(leaks(block))
     return reduce(DataFrame.unionAll, out) if out else docs.sparkSession.createDataFrame([], schema)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose text holds no copy of a test item."""
+
+    def kept(block: Items, rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in (part for batch in batches for part in slices(batch)):
+                found = block.search(words_of(b["text"], bare=True))
+                clean = np.ones(len(b), bool)
+                clean[found["row"].to_numpy(np.int64)] = False
+                yield b[clean]
+
+        return rows.mapInPandas(run, rows.schema)
+
+    out = docs
+    for block in blocks(items, block_bytes):
+        choose_seeds(block, docs)
+        out = kept(block, out)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, jaccard_join, media, secret_scan, substring_dedup, suffix_dedup, toxicity
+from quillmesh.llm import bpe, decontaminate, jaccard_join, media, quality, secret_scan, substring_dedup, suffix_dedup, toxicity, url_filters
 from quillmesh.llm.shared import table
 
 
@@ -32,6 +32,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,14 +53,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontaminate": op1_decontaminate,
-    "op10_secret_scan": op10_secret_scan,
-    "op3_jaccard_join": op3_jaccard_join,
-    "op4_substring_dedup": op4_substring_dedup,
-    "op5_suffix_dedup": op5_suffix_dedup,
-    "op8_toxicity": op8_toxicity,
-    "op9_media": op9_media,
-    "op2_byte_bpe": op2_byte_bpe,
+    f.__name__: f
+    for f in (op1_decontaminate, op2_byte_bpe, op3_jaccard_join, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_url_filters, op8_toxicity, op9_media, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filters": url_filters.SQL}

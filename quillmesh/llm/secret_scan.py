@@ -189,3 +189,21 @@ def scan_documents(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, schema)
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """All columns of the documents; every secret in ``text`` gives way to its kind, and ``n_chars``, where there is one, follows.
+
+    Null texts stay null.
+    """
+    counted = "n_chars" in docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = [t if t is None else redacted(t, base_spans(t) + structural_spans(t)) for t in b["text"]]
+            changed = {"text": text}
+            if counted:
+                changed["n_chars"] = [n if a is None or a == t else len(t) for n, a, t in zip(b["n_chars"], b["text"], text, strict=True)]
+            yield b.assign(**changed)
+
+    return docs.mapInPandas(run, docs.schema)

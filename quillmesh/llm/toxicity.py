@@ -218,6 +218,17 @@ def score_documents(docs: DataFrame, network: Network | None, threshold: float =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int, worst_word long")
 
 
+def keep_clean(docs: DataFrame, network: Network | None, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose text scores under the threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in slices(b):
+                yield part[network.score(part["text"].tolist())[0] < threshold] if network else part
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows that aren't held out (crc32 of the id modulo 4 is not 2) and score all rows."""
     network = fit(docs, labels, remainder("doc_id", 4) != 2)
