@@ -30,7 +30,7 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     sets = publish(sets.filter("links is not null or copies > 1"))
     named = sets.join(sets.groupBy("root").agg(F.min("least").alias("class_id")), "root")
     named = named.select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(named, "set_id", "left").select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members.join(named.hint("merge"), "set_id", "left").select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = publish(join_similar(docs))
     gone = found.filter("class_id is not null and doc_id is not null and class_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
         return left

@@ -168,20 +168,21 @@ def similar_sets(texts: DataFrame, n: int, threshold: float, trees: int, max_dep
     placed = sets.select("set_id", F.explode("keys").alias("key"))
     # Buckets with one set only go; the other buckets' texts learn their leaders.
     buckets = placed.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("most")).filter("leader < most").drop("most")
-    led = placed.join(buckets, "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    here = publish(led.join(sets.drop("keys"), "set_id"))
+    led = placed.join(buckets.hint("merge"), "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    here = publish(led.join(sets.drop("keys").hint("merge"), "set_id"))
     each = here.select("set_id", "id", "copies", "chars", "leaders", F.explode("leaders").alias("home"))
     homes = each.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     source = texts.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(name, "set_id long, id long, text string")
     # One text of each set: that of the least id; the id spreads copies over the partitions.
-    wanted = here.select(F.col("set_id").alias("wanted"), F.col("id").alias("of"), "copies", "leaders")
+    # What grows with the input is merged, never broadcast: small and large inputs have one plan.
+    wanted = here.select(F.col("set_id").alias("wanted"), F.col("id").alias("of"), "copies", "leaders").hint("merge")
     found = source.join(wanted, (F.col("set_id") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("of"))).select("set_id", "copies", "leaders", "text")
-    sent = found.withColumn("home", F.explode("leaders")).join(homes, "home")
+    sent = found.withColumn("home", F.explode("leaders")).join(homes.hint("merge"), "home")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     sent = sent.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sent = sent.select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "copies", "leaders", "text")
 
-    def verify(key, group: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("set_id")
         out = pd.DataFrame({"set_id": group["set_id"], "links": 0, "root": group["set_id"]})
         if len(group) > 1 and (int(key[1]) == int(key[2]) or group["own"].nunique() > 1):
