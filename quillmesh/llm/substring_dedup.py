@@ -109,9 +109,9 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     # Pieces: an occurrence is removed where its piece stands earlier too.
     pieces = named.mapInPandas(split, "doc_id long, at int, n int, piece long")
     least = pieces.groupBy("piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times")).filter("times > 1")
-    again = publish(pieces.join(least.select("piece", "least"), "piece"))
+    again = publish(pieces.join(least.select("piece", "least").hint("merge"), "piece"))
     inner = again.filter("doc_id = least").groupBy("piece").agg(F.min("at").alias("first_at"))
-    late = again.join(inner, "piece").filter("doc_id != least or at != first_at")
+    late = again.join(inner.hint("merge"), "piece").filter("doc_id != least or at != first_at")
     runs = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "least"))).alias("pieces"))
     both = publish(lost.join(runs, "doc_id", "full"))
 
@@ -147,4 +147,4 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 rows.append((doc_id, owner, sum(bool(x.strip(" \t\r")) for x in every), len(spans), len(text) - len(kept), [{"start": x, "end": y} for x, y in spans], hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), *([kept] * keep_text)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.replace("<start:long,end:long>", "").split(", ")]).astype({"doc_id": "Int64", "class_id": "Int64"})
 
-    return texts.join(both, "doc_id", "left").select("doc_id", "text", "lines", "of_lines", "pieces").mapInPandas(cut, schema)
+    return texts.join(both.hint("merge"), "doc_id", "left").select("doc_id", "text", "lines", "of_lines", "pieces").mapInPandas(cut, schema)

@@ -191,7 +191,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
             yield pd.DataFrame({"lead": [raw[r][p : p + GRAM] for r, p in zip(a.row[::8], a.place[::8], strict=True)]})
 
     times = docs.mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = docs.mapInPandas(anchors, "gram long, h long, at long").join(times, "gram")
+    marked = docs.mapInPandas(anchors, "gram long, h long, at long").join(times.hint("merge"), "gram")
     marked = marked.select("h", F.when(F.col("n") > frequent, F.col("at").bitwiseOR(F.lit(1 << 16))).otherwise(F.col("at")).alias("at"))
     marks = publish(marked.groupBy("h").agg(F.collect_set("at").alias("marks")))
     total = marks.agg(F.sum(F.size("marks")).alias("n"), F.max(F.exists("marks", lambda x: x.bitwiseAND(1 << 16) > 0)).alias("hot")).first()
@@ -201,7 +201,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
         share = min(1.0, SAMPLED / max(1, docs.count()))
         seen = sorted(bytes(r["lead"]) for r in docs.sample(share, seed=3).mapInPandas(leading, "lead binary").limit(20 * SAMPLED).collect())
         splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
-    held = docs.join(marks, "h").select("doc_id", "h", "text", "marks")
+    held = docs.join(marks.hint("merge"), "h").select("doc_id", "h", "text", "marks")
 
     def contexts(b: pd.DataFrame) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
         """Row, first window, bytes left of the anchor, windows, context and gram of the anchors that aren't frequent."""
@@ -241,7 +241,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
     # Repeated rows of one document: their anchors are one row each here, but their contexts count twice.
     sent = held.mapInPandas(send, "range int, d1 long, d2 long, context binary, left int, count int, times long")
     found = sent.groupBy("range").applyInPandas(lambda g: sort(g), "d1 long, d2 long, runs array<int>")
-    where = held.mapInPandas(places, "d1 long, d2 long, h long, low long").join(found, ["d1", "d2"]).select("h", "low", "runs")
+    where = held.mapInPandas(places, "d1 long, d2 long, h long, low long").join(found.hint("merge"), ["d1", "d2"]).select("h", "low", "runs")
 
     if total["hot"]:
 
@@ -256,7 +256,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
 
         each = held.mapInPandas(windows, "w1 long, w2 long, h long, low long")
         often = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-        where = where.unionByName(each.join(often, ["w1", "w2"]).select("h", "low", F.expr("array(0, 1)").alias("runs")))
+        where = where.unionByName(each.join(often.hint("merge"), ["w1", "w2"]).select("h", "low", F.expr("array(0, 1)").alias("runs")))
 
     spans = where.groupBy("h").agg(F.collect_set(F.struct("low", "runs")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
@@ -280,4 +280,4 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select("doc_id", "h", "text").join(spans, "h", "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
+    return docs.select("doc_id", "h", "text").join(spans.hint("merge"), "h", "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
