@@ -40,8 +40,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: i
 
 
 class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float):
-        self.params, self.rate, self.step = params, rate, 0
+    """Adam with clipped gradients; ``decay`` shrinks the matrices a little at each step."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float, decay: float = 0.0):
+        self.params, self.rate, self.decay, self.step = params, rate, decay, 0
         self.first = {k: np.zeros_like(v) for k, v in params.items()}
         self.second = {k: np.zeros_like(v) for k, v in params.items()}
 
@@ -53,6 +55,8 @@ class Adam:
             g = g * scale
             self.first[k] += 0.1 * (g - self.first[k])
             self.second[k] += 0.001 * (g * g - self.second[k])
+            if g.ndim > 1:
+                self.params[k] *= 1 - self.rate * self.decay
             self.params[k] -= self.rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.999**self.step)) + 1e-8)
 
 

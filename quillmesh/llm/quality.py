@@ -21,7 +21,8 @@ from quillmesh.llm.text import Words, slices, words_of
 PASSAGE, EMBED, HIDDEN, GATE, CHAR_BUCKETS, MEASURES = 64, 12, 16, 8, 4096, 6
 #: Bounds of the training sample: rows of each class, characters of a text; texts that a word must be in.
 PER_CLASS, MOST_CHARS, LEAST_TEXTS = 2500, 12000, 10
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+#: Passes over the sample, more of them for a small one so that there are STEPS at least.
+EPOCHS, STEPS, BATCH, RATE = 12, 240, 64, 0.01
 ALNUM = np.array([chr(b).isalnum() or b > 0x7F for b in range(256)])
 DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
 
@@ -131,8 +132,9 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 5) ->
         return None
     model = Model(frequent(words_of(texts), LEAST_TEXTS))
     adam, rng = Adam(model.p, RATE), np.random.default_rng(seed)
-    for epoch in range(EPOCHS):
-        adam.rate = RATE * (1 - epoch / EPOCHS) + 5e-4
+    epochs = max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH)))
+    for epoch in range(epochs):
+        adam.rate = RATE * (1 - epoch / epochs) + 5e-4
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]

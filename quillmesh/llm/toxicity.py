@@ -23,7 +23,10 @@ WINDOW, STRIDE = 48, 24
 EMBED, HIDDEN, ATTEND, CHAR_BUCKETS = 8, 8, 8, 4096
 #: Bounds of the training sample: rows of each class, characters of a text; texts that a word must be in.
 PER_CLASS, MOST_CHARS, LEAST_TEXTS = 2500, 6000, 8
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Passes over the sample, more of them for a small one so that there are STEPS at least.
+EPOCHS, STEPS, BATCH, RATE = 8, 240, 64, 0.01
+#: Against learning single texts by heart: the part of words that a training window lacks, and the weights' decay.
+DROPPED, DECAY = 0.2, 0.1
 #: Windows scored at once.
 SCORED = 2048
 
@@ -176,15 +179,17 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 5) ->
     if len(set(y.tolist())) < 2:
         return None
     network = Network(frequent(words_of(texts), LEAST_TEXTS))
-    adam, rng = Adam(network.p, RATE), np.random.default_rng(seed)
-    for epoch in range(EPOCHS):
-        adam.rate = RATE * (1 - epoch / EPOCHS) + 1e-3
+    adam, rng = Adam(network.p, RATE, DECAY), np.random.default_rng(seed)
+    epochs = max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH)))
+    for epoch in range(epochs):
+        adam.rate = RATE * (1 - epoch / epochs) + 1e-3
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
             x = Inputs(words_of([texts[i] for i in part]), network.vocabulary)
             e = network.embed(x)
             rows = x.windows(np.arange(len(x.start)))
+            rows[rng.random(rows.shape) < DROPPED] = 0
             logit, cache = network.forward(network.project(e), rows, keep=True)
             # A text's logit: the soft maximum over its windows.
             first = np.searchsorted(x.owner, np.arange(len(part)))
