@@ -203,33 +203,37 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
         splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
     held = docs.join(marks.hint("merge"), "h").select("doc_id", "h", "text", "marks")
 
-    def contexts(b: pd.DataFrame) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
-        """Row, first window, bytes left of the anchor, windows, context and gram of the anchors that aren't frequent."""
+    def contexts(b: pd.DataFrame, which: tuple[bool, ...]) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+        """Row, first window, bytes left of the anchor, windows, context and gram of the anchors that are frequent or not."""
         for k, (text, at) in enumerate(zip(b["text"], b["marks"], strict=True)):
             raw = text.encode("utf-8", "surrogatepass")
             place, low, high, hot = unpacked(np.asarray(at, np.int64))
-            for p, a, z in zip(place[~hot].tolist(), low[~hot].tolist(), high[~hot].tolist(), strict=True):
+            some = np.isin(hot, which)
+            for p, a, z in zip(place[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
                 yield k, a, p - a, z - a + 1, raw[a : p + LENGTH], raw[p : p + GRAM]
 
     def named(context: bytes, left: int, count: int) -> tuple[int, int]:
         d = xxhash.xxh3_128_intdigest(context, left << 8 | count)
         return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept: dict[tuple[int, int], list] = {}
-            for _, _, left, count, context, gram in contexts(b):
-                key = named(context, left, count)
-                if key in kept:
-                    kept[key][-1] += 1
-                else:
-                    kept[key] = [bisect_right(splitters, gram), *key, context, left, count, 1]
-            yield pd.DataFrame(list(kept.values()), columns=["range", "d1", "d2", "context", "left", "count", "times"])
+    def send(which: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                kept: dict[tuple[int, int], list] = {}
+                for _, _, left, count, context, gram in contexts(b, (which,)):
+                    key = named(context, left, count)
+                    if key in kept:
+                        kept[key][-1] += 1
+                    else:
+                        kept[key] = [bisect_right(splitters, gram), *key, context, left, count, 1]
+                yield pd.DataFrame(list(kept.values()), columns=["range", "d1", "d2", "context", "left", "count", "times"])
+
+        return run
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             h = b["h"].to_numpy()
-            rows = [(*named(context, left, count), h[k], a) for k, a, left, count, context, _ in contexts(b)]
+            rows = [(*named(context, left, count), h[k], a) for k, a, left, count, context, _ in contexts(b, (False, True))]
             yield pd.DataFrame(rows, columns=["d1", "d2", "h", "low"])
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
@@ -238,26 +242,28 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
         runs = repeated_windows([bytes(c) for c in group["context"]], group["left"].to_numpy(np.int64), group["count"].to_numpy(np.int64), group["times"].to_numpy(np.int64))
         return pd.DataFrame({"d1": group["d1"], "d2": group["d2"], "runs": runs})[[bool(r) for r in runs]]
 
-    # Repeated rows of one document: their anchors are one row each here, but their contexts count twice.
-    sent = held.mapInPandas(send, "range int, d1 long, d2 long, context binary, left int, count int, times long")
-    found = sent.groupBy("range").applyInPandas(lambda g: sort(g), "d1 long, d2 long, runs array<int>")
-    where = held.mapInPandas(places, "d1 long, d2 long, h long, low long").join(found.hint("merge"), ["d1", "d2"]).select("h", "low", "runs")
+    # Equal contexts are one already where they are made; repeated rows of one document count twice in them.
+    made = "range int, d1 long, d2 long, context binary, left int, count int, times long"
+    found = held.mapInPandas(send(False), made).groupBy("range").applyInPandas(sort, "d1 long, d2 long, runs array<int>")
 
     if total["hot"]:
 
         def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for h, text, at in zip(b["h"], b["text"], b["marks"], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    place, low, high, hot = unpacked(np.asarray(at, np.int64))
-                    for a, z in zip(low[hot].tolist(), high[hot].tolist(), strict=True):
-                        d = [xxhash.xxh3_128_intdigest(raw[s : s + LENGTH]) for s in range(a, z + 1)]
-                        yield pd.DataFrame({"w1": [(x >> 64) - 2**63 for x in d], "w2": [(x & (2**64 - 1)) - 2**63 for x in d], "h": h, "low": np.arange(a, z + 1)})
-
-        each = held.mapInPandas(windows, "w1 long, w2 long, h long, low long")
-        often = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-        where = where.unionByName(each.join(often.hint("merge"), ["w1", "w2"]).select("h", "low", F.expr("array(0, 1)").alias("runs")))
+                rows = []
+                for d1, d2, context, count, times in zip(b["d1"], b["d2"], b["context"], b["count"], b["times"], strict=True):
+                    for k in range(count):
+                        d = xxhash.xxh3_128_intdigest(context[k : k + LENGTH])
+                        rows.append(((d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, d1, d2, k, times))
+                yield pd.DataFrame(rows, columns=["w1", "w2", "d1", "d2", "at", "times"])
+
+        hot = held.mapInPandas(send(True), made).groupBy("d1", "d2").agg(F.any_value("context").alias("context"), F.any_value("count").alias("count"), F.sum("times").alias("times"))
+        each = hot.mapInPandas(windows, "w1 long, w2 long, d1 long, d2 long, at int, times long")
+        often = each.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select("w1", "w2")
+        again = each.join(often.hint("merge"), ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_set("at").alias("at"))
+        found = found.unionByName(again.select("d1", "d2", F.flatten(F.transform(F.array_sort("at"), lambda k: F.array(k, F.lit(1)))).alias("runs")))
 
+    where = held.mapInPandas(places, "d1 long, d2 long, h long, low long").join(found.hint("merge"), ["d1", "d2"]).select("h", "low", "runs")
     spans = where.groupBy("h").agg(F.collect_set(F.struct("low", "runs")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
