@@ -10,7 +10,7 @@ import corpus_pipeline  # noqa: E402
 
 from quillmesh.llm import toxicity  # noqa: E402
 
-LEAK = prose(30, 77)
+LEAK = prose(30, 99077)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def tables(tmp_path_factory):
     rows = clean + bad + copies + leaks + secrets + odd
     pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "lang": "en", "source": "s", "n_chars": [len(t or "") for _, t in rows]}).to_parquet(folder / "documents.parquet")
     pd.DataFrame({"doc_id": [i for i, _ in clean[100:] + bad], "quality": 1, "toxic": [0] * 200 + [1] * 120}).astype({"quality": "int32", "toxic": "int32"}).to_parquet(folder / "labels.parquet")
-    pd.DataFrame({"item_id": [1, 2], "text": [LEAK, prose(30, 78)]}).to_parquet(folder / "benchmark.parquet")
+    pd.DataFrame({"item_id": [1, 2], "text": [LEAK, prose(30, 99078)]}).to_parquet(folder / "benchmark.parquet")
     return str(folder), dict(rows)
 
 
