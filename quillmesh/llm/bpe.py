@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
 #: Pre-tokens whose ids a worker keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 class Vocabulary(dict):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.text import Words, mix
+from quillmesh.llm.text import Words, mix, words_of
 
 
 def remainder(doc_id: str, by: int):
@@ -64,14 +64,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def frequent(w: Words, least: int) -> np.ndarray:
-    """Hashes of the words that at least ``least`` texts hold, in order."""
-    owner = np.repeat(np.arange(len(w.first) - 1, dtype=np.uint64), np.diff(w.first))
-    order = np.lexsort((owner, w.hash))
-    h, o = w.hash[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    values, times = np.unique(h[new], return_counts=True)
+def frequent(texts: list[str], least: int) -> np.ndarray:
+    """Hashes of the words that at least ``least`` texts hold, in order; texts are read a few at a time."""
+    held = np.zeros(0, np.uint64)
+    for a in range(0, len(texts), 64):
+        w = words_of(texts[a : a + 64])
+        held = np.concatenate([held, *(np.unique(w.hash[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True))])
+    values, times = np.unique(held, return_counts=True)
     return values[times >= least]
 
 

@@ -178,7 +178,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 5) ->
     """None where there aren't both classes."""
     if len(set(y.tolist())) < 2:
         return None
-    network = Network(frequent(words_of(texts), LEAST_TEXTS))
+    network = Network(frequent(texts, LEAST_TEXTS))
     adam, rng = Adam(network.p, RATE, DECAY), np.random.default_rng(seed)
     epochs = max(EPOCHS, -(-STEPS // -(-len(texts) // BATCH)))
     for epoch in range(epochs):

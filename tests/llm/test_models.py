@@ -53,7 +53,7 @@ def numeric(loss, params, grads):
 
 def test_gradients_of_the_recurrent_network():
     texts = [prose(70, 1), prose(20, 2), ""]
-    net = toxicity.Network(labelled.frequent(words_of(texts), 1))
+    net = toxicity.Network(labelled.frequent(texts, 1))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x = toxicity.Inputs(words_of(texts), net.vocabulary)
     rows, weight = x.windows(np.arange(len(x.start))), np.linspace(-1, 1, len(x.start))
@@ -64,7 +64,7 @@ def test_gradients_of_the_recurrent_network():
 
 def test_gradients_of_the_attention_model():
     texts = [prose(150, 1), prose(20, 2), "", "a a a | | %%"]
-    model = quality.Model(labelled.frequent(words_of(texts), 1))
+    model = quality.Model(labelled.frequent(texts, 1))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     x = quality.Bags(words_of(texts), model.vocabulary)
     weight = np.linspace(-1, 1, 4)
