@@ -90,7 +90,10 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = texts.filter("doc_id is not null")
     words = F.size(F.filter(F.split("text", "[\\x00-\\x20]+"), lambda x: x != ""))
-    lines = named.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).filter(words >= LINE_WORDS)
+    # Few lines are long enough; most are told by their spaces (or by having other separators) before words are counted.
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    lines = named.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    lines = lines.filter(((spaces >= LINE_WORDS - 1) | F.col("text").rlike("[\\x00-\\x1f]")) & (words >= LINE_WORDS))
     members, classes = similar_sets(lines, WORDS, THRESHOLD, BANDS, MAX_ROWS, RECALL, "doc_id", publish)
 
     # Lines: the first member of each cluster stays.
@@ -107,7 +110,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(np.int64)[row], "at": at.astype(np.int32), "n": size.astype(np.int32), "piece": value.view(np.int64)})
 
     # Pieces: an occurrence is removed where its piece stands earlier too.
-    pieces = named.mapInPandas(split, "doc_id long, at int, n int, piece long")
+    pieces = publish(named.mapInPandas(split, "doc_id long, at int, n int, piece long"))
     least = pieces.groupBy("piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times")).filter("times > 1")
     again = publish(pieces.join(least.select("piece", "least").hint("merge"), "piece"))
     inner = again.filter("doc_id = least").groupBy("piece").agg(F.min("at").alias("first_at"))
