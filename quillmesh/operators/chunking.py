@@ -214,7 +214,8 @@ def chunk_documents(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: i
 
 def number_chunks(documents: DataFrame) -> DataFrame:
     """Rows of a ``parts`` column as chunks."""
-    each = documents.select("*", F.posexplode("parts").alias("chunk_index", "part"))
+    # Outer: else a filter on the parts' size is inferred, pushed below, and computes them again from the raw text.
+    each = documents.select("*", F.posexplode_outer("parts").alias("chunk_index", "part")).filter("chunk_index is not null")
     digest = content_hash(F.col("part.text"))
     return each.select(
         F.concat("document_id", F.lit(":chunk:"), F.col("chunk_index").cast("string"), F.lit(":"), F.substring(digest, 1, 12)).alias("chunk_id"),

@@ -40,7 +40,7 @@ def allowed(old: str, new: str) -> bool:
 
 
 def progress(processed: Column, total: Column) -> Column:
-    return F.when(total > 0, F.round(processed / total, 2)).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.floor(processed / total * 100 + 0.5) / 100).otherwise(F.lit(0.0))
 
 
 def with_latest(sources: DataFrame, jobs: DataFrame, now: str) -> DataFrame:

@@ -149,7 +149,7 @@ def sc5_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", notion.title(props).alias("title"))
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS title FROM pages""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title FROM pages""")
 def g7_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("page", html.parsed("url", "html"))
     return pages.select("page_id", F.col("page.title").alias("title"))

@@ -36,7 +36,7 @@ p AS (SELECT *, substr(text, k * 360 + 1, 400) AS raw FROM w),
 q AS (SELECT *, substr(text, 1, k * 360 + length(raw) - length(regexp_replace(raw, '^\s+', ''))) AS a, substr(text, 1, k * 360 + length(regexp_replace(raw, '\s+$', ''))) AS z, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS piece FROM p)
 SELECT doc_id, md5(piece) AS part, CAST(5 + length(a) - length(replace(a, chr(10), '')) AS INTEGER) AS line_start, CAST(5 + length(z) - length(replace(z, chr(10), '')) AS INTEGER) AS line_end FROM q WHERE piece <> ''""")
 def g5_section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.section_parts(F.col("text"), F.lit(5), 400, 40)).alias("p"))
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(chunking.section_parts(F.col("text"), F.lit(5), 400, 40)).alias("p")).filter("p is not null")
     return each.select("doc_id", F.md5(F.encode("p.text", "UTF-8")).alias("part"), "p.line_start", "p.line_end")
 
 
@@ -215,7 +215,7 @@ def q6_list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.with_latest(named, corpus.jobs(spark, sf_dir), NOW).select("source_id", "job_id", "job_status")
 
 
-@query(f"WITH {SQL_JOBS} SELECT source_id, CAST(count(*) FILTER (status = 'succeeded') AS BIGINT) AS done, count(*) AS total, round(count(*) FILTER (status = 'succeeded') / CAST(count(*) AS DOUBLE), 2) AS progress FROM jobs GROUP BY 1")
+@query(f"WITH {SQL_JOBS} SELECT source_id, CAST(count(*) FILTER (status = 'succeeded') AS BIGINT) AS done, count(*) AS total, floor(count(*) FILTER (status = 'succeeded') / CAST(count(*) AS DOUBLE) * 100 + 0.5) / 100 AS progress FROM jobs GROUP BY 1")
 def a6_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = corpus.jobs(spark, sf_dir).groupBy("source_id").agg(F.count_if(F.col("status") == "succeeded").alias("done"), F.count("*").alias("total"))
     return by.withColumn("progress", jobs.progress(F.col("done"), F.col("total")))
