@@ -40,11 +40,26 @@ class Vocabulary(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         raw = token.encode("utf-8", "surrogatepass")
-        got = (self.ranks[raw],) if raw in self.ranks else tuple(self.merge(raw))
+        got = (self.ranks[raw],) if raw in self.ranks else tuple(self.merge_short(raw) if len(raw) <= 48 else self.merge(raw))
         if len(token) <= 64:
             self[token] = got
         return got
 
+    def merge_short(self, raw: bytes) -> list[int]:
+        """As ``merge``, with plain lists: faster for few bytes."""
+        ranks, none = self.ranks, 1 << 62
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [ranks.get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs and (low := min(pairs)) < none:
+            i = pairs.index(low)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        return [ranks[x] for x in parts]
+
     def merge(self, raw: bytes) -> list[int]:
         """Join the adjacent pair of the lowest rank, leftmost first, until no pair has a rank; O(n log n)."""
         ranks, n = self.ranks, len(raw)

@@ -23,7 +23,7 @@ GRAM = 3
 #: The part of an item's n-grams, rarest first, that are its seeds.
 SEED_SHARE = 0.5
 #: Of the score that a perfect copy of the item would get.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of item texts in one block; both passes run once a block.
 BLOCK_BYTES = 8 << 20

@@ -52,3 +52,10 @@ def test_stitched_pieces_end_where_pre_tokens_end(text, size):
     pieces = bpe.stitch(v.split, chunks)
     assert "".join(pieces) == text
     assert [t for p in pieces for t in v.split.findall(p)] == v.split.findall(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=60))
+def test_both_ways_to_merge_agree(raw):
+    v = bpe.vocabulary(PATH, P.PATTERN)
+    assert v.merge_short(raw) == v.merge(raw)
