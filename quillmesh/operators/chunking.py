@@ -36,12 +36,15 @@ def plain_parts(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP
     """Windows of a text that is stripped already (a column of its own, not computed anew for each window). A window's
     first line is that of its start before it is stripped itself."""
 
+    # Two steps, so that each window is cut and stripped once.
     def cut(at: Column) -> Column:
-        piece = strip(F.substring(text, at + 1, F.lit(max_chars)))
-        line = newlines(F.substring(text, F.lit(1), at)) + 1
-        return F.struct(piece.alias("text"), line.cast("int").alias("line_start"), (line + newlines(piece)).cast("int").alias("line_end"))
+        return F.struct(strip(F.substring(text, at + 1, F.lit(max_chars))).alias("text"), (newlines(F.substring(text, F.lit(1), at)) + 1).alias("line"))
 
-    return F.filter(F.transform(window_starts(text, max_chars, overlap), cut), lambda p: p["text"] != "").cast(PARTS)
+    def place(w: Column) -> Column:
+        return F.struct(w["text"].alias("text"), w["line"].cast("int").alias("line_start"), (w["line"] + newlines(w["text"])).cast("int").alias("line_end"))
+
+    cuts = F.filter(F.transform(window_starts(text, max_chars, overlap), cut), lambda w: w["text"] != "")
+    return F.transform(cuts, place).cast(PARTS)
 
 
 def section_parts(text: Column, line_start: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
@@ -49,12 +52,18 @@ def section_parts(text: Column, line_start: Column, max_chars: int = MAX_CHARS,
 
     def cut(at: Column) -> Column:
         raw = F.substring(text, at + 1, F.lit(max_chars))
-        before = F.length(raw) - F.length(lstrip(raw))
-        first = line_start + newlines(F.substring(text, F.lit(1), at + before))
-        last = line_start + newlines(F.substring(text, F.lit(1), at + F.length(rstrip(raw))))
-        return F.struct(strip(raw).alias("text"), first.cast("int").alias("line_start"), last.cast("int").alias("line_end"))
+        return F.struct(at.alias("at"), F.length(raw).alias("size"), lstrip(raw).alias("rest"), newlines(F.substring(text, F.lit(1), at)).alias("ahead"))
+
+    def trim(w: Column) -> Column:
+        # Lines before the first character that is kept, and those that end behind the last.
+        lead = newlines(F.substring(text, w["at"] + 1, w["size"] - F.length(w["rest"])))
+        return F.struct(rstrip(w["rest"]).alias("text"), (line_start + w["ahead"] + lead).alias("first"))
+
+    def place(w: Column) -> Column:
+        return F.struct(w["text"].alias("text"), w["first"].cast("int").alias("line_start"), (w["first"] + newlines(w["text"])).cast("int").alias("line_end"))
 
-    return F.filter(F.transform(window_starts(text, max_chars, overlap), cut), lambda p: p["text"] != "").cast(PARTS)
+    cuts = F.filter(F.transform(F.transform(window_starts(text, max_chars, overlap), cut), trim), lambda w: w["text"] != "")
+    return F.transform(cuts, place).cast(PARTS)
 
 
 _HEADING = re.compile(r" {0,3}#{1,6}(?:\s|$)")
