@@ -184,15 +184,8 @@ def code_parts(content: str, max_chars: int, overlap: int) -> list[tuple[str, in
 
 def kind_of(path: Column, title: Column, content: Column) -> Column:
     """markdown, code, plain, or none for blank content; ``markdown`` still depends on a heading outside fences."""
-    name = F.lower(first_filled(path, title))
-
-    def ends(extensions: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for x in extensions:
-            out = out | name.endswith(x)
-        return out
-
-    return F.when(strip(content) == "", "none").when(ends(MARKDOWN), "markdown").when(ends(CODE), "code").otherwise("plain")
+    end = F.regexp_extract(F.lower(first_filled(path, title)), r"(\.[^.]*)$", 1)
+    return F.when(strip(content) == "", "none").when(end.isin(*MARKDOWN), "markdown").when(end.isin(*CODE), "code").otherwise("plain")
 
 
 def chunk_documents(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
