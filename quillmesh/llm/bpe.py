@@ -108,12 +108,13 @@ def starts(split: regex.Pattern, text: str, offset: int) -> list[int]:
     return [offset + m.start() for m in split.finditer(text)]
 
 
-def sure(marks: list[int], stop: int, last: bool) -> list[int]:
-    """Starts that later text can't move: all but those of matches that reach the chunk's end.
+def sure(marks: list[int], text: str, offset: int) -> list[int]:
+    """Starts of a chunk where a piece may end: later text can't move them, and they don't move what is before them.
 
-    The pattern looks one character ahead at most, so the last start, and one before it for white space, may move.
+    The pattern looks one character ahead at most, so the last start, and one before it for white space, may move. A run
+    of white space is split by what follows it, so no piece ends behind white space.
     """
-    return marks if last else marks[:-2]
+    return [x for x in marks[:-2] if x == offset or not text[x - offset - 1].isspace()]
 
 
 def stitch(split: regex.Pattern, chunks: list[tuple[int, str, list[int]]]) -> list[str]:
@@ -121,7 +122,7 @@ def stitch(split: regex.Pattern, chunks: list[tuple[int, str, list[int]]]) -> li
     pieces: list[str] = []
     begin, (offset, text, marks) = 0, chunks[0]
     for at, more, right in chunks[1:]:
-        left = set(sure(marks, offset + len(text), False))
+        left = set(sure(marks, text, offset))
         meet = next((x for x in right if x in left and x >= begin), None)
         if meet is None:
             back = max((x for x in left if begin <= x), default=begin)

@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from helpers import by_id, documents, prose
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quillmesh.llm import bpe
@@ -43,7 +43,8 @@ def test_empty_table_and_production_chunks(spark, library):
     assert got["n_tokens"] == len(library.encode_ordinary(text))
 
 
-@settings(max_examples=150, deadline=None)
+@example("111111 \n1a11", 11)
+@settings(max_examples=600, deadline=None)
 @given(st.text(alphabet="ab '\n\t1é.日", max_size=160), st.integers(6, 40))
 def test_stitched_pieces_end_where_pre_tokens_end(text, size):
     v = bpe.vocabulary(PATH, P.PATTERN)
