@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the words around them.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the words around them.
 
-One pass over the documents counts in how many each n-gram of the test items occurs. The rarest part of each item's
-n-grams (by rank, so that an item which leaked into very many documents still has seeds) are its seeds. A second pass
-looks the seeds up in every document, opens a window of words around each group of hits on near diagonals, and aligns
-the whole item with the window. No text is shuffled; items are taken in blocks of a bounded number of n-grams, so what
-each task holds doesn't grow with the benchmark.
+Every n-gram of a test item is a seed, so that any copy which keeps GRAM words in a row, whole, partial or edited, is
+aligned, whatever other documents hold. One pass looks the seeds up in every document, opens a window of words around
+each group of hits on near diagonals, and aligns the whole item with the window. No text is shuffled; items are taken
+in blocks of a bounded number of n-grams, so what each task holds doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -20,12 +19,10 @@ from pyspark.sql import functions as F
 from quillmesh.llm.text import Words, grams, slices, words_of
 
 GRAM = 3
-#: The part of an item's n-grams, rarest first, that are its seeds.
-SEED_SHARE = 0.5
 #: Of the score that a perfect copy of the item would get.
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bytes of item texts in one block; both passes run once a block.
+#: Bytes of item texts in one block; the pass runs once a block.
 BLOCK_BYTES = 8 << 20
 #: Cells of alignment tables held at once.
 CELLS = 1 << 20
@@ -61,7 +58,7 @@ def padded(values: np.ndarray, at: np.ndarray, size: np.ndarray, fill: int) -> n
 
 
 class Items:
-    """A block of test items: their words, n-grams and, once counted, seeds."""
+    """A block of test items: their words, and their n-grams as seeds."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = np.array(ids, np.int64)
@@ -70,20 +67,10 @@ class Items:
         long = np.diff(self.words.first) >= GRAM
         owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
         keep = long[owner] if len(owner) else np.zeros(0, bool)
-        self.gram, self.owner = values[keep], owner[keep]
-        self.place = (np.arange(len(values)) - bounds[:-1][owner])[keep] if len(owner) else owner
-        self.known = np.unique(self.gram)
-
-    def choose(self, counted: dict[int, int]) -> None:
-        """Keep the rarest SEED_SHARE of each item's n-grams (at least one), earlier ones first among equals."""
-        often = np.array([counted.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, often, self.owner))
-        owner = self.owner[order]
-        first = np.searchsorted(owner, owner)
-        size = np.bincount(owner, minlength=len(self.ids))[owner] if len(owner) else owner
-        seeds = order[np.arange(len(owner)) - first < np.maximum(1, np.ceil(size * SEED_SHARE))]
-        seeds = seeds[np.argsort(self.gram[seeds], kind="stable")]
-        self.seed, self.seed_owner, self.seed_place = self.gram[seeds], self.owner[seeds], self.place[seeds]
+        gram, owner = values[keep], owner[keep]
+        place = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds)))[keep] if len(keep) else owner
+        order = np.argsort(gram, kind="stable")
+        self.seed, self.seed_owner, self.seed_place = gram[order], owner[order], place[order]
 
     def search(self, w: Words) -> pd.DataFrame:
         """Alignments of at least the threshold: text, item, score, first and end word; the best of each pair."""
@@ -152,36 +139,12 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def choose_seeds(block: Items, docs: DataFrame) -> None:
-    """Count in how many documents each n-gram of the block occurs, and keep the rarest of each item."""
-    known = block.known
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(known), np.int64)
-        for b in (part for batch in batches for part in slices(batch)):
-            values, bounds = grams(words_of(b["text"], bare=True), GRAM)
-            at = np.searchsorted(known, values)
-            found = np.flatnonzero(np.append(known, np.uint64(0))[at] == values)
-            found = found[at[found] < len(known)]
-            row = np.searchsorted(bounds, found, "right") - 1
-            pair = np.unique(row * len(known) + at[found])
-            total += np.bincount(pair % len(known), minlength=len(known)) if len(pair) else 0
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": known[some].view(np.int64), "n": total[some]})
-
-    if len(known):
-        counted = docs.select("text").mapInPandas(counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        block.choose({r["gram"]: r["n"] for r in counted.collect()})
-    else:
-        block.choose({})
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of a document and a test item of which it holds a copy, edited or not.
 
     Columns: doc_id, item_id, score (of the perfect copy's alignment score, THRESHOLD or more), start_word and
     end_word (bare words of the document, end exclusive; the best alignment, the first among equals). Null or empty
-    texts match nothing; items of fewer than GRAM words or with a null id match nothing; equal items each match;
+    texts match nothing; items of fewer than GRAM words or with a null id match nothing, nor do copies without GRAM words in a row; equal items each match;
     repeated documents each give rows; a null doc_id stays null. Other columns are not looked at.
     """
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -199,7 +162,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
     out = []
     for block in blocks(items, block_bytes):
-        choose_seeds(block, docs)
         out.append(leaks(block))
     return reduce(DataFrame.unionAll, out) if out else docs.sparkSession.createDataFrame([], schema)
 
@@ -219,6 +181,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
     out = docs
     for block in blocks(items, block_bytes):
-        choose_seeds(block, docs)
         out = kept(block, out)
     return out

@@ -42,6 +42,16 @@ def test_an_item_that_leaked_everywhere_still_has_seeds(spark):
     assert len(pairs(D.find_leaks(documents(spark, rows), items(spark, bench)))) == 60
 
 
+def test_lone_half_copies_and_lone_edited_copies_are_found(spark):
+    bench = [(k, prose(30, 600 + k)) for k in range(4)]
+    first, last = (" ".join(bench[0][1].split()[:15])), (" ".join(bench[1][1].split()[15:]))
+    rows = [(1, f"{prose(40, 1)} {first} {prose(40, 2)}"), (2, f"{prose(40, 3)} {last}"), (3, f"{prose(40, 4)} {edited(bench[2][1], 5)} {prose(40, 5)}")]
+    # A half that leaks beside whole copies elsewhere.
+    rows += [(4, bench[3][1]), (5, f"{prose(30, 6)} {' '.join(bench[3][1].split()[:15])}")]
+    assert pairs(D.find_leaks(documents(spark, rows), items(spark, bench))) == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 3)}
+    assert D.drop_leaks(documents(spark, rows), items(spark, bench)).count() == 0
+
+
 def test_empty_tables(spark):
     assert D.find_leaks(documents(spark, []), items(spark, [(1, prose(30, 1))])).count() == 0
     assert D.find_leaks(documents(spark, [(1, "a b c")]), items(spark, [])).count() == 0
