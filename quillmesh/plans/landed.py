@@ -169,8 +169,12 @@ def g8_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sc17_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A breadth-first crawl over the pages, whose links here lead along each host's pages by their ids."""
     pages = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^(https?://[^/?#]*)", 1))
-    ids = pages.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("all"))
-    links = pages.join(ids, "host").select("url", "page_id", F.posexplode(F.filter("all", lambda p: (p["page_id"] > F.col("page_id")) & (p["page_id"] <= F.col("page_id") * 2 + 9))).alias("position", "to")).select("url", F.col("to.url").alias("link"), "position")
+    targets = pages.select("host", F.col("page_id").alias("position"), F.col("url").alias("link"))
+
+    def links(frontier: DataFrame) -> DataFrame:
+        near = (F.col("position") > F.col("page_id")) & (F.col("position") <= F.col("page_id") * 2 + 9)
+        return frontier.join(targets, "host").filter(near)
+
     seeds = [r["url"] for r in pages.orderBy("page_id").limit(3).collect()]
     return web.crawl(pages, links, seeds, 20)[0]
 

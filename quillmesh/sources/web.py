@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -97,10 +97,11 @@ class SnapshotInfo:
     prefixes: tuple[str, ...] = ()
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: Iterable[str], max_pages: int = MAX_PAGES, robots: DataFrame | None = None) -> tuple[DataFrame, SnapshotInfo]:
+def crawl(pages: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], seeds: Iterable[str], max_pages: int = MAX_PAGES, robots: DataFrame | None = None) -> tuple[DataFrame, SnapshotInfo]:
     """Pages (url) that a breadth-first crawl from the seeds reaches: key, url, depth, position; at most ``max_pages``.
 
-    ``links``: url, link, position. Every round joins the frontier with the links of its pages and takes the first link
+    ``links``: url, link, position; or a function that adds link and position to the frontier's rows of ``pages`` (so
+    that only the frontier's links are ever made). Every round joins the frontier with the links of its pages and takes the first link
     to each new page by (position of the page, position of the link), while there is room. The number of rounds and the
     frontier are bounded by ``max_pages``; links over the budget, links that robots forbid and pages that didn't land
     make the snapshot incomplete. ``robots``: origin, rules.
@@ -123,7 +124,10 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: Iterable[str], max_pages: i
                 complete = False
             else:
                 seen[r["key"]] = (r["key"], r["url"], depth, len(seen))
-        out = F.broadcast(rows.select("key", "n")).join(links.withColumn("key", crawl_key(F.col("url"))), "key").filter(same_origin(F.col("url"), F.col("link")))
+        at = F.broadcast(rows.select("key", "n"))
+        source = pages if callable(links) else links
+        out = at.join(source.withColumn("key", crawl_key(F.col("url"))), "key")
+        out = (links(out) if callable(links) else out).filter(same_origin(F.col("url"), F.col("link")))
         out = out.filter(fetchable(F.col("link"))).withColumn("to", crawl_key(F.col("link"))).filter(~F.col("to").isin(list(known)))
         if robots is not None:
             origin = F.regexp_extract("link", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)

@@ -3,6 +3,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh.plans import landed
 from quillmesh.sources import github, html, notion, registry, web
 
 
@@ -143,3 +144,21 @@ def test_registry(spark):
     assert {x["id"] for x in rows.collect()} == {"2", "3"} and errors == {"b": "RuntimeError"}
     with pytest.raises(ValueError):
         r.get("nothing")
+
+
+def test_a_crawl_within_one_large_host_makes_only_the_frontiers_links(spark, tmp_path, monkeypatch):
+    rows = [(k, f"https://{'big' if k % 3 else f'h{k % 7}'}.c/{k}") for k in range(3000)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def per_host_array(*_):
+        raise AssertionError("no array of a host's pages")
+
+    monkeypatch.setattr(landed.F, "collect_list", per_host_array)
+    found = [r["url"] for r in landed.sc17_crawl(spark, str(tmp_path)).orderBy("position").collect()]
+    want, todo = [], [0, 1, 2]
+    hosts = {k: url.split("/")[2] for k, url in rows}
+    while todo and len(want) < 20:
+        want += todo[: 20 - len(want)]
+        nexts = [t for p in todo for t in range(p + 1, min(2 * p + 10, 3000)) if hosts[t] == hosts[p]]
+        todo = [t for t in dict.fromkeys(nexts) if t not in want]
+    assert found == [rows[k][1] for k in want] and len(found) == 20
