@@ -1,12 +1,12 @@
 """Substring dedup: paragraphs that repeat, edited a little or not, wherever they stand.
 
-Paragraphs are lines of at least LINE_WORDS words. They are joined by MinHash bands, tuned for recall, and verified
+Paragraphs are lines of at least LINE_WORDS words, as many as one shingle has. They are joined by MinHash bands, tuned for recall, and verified
 by the exact Jaccard similarity of their five-word shingles; components of links are clusters.
 
 A repeated passage may also stand inside a longer paragraph. So every text is cut into pieces where the hash of a
 word is the least of its neighbourhood, which depends on nearby words only, and pieces with equal shingles are
-clusters too (below about fifty words one edited word already brings the similarity under 0.8, so bands would find
-no more). Adjacent repeated pieces are one run; runs under RUN_WORDS words are left alone.
+clusters too. Adjacent repeated pieces are one run; runs under RUN_WORDS words are left alone, and so are passages
+inside longer lines whose edits leave no run of that length.
 
 Of each cluster the first member by (doc_id, position) stays; the others are removed.
 """
@@ -26,7 +26,7 @@ from quillmesh.llm.similar import similar_sets
 from quillmesh.llm.text import Words, mix, slices, words_of
 
 WORDS, THRESHOLD = 5, 0.8
-LINE_WORDS, RUN_WORDS, REACH = 45, 25, 5
+LINE_WORDS, RUN_WORDS, REACH = WORDS, 25, 5
 BANDS, MAX_ROWS, RECALL = 8, 8, 0.995
 
 
@@ -90,7 +90,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = texts.filter("doc_id is not null")
     words = F.size(F.filter(F.split("text", "[\\x00-\\x20]+"), lambda x: x != ""))
-    # Few lines are long enough; most are told by their spaces (or by having other separators) before words are counted.
+    # Short lines are told by their spaces (or by having no other separators) before words are counted.
     spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
     lines = named.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     lines = lines.filter(((spaces >= LINE_WORDS - 1) | F.col("text").rlike("[\\x00-\\x1f]")) & (words >= LINE_WORDS))

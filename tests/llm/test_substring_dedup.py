@@ -44,6 +44,22 @@ def test_most_embedded_passages_of_over_fifty_words_are_found(spark):
     assert all(found[2 * k]["n_removed"] == 0 for k in range(40))
 
 
+def test_repeated_lines_of_every_length_from_five_words_are_found(spark):
+    sizes = [5, 8, 13, 20, 25, 30, 35, 40, 44]
+    rows = []
+    for k, n in enumerate(sizes):
+        line = prose(n, 100 + k)
+        rows += [(2 * k, lines(prose(60, 200 + k), line, prose(50, 300 + k))), (2 * k + 1, lines(prose(50, 400 + k), line, prose(60, 500 + k)))]
+    # The last word of thirteen changed: 8 of 10 shingles; four words are no shingle.
+    rows += [(50, lines(prose(13, 600), prose(50, 601))), (51, lines(prose(50, 602), prose(12, 600) + " changed")), (52, lines("a b c d", prose(50, 603))), (53, lines("a b c d", prose(50, 604)))]
+    found = by_id(S.drop_repeats(documents(spark, rows), keep_text=True))
+    for k in range(len(sizes)):
+        assert (found[2 * k]["n_removed"], found[2 * k + 1]["n_removed"], found[2 * k + 1]["class_id"]) == (0, 1, 2 * k)
+        assert found[2 * k + 1]["text"] == lines(prose(50, 400 + k), "", prose(60, 500 + k))
+    assert (found[51]["n_removed"], found[51]["class_id"]) == (1, 50)
+    assert [found[k]["n_removed"] for k in (50, 52, 53)] == [0, 0, 0]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     assert S.drop_repeats(documents(spark, [])).count() == 0
     para = prose(60, 3)
