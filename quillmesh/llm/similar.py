@@ -1,8 +1,8 @@
-"""Links between similar sets of word shingles: a MinHash LSH forest, then exact Jaccard on the shingles themselves.
+"""Links between similar sets of word shingles: MinHash bands, then exact Jaccard on the shingles themselves.
 
-Every text has ``trees`` signatures of up to ``max_depth`` MinHash values. A tree sorts the texts by their
-signature; texts whose signatures share a prefix meet. Prefixes are shortened from the full depth until texts at the
-threshold meet in some tree with the target recall. Where they meet is a bucket; a bucket's leader is the least id in
+Every text has ``trees`` bands of equally many MinHash values: the most, up to ``max_depth``, with which texts at the
+threshold agree on some band with the target recall. That depth is worked out before any text is read; no prefixes are
+sorted or shortened by text, as an LSH forest would. Where texts agree is a bucket; a bucket's leader is the least id in
 it. A text is sent once to each of its leaders (most trees of a family of copies agree on one), never once per tree,
 and a pair that shares leaders is compared at the least of them only.
 
