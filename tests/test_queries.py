@@ -50,6 +50,13 @@ def test_other_queries_have_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_lines_are_counted_in_every_document(spark, tmp_path):
+    texts = [None, "", "\n", "a\nb", "a\nb\n", "a\r\n\nb"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_lines"] for r in plans.QUERIES["f4_lines"](spark, str(tmp_path)).collect()}
+    assert found == {k: None if t is None else len(t.splitlines()) for k, t in enumerate(texts)}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
