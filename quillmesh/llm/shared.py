@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,5 +32,11 @@ def publish(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that name a row by its id and text; rows that repeat both have one key (a null text counts as empty)."""
+    name = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), F.coalesce(F.col(text), F.lit("")))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,14 +1,15 @@
 """Links between similar sets of word shingles: MinHash bands, then exact Jaccard on the shingles themselves.
 
-Every text has ``trees`` bands of equally many MinHash values: the most, up to ``max_depth``, with which texts at the
+Every set has ``trees`` bands of equally many MinHash values: the most, up to ``max_depth``, with which sets at the
 threshold agree on some band with the target recall. That depth is worked out before any text is read; no prefixes are
-sorted or shortened by text, as an LSH forest would. Where texts agree is a bucket; a bucket's leader is the least id in
+sorted or shortened by text, as an LSH forest would. Where sets agree is a bucket; a bucket's leader is the least id in
 it. A text is sent once to each of its leaders (most trees of a family of copies agree on one), never once per tree,
 and a pair that shares leaders is compared at the least of them only.
 
-Equal shingle sets are one text here, with a count of copies. A leader's texts are compared in one task if they are
-few, else in pairs of blocks, so that no group goes to one task whole. A task sends back one row a text: how many
-links it has there and to which root its links lead. Pairs are never rows.
+Equal shingle sets are one text here, with a count of copies. A leader's texts are compared together if they are few,
+else in pairs of blocks, so that no group goes to one task whole. A task reads its groups one after the other from
+sorted rows, and sends back one row a text: how many links it has there and to which root its links lead. Pairs are
+never rows.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.components import components
-from quillmesh.llm.text import minhash, mix, set_ids, shingle_sets, slices, words_of
+from quillmesh.llm.shared import publish
+from quillmesh.llm.text import minhash, mix, set_ids, shingle_sets, slices, whole_groups, words_of
 
 #: Most texts, and most characters of texts, in one block of a leader's texts.
 BLOCK_TEXTS, BLOCK_CHARS = 4096, 1 << 25
 #: Cells of a block of the membership matrix.
 CELLS = 1 << 23
+#: Comparisons of pairs in one task, about.
+TASK_PAIRS = 1 << 22
 
 
 def forest_recall(threshold: float, depth: int, trees: int) -> float:
@@ -42,15 +45,21 @@ def forest_depth(threshold: float, trees: int, max_depth: int, target: float) ->
     return depth
 
 
-def signatures(texts, n: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set ids (0 for texts without words), prefix hashes of each tree, and set sizes."""
-    values, bounds = shingle_sets(words_of(texts), n)
+def signatures(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Prefix hashes of each set, one column a tree."""
     low = minhash(values, bounds, trees * depth).reshape(-1, trees, depth)
     key = np.zeros(low.shape[:2], np.uint64)
     for k in range(depth):
         key = mix(key * np.uint64(3) + low[:, :, k])
-    key = mix(key + np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x1000193))
-    return set_ids(values, bounds), key, np.diff(bounds)
+    return mix(key + np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x1000193))
+
+
+def least_partner(threshold: float) -> int:
+    """The least size of a set that another, unequal set can reach the threshold with: n of n + 1 members."""
+    n = 1
+    while n / (n + 1) < threshold - 1e-9:
+        n += 1
+    return n
 
 
 def shared_counts(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -101,25 +110,27 @@ def spanning_roots(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare(home: int, ids: np.ndarray, block: np.ndarray, copies: np.ndarray, leaders: list[np.ndarray], texts: list[str], n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one task's texts: how many other documents each is linked to, and the index of its root.
+def met_before(home: bytes, leaders: list[list[bytes]]) -> tuple[np.ndarray, bool]:
+    """The leaders less than ``home`` of each text, as numbers (-1: none), one row a text; and whether there are none."""
+    lesser: dict[bytes, int] = {}
+    rows = [[lesser.setdefault(x, len(lesser)) for x in some if x < home] for some in leaders]
+    out = np.full((len(rows), max(1, *map(len, rows))), -1)
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    return out, not lesser
+
 
-    With two blocks only pairs of a text of each are compared; the pairs within a block have tasks of their own.
+def compare(home: bytes, block: np.ndarray, copies: np.ndarray, leaders: list[list[bytes]], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group's texts: how many other documents each is linked to, and the index of its root.
+
+    With two blocks only pairs of a text of each are compared; the pairs within a block are a group of their own.
     """
-    values, bounds = shingle_sets(words_of(texts), n)
-    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    size = np.diff(bounds)
-    count = len(ids)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    count = len(sets)
     link = np.zeros((count, count), bool)
-    mixed = block[0] != block[-1] or (block != block[0]).any()
-    width = max(map(len, leaders))
-    lead = np.full((count, width), np.iinfo(np.int64).min)
-    for k, x in enumerate(leaders):
-        lead[k, : len(x)] = x
+    mixed = (block != block[0]).any()
     # A pair that also meets at a lesser leader is compared there.
-    lesser, number = np.unique(np.where(lead < home, lead, np.iinfo(np.int64).min), return_inverse=True)
-    number = number.reshape(lead.shape)
-    plain = len(lesser) == 1 and lesser[0] == np.iinfo(np.int64).min
+    met, plain = met_before(home, leaders)
     for a, b, shared in shared_counts(sets):
         both = size[a:b, None] + size[None, :] - shared
         good = (shared > 0) & (shared >= threshold * both - 1e-9)
@@ -131,68 +142,74 @@ def compare(home: int, ids: np.ndarray, block: np.ndarray, copies: np.ndarray, l
             for part in range(0, len(i), 1 << 18):
                 x, y = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
                 meet = np.zeros(len(x), bool)
-                for s in range(width):
-                    mine = number[a + x, s]
-                    meet |= (lesser[mine] != np.iinfo(np.int64).min) & (number[y] == mine[:, None]).any(axis=1)
+                for s in range(met.shape[1]):
+                    mine = met[a + x, s]
+                    meet |= (mine >= 0) & (met[y] == mine[:, None]).any(axis=1)
                 good[x[meet], y[meet]] = False
         link[a:b] = good
     return (link * copies[None, :]).sum(axis=1), spanning_roots(link)
 
 
-def similar_sets(texts: DataFrame, n: int, threshold: float, trees: int, max_depth: int, target: float, id_col: str, publish) -> tuple[DataFrame, DataFrame]:
-    """Sets of the texts' shingles, and the links among them.
+def compare_two(home: bytes, leaders: list[list[bytes]], a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two texts alone at a leader are linked there."""
+    low, high = sorted((len(a), len(b)))
+    if low < threshold * high - 1e-9 or not set(leaders[0]).isdisjoint(x for x in leaders[1] if x < home):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= threshold * (low + high - shared) - 1e-9
 
-    ``texts`` has ``id_col`` (which may repeat or be null) and ``text``. Returns (members, classes): members has
-    ``id_col``, all other columns of ``texts`` but the text, and ``set_id`` (0: no words); classes has set_id, root
-    (the least set id linked to it directly or by others) and links (documents with another set, linked directly),
-    for every set that has a link. 64-bit set ids: among a thousand million different sets one false agreement is
-    expected in about forty such tables.
-    """
-    depth = forest_depth(threshold, trees, max_depth, target)
-    kept = [c for c in texts.columns if c != "text"]
-    fields = [texts.schema[c] for c in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (part for batch in batches for part in slices(batch)):
-            ids, keys, _ = signatures(b["text"].tolist(), n, trees, depth)
-            yield b[kept].assign(set_id=ids.view(np.int64), keys=list(keys.view(np.int64)), chars=b["text"].str.len().fillna(0).astype("int64"))
-
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (part for batch in batches for part in slices(batch)):
-            values, bounds = shingle_sets(words_of(b["text"].tolist()), n)
-            yield pd.DataFrame({"set_id": set_ids(values, bounds).view(np.int64), "id": b["id"].astype("Int64").array, "text": b["text"]})
-
-    members = publish(texts.mapInPandas(sign, f"{schema}, set_id long, keys array<long>, chars long"))
-    sets = publish(members.filter("set_id != 0").groupBy("set_id").agg(F.min(id_col).alias("id"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys")))
+
+def leaders_of(sets: DataFrame) -> DataFrame:
+    """set_id and leaders (sorted) of the sets that share a bucket with another; ``sets`` has set_id and keys."""
     placed = sets.select("set_id", F.explode("keys").alias("key"))
-    # Buckets with one set only go; the other buckets' texts learn their leaders.
     buckets = placed.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("most")).filter("leader < most").drop("most")
-    led = placed.join(buckets.hint("merge"), "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
-    here = publish(led.join(sets.drop("keys").hint("merge"), "set_id"))
-    each = here.select("set_id", "id", "copies", "chars", "leaders", F.explode("leaders").alias("home"))
-    homes = each.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    source = texts.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(name, "set_id long, id long, text string")
-    # One text of each set: that of the least id; the id spreads copies over the partitions.
-    # What grows with the input is merged, never broadcast: small and large inputs have one plan.
-    wanted = here.select(F.col("set_id").alias("wanted"), F.col("id").alias("of"), "copies", "leaders").hint("merge")
-    found = source.join(wanted, (F.col("set_id") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("of"))).select("set_id", "copies", "leaders", "text")
-    sent = found.withColumn("home", F.explode("leaders")).join(homes.hint("merge"), "home")
+    return placed.join(buckets.hint("merge"), "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+
+
+def linked(wanted: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Verified links: set_id, root (a linked set) and links (documents with another set) of every group's linked sets.
+
+    ``wanted`` has set_id, chars and leaders, one row a set; ``texts`` has set_id, copies, leaders and text of those
+    sets (rows that repeat one count once).
+    """
+    sizes = wanted.select("chars", F.explode("leaders").alias("home")).groupBy("home").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    homes = publish(sizes.select("home", "n", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")))
+    pairs = homes.agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).first()["pairs"] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    sent = sent.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    each = texts.select("set_id", "copies", "leaders", "text", F.explode("leaders").alias("home"))
+    sent = each.join(homes.drop("n").hint("merge"), "home").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sent = sent.select("home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "copies", "leaders", "text")
 
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("set_id")
-        out = pd.DataFrame({"set_id": group["set_id"], "links": 0, "root": group["set_id"]})
-        if len(group) > 1 and (int(key[1]) == int(key[2]) or group["own"].nunique() > 1):
-            ids = group["set_id"].to_numpy()
-            links, root = compare(int(key[0]), ids, group["own"].to_numpy(), group["copies"].to_numpy(), group["leaders"].tolist(), group["text"].tolist(), n, threshold)
-            out["links"], out["root"] = links, ids[root]
-        return out[out["links"] > 0]
-
-    done = publish(sent.groupBy("home", "i", "j").applyInPandas(verify, "set_id long, links long, root long"))
-    roots = components(done.select(F.col("set_id").alias("u"), F.col("root").alias("v")))
-    counted = done.groupBy("set_id").agg(F.sum("links").alias("links"))
-    classes = counted.join(roots.withColumnRenamed("node", "set_id"), "set_id")
-    return members.drop("keys", "chars"), classes
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, ["home", "i", "j"]):
+            part = part.drop_duplicates(["home", "i", "j", "set_id"])
+            values, bounds = shingle_sets(words_of(part["text"].tolist()), n)
+            home, ids, own = part["home"].tolist(), part["set_id"].tolist(), part["own"].to_numpy()
+            copies, leaders = part["copies"].to_numpy(), part["leaders"].tolist()
+            place = list(zip(home, part["i"].tolist(), part["j"].tolist(), strict=True))
+            first = [0, *(k for k in range(1, len(place)) if place[k] != place[k - 1])]
+            out: list[tuple[bytes, int, bytes]] = []
+            for a, b in zip(first, [*first[1:], len(place)], strict=True):
+                if b - a < 2 or (place[a][1] != place[a][2] and (own[a:b] == own[a]).all()):
+                    continue
+                sets = [values[bounds[k] : bounds[k + 1]] for k in range(a, b)]
+                if b - a == 2:
+                    if compare_two(home[a], leaders[a:b], *sets, threshold):
+                        out += [(ids[a], int(copies[a + 1]), ids[a]), (ids[a + 1], int(copies[a]), ids[a])]
+                    continue
+                links, root = compare(home[a], own[a:b], copies[a:b], leaders[a:b], sets, threshold)
+                out += [(ids[a + k], int(links[k]), ids[a + int(root[k])]) for k in np.flatnonzero(links)]
+            yield pd.DataFrame(out, columns=["set_id", "links", "root"])
+
+    dealt = sent.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j")
+    return publish(dealt.mapInPandas(verify, "set_id binary, links long, root binary"))
+
+
+def signed(texts: pd.DataFrame, n: int, trees: int, depth: int, threshold: float) -> Iterator[tuple[pd.DataFrame, list[bytes | None], list[np.ndarray]]]:
+    """Slices of a batch with their set ids (None without words) and keys (none for sets that only equal sets match)."""
+    for b in slices(texts):
+        values, bounds = shingle_sets(words_of(b["text"].tolist()), n)
+        keys = signatures(values, bounds, trees, depth).view(np.int64)
+        some = np.diff(bounds) >= least_partner(threshold)
+        yield b, set_ids(values, bounds), [k if s else k[:0] for k, s in zip(keys, some, strict=True)]

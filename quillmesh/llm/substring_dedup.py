@@ -1,19 +1,21 @@
-"""Substring dedup: paragraphs that repeat, edited a little or not, wherever they stand.
+"""Substring dedup: paragraphs that repeat, edited a little or not, and passages that repeat inside longer ones.
 
-Paragraphs are lines of at least LINE_WORDS words, as many as one shingle has. They are joined by MinHash bands, tuned for recall, and verified
-by the exact Jaccard similarity of their five-word shingles; components of links are clusters.
+Paragraphs are lines with a word. They are joined by MinHash bands, tuned for recall, and verified by the exact
+Jaccard similarity of their five-word shingles (a line of one to four words has one shingle, so only its copies reach
+it); components of links are clusters.
 
-A repeated passage may also stand inside a longer paragraph. So every text is cut into pieces where the hash of a
-word is the least of its neighbourhood, which depends on nearby words only, and pieces with equal shingles are
-clusters too. Adjacent repeated pieces are one run; runs under RUN_WORDS words are left alone, and so are passages
-inside longer lines whose edits leave no run of that length.
+A passage of at least PASSAGE_WORDS words may also repeat inside longer lines. So these are cut into pieces where the
+hash of a word is the least of its neighbourhood, which depends on nearby words only. Pieces that stand earlier too
+are candidates: those that follow each other on one diagonal are a chain, whose words and the earlier ones around it
+are laid side by side, followed to their ends over small edits, and verified by exact Jaccard similarity.
 
-Of each cluster the first member by (doc_id, position) stays; the others are removed.
+Of each cluster the first member by (doc_id, hash of the row, line, word) stays; the others are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.shared import publish
-from quillmesh.llm.similar import similar_sets
-from quillmesh.llm.text import Words, mix, slices, words_of
+from quillmesh.llm.components import components
+from quillmesh.llm.shared import publish, row_key
+from quillmesh.llm.similar import forest_depth, leaders_of, least_partner, linked, signatures
+from quillmesh.llm.text import Words, mix, set_ids, shingle_sets, slices, whole_groups, words_of
 
 WORDS, THRESHOLD = 5, 0.8
-LINE_WORDS, RUN_WORDS, REACH = WORDS, 25, 5
 BANDS, MAX_ROWS, RECALL = 8, 8, 0.995
+#: Words of a passage inside a longer line; of the neighbourhood on each side that a cut is the least of; of a piece.
+PASSAGE_WORDS, REACH, PIECE_WORDS = 25, 4, 4
+#: Words between two pieces of a chain, how far its diagonal may move at each, and words around a chain that are looked at.
+GAP, DRIFT, AROUND = 30, 3, 64
+#: Equal words behind an edit that join what is before it.
+AGREE = 3
+WORD = re.compile(r"[^\x00-\x20]+")
 
 
 def cuts(w: Words) -> np.ndarray:
@@ -46,9 +55,8 @@ def cuts(w: Words) -> np.ndarray:
     return low
 
 
-def pieces_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of a batch: their text's place, first word (counted in its text), number of words and hash."""
-    w = words_of(texts)
     begin = np.flatnonzero(cuts(w))
     if not len(begin):
         return begin, begin, begin, begin.astype(np.uint64)
@@ -60,12 +68,71 @@ def pieces_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row, begin - w.first[row], size, mix(value + size.astype(np.uint64))
 
 
-def char_spans(text: str, first: list[int], last: list[int]) -> list[tuple[int, int]]:
-    """Character ranges of ranges of words (end exclusive)."""
-    solid = np.fromiter((ord(c) > 0x20 for c in text), bool, len(text))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    return [(int(start[a]), int(end[b - 1])) for a, b in zip(first, last, strict=True)]
+def chains(rows: pd.DataFrame) -> pd.DataFrame:
+    """Chains of pieces of whole rows that stand earlier too: columns k, line, ok, owner, oline, a, b, oa, ob.
+
+    ``rows`` (k, line, at, ok, owner, oline, oat) lists pieces with the place of their first occurrence. a and b are the words
+    where the first and the last piece of a chain begin, oa and ob those of the earlier text.
+    """
+    codes = {c: pd.factorize(rows[c])[0] for c in ("k", "ok")}
+    line, oline, at, oat = (rows[c].to_numpy(np.int64) for c in ("line", "oline", "at", "oat"))
+    order = np.lexsort((oat, at, oline, codes["ok"], line, codes["k"]))
+    key = np.column_stack([codes["k"], line, codes["ok"], oline])[order]
+    at, oat = at[order], oat[order]
+    step = np.diff(at)
+    new = np.ones(len(rows), bool)
+    new[1:] = (key[1:] != key[:-1]).any(axis=1) | (step > GAP) | (np.abs(np.diff(oat) - step) > DRIFT)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows)) - 1
+    out = rows.iloc[order[first]][["k", "line", "ok", "owner", "oline"]].reset_index(drop=True)
+    return out.assign(a=at[first], b=at[last], oa=oat[first], ob=oat[last])
+
+
+def follow(own: list[str], other: list[str], i: int, j: int, step: int) -> list[tuple[int, int]]:
+    """Ends reached from (i, j) in one direction: behind the equal words, and behind those that each small edit joins.
+
+    ``step`` is 1 or -1; the words at i and j are the first to compare. An edit is up to two words on each side, and
+    AGREE equal words must follow it.
+    """
+    n, m = len(own), len(other)
+
+    def same(x: int, y: int) -> bool:
+        return 0 <= x < n and 0 <= y < m and own[x] == other[y]
+
+    ends = []
+    while True:
+        while same(i, j):
+            i, j = i + step, j + step
+        ends.append((i, j))
+        for x, y in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2)):
+            x, y = i + x * step, j + y * step
+            if all(same(x + k * step, y + k * step) for k in range(AGREE)):
+                i, j = x, y
+                break
+        else:
+            return ends
+
+
+def similarity(a: list[str], b: list[str]) -> float:
+    x, y = ({tuple(w[k : k + WORDS]) for k in range(max(1, len(w) - WORDS + 1))} if w else set() for w in (a, b))
+    return len(x & y) / len(x | y) if x or y else 0.0
+
+
+def passages(own: list[str], other: list[str], a: int, b: int, oa: int, ob: int) -> list[tuple[int, int]]:
+    """Word ranges of ``own`` verified as copies of passages of ``other``, around the chain from (a, oa) to (b, ob)."""
+    found: list[tuple[int, int]] = []
+    left, right = follow(own, other, a - 1, oa - 1, -1), follow(own, other, b, ob, 1)
+    # The widest range first; then fewer edits at both ends.
+    for k in range(max(len(left), len(right))):
+        (i, x), (j, y) = left[max(0, len(left) - 1 - k)], right[max(0, len(right) - 1 - k)]
+        if j - i - 1 >= PASSAGE_WORDS and similarity(own[i + 1 : j], other[x + 1 : y]) >= THRESHOLD - 1e-9:
+            return [(i + 1, j)]
+    # Else only equal words around its first and its last piece.
+    for p, q in {(a, oa), (b, ob)}:
+        i, j = follow(own, other, p - 1, q - 1, -1)[0][0] + 1, follow(own, other, p, q, 1)[0][0]
+        if j - i >= PASSAGE_WORDS:
+            found.append((i, j))
+    return found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,76 +145,136 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def read_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines with a word: their set, bands, and the pieces of those that may hold a passage."""
+    depth = forest_depth(THRESHOLD, BANDS, MAX_ROWS, RECALL)
+    for b in (part for batch in batches for part in slices(batch)):
+        split = [t.split("\n") for t in b["text"]]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        lines = [x for some in split for x in some]
+        owner = np.repeat(np.arange(len(b)), size)
+        number = np.arange(len(lines)) - np.repeat(np.cumsum(size) - size, size)
+        w = words_of(lines)
+        values, bounds = shingle_sets(w, WORDS)
+        ids, keys = set_ids(values, bounds), signatures(values, bounds, BANDS, depth).view(np.int64)
+        count = np.diff(w.first)
+        row, at, words, piece = pieces_of(w)
+        some = (count[row] >= PASSAGE_WORDS) & (words >= PIECE_WORDS) if len(row) else np.zeros(0, bool)
+        row, at, piece = row[some], at[some].astype(np.int32), piece[some].view(np.int64)
+        edge = np.searchsorted(row, np.arange(len(lines) + 1))
+        kept = np.flatnonzero(count > 0)
+        if not len(kept):
+            continue
+        banded = np.diff(bounds) >= least_partner(THRESHOLD)
+        yield pd.DataFrame({
+            "doc_id": b["doc_id"].to_numpy(np.int64)[owner[kept]], "k": b["k"].to_numpy()[owner[kept]], "line": number[kept].astype(np.int32),
+            "chars": np.fromiter(map(len, lines), np.int64, len(lines))[kept], "set_id": [ids[x] for x in kept],
+            "keys": [keys[x] if banded[x] else keys[x, :0] for x in kept],
+            "at": [at[edge[x] : edge[x + 1]] for x in kept], "piece": [piece[edge[x] : edge[x + 1]] for x in kept],
+        })
+
+
 def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Remove repeated paragraphs and passages from every whole text; one row per input row.
 
     Columns: doc_id, class_id (the least doc_id that keeps something removed here, else the row's own), n_lines
     (lines with a word), n_removed (removed ranges), chars_removed, removed (those ranges in code points), kept_sha256
-    (of what is left, as UTF-8) and with ``keep_text`` what is left. Rows of one doc_id count as one text each at the
-    same position: equal repeated rows all stay. Null texts count as empty; rows with a null doc_id are returned
-    whole and take no part. An empty table gives none; other columns are not looked at.
+    (of what is left, as UTF-8) and with ``keep_text`` what is left. Rows are told apart by id and text: rows that
+    repeat an id with another text are texts of their own, equal repeated rows are one text and all stay. Null texts
+    count as empty; rows with a null doc_id are returned whole and take no part. An empty table gives none; other
+    columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", row_key())
     named = texts.filter("doc_id is not null")
-    words = F.size(F.filter(F.split("text", "[\\x00-\\x20]+"), lambda x: x != ""))
-    # Short lines are told by their spaces (or by having no other separators) before words are counted.
-    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    lines = named.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    lines = lines.filter(((spaces >= LINE_WORDS - 1) | F.col("text").rlike("[\\x00-\\x1f]")) & (words >= LINE_WORDS))
-    members, classes = similar_sets(lines, WORDS, THRESHOLD, BANDS, MAX_ROWS, RECALL, "doc_id", publish)
+    units = publish(named.mapInPandas(read_units, "doc_id long, k binary, line int, chars long, set_id binary, keys array<long>, at array<int>, piece array<long>"))
+    place = F.struct("doc_id", "k", "line")
+    sets = publish(units.groupBy("set_id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys")))
+    wanted = publish(leaders_of(sets).join(sets.select("set_id", "first", "chars").hint("merge"), "set_id"))
+
+    # Pieces: all but the first occurrence, with the place of the first.
+    pieces = units.filter(F.size("at") > 0).select("doc_id", "k", "line", F.explode(F.arrays_zip("at", "piece")).alias("x")).select("doc_id", "k", "line", "x.at", "x.piece")
+    where = F.struct("doc_id", "k", "line", "at")
+    least = pieces.groupBy("piece").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low != high").select("piece", "low")
+    late = pieces.join(least.hint("merge"), "piece").filter(where != F.col("low"))
+    late = late.select("k", "line", "at", F.col("low.k").alias("ok"), F.col("low.doc_id").alias("owner"), F.col("low.line").alias("oline"), F.col("low.at").alias("oat"))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, ["k"]):
+            yield chains(rows.drop_duplicates())
+
+    shape = "k binary, line int, ok binary, owner long, oline int, a int, b int, oa int, ob int"
+    found = late.repartition("k").sortWithinPartitions("k").mapInPandas(chain, shape)
+    # Equal reaches of a much copied passage are asked for once.
+    begin, end = F.greatest(F.lit(0), F.floor((F.col("oa") - AROUND) / 32) * 32).cast("int"), (F.ceil((F.col("ob") + AROUND) / 32) * 32).cast("int")
+    found = publish(found.withColumn("begin", begin).withColumn("end", end))
+
+    # What the rows are asked for: texts of lines to compare, and stretches of words to lay beside a chain.
+    asked = wanted.select("first.k", F.struct(F.col("first.line").alias("line"), "set_id").alias("x")).groupBy("k").agg(F.collect_set("x").alias("lines"))
+    ranges = found.select(F.col("ok").alias("k"), F.struct(F.col("oline").alias("line"), "begin", "end").alias("x")).distinct().groupBy("k").agg(F.collect_list("x").alias("ranges"))
+    need = asked.join(ranges, "k", "full")
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, text, lines, ranges in zip(b["k"], b["text"], b["lines"], b["ranges"], strict=True):
+                every, split = text.split("\n"), {}
+                for x in lines if lines is not None else ():
+                    rows.append((x["set_id"], k, x["line"], 0, 0, every[x["line"]]))
+                for x in ranges if ranges is not None else ():
+                    if x["line"] not in split:
+                        split[x["line"]] = WORD.findall(every[x["line"]].lower())
+                    rows.append((None, k, x["line"], x["begin"], x["end"], " ".join(split[x["line"]][x["begin"] : x["end"]])))
+            yield pd.DataFrame(rows, columns=["set_id", "k", "line", "begin", "end", "text"])
+
+    fetched = publish(named.select("k", "text").join(need.hint("merge"), "k").mapInPandas(fetch, "set_id binary, k binary, line int, begin int, end int, text string"))
 
     # Lines: the first member of each cluster stays.
-    repeated = members.filter("set_id != 0").groupBy("set_id").agg(F.count("*").alias("n"))
-    grouped = repeated.join(classes.select("set_id", "root"), "set_id", "left").filter("n > 1 or root is not null")
-    grouped = members.join(grouped.select("set_id", F.coalesce("root", "set_id").alias("root")), "set_id").select("root", "doc_id", F.col("at").cast("long").alias("at"))
-    holders = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "at")).alias("keeper"))
-    lost = grouped.join(holders, "root").filter((F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.at") != F.col("at")))
-    lost = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("lines"), F.min("keeper.doc_id").alias("of_lines"))
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (part for batch in batches for part in slices(batch)):
-            row, at, size, value = pieces_of(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(np.int64)[row], "at": at.astype(np.int32), "n": size.astype(np.int32), "piece": value.view(np.int64)})
-
-    # Pieces: an occurrence is removed where its piece stands earlier too.
-    pieces = publish(named.mapInPandas(split, "doc_id long, at int, n int, piece long"))
-    least = pieces.groupBy("piece").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times")).filter("times > 1")
-    again = publish(pieces.join(least.select("piece", "least").hint("merge"), "piece"))
-    inner = again.filter("doc_id = least").groupBy("piece").agg(F.min("at").alias("first_at"))
-    late = again.join(inner.hint("merge"), "piece").filter("doc_id != least or at != first_at")
-    runs = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "n", "least"))).alias("pieces"))
-    both = publish(lost.join(runs, "doc_id", "full"))
+    lines = fetched.filter("set_id is not null").select("set_id", "text").join(wanted.select("set_id", F.lit(1).alias("copies"), "leaders").hint("merge"), "set_id")
+    done = linked(wanted, lines, WORDS, THRESHOLD)
+    roots = components(done.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id")
+    known = sets.select("set_id", "first", "last").join(roots, "set_id", "left").filter("root is not null or first != last")
+    known = publish(known.withColumn("root", F.coalesce("root", "set_id")))
+    keepers = known.groupBy("root").agg(F.min("first").alias("keeper"))
+    lost = units.select("set_id", "doc_id", "k", "line").join(known.join(keepers, "root").select("set_id", "keeper").hint("merge"), "set_id").filter(place != F.col("keeper"))
+    lost = lost.groupBy("k").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.min("keeper.doc_id").alias("of_lines"))
+
+    # Chains: with the earlier words around them.
+    beside = fetched.filter("set_id is null").select(F.col("k").alias("ok"), F.col("line").alias("oline"), "begin", "end", F.col("text").alias("words"))
+    laid = found.join(beside.hint("merge"), ["ok", "oline", "begin", "end"])
+    laid = laid.groupBy("k").agg(F.collect_set(F.struct("line", "a", "b", (F.col("oa") - F.col("begin")).alias("oa"), (F.col("ob") - F.col("begin")).alias("ob"), "words", "owner")).alias("chains"))
+    both = lost.join(laid, "k", "full")
 
     schema = "doc_id long, class_id long, n_lines long, n_removed long, chars_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", text string" * keep_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, gone, of_lines, parts in zip(b["doc_id"].astype("Int64"), b["text"], b["lines"], b["of_lines"], b["pieces"], strict=True):
+            for doc_id, text, gone, of_lines, beside in zip(b["doc_id"].astype("Int64"), b["text"], b["lines"], b["of_lines"], b["chains"], strict=True):
                 spans, keepers = [], []
                 every = text.split("\n")
-                if gone is not None:
-                    ends = np.cumsum([len(x) + 1 for x in every])
-                    spans += [(int(ends[k] - len(every[k]) - 1), int(ends[k] - 1)) for k in map(int, gone)]
+                gone = set() if gone is None else set(map(int, gone))
+                if gone or beside is not None:
+                    ends = np.cumsum([len(x) + 1 for x in every]).tolist()
+                if gone:
+                    spans += [(ends[k] - len(every[k]) - 1, ends[k] - 1) for k in gone]
                     keepers.append(int(of_lines))
-                if parts is not None:
-                    first, last, low, out = [], [], [], []
-                    for x in parts:
-                        if last and last[-1] == x["at"]:
-                            last[-1] += x["n"]
-                            low[-1] = min(low[-1], x["least"])
-                        else:
-                            first.append(x["at"])
-                            last.append(x["at"] + x["n"])
-                            low.append(x["least"])
-                    out = [k for k in range(len(first)) if last[k] - first[k] >= RUN_WORDS]
-                    if out:
-                        spans += char_spans(text, [first[k] for k in out], [last[k] for k in out])
-                        keepers += [low[k] for k in out]
+                split: dict[int, tuple[list[str], list[tuple[int, int]]]] = {}
+                for x in beside if beside is not None else ():
+                    k = int(x["line"])
+                    if k in gone:
+                        continue
+                    if k not in split:
+                        marks = [m.span() for m in WORD.finditer(every[k])]
+                        split[k] = [every[k][i:j].lower() for i, j in marks], marks
+                    own, marks = split[k]
+                    for i, j in passages(own, x["words"].split(" "), x["a"], x["b"], x["oa"], x["ob"]):
+                        start = ends[k] - len(every[k]) - 1
+                        spans.append((start + marks[i][0], start + marks[j - 1][1]))
+                        keepers.append(int(x["owner"]))
                 spans = merged(spans)
                 kept = "".join(text[a:b] for a, b in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(text)], strict=True)) if spans else text
-                owner = None if pd.isna(doc_id) else min([int(doc_id), *map(int, keepers)])
-                rows.append((doc_id, owner, sum(bool(x.strip(" \t\r")) for x in every), len(spans), len(text) - len(kept), [{"start": x, "end": y} for x, y in spans], hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), *([kept] * keep_text)))
+                owner = None if pd.isna(doc_id) else min([int(doc_id), *keepers])
+                rows.append((doc_id, owner, sum(WORD.search(x) is not None for x in every), len(spans), len(text) - len(kept), [{"start": x, "end": y} for x, y in spans], hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), *([kept] * keep_text)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.replace("<start:long,end:long>", "").split(", ")]).astype({"doc_id": "Int64", "class_id": "Int64"})
 
-    return texts.join(both.hint("merge"), "doc_id", "left").select("doc_id", "text", "lines", "of_lines", "pieces").mapInPandas(cut, schema)
+    return texts.join(both.hint("merge"), "k", "left").select("doc_id", "text", "lines", "of_lines", "chains").mapInPandas(cut, schema)

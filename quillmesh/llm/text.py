@@ -39,6 +39,32 @@ def slices(batch: pd.DataFrame, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
             yield batch.iloc[group[0] : group[-1] + 1]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches again, in parts of whole groups of equal keys and about ``chars`` characters of text (one group at least)."""
+
+    def weight(b: pd.DataFrame) -> int:
+        return 64 * len(b) + (int(b["text"].str.len().fillna(0).sum()) if "text" in b else 0)
+
+    held: list[pd.DataFrame] = []
+    size, due = 0, chars
+    for batch in batches:
+        for b in slices(batch, chars) if "text" in batch else [batch] * bool(len(batch)):
+            held.append(b)
+            size += weight(b)
+            if size < due:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = np.logical_and.reduce([(rows[k] == rows[k].iloc[-1]).to_numpy() for k in keys])
+            cut = int(last.argmax())
+            if cut:
+                yield rows.iloc[:cut]
+            held = [rows.iloc[cut:]]
+            size = weight(held[0])
+            due = max(chars, 2 * size)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
 
@@ -123,14 +149,17 @@ def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else values), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set; equal sets have equal hashes; 0 for the empty set."""
+def set_ids(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit hash of each set; equal sets have equal hashes; None for the empty set."""
     n = len(bounds) - 1
-    out = np.zeros(n, np.uint64)
     some = bounds[1:] > bounds[:-1]
+    out: list[bytes | None] = [None] * n
     if some.any():
-        out[some] = np.add.reduceat(mix(values + np.uint64(0x51)), bounds[:-1][some])
-        out[some] = mix(out[some] + (bounds[1:] - bounds[:-1])[some].astype(np.uint64)) | np.uint64(1)
+        size = np.diff(bounds)[some].astype(np.uint64)
+        sums = [np.add.reduceat(mix((values + np.uint64(c)) * np.uint64(m)), bounds[:-1][some]) for c, m in ((0x51, WORD_BASE), (0xA3, GRAM_BASE))]
+        pair = np.column_stack([mix(sums[0] + size), mix(sums[1] ^ sums[0] * MIX_1)]).tobytes()
+        for k, place in enumerate(np.flatnonzero(some).tolist()):
+            out[place] = pair[16 * k : 16 * k + 16]
     return out
 
 

@@ -84,3 +84,21 @@ def test_intersections_by_blocks_of_columns(monkeypatch):
         for b in range(23):
             if a != b:
                 assert total[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    a, b = prose(60, 801), prose(60, 802)
+    rows = [(1, a), (5, a), (5, b), (6, b), (6, b), (7, a + " more"), (None, a)]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in jaccard_join.keep_one(documents(spark, rows)).collect())
+    assert kept == sorted([(1, a), (5, b), (-1, a)])
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rows = []
+    for k in range(200):
+        words = prose(41, 9000 + k).split()
+        rows.append((2 * k, " ".join(words)))
+        words[3] = "edit"
+        rows.append((2 * k + 1, " ".join(words)))
+    found = by_id(jaccard_join.join_similar(documents(spark, rows)))
+    assert sum(found[2 * k + 1]["class_id"] == 2 * k for k in range(200)) >= 197
