@@ -36,7 +36,7 @@ def classes_of(docs: DataFrame, n: int, threshold: float, trees: int, max_depth:
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k")
     sets = members.filter("set_id is not null").groupBy("set_id").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys"))
     sets = publish(sets)
-    wanted = publish(leaders_of(sets).join(sets.select("set_id", "first.k", "copies", "chars").hint("merge"), "set_id"))
+    wanted = publish(leaders_of(sets.select("set_id", "first.k", "copies", "chars", "keys")))
     # One row's text stands for a set. What grows with the input is merged, never broadcast: small and large inputs have one plan.
     found = texts.select("k", "text").join(wanted.drop("chars").hint("merge"), "k").select("set_id", "copies", "leaders", "text")
     done = linked(wanted, found, n, threshold)

@@ -110,9 +110,9 @@ def spanning_roots(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def met_before(home: bytes, leaders: list[list[bytes]]) -> tuple[np.ndarray, bool]:
+def met_before(home: int, leaders: list[list[int]]) -> tuple[np.ndarray, bool]:
     """The leaders less than ``home`` of each text, as numbers (-1: none), one row a text; and whether there are none."""
-    lesser: dict[bytes, int] = {}
+    lesser: dict[int, int] = {}
     rows = [[lesser.setdefault(x, len(lesser)) for x in some if x < home] for some in leaders]
     out = np.full((len(rows), max(1, *map(len, rows))), -1)
     for k, x in enumerate(rows):
@@ -120,7 +120,7 @@ def met_before(home: bytes, leaders: list[list[bytes]]) -> tuple[np.ndarray, boo
     return out, not lesser
 
 
-def compare(home: bytes, block: np.ndarray, copies: np.ndarray, leaders: list[list[bytes]], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(home: int, block: np.ndarray, copies: np.ndarray, leaders: list[list[int]], sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of one group's texts: how many other documents each is linked to, and the index of its root.
 
     With two blocks only pairs of a text of each are compared; the pairs within a block are a group of their own.
@@ -150,7 +150,7 @@ def compare(home: bytes, block: np.ndarray, copies: np.ndarray, leaders: list[li
     return (link * copies[None, :]).sum(axis=1), spanning_roots(link)
 
 
-def compare_two(home: bytes, leaders: list[list[bytes]], a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+def compare_two(home: int, leaders: list[list[int]], a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether two texts alone at a leader are linked there."""
     low, high = sorted((len(a), len(b)))
     if low < threshold * high - 1e-9 or not set(leaders[0]).isdisjoint(x for x in leaders[1] if x < home):
@@ -160,10 +160,15 @@ def compare_two(home: bytes, leaders: list[list[bytes]], a: np.ndarray, b: np.nd
 
 
 def leaders_of(sets: DataFrame) -> DataFrame:
-    """set_id and leaders (sorted) of the sets that share a bucket with another; ``sets`` has set_id and keys."""
-    placed = sets.select("set_id", F.explode("keys").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("most")).filter("leader < most").drop("most")
-    return placed.join(buckets.hint("merge"), "key").groupBy("set_id").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    """The sets that share a bucket with another, with ``leaders`` (sorted), the 64-bit numbers of their buckets' first sets.
+
+    ``sets`` has set_id, keys and columns to keep. Sets that share a number only meet in more groups.
+    """
+    number = F.xxhash64("set_id").alias("number")
+    placed = sets.select(number, F.explode("keys").alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("number").alias("leader"), F.max("number").alias("most")).filter("leader < most").drop("most")
+    led = placed.join(buckets.hint("merge"), "key").groupBy("number").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    return sets.drop("keys").withColumn("number", number).join(led.hint("merge"), "number").drop("number")
 
 
 def linked(wanted: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:

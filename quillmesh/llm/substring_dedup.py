@@ -9,7 +9,8 @@ hash of a word is the least of its neighbourhood, which depends on nearby words
 are candidates: those that follow each other on one diagonal are a chain, whose words and the earlier ones around it
 are laid side by side, followed to their ends over small edits, and verified by exact Jaccard similarity.
 
-Of each cluster the first member by (doc_id, hash of the row, line, word) stays; the others are removed.
+Of each cluster the first member by (doc_id, hash of the text, line, word) stays; the others are removed. Rows are
+named by their id and a 64-bit hash of their text, which only tells texts of one id apart.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
-from quillmesh.llm.shared import publish, row_key
+from quillmesh.llm.shared import publish
 from quillmesh.llm.similar import forest_depth, leaders_of, least_partner, linked, signatures
 from quillmesh.llm.text import Words, mix, set_ids, shingle_sets, slices, whole_groups, words_of
 
@@ -69,22 +70,23 @@ def pieces_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def chains(rows: pd.DataFrame) -> pd.DataFrame:
-    """Chains of pieces of whole rows that stand earlier too: columns k, line, ok, owner, oline, a, b, oa, ob.
+    """Chains of pieces of whole rows that stand earlier too: columns doc_id, h, line, owner, oh, oline, a, b, oa, ob.
 
-    ``rows`` (k, line, at, ok, owner, oline, oat) lists pieces with the place of their first occurrence. a and b are the words
-    where the first and the last piece of a chain begin, oa and ob those of the earlier text.
+    ``rows`` (doc_id, h, place, owner, oh, oplace) lists pieces with the place of their first occurrence. a and b are the
+    words where the first and the last piece of a chain begin, oa and ob those of the earlier text.
     """
-    codes = {c: pd.factorize(rows[c])[0] for c in ("k", "ok")}
-    line, oline, at, oat = (rows[c].to_numpy(np.int64) for c in ("line", "oline", "at", "oat"))
-    order = np.lexsort((oat, at, oline, codes["ok"], line, codes["k"]))
-    key = np.column_stack([codes["k"], line, codes["ok"], oline])[order]
-    at, oat = at[order], oat[order]
+    columns = {c: rows[c].to_numpy(np.int64) for c in rows.columns}
+    columns |= {"line": columns["place"] >> 32, "oline": columns["oplace"] >> 32}
+    at, oat = columns["place"] & 0xFFFFFFFF, columns["oplace"] & 0xFFFFFFFF
+    key = np.column_stack([columns[c] for c in ("doc_id", "h", "line", "owner", "oh", "oline")])
+    order = np.lexsort((oat, at, *key.T[::-1]))
+    key, at, oat = key[order], at[order], oat[order]
     step = np.diff(at)
     new = np.ones(len(rows), bool)
     new[1:] = (key[1:] != key[:-1]).any(axis=1) | (step > GAP) | (np.abs(np.diff(oat) - step) > DRIFT)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(rows)) - 1
-    out = rows.iloc[order[first]][["k", "line", "ok", "owner", "oline"]].reset_index(drop=True)
+    out = pd.DataFrame(key[first], columns=["doc_id", "h", "line", "owner", "oh", "oline"])
     return out.assign(a=at[first], b=at[last], oa=oat[first], ob=oat[last])
 
 
@@ -167,10 +169,10 @@ def read_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         banded = np.diff(bounds) >= least_partner(THRESHOLD)
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].to_numpy(np.int64)[owner[kept]], "k": b["k"].to_numpy()[owner[kept]], "line": number[kept].astype(np.int32),
+            "doc_id": b["doc_id"].to_numpy(np.int64)[owner[kept]], "h": b["h"].to_numpy(np.int64)[owner[kept]], "line": number[kept].astype(np.int32),
             "chars": np.fromiter(map(len, lines), np.int64, len(lines))[kept], "set_id": [ids[x] for x in kept],
             "keys": [keys[x] if banded[x] else keys[x, :0] for x in kept],
-            "at": [at[edge[x] : edge[x + 1]] for x in kept], "piece": [piece[edge[x] : edge[x + 1]] for x in kept],
+            "at": [at[edge[x] : edge[x + 1]] for x in kept], "pieces": [piece[edge[x] : edge[x + 1]] for x in kept],
         })
 
 
@@ -184,65 +186,70 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     count as empty; rows with a null doc_id are returned whole and take no part. An empty table gives none; other
     columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", row_key())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     named = texts.filter("doc_id is not null")
-    units = publish(named.mapInPandas(read_units, "doc_id long, k binary, line int, chars long, set_id binary, keys array<long>, at array<int>, piece array<long>"))
-    place = F.struct("doc_id", "k", "line")
-    sets = publish(units.groupBy("set_id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys")))
-    wanted = publish(leaders_of(sets).join(sets.select("set_id", "first", "chars").hint("merge"), "set_id"))
-
-    # Pieces: all but the first occurrence, with the place of the first.
-    pieces = units.filter(F.size("at") > 0).select("doc_id", "k", "line", F.explode(F.arrays_zip("at", "piece")).alias("x")).select("doc_id", "k", "line", "x.at", "x.piece")
-    where = F.struct("doc_id", "k", "line", "at")
-    least = pieces.groupBy("piece").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low != high").select("piece", "low")
-    late = pieces.join(least.hint("merge"), "piece").filter(where != F.col("low"))
-    late = late.select("k", "line", "at", F.col("low.k").alias("ok"), F.col("low.doc_id").alias("owner"), F.col("low.line").alias("oline"), F.col("low.at").alias("oat"))
+    units = publish(named.mapInPandas(read_units, "doc_id long, h long, line int, chars long, set_id binary, keys array<long>, at array<int>, pieces array<long>"))
+    place = F.struct("doc_id", "h", "line")
+    sets = publish(units.groupBy("set_id").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.max("chars").alias("chars"), F.any_value("keys").alias("keys")))
+    wanted = publish(leaders_of(sets.select("set_id", "first", "chars", "keys")))
+
+    # Pieces that occur again: all but the first occurrence, with the place of the first. A place is a line and a word.
+    pieces = units.filter(F.size("at") > 0).select("doc_id", "h", "line", F.explode(F.arrays_zip("at", "pieces")).alias("x"))
+    pieces = pieces.select("doc_id", "h", (F.shiftleft(F.col("line").cast("long"), 32) + F.col("x.at")).alias("place"), F.col("x.pieces").alias("piece"))
+    common = pieces.groupBy("piece").agg(F.count("*").alias("n")).filter("n > 1").select("piece")
+    again = publish(pieces.join(common.hint("merge"), "piece"))
+    where = F.struct("doc_id", "h", "place")
+    low = again.groupBy("piece").agg(F.min(where).alias("low"))
+    late = again.join(low.hint("merge"), "piece").filter(where != F.col("low"))
+    late = late.select("doc_id", "h", "place", F.col("low.doc_id").alias("owner"), F.col("low.h").alias("oh"), F.col("low.place").alias("oplace"))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, ["k"]):
+        for rows in whole_groups(batches, ["doc_id", "h"]):
             yield chains(rows.drop_duplicates())
 
-    shape = "k binary, line int, ok binary, owner long, oline int, a int, b int, oa int, ob int"
-    found = late.repartition("k").sortWithinPartitions("k").mapInPandas(chain, shape)
+    shape = "doc_id long, h long, line int, owner long, oh long, oline int, a int, b int, oa int, ob int"
+    found = late.repartition("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInPandas(chain, shape)
     # Equal reaches of a much copied passage are asked for once.
     begin, end = F.greatest(F.lit(0), F.floor((F.col("oa") - AROUND) / 32) * 32).cast("int"), (F.ceil((F.col("ob") + AROUND) / 32) * 32).cast("int")
     found = publish(found.withColumn("begin", begin).withColumn("end", end))
 
     # What the rows are asked for: texts of lines to compare, and stretches of words to lay beside a chain.
-    asked = wanted.select("first.k", F.struct(F.col("first.line").alias("line"), "set_id").alias("x")).groupBy("k").agg(F.collect_set("x").alias("lines"))
-    ranges = found.select(F.col("ok").alias("k"), F.struct(F.col("oline").alias("line"), "begin", "end").alias("x")).distinct().groupBy("k").agg(F.collect_list("x").alias("ranges"))
-    need = asked.join(ranges, "k", "full")
+    asked = wanted.select("first.doc_id", "first.h", F.struct(F.col("first.line").alias("line"), "set_id").alias("x")).groupBy("doc_id", "h").agg(F.collect_set("x").alias("lines"))
+    ranges = found.select("owner", "oh", "oline", "begin", "end").distinct()
+    ranges = ranges.groupBy(F.col("owner").alias("doc_id"), F.col("oh").alias("h")).agg(F.collect_list(F.struct(F.col("oline").alias("line"), "begin", "end")).alias("ranges"))
+    need = asked.join(ranges, ["doc_id", "h"], "full")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, text, lines, ranges in zip(b["k"], b["text"], b["lines"], b["ranges"], strict=True):
+            for doc_id, h, text, lines, ranges in zip(b["doc_id"], b["h"], b["text"], b["lines"], b["ranges"], strict=True):
                 every, split = text.split("\n"), {}
                 for x in lines if lines is not None else ():
-                    rows.append((x["set_id"], k, x["line"], 0, 0, every[x["line"]]))
+                    rows.append((x["set_id"], doc_id, h, x["line"], 0, 0, every[x["line"]]))
                 for x in ranges if ranges is not None else ():
                     if x["line"] not in split:
                         split[x["line"]] = WORD.findall(every[x["line"]].lower())
-                    rows.append((None, k, x["line"], x["begin"], x["end"], " ".join(split[x["line"]][x["begin"] : x["end"]])))
-            yield pd.DataFrame(rows, columns=["set_id", "k", "line", "begin", "end", "text"])
+                    rows.append((None, doc_id, h, x["line"], x["begin"], x["end"], " ".join(split[x["line"]][x["begin"] : x["end"]])))
+            yield pd.DataFrame(rows, columns=["set_id", "doc_id", "h", "line", "begin", "end", "text"])
 
-    fetched = publish(named.select("k", "text").join(need.hint("merge"), "k").mapInPandas(fetch, "set_id binary, k binary, line int, begin int, end int, text string"))
+    source = named.select("doc_id", "h", "text").join(need.hint("merge"), ["doc_id", "h"])
+    fetched = publish(source.mapInPandas(fetch, "set_id binary, doc_id long, h long, line int, begin int, end int, text string"))
 
     # Lines: the first member of each cluster stays.
     lines = fetched.filter("set_id is not null").select("set_id", "text").join(wanted.select("set_id", F.lit(1).alias("copies"), "leaders").hint("merge"), "set_id")
     done = linked(wanted, lines, WORDS, THRESHOLD)
     roots = components(done.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id")
-    known = sets.select("set_id", "first", "last").join(roots, "set_id", "left").filter("root is not null or first != last")
+    known = sets.select("set_id", "first", "times").join(roots, "set_id", "left").filter("root is not null or times > 1")
     known = publish(known.withColumn("root", F.coalesce("root", "set_id")))
     keepers = known.groupBy("root").agg(F.min("first").alias("keeper"))
-    lost = units.select("set_id", "doc_id", "k", "line").join(known.join(keepers, "root").select("set_id", "keeper").hint("merge"), "set_id").filter(place != F.col("keeper"))
-    lost = lost.groupBy("k").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.min("keeper.doc_id").alias("of_lines"))
+    lost = units.select("set_id", "doc_id", "h", "line").join(known.join(keepers, "root").select("set_id", "keeper").hint("merge"), "set_id").filter(place != F.col("keeper"))
+    lost = lost.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.min("keeper.doc_id").alias("of_lines"))
 
     # Chains: with the earlier words around them.
-    beside = fetched.filter("set_id is null").select(F.col("k").alias("ok"), F.col("line").alias("oline"), "begin", "end", F.col("text").alias("words"))
-    laid = found.join(beside.hint("merge"), ["ok", "oline", "begin", "end"])
-    laid = laid.groupBy("k").agg(F.collect_set(F.struct("line", "a", "b", (F.col("oa") - F.col("begin")).alias("oa"), (F.col("ob") - F.col("begin")).alias("ob"), "words", "owner")).alias("chains"))
-    both = lost.join(laid, "k", "full")
+    beside = fetched.filter("set_id is null").select(F.col("doc_id").alias("owner"), F.col("h").alias("oh"), F.col("line").alias("oline"), "begin", "end", F.col("text").alias("words"))
+    laid = found.join(beside.hint("merge"), ["owner", "oh", "oline", "begin", "end"])
+    laid = laid.groupBy("doc_id", "h").agg(F.collect_set(F.struct("line", "a", "b", (F.col("oa") - F.col("begin")).alias("oa"), (F.col("ob") - F.col("begin")).alias("ob"), "words", "owner")).alias("chains"))
+    both = lost.join(laid, ["doc_id", "h"], "full")
 
     schema = "doc_id long, class_id long, n_lines long, n_removed long, chars_removed long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", text string" * keep_text
 
@@ -277,4 +284,4 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 rows.append((doc_id, owner, sum(WORD.search(x) is not None for x in every), len(spans), len(text) - len(kept), [{"start": x, "end": y} for x, y in spans], hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), *([kept] * keep_text)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.replace("<start:long,end:long>", "").split(", ")]).astype({"doc_id": "Int64", "class_id": "Int64"})
 
-    return texts.join(both.hint("merge"), "k", "left").select("doc_id", "text", "lines", "of_lines", "chains").mapInPandas(cut, schema)
+    return texts.join(both.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "text", "lines", "of_lines", "chains").mapInPandas(cut, schema)
