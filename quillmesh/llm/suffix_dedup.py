@@ -3,14 +3,14 @@
 Every 200-byte window has an anchor: the place in it where a 32-byte gram has the least hash, the leftmost among
 equals. Equal windows have equal anchors, so only suffixes at anchors are sorted (about one in eighty-five), and of
 those only suffixes whose gram occurs more than once. Splitters sampled from the texts deal the suffixes out into
-ranges of their leading bytes. In a range they are sorted by multikey quicksort on eight-byte characters, and the
-common prefixes of neighbours come from the sorted order. Splitters are whole grams, so suffixes that share the gram
-of a window are never on two sides of a boundary. A window that begins ``left`` bytes before its anchor repeats if
-another suffix of the same run with a common prefix of at least 200 - left bytes has the same ``left`` bytes before
-it (those are compared by 64-bit hashes).
-
-Anchors whose gram is so frequent that one range could outgrow a task go another exact way: the hashes of their
-windows are counted by a distributed aggregate.
+ranges of their leading bytes. A task reads its ranges in the order of their leading grams, a few whole grams at a
+time, sorts them by multikey quicksort on eight-byte characters, and takes the common prefixes of neighbours from the
+sorted order. Splitters are whole grams, so suffixes that share the gram of a window are never on two sides of a
+boundary. A window that begins ``left`` bytes before its anchor repeats if another suffix of the same run with a
+common prefix of at least 200 - left bytes has the same ``left`` bytes before it (found by hashes, compared by bytes).
+
+Anchors whose gram is so frequent that one gram could outgrow a task go another exact way: 128-bit hashes of their
+windows are counted by a distributed aggregate. Their joins are salted.
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.shared import publish
-from quillmesh.llm.text import mix, slices
+from quillmesh.llm.text import mix, slices, whole_groups
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
-#: Anchors of one gram from which on its windows are counted by hashes; suffixes in one range, about; sampled texts.
-FREQUENT, RANGE, SAMPLED = 100_000, 25_000, 2_000
+#: Anchors of one gram from which on its windows are counted by hashes; suffixes in one range, about, as long as there
+#: are no more than MOST_RANGES (then ranges grow; tasks read them in parts); sampled suffixes for each splitter.
+FREQUENT, RANGE, MOST_RANGES, SAMPLED = 100_000, 25_000, 20_000, 40
+#: Parts of a frequent gram's rows in a join, and the most frequent grams that are broadcast (8 bytes each, counted before).
+SALTS, BROADCAST_GRAMS = 64, 1 << 20
 PLACE_BITS = np.uint64(22)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,6 +152,10 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, count: np.ndarray,
             key = mix(hashed[mine] ^ mix(run[mine].astype(np.uint64)))
             by = np.argsort(key)
             same = key[by][1:] == key[by][:-1]
+            near = np.flatnonzero(same)
+            if n and len(near):
+                x, y = mine[by[near]], mine[by[near + 1]]
+                same[near] = (before[x, :n] == before[y, :n]).all(axis=1)
             again = np.zeros(len(mine), bool)
             again[by[1:]] |= same
             again[by[:-1]] |= same
@@ -170,7 +177,8 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    # Two hashes, 128 bits, name a row by its id and text.
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"), "text")
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
         for b in (part for batch in batches for part in slices(batch, 1 << 20)):
@@ -183,25 +191,32 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, raw in coded(batches):
             a = Anchors(raw)
-            yield pd.DataFrame({"gram": a.gram.view(np.int64), "h": b["h"].to_numpy()[a.row], "at": a.packed()})
+            yield pd.DataFrame({"gram": a.gram.view(np.int64), "h1": b["h1"].to_numpy()[a.row], "h2": b["h2"].to_numpy()[a.row], "at": a.packed()})
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, raw in coded(batches):
             a = Anchors(raw)
             yield pd.DataFrame({"lead": [raw[r][p : p + GRAM] for r, p in zip(a.row[::8], a.place[::8], strict=True)]})
 
-    times = docs.mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = docs.mapInPandas(anchors, "gram long, h long, at long").join(times.hint("merge"), "gram")
-    marked = marked.select("h", F.when(F.col("n") > frequent, F.col("at").bitwiseOR(F.lit(1 << 16))).otherwise(F.col("at")).alias("at"))
-    marks = publish(marked.groupBy("h").agg(F.collect_set("at").alias("marks")))
+    times = publish(docs.mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    often = times.filter(F.col("n") > frequent).select("gram", F.lit(True).alias("often"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_GRAMS else often.hint("merge")
+    salted = docs.mapInPandas(anchors, "gram long, h1 long, h2 long, at long").join(often, "gram", "left")
+    salted = salted.withColumn("salt", F.when(F.col("often"), F.pmod(F.hash("h1", "at"), F.lit(SALTS))).otherwise(0))
+    times = times.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > frequent, SALTS - 1).otherwise(0))))
+    marked = salted.join(times.hint("merge"), ["gram", "salt"])
+    marked = marked.select("h1", "h2", F.when(F.col("often"), F.col("at").bitwiseOR(F.lit(1 << 16))).otherwise(F.col("at")).alias("at"))
+    marks = publish(marked.groupBy("h1", "h2").agg(F.collect_set("at").alias("marks")))
     total = marks.agg(F.sum(F.size("marks")).alias("n"), F.max(F.exists("marks", lambda x: x.bitwiseAND(1 << 16) > 0)).alias("hot")).first()
-    ranges = max(1, round((total["n"] or 0) / RANGE))
+    ranges = min(MOST_RANGES, max(1, round((total["n"] or 0) / RANGE)))
     splitters: list[bytes] = []
     if ranges > 1:
-        share = min(1.0, SAMPLED / max(1, docs.count()))
-        seen = sorted(bytes(r["lead"]) for r in docs.sample(share, seed=3).mapInPandas(leading, "lead binary").limit(20 * SAMPLED).collect())
+        wanted = SAMPLED * ranges
+        share = min(1.0, 2 * wanted / max(1, total["n"] // 8))
+        leads = docs.sample(share, seed=3).mapInPandas(leading, "lead binary").orderBy(F.rand(5)).limit(wanted)
+        seen = sorted(bytes(r["lead"]) for r in leads.collect())
         splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
-    held = docs.join(marks.hint("merge"), "h").select("doc_id", "h", "text", "marks")
+    held = docs.join(marks.hint("merge"), ["h1", "h2"]).select("doc_id", "h1", "h2", "text", "marks")
 
     def contexts(b: pd.DataFrame, which: tuple[bool, ...]) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
         """Row, first window, bytes left of the anchor, windows, context and gram of the anchors that are frequent or not."""
@@ -232,19 +247,22 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = b["h"].to_numpy()
-            rows = [(*named(context, left, count), h[k], a) for k, a, left, count, context, _ in contexts(b, (False, True))]
-            yield pd.DataFrame(rows, columns=["d1", "d2", "h", "low"])
+            h1, h2 = b["h1"].to_numpy(), b["h2"].to_numpy()
+            rows = [(*named(context, left, count), h1[k], h2[k], a) for k, a, left, count, context, _ in contexts(b, (False, True))]
+            yield pd.DataFrame(rows, columns=["d1", "d2", "h1", "h2", "low"])
 
-    def sort(group: pd.DataFrame) -> pd.DataFrame:
-        times = group.groupby(["d1", "d2"], sort=False)["times"].transform("sum")
-        group = group.assign(times=times).drop_duplicates(["d1", "d2"])
-        runs = repeated_windows([bytes(c) for c in group["context"]], group["left"].to_numpy(np.int64), group["count"].to_numpy(np.int64), group["times"].to_numpy(np.int64))
-        return pd.DataFrame({"d1": group["d1"], "d2": group["d2"], "runs": runs})[[bool(r) for r in runs]]
+    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, ["lead"], 1 << 20):
+            times = part.groupby(["d1", "d2"], sort=False)["times"].transform("sum")
+            part = part.assign(times=times).drop_duplicates(["d1", "d2"])
+            runs = repeated_windows([bytes(c) for c in part["context"]], part["left"].to_numpy(np.int64), part["count"].to_numpy(np.int64), part["times"].to_numpy(np.int64))
+            yield pd.DataFrame({"d1": part["d1"], "d2": part["d2"], "runs": runs})[[bool(r) for r in runs]]
 
     # Equal contexts are one already where they are made; repeated rows of one document count twice in them.
     made = "range int, d1 long, d2 long, context binary, left int, count int, times long"
-    found = held.mapInPandas(send(False), made).groupBy("range").applyInPandas(sort, "d1 long, d2 long, runs array<int>")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 8)
+    dealt = held.mapInPandas(send(False), made).repartition(tasks, "range").withColumn("lead", F.expr(f"substring(context, `left` + 1, {GRAM})"))
+    found = dealt.sortWithinPartitions("range", "lead").mapInPandas(sort, "d1 long, d2 long, runs array<int>")
 
     if total["hot"]:
 
@@ -263,8 +281,8 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
         again = each.join(often.hint("merge"), ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_set("at").alias("at"))
         found = found.unionByName(again.select("d1", "d2", F.flatten(F.transform(F.array_sort("at"), lambda k: F.array(k, F.lit(1)))).alias("runs")))
 
-    where = held.mapInPandas(places, "d1 long, d2 long, h long, low long").join(found.hint("merge"), ["d1", "d2"]).select("h", "low", "runs")
-    spans = where.groupBy("h").agg(F.collect_set(F.struct("low", "runs")).alias("spans"))
+    where = held.mapInPandas(places, "d1 long, d2 long, h1 long, h2 long, low long").join(found.hint("merge"), ["d1", "d2"]).select("h1", "h2", "low", "runs")
+    spans = where.groupBy("h1", "h2").agg(F.collect_set(F.struct("low", "runs")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,4 +304,4 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select("doc_id", "h", "text").join(spans.hint("merge"), "h", "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
+    return docs.join(spans.hint("merge"), ["h1", "h2"], "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)

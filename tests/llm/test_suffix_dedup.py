@@ -53,6 +53,13 @@ def test_many_ranges(spark, monkeypatch):
     check(spark, corpus())
 
 
+def test_one_task_reads_ranges_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE", 20)
+    monkeypatch.setattr(S, "MOST_RANGES", 3)
+    monkeypatch.setattr(S, "BROADCAST_GRAMS", 0)
+    check(spark, corpus(), frequent=3)
+
+
 def test_empty_table(spark):
     assert S.drop_repeats(documents(spark, [])).count() == 0
 
