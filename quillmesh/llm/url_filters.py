@@ -1,24 +1,28 @@
 """URL filters: rules for hosts and paths, and block decisions that pass on to redirect and canonical-link aliases.
 
+Rules are a table. Each URL's host suffixes are joined to the rules' hosts, then its path's prefixes, of the lengths that
+those hosts have rules for, to the rules themselves; so the number of rules is not bounded by a plan or a task.
+
 Pages that redirect to each other or name each other as canonical are one document under several URLs. Connected
 components over those edges pass a block on to all its aliases; an explicit allow anywhere among them takes precedence.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
 from quillmesh.llm.shared import publish
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most rules; they are part of every task's plan.
-MOST_RULES = 10_000
+#: Rules up to this number are broadcast (after they are counted); more are merged by a shuffle.
+BROADCAST_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -54,16 +58,40 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit("")))
 
 
-def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule that fits (by host and path; the earlier one among equals) as a struct of name and verdict, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    out = F.lit(None).cast("struct<name:string,verdict:string>")
-    ordered = sorted(enumerate(rules), key=lambda x: (-len(x[1].name), x[0]))
-    for _, r in reversed(ordered):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
-    return out
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Rules as rows: verdict, host, path, place (the order among rules of equal length).
+
+    A DataFrame has verdict, host and path; allow goes before block there, then the lesser host. Rows with a null host
+    or path or another verdict fit nothing; repeated rules count once.
+    """
+    if isinstance(rules, DataFrame):
+        table = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path", F.lit(0).alias("place"))
+    else:
+        listed = json.dumps([{"verdict": r.verdict, "host": r.host, "path": r.path, "place": k} for k, r in enumerate(rules)])
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(listed), "array<struct<verdict:string,host:string,path:string,place:int>>")).alias("r")).select("r.*")
+    return table.filter("host is not null and path is not null and verdict in ('allow', 'block')").distinct()
+
+
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """A table of rules with the hint for its joins: broadcast only where its counted rows are few."""
+    return F.broadcast(table) if rows <= BROADCAST_RULES else table.hint("merge")
+
+
+def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, name and verdict of the longest rule that fits, for each distinct (host, path) that one fits."""
+    rules = publish(rules)
+    n = rules.count()
+    hosts = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    asked = urls.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    asked = asked.join(sized(hosts.withColumnRenamed("host", "suffix"), n), "suffix")
+    asked = asked.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda k: k <= F.length("path"))).alias("length"))
+    asked = asked.select("host", "path", "suffix", F.substring("path", F.lit(1), F.col("length")).alias("prefix"))
+    fits = asked.join(sized(rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "verdict", "place"), n), ["suffix", "prefix"])
+    name = F.concat("suffix", "prefix")
+    best = F.max(F.struct(F.length(name).alias("size"), (-F.col("place")).alias("place"), (F.col("verdict") == "allow").alias("allowed"), name.alias("name"), F.col("verdict").alias("verdict")))
+    return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.name", "best.verdict")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -93,29 +121,33 @@ def links_of(pages: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target"))
 
 
-def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Judge every page's URL; one row per input row: page_id, host, path, rule, verdict.
 
-    ``redirects`` (source, target) adds edges to those that the pages' HTML names. A page with a rule has its verdict.
-    Others: ``allow`` if an alias is explicitly allowed, else ``block`` if one is blocked, else ``allow``. A null URL or
-    one without ``://`` has an empty host and path and no aliases; null HTML names no links; a null page_id stays
-    null; repeated rows give repeated rows; an empty table gives none; other columns are not looked at.
+    ``rules`` are a sequence or a table of any size (see ``rule_table``). ``redirects`` (source, target) adds edges to
+    those that the pages' HTML names. A page with a rule has its verdict. Others: ``allow`` if an alias is explicitly
+    allowed, else ``block`` if one is blocked, else ``allow``. A null URL or one without ``://`` has an empty host and
+    path and no aliases; null HTML names no links; a null page_id stays null; repeated rows give repeated rows; an
+    empty table gives none; other columns are not looked at.
     """
     url = F.col("url")
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    base = base.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("node", F.xxhash64(node_of(url)))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     edges = links_of(pages.select("url", "html"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select("source", "target"))
-    edges = publish(edges.filter(F.col("target").contains("://")).select("source", "target", F.xxhash64(node_of(F.col("source"))).alias("u"), F.xxhash64(node_of(F.col("target"))).alias("v")))
-    roots = components(edges)
+    edges = edges.filter(F.col("source").contains("://") & F.col("target").contains("://")).select("source", "target", node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v"))
+    edges = publish(edges)
     # Targets that are no page of the table have rules of their own.
     ends = edges.select(F.col("u").alias("node"), F.col("source").alias("url")).unionAll(edges.select(F.col("v").alias("node"), F.col("target").alias("url")))
-    said = ends.select("node", matching_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("said")).filter("said is not null")
-    decided = said.join(roots, "node").groupBy("root").agg(F.min("said").alias("passed"))  # allow is before block
+    ends = ends.select("node", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
+    fits = publish(matching_rules(base.select("host", "path").unionAll(ends.select("host", "path")), rule_table(pages.sparkSession, rules)))
+    roots = components(edges)
+    said = ends.join(fits.hint("merge"), ["host", "path"]).select("node", "verdict")
+    decided = said.join(roots, "node").groupBy("root").agg(F.min("verdict").alias("passed"))  # allow is before block
     passed = roots.join(decided, "root").select("node", "passed")
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("host") != "", F.col("passed")), F.lit("allow"))
-    return base.join(passed, "node", "left").select("page_id", "host", "path", F.col("fit.name").alias("rule"), verdict.alias("verdict"))
+    judged = base.join(fits.withColumnRenamed("name", "rule").hint("merge"), ["host", "path"], "left").join(passed.hint("merge"), "node", "left")
+    verdict = F.coalesce(F.col("verdict"), F.when(F.col("host") != "", F.col("passed")), F.lit("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 # Rules and their order for SQL: longest first, so the first that fits wins.

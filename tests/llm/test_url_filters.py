@@ -57,3 +57,16 @@ def test_redirect_tables_relative_links_and_empty_tables(spark):
 def test_a_hub_of_aliases(spark):
     rows = [(k, f"https://m{k}.info/1", canonical("https://hub.info/")) for k in range(300)] + [(999, "https://hub.info/", canonical("https://z.com/en/"))]
     assert {r["verdict"] for r in U.judge_pages(pages(spark, rows)).collect()} == {"block"}
+
+
+def test_a_hundred_thousand_rules_in_a_table(spark, monkeypatch):
+    rules = spark.range(100_000).selectExpr("if(id % 3 = 0, 'allow', 'block') verdict", "concat('H', id % 50000, '.Com') host", "concat('/', id % 7, if(id >= 50000, '/x', '')) path", "id extra")
+    rules = rules.unionByName(spark.createDataFrame([("deny", "h1.com", "/", 1), ("block", None, "/", 1), ("block", "h1.com", None, 1), ("allow", "h7.com", "/q", 1), ("block", "h7.com", "/q", 1)], "verdict string, host string, path string, extra long"))
+    rows = [(1, "https://h1.com/1", ""), (2, "https://a.b.h3.com/3/x", ""), (3, "https://xh3.com/3", ""), (4, "https://h49999.com/5/x/y", ""), (5, "https://h7.com/q/1", ""), (6, "https://h1.com/2", "")]
+    for most in (10, 10**6):
+        monkeypatch.setattr(U, "BROADCAST_RULES", most)
+        found = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge_pages(pages(spark, rows), rules).collect()}
+        assert found[1] == ("h1.com/1", "block") and found[2] == ("h3.com/3", "allow") and found[3] == (None, "allow")
+        assert found[4] == ("h49999.com/5", "allow" if 49999 % 3 == 0 else "block") and found[5] == ("h7.com/q", "allow") and found[6] == (None, "allow")
+    many = [U.Rule("block", f"n{k}.org", "/") for k in range(3000)]
+    assert [r["rule"] for r in U.judge_pages(pages(spark, [(1, "http://x.n2999.org/1", None)]), many).collect()] == ["n2999.org/"]
