@@ -1,7 +1,7 @@
 """Media columns: ISO media containers, walked and described without decoding payloads.
 
-``describe`` walks nested boxes, decodes the sample tables of the first track and gives codec, duration and the byte
-ranges of keyframes. ``store`` makes such a container of any payload, as 8-bit audio samples.
+``describe`` walks nested boxes, decodes each track's own sample tables and its fragments' runs, and gives codec, duration
+and the byte ranges of keyframes of every track. ``store`` makes such a container of any payload, as 8-bit audio samples.
 """
 
 from __future__ import annotations
@@ -81,6 +81,7 @@ def store(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -127,49 +128,163 @@ def numbers(data: bytes, at: int, stop: int, count: int, kind: str) -> np.ndarra
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
-def probe(data: bytes) -> Track:
-    """The first track of a container: its header and sample tables; Malformed where they don't fit together."""
-    track, tables = Track(), {}
+def compact(data: bytes, at: int, stop: int, count: int, bits: int) -> np.ndarray:
+    """Sizes of a compact table: 4, 8 or 16 bits each."""
+    if bits == 4:
+        pairs = numbers(data, at, stop, -(-count // 2), "u1")
+        return np.column_stack([pairs >> 4, pairs & 15]).ravel()[:count]
+    if bits not in (8, 16):
+        raise Malformed(f"sizes of {bits} bits")
+    return numbers(data, at, stop, count, f">u{bits // 8}")
+
+
+def sampled(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
+    """A track from the boxes of its own ``trak``."""
+    track = Track()
+    at, stop = tables[b"mdhd"]
+    track.timescale, track.duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+    if b"tkhd" in tables:
+        at, _ = tables[b"tkhd"]
+        track.number = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
+    at, stop = tables[b"stsd"]
+    track.codec = data[at + 12 : at + 16].decode("latin-1")
+    if b"stsz" in tables:
+        at, stop = tables[b"stsz"]
+        same, count = struct.unpack_from(">II", data, at + 4)
+        if same and count * same > len(data):
+            raise Malformed("the samples don't fit")
+        track.sizes = np.full(count, same, np.int64) if same else numbers(data, at + 12, stop, count, ">u4")
+    elif b"stz2" in tables:
+        at, stop = tables[b"stz2"]
+        bits, count = struct.unpack_from(">xxxBI", data, at + 4)
+        track.sizes = compact(data, at + 12, stop, count, bits)
+    wide = b"co64" in tables
+    at, stop = tables[b"co64" if wide else b"stco"]
+    chunk = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u8" if wide else ">u4")
+    at, stop = tables[b"stsc"]
+    runs = numbers(data, at + 8, stop, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
+    reach = np.diff(np.append(runs[:, 0], len(chunk) + 1))
+    if len(runs) and (runs[0, 0] != 1 or (reach < 0).any()) or (runs[:, 1] * reach).sum() != len(track.sizes):
+        raise Malformed("chunks and samples don't agree")
+    per = np.repeat(runs[:, 1], reach)
+    first = np.cumsum(per) - per
+    before = np.cumsum(track.sizes) - track.sizes
+    track.offsets = np.repeat(chunk, per) + before - np.repeat(before[np.minimum(first, len(before) - 1)], per) if len(before) else before
+    if len(before) and (track.offsets + track.sizes).max() > len(data):
+        raise Malformed("a sample lies outside the file")
+    if b"stss" in tables:
+        at, stop = tables[b"stss"]
+        track.keys = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
+        if len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < len(track.sizes):
+            raise Malformed("a keyframe isn't among the samples")
+    else:
+        track.keys = np.arange(len(track.sizes))
+    return track
+
+
+#: Flags of fragment headers and runs, of samples that are no keyframes, and the order of a run's optional fields.
+BASE_GIVEN, DESCRIPTION_GIVEN, DURATION_GIVEN, SIZE_GIVEN, FLAGS_GIVEN = 0x1, 0x2, 0x8, 0x10, 0x20
+OFFSET_IN_RUN, FIRST_FLAGS_IN_RUN, RUN_FIELDS = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+NO_KEY = 0x10000
+
+
+class Fragments:
+    """Samples that movie fragments add to the tracks."""
+
+    def __init__(self, data: bytes, tracks: list[Track], defaults: dict[int, tuple[int, int, int]]):
+        self.data, self.defaults = data, defaults
+        self.tracks = {t.number: t for t in reversed(tracks)}
+        self.start = self.next = self.base = 0
+        self.now: Track | None = None
+        self.usual = (0, 0, 0)
+
+    def header(self, at: int) -> None:
+        """A track fragment's header: its track, base offset and defaults."""
+        flags, number = struct.unpack_from(">II", self.data, at)
+        flags &= 0xFFFFFF
+        at += 8
+        self.now = self.tracks.get(number)
+        self.base, usual = self.start, list(self.defaults.get(number, (0, 0, 0)))
+        if flags & BASE_GIVEN:
+            self.base, at = struct.unpack_from(">Q", self.data, at)[0], at + 8
+        at += 4 * bool(flags & DESCRIPTION_GIVEN)
+        for k, bit in enumerate((DURATION_GIVEN, SIZE_GIVEN, FLAGS_GIVEN)):
+            if flags & bit:
+                usual[k], at = struct.unpack_from(">I", self.data, at)[0], at + 4
+        self.usual, self.next = (usual[0], usual[1], usual[2]), self.base
+
+    def run(self, at: int, stop: int) -> None:
+        """A run of samples, which follow each other in the file."""
+        if self.now is None:
+            return
+        flags, count = struct.unpack_from(">II", self.data, at)
+        flags &= 0xFFFFFF
+        at += 8
+        begin = self.next
+        if flags & OFFSET_IN_RUN:
+            begin, at = self.base + struct.unpack_from(">i", self.data, at)[0], at + 4
+        first = None
+        if flags & FIRST_FLAGS_IN_RUN:
+            first, at = struct.unpack_from(">I", self.data, at)[0], at + 4
+        given = [bit for bit in RUN_FIELDS if flags & bit]
+        if not given and count * max(1, self.usual[1]) > len(self.data):
+            raise Malformed("the samples don't fit")
+        rows = numbers(self.data, at, stop, count * len(given), ">u4").reshape(count, len(given))
+
+        def column(k: int) -> np.ndarray:
+            return rows[:, given.index(RUN_FIELDS[k])] if RUN_FIELDS[k] in given else np.full(count, self.usual[k], np.int64)
+
+        sizes, marks = column(1), column(2).copy()
+        if first is not None and count:
+            marks[0] = first
+        offsets = begin + np.cumsum(sizes) - sizes
+        self.next = int(begin + sizes.sum())
+        if count and not 0 <= begin <= self.next <= len(self.data):
+            raise Malformed("a sample lies outside the file")
+        t = self.now
+        t.keys = np.append(t.keys, len(t.sizes) + np.flatnonzero(marks & NO_KEY == 0))
+        t.sizes, t.offsets = np.append(t.sizes, sizes), np.append(t.offsets, offsets)
+        t.duration += int(column(0).sum())
+
+
+def tracks(data: bytes) -> list[Track]:
+    """All tracks of a container, each from its own boxes, then its fragments; Malformed where they don't fit together.
+
+    Tracks without sample tables (as such of a reserved kind) are left out.
+    """
+    scopes: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    parts: list[tuple[bytes, int, int]] = []
     for path, at, stop in walk(data):
-        if path[0] == b"moov" and path[-1] not in tables:
-            tables[path[-1]] = (at, stop)
-    if b"stbl" not in tables or not {b"stsd", b"mdhd", b"stsc"} <= tables.keys():
-        raise Malformed("there is no sample table")
+        if path == (b"moov", b"trak"):
+            scopes.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            scopes[-1].setdefault(path[-1], (at, stop))
+        elif path == (b"moov", b"mvex", b"trex") and stop - at >= 24:
+            number, _, *usual = struct.unpack_from(">5I", data, at + 4)
+            defaults[number] = (usual[0], usual[1], usual[2])
+        elif path[0] == b"moof":
+            parts.append((path[-1], at, stop))
     try:
-        at, stop = tables[b"mdhd"]
-        track.timescale, track.duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
-        at, stop = tables[b"stsd"]
-        track.codec = data[at + 12 : at + 16].decode("latin-1")
-        if b"stsz" in tables:
-            at, stop = tables[b"stsz"]
-            same, count = struct.unpack_from(">II", data, at + 4)
-            if same and count * same > len(data):
-                raise Malformed("the samples don't fit")
-            track.sizes = np.full(count, same, np.int64) if same else numbers(data, at + 12, stop, count, ">u4")
-        wide = b"co64" in tables
-        at, stop = tables[b"co64" if wide else b"stco"]
-        chunk = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u8" if wide else ">u4")
-        at, stop = tables[b"stsc"]
-        runs = numbers(data, at + 8, stop, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
-        reach = np.diff(np.append(runs[:, 0], len(chunk) + 1))
-        if len(runs) and (runs[0, 0] != 1 or (reach < 0).any()) or (runs[:, 1] * reach).sum() != len(track.sizes):
-            raise Malformed("chunks and samples don't agree")
-        per = np.repeat(runs[:, 1], reach)
-        first = np.cumsum(per) - per
-        before = np.cumsum(track.sizes) - track.sizes
-        track.offsets = np.repeat(chunk, per) + before - np.repeat(before[np.minimum(first, len(before) - 1)], per) if len(before) else before
-        if len(before) and (track.offsets + track.sizes).max() > len(data):
-            raise Malformed("a sample lies outside the file")
-        if b"stss" in tables:
-            at, stop = tables[b"stss"]
-            track.keys = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
-            if len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < len(track.sizes):
-                raise Malformed("a keyframe isn't among the samples")
-        else:
-            track.keys = np.arange(len(track.sizes))
+        found = [sampled(data, x) for x in scopes if {b"stbl", b"stsd", b"mdhd", b"stsc"} <= x.keys()]
+        if not found:
+            raise Malformed("there is no sample table")
+        fragments = Fragments(data, found, defaults)
+        for kind, at, stop in parts:
+            if kind == b"moof":
+                fragments.start = at - (8 if data[at - 4 : at] == b"moof" else 16)
+            elif kind == b"tfhd":
+                fragments.header(at)
+            elif kind == b"trun":
+                fragments.run(at, stop)
     except (struct.error, KeyError) as e:
         raise Malformed(f"a table is missing or cut off: {e}") from e
-    return track
+    return found
+
+
+def probe(data: bytes) -> Track:
+    """The first track of a container."""
+    return tracks(data)[0]
 
 
 def read_back(data: bytes, track: Track) -> bytes:
@@ -183,11 +298,16 @@ def read_back(data: bytes, track: Track) -> bytes:
 
 
 def describe(table: DataFrame, media: str = "media") -> DataFrame:
-    """All columns of ``table`` and media_codec, media_seconds, media_samples, media_keyframes (byte ranges, end exclusive) and media_error.
+    """All columns of ``table`` and media_codec, media_seconds, media_samples, media_keyframes (byte ranges, end exclusive) of the
+    first track, media_tracks (the same of every track) and media_error.
 
     A null or malformed container has null columns and the reason in media_error; a column of such a name is replaced.
     """
-    made = "struct<codec:string,seconds:double,samples:long,keyframes:array<struct<start:long,end:long>>,error:string>"
+    one = "codec:string,seconds:double,samples:long,keyframes:array<struct<start:long,end:long>>"
+    made = f"struct<{one},tracks:array<struct<{one}>>,error:string>"
+
+    def fields(t: Track) -> dict:
+        return {"codec": t.codec, "seconds": t.duration / t.timescale if t.timescale else None, "samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in t.key_ranges()]}
 
     @F.pandas_udf(made)
     def look(values: pd.Series) -> pd.DataFrame:
@@ -196,13 +316,13 @@ def describe(table: DataFrame, media: str = "media") -> DataFrame:
             try:
                 if data is None:
                     raise Malformed("null")
-                t = probe(bytes(data))
-                rows.append((t.codec, t.duration / t.timescale if t.timescale else None, len(t.sizes), [{"start": a, "end": b} for a, b in t.key_ranges()], None))
+                every = [fields(t) for t in tracks(bytes(data))]
+                rows.append((*every[0].values(), every, None))
             except Malformed as e:
-                rows.append((None, None, None, None, str(e)))
-        return pd.DataFrame(rows, columns=["codec", "seconds", "samples", "keyframes", "error"]).astype({"samples": "Int64"})
+                rows.append((None, None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["codec", "seconds", "samples", "keyframes", "tracks", "error"]).astype({"samples": "Int64"})
 
-    names = ("codec", "seconds", "samples", "keyframes", "error")
+    names = ("codec", "seconds", "samples", "keyframes", "tracks", "error")
     found = table.withColumn("media_", look(F.col(media)))
     return found.withColumns({f"media_{n}": F.col(f"media_.{n}") for n in names}).drop("media_")
 

@@ -82,6 +82,7 @@ def test_columns_of_a_table_of_containers(spark):
     rows = [(1, bytearray(M.store(b"y" * 20 * M.UNIT)), "kept"), (2, bytearray(b"junk"), "kept"), (3, None, None)]
     found = {r["id"]: r for r in M.describe(spark.createDataFrame(rows, "id long, media binary, media_codec string")).collect()}
     assert found[1]["media_codec"] == "raw " and len(found[1]["media_keyframes"]) == 3 and found[1]["media_error"] is None
+    assert [x["codec"] for x in found[1]["media_tracks"]] == ["raw "] and found[2]["media_tracks"] is None
     assert found[2]["media_codec"] is None and found[2]["media_error"] and found[3]["media_error"] == "null"
 
 
@@ -90,3 +91,44 @@ def test_only_whole_units_are_stored():
         with pytest.raises(ValueError):
             M.store(bad)
     assert np.dtype(">u4").itemsize == 4
+
+
+def trak(number, codec, sizes, at, keys=None, narrow=False):
+    table = M.full(b"stz2", 0, struct.pack(">xxxBI", 4, len(sizes)), bytes((a << 4) | b for a, b in zip(sizes[::2], [*sizes[1::2], 0], strict=False)))
+    if not narrow:
+        table = M.full(b"stsz", 0, struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes))
+    parts = [M.full(b"stsd", 0, struct.pack(">I", 1), M.box(codec, bytes(78))), table, M.full(b"stsc", 0, struct.pack(">I3I", 1, 1, len(sizes), 1) if sizes else bytes(4)), M.full(b"stco", 0, struct.pack(">II", 1, at) if sizes else bytes(4))]
+    if keys is not None:
+        parts.append(M.full(b"stss", 0, struct.pack(f">I{len(keys)}I", len(keys), *keys)))
+    head = M.full(b"tkhd", 7, struct.pack(">IIIII", 0, 0, number, 0, 0))
+    return M.box(b"trak", head, M.box(b"mdia", M.full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 1000, 500 * number, 0, 0)), M.box(b"minf", M.box(b"stbl", *parts))))
+
+
+def test_each_track_has_its_own_tables():
+    payload = b"aabbbccccdde"
+
+    def movie(at):
+        return M.box(b"moov", trak(1, b"mp4a", [2, 3, 4], at), trak(2, b"avc1", [2, 1], at + 9, [2], narrow=True))
+
+    data = movie(len(movie(0)) + 8) + M.box(b"mdat", payload)
+    first, second = M.tracks(data)
+    assert (first.codec, first.duration, len(first.keys)) == ("mp4a", 500, 3)  # no stss of its own: all are keyframes
+    assert (second.codec, second.number, second.sizes.tolist()) == ("avc1", 2, [2, 1])
+    assert [data[a:b] for a, b in second.key_ranges()] == [b"e"] and M.read_back(data, second) == b"dde"
+    assert M.read_back(data, M.probe(data)) == b"aabbbcccc"
+
+
+def test_fragments_add_samples_to_their_tracks():
+    trex = M.full(b"trex", 0, struct.pack(">5I", 1, 1, 10, 3, M.NO_KEY))
+    moov = M.box(b"moov", trak(1, b"avc1", [], 0), M.box(b"mvex", trex))
+
+    def moof(offset):
+        runs = M.full(b"trun", M.OFFSET_IN_RUN | M.FIRST_FLAGS_IN_RUN, struct.pack(">IiI", 2, offset, 0)), M.full(b"trun", 0x200 | 0x400, struct.pack(">I4I", 2, 1, M.NO_KEY, 2, 0))
+        return M.box(b"moof", M.full(b"mfhd", 0, struct.pack(">I", 1)), M.box(b"traf", M.full(b"tfhd", 0x20000, struct.pack(">I", 1)), *runs))
+
+    data = moov + moof(len(moof(0)) + 8) + M.box(b"mdat", b"abcdefghi")
+    track = M.probe(data)
+    assert M.read_back(data, track) == b"abcdefghi" and track.sizes.tolist() == [3, 3, 1, 2] and track.duration == 500 + 40
+    assert [data[a:b] for a, b in track.key_ranges()] == [b"abc", b"hi"]
+    with pytest.raises(M.Malformed):
+        M.tracks(data[:-1])
