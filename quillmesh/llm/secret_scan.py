@@ -6,7 +6,9 @@ decoding confirms them:
 * ``token``: three base64url parts, the first two JSON objects, the first naming an ``alg``;
 * ``key``: base64 or hex that decodes to DER whose nested lengths fill it exactly and which has the fields of a
   PKCS#1, PKCS#8 or SEC 1 private key, or to an OpenSSH private key container with sound lengths;
-* ``pem``: a PEM block of a private key whose body decodes to such an encoding (or to an encrypted one).
+* ``pem``: a PEM block of a private key whose body decodes to such an encoding or to an encrypted PKCS#8 one; one with a
+  cipher named in its headers, an initial vector of that cipher's length and a body of whole cipher blocks; or an
+  OpenPGP block whose packets fill it exactly, begin with a secret key, and agree with its checksum where it has one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,12 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{43,}={0,2}")
 HEX_PAIRS = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+HEADER = re.compile(r"([A-Za-z][A-Za-z-]*): *(.*)")
+CIPHER = re.compile(r"(AES-(?:128|192|256)-CBC|DES-EDE3-CBC|DES-CBC),([0-9A-Fa-f]+)")
 OPENSSH = b"openssh-key-v1\0"
+# Fixed values of OpenPGP: the secret-key packet's tag, key versions, public-key algorithms, the checksum's start and polynomial.
+SECRET_KEY, VERSIONS, ALGORITHMS = 5, {3, 4, 5, 6}, {1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28}
+CRC_START, CRC_POLYNOMIAL = 0xB704CE, 0x1864CFB
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
 
 
@@ -73,10 +80,91 @@ def is_private_der(data: bytes) -> bool:
 
 
 def is_encrypted_der(data: bytes) -> bool:
-    """PKCS#8 with encryption: an algorithm and octets."""
+    """PKCS#8 with encryption: an algorithm, named by an object id, and octets."""
     top = der_items(data, 0, len(data)) if data[:1] == b"\x30" else None
     fields = der_items(data, *top[0][1:]) if top and len(top) == 1 else None
-    return bool(fields) and [t for t, _, _ in fields] == [SEQUENCE, OCTETS]
+    if not fields or [t for t, _, _ in fields] != [SEQUENCE, OCTETS] or fields[1][1] == fields[1][2]:
+        return False
+    algorithm = der_items(data, *fields[0][1:])
+    return bool(algorithm) and algorithm[0][0] == OBJECT_ID
+
+
+def pgp_packets(data: bytes) -> list[tuple[int, int, int]] | None:
+    """Tags and body bounds of the OpenPGP packets that fill the bytes exactly; None if their lengths don't."""
+    out, at = [], 0
+    while at < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80 or at >= len(data):
+            return None
+        if head & 0x40:
+            tag, first, at = head & 0x3F, data[at], at + 1
+            if first < 192:
+                size, more = first, 0
+            elif first < 224:
+                size, more = (first - 192 << 8) + 192, 1
+            elif first == 255:
+                size, more = 0, 4
+            else:
+                return None  # keys have no partial lengths
+        else:
+            tag, size, more = head >> 2 & 15, 0, (1, 2, 4, 0)[head & 3]
+            if not more:
+                return None
+        if at + more > len(data):
+            return None
+        size, at = size + int.from_bytes(data[at : at + more], "big"), at + more
+        if at + size > len(data):
+            return None
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+def crc24(data: bytes) -> int:
+    crc = CRC_START
+    for x in data:
+        crc ^= x << 16
+        for _ in range(8):
+            crc = crc << 1 ^ (CRC_POLYNOMIAL if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def is_pgp_secret(data: bytes, checksum: bytes | None) -> bool:
+    packets = pgp_packets(data)
+    if not packets or packets[0][0] != SECRET_KEY:
+        return False
+    _, a, b = packets[0]
+    # Version, time of creation (and days of validity in version 3), algorithm, then the key's numbers.
+    if b - a < 16 or data[a] not in VERSIONS or data[a + (7 if data[a] == 3 else 5)] not in ALGORITHMS:
+        return False
+    return checksum is None or crc24(data).to_bytes(3, "big") == checksum
+
+
+def is_sealed(headers: dict[str, str], data: bytes) -> bool:
+    """Whether an encrypted block's headers name a cipher with a whole initial vector and the body is whole blocks."""
+    cipher = CIPHER.fullmatch(headers.get("dek-info", "").strip())
+    if headers.get("proc-type", "").replace(" ", "") != "4,ENCRYPTED" or not cipher:
+        return False
+    block = 16 if cipher[1].startswith("AES") else 8
+    return len(cipher[2]) == 2 * block and len(data) >= 64 and len(data) % block == 0
+
+
+def is_private_block(label: str, body: str) -> bool:
+    """Whether what stands between a block's marks is a private key."""
+    headers, lines, checksum = {}, [], None
+    for line in filter(None, map(str.strip, body.splitlines())):
+        if not lines and (m := HEADER.fullmatch(line)):
+            headers[m[1].lower()] = m[2]
+        elif line.startswith("=") and len(line) == 5:
+            checksum = from_base64(line[1:])
+        else:
+            lines.append(line)
+    data = from_base64("".join("".join(lines).split()))
+    if not data:
+        return False
+    if label.endswith("BLOCK"):
+        return is_pgp_secret(data, checksum)
+    return is_sealed(headers, data) if "proc-type" in headers else is_key(data) or is_encrypted_der(data)
 
 
 def is_openssh_private(data: bytes) -> bool:
@@ -142,9 +230,7 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
             stop = text.find("-----", m.end())
             if stop < 0 or not text.startswith(mark, stop):
                 continue
-            lines = [x for x in text[m.end() : stop].split() if x and ":" not in x and "," not in x]
-            data = from_base64("".join(lines))
-            if data is not None and (is_key(data) or is_encrypted_der(data) or "BLOCK" in m.group(1) or "Proc-Type:" in text[m.end() : stop]):
+            if is_private_block(m.group(1), text[m.end() : stop]):
                 out.append((m.start(), 5, stop + len(mark)))
     return sorted(out)
 

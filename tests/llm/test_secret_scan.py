@@ -58,6 +58,46 @@ def test_structures_are_confirmed_by_decoding():
     assert kinds("-----BEGIN PRIVATE KEY-----" * 1000) == []
 
 
+def packet(tag, body, old=False):
+    if old:
+        return bytes([0x80 | tag << 2 | 1]) + len(body).to_bytes(2, "big") + body
+    size = bytes([len(body)]) if len(body) < 192 else bytes([(len(body) - 192 >> 8) + 192, (len(body) - 192) & 255])
+    return bytes([0xC0 | tag]) + size + body
+
+
+def block(label, *lines):
+    return "\n".join([f"-----BEGIN {label}-----", *lines, f"-----END {label}-----"])
+
+
+def test_openpgp_blocks_are_confirmed_by_their_packets():
+    secret = packet(5, b"\x04\x60\x00\x00\x00\x01" + bytes(range(240)) * 2) + packet(13, b"somebody")
+    for data in (secret, packet(5, b"\x04\x60\x00\x00\x00\x16" + bytes(range(150)), old=True)):
+        coded = base64.b64encode(data).decode()
+        check = "=" + base64.b64encode(S.crc24(data).to_bytes(3, "big")).decode()
+        lines = [coded[k : k + 64] for k in range(0, len(coded), 64)]
+        for body in (lines, [*lines, check], ["Version: GnuPG v2", "Comment: by hand, once", "", *lines, check]):
+            assert "pem" in kinds(block("PGP PRIVATE KEY BLOCK", *body))
+        for body in ([*lines, "=AAAA"], lines[:-1], ["hello world"], ["aGVsbG8gd29ybGQ="]):
+            assert "pem" not in kinds(block("PGP PRIVATE KEY BLOCK", *body))
+    public = base64.b64encode(packet(6, b"\x04\x60\x00\x00\x00\x01" + bytes(200))).decode()
+    assert "pem" not in kinds(block("PGP PRIVATE KEY BLOCK", public))
+    assert S.crc24(b"") == 0xB704CE and S.crc24(b"123456789") == 0x21CF02
+
+
+def test_encrypted_blocks_are_confirmed_by_cipher_vector_and_length():
+    body = base64.b64encode(bytes(range(160))).decode()
+    aes, des = "DEK-Info: AES-128-CBC," + "0A" * 16, "DEK-Info: DES-EDE3-CBC," + "1f" * 8
+    label, head = "RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED"
+    for good in ([head, aes, "", body[:100], body[100:]], [head, des, "", body]):
+        assert "pem" in kinds(block(label, *good))
+    short, odd = base64.b64encode(bytes(48)).decode(), base64.b64encode(bytes(161)).decode()
+    for bad in ([head, "", "this is plain prose"], [head, "", body], [aes, "", body], [head, aes[:-2], "", body], [head, "DEK-Info: ROT-13,00", body], [head, aes, short], [head, aes, odd]):
+        assert "pem" not in kinds(block(label, *bad))
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, bytes(64)))
+    assert "pem" in kinds(block("ENCRYPTED PRIVATE KEY", base64.b64encode(sealed).decode()))
+    assert "pem" not in kinds(block("ENCRYPTED PRIVATE KEY", base64.b64encode(der(0x30, der(0x30, der(5, b"")) + der(4, bytes(64)))).decode()))
+
+
 def brute(text):
     """The contract's patterns as it states them."""
     rules = [
