@@ -1,14 +1,14 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the words around them.
 
 Every n-gram of a test item is a seed, so that any copy which keeps GRAM words in a row, whole, partial or edited, is
-aligned, whatever other documents hold. One pass looks the seeds up in every document, opens a window of words around
+aligned, whatever other documents hold. Items of fewer words have no such seed and are found only as they are. One pass looks the seeds up in every document, opens a window of words around
 each group of hits on near diagonals, and aligns the whole item with the window. No text is shuffled; items are taken
 in blocks of a bounded number of n-grams, so what each task holds doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.shared import publish
 from quillmesh.llm.text import Words, grams, slices, words_of
 
 GRAM = 3
@@ -69,11 +70,42 @@ class Items:
         keep = long[owner] if len(owner) else np.zeros(0, bool)
         gram, owner = values[keep], owner[keep]
         place = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds)))[keep] if len(keep) else owner
+        # Shorter items: their one gram, by number of words.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, GRAM):
+            mine = np.flatnonzero(np.diff(self.words.first) == n)
+            if len(mine):
+                whole = values[bounds[mine]]
+                by = np.argsort(whole, kind="stable")
+                self.short[n] = whole[by], mine[by]
         order = np.argsort(gram, kind="stable")
         self.seed, self.seed_owner, self.seed_place = gram[order], owner[order], place[order]
 
-    def search(self, w: Words) -> pd.DataFrame:
-        """Alignments of at least the threshold: text, item, score, first and end word; the best of each pair."""
+    def search(self, w: Words, short: bool = True) -> pd.DataFrame:
+        """Alignments of at least the threshold: text, item, score, first and end word; the best of each pair.
+
+        ``short`` looks for whole copies of items of fewer than GRAM words too.
+        """
+        found = [self.aligned(w), *(self.copies(w, n) for n in self.short if short)]
+        found = [f for f in found if len(f)]
+        if not found:
+            return pd.DataFrame({"row": [], "item": [], "score": [], "start_word": [], "end_word": []})
+        got = pd.concat(found).sort_values(["row", "item", "score", "start_word"], ascending=[True, True, False, True])
+        return got.drop_duplicates(["row", "item"])
+
+    def copies(self, w: Words, n: int) -> pd.DataFrame:
+        """Where the items of ``n`` words stand as they are."""
+        values, bounds = grams(w, n)
+        seed, owner = self.short[n]
+        left, right = np.searchsorted(seed, values, "left"), np.searchsorted(seed, values, "right")
+        times = right - left
+        at = np.repeat(np.arange(len(values)), times)
+        item = owner[np.repeat(left, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        row = np.searchsorted(bounds, at, "right") - 1
+        return pd.DataFrame({"row": row, "item": self.ids[item], "score": 1.0, "start_word": at - bounds[row], "end_word": at - bounds[row] + n})
+
+    def aligned(self, w: Words) -> pd.DataFrame:
+        """Alignments around seeds; a pair may have several."""
         none = pd.DataFrame({"row": [], "item": [], "score": [], "start_word": [], "end_word": []})
         values, bounds = grams(w, GRAM)
         left = np.searchsorted(self.seed, values, "left")
@@ -118,10 +150,7 @@ class Items:
             back_b = padded(w.hash[::-1], len(w.hash) - (w.first[row[part]] + low[part] + end), end, 1)
             span = align(back_a, back_b)[1]
             out.append(pd.DataFrame({"row": row[part], "item": self.ids[item[part]], "score": best / (MATCH * size[part]), "start_word": low[part] + end - span, "end_word": low[part] + end}))
-        if not out:
-            return none
-        got = pd.concat(out).sort_values(["row", "item", "score", "start_word"], ascending=[True, True, False, True])
-        return got.drop_duplicates(["row", "item"])
+        return pd.concat(out) if out else none
 
 
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[Items]:
@@ -144,8 +173,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
     Columns: doc_id, item_id, score (of the perfect copy's alignment score, THRESHOLD or more), start_word and
     end_word (bare words of the document, end exclusive; the best alignment, the first among equals). Null or empty
-    texts match nothing; items of fewer than GRAM words or with a null id match nothing, nor do copies without GRAM words in a row; equal items each match;
-    repeated documents each give rows; a null doc_id stays null. Other columns are not looked at.
+    texts match nothing; items with a null id match nothing, nor do copies without GRAM words in a row; items of fewer
+    words match where they stand as they are, with a score of 1; equal items each match; repeated documents each give
+    rows; a null doc_id stays null. Other columns are not looked at. Where the items need several blocks, each block's
+    pass is published before the next one begins.
     """
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -160,26 +191,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
 
         return docs.mapInPandas(search, schema)
 
-    out = []
-    for block in blocks(items, block_bytes):
-        out.append(leaks(block))
-    return reduce(DataFrame.unionAll, out) if out else docs.sparkSession.createDataFrame([], schema)
+    held = list(pairs_of(blocks(items, block_bytes), leaks))
+    return reduce(DataFrame.unionAll, held) if held else docs.sparkSession.createDataFrame([], schema)
+
+
+def pairs_of(every: Iterator[Items], run: Callable[[Items], DataFrame]) -> Iterator[DataFrame]:
+    """Results of each block; all but an only one published, so that no plan holds more than one block."""
+    block, only = next(every, None), True
+    while block is not None:
+        after = next(every, None)
+        only = only and after is None
+        yield run(block) if only else publish(run(block))
+        block = after
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows, with all their columns, whose text holds no copy of a test item."""
+    """The rows, with all their columns, whose text holds no copy of a test item.
+
+    Items of fewer than GRAM words reject nothing here: that a text holds a word like "yes" doesn't make it a leak.
+    """
 
     def kept(block: Items, rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in (part for batch in batches for part in slices(batch)):
-                found = block.search(words_of(b["text"], bare=True))
+                found = block.search(words_of(b["text"], bare=True), short=False)
                 clean = np.ones(len(b), bool)
                 clean[found["row"].to_numpy(np.int64)] = False
                 yield b[clean]
 
         return rows.mapInPandas(run, rows.schema)
 
-    out = docs
+    out, begun = docs, False
     for block in blocks(items, block_bytes):
-        out = kept(block, out)
+        out = kept(block, publish(out) if begun else out)
+        begun = True
     return out

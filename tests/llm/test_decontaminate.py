@@ -19,7 +19,7 @@ def pairs(df):
 
 
 def test_copies_are_found_and_clean_texts_are_left(spark):
-    bench = [(k, prose(30, 100 + k)) for k in range(20)] + [(90, "one two"), (91, None), (92, ""), (93, prose(30, 100)), (None, prose(30, 105))]
+    bench = [(k, prose(30, 100 + k)) for k in range(20)] + [(90, "onetwo"), (91, None), (92, ""), (93, prose(30, 100)), (None, prose(30, 105))]
     rows = [(k, prose(200, 300 + k)) for k in range(30)]
     rows += [(50, f"{prose(40, 1)} {bench[0][1]} {prose(40, 2)}"), (51, f"{prose(90, 3)} {edited(bench[1][1], 6)}"), (52, bench[2][1].upper().replace(" ", ",  ")), (53, bench[3][1] + "\n" + bench[4][1])]
     rows += [(54, None), (55, ""), (None, bench[5][1]), (56, bench[6][1]), (56, bench[6][1]), (57, prose(8000, 4) + " " + bench[7][1] + " " + prose(8000, 5)), (58, " ".join(bench[8][1].split()[:10]))]
@@ -52,6 +52,37 @@ def test_lone_half_copies_and_lone_edited_copies_are_found(spark):
     assert D.drop_leaks(documents(spark, rows), items(spark, bench)).count() == 0
 
 
+def test_short_items_are_found_as_they_are(spark):
+    bench = [(1, "Zebra!"), (2, "zebra crossing"), (3, "crossing zebra stripes again"), (4, "..."), (5, prose(30, 700))]
+    rows = [(1, "a zebra, crossing"), (2, "zebras cross"), (3, "crossing zebra"), (4, "crossing zebra stripes again")]
+    found = D.find_leaks(documents(spark, rows), items(spark, bench))
+    assert pairs(found) == {(1, 1), (1, 2), (3, 1), (4, 1), (4, 3)}
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in found.collect()}
+    assert got[1, 2] == (1.0, 1, 3) and got[3, 1] == (1.0, 1, 2)
+    assert sorted(map(str, D.find_leaks(documents(spark, rows), items(spark, bench), block_bytes=1).collect())) == sorted(map(str, found.collect()))
+    assert {r["doc_id"] for r in D.drop_leaks(documents(spark, rows), items(spark, bench), block_bytes=1).collect()} == {1, 2, 3}
+
+
+def test_recall_and_scores_against_brute_force(spark):
+    # Every k-th word of a copy is another one; all pairs are aligned by the full table.
+    bench = [(k, prose(24 + k, 800 + k)) for k in range(8)]
+    rows = [(10 * every + k, f"{prose(15, 900 + k)} {edited(bench[k][1], every)} {prose(15, 950 + k)}") for every in (4, 5, 7, 100) for k in range(8)] + [(5000 + k, prose(60, 990 + k)) for k in range(6)]
+    number = {}
+
+    def words(t):
+        return [number.setdefault(x, len(number) + 2) for x in t.lower().split()]
+
+    want = {}
+    for i, t in rows:
+        for j, item in bench:
+            score = smith_waterman(words(item), words(t)) / (D.MATCH * len(words(item)))
+            if score >= D.THRESHOLD:
+                want[i, j] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_leaks(documents(spark, rows), items(spark, bench)).collect()}
+    assert got.keys() <= want.keys() and len(got) >= 0.97 * len(want) and len(want) >= 32
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
 def test_empty_tables(spark):
     assert D.find_leaks(documents(spark, []), items(spark, [(1, prose(30, 1))])).count() == 0
     assert D.find_leaks(documents(spark, [(1, "a b c")]), items(spark, [])).count() == 0
