@@ -2,7 +2,8 @@
 
 Texts longer than ``chunk_chars`` are cut into chunks that overlap; the chunks are pre-tokenised apart from each
 other. In an overlap the first start of a pre-token that both chunks share is where they resynchronise: what the
-pattern matches from there on depends only on the text from there on. Pieces between two such places are encoded.
+pattern matches from there on depends only on the text from there on. Pieces between two such places are encoded apart
+from each other, and a text's ids are gathered in the pieces' order.
 Where an overlap has no shared start (one run of letters may be longer than it), the left chunk's last sure start is
 kept and the text from there to the right chunk's end is pre-tokenised again.
 """
@@ -139,12 +140,23 @@ def stitch(split: regex.Pattern, chunks: list[tuple[int, str, list[int]]]) -> li
     return pieces
 
 
-def digest(v: Vocabulary, pieces: list[str]) -> tuple[int, str, str, list[int]]:
-    ids = v.encode(pieces)
+def digest(v: Vocabulary, ids: list[int]) -> tuple[int, str, str, list[int]]:
     listed = " ".join(map(v.text_of.__getitem__, ids))
     return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest(), ids
 
 
+def gathered(v: Vocabulary, parts: Iterable[Iterable[int]]) -> tuple[int, str, str]:
+    """``digest`` without the ids, part by part."""
+    count, listed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    for part in parts:
+        ids = list(map(int, part))
+        if ids:
+            listed.update((" " * bool(count) + " ".join(map(v.text_of.__getitem__, ids))).encode())
+            decoded.update(v.decode(ids))
+            count += len(ids)
+    return count, listed.hexdigest(), decoded.hexdigest()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, keep_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again; one row per input row.
 
@@ -155,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def row(v: Vocabulary, doc_id, pieces: list[str]) -> tuple:
-        return (doc_id, *digest(v, pieces)[: 4 if keep_ids else 3])
+        return (doc_id, *digest(v, v.encode(pieces))[: 4 if keep_ids else 3])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
@@ -176,8 +188,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         v = vocabulary(path, pattern)
         group = group.sort_values("at")
         chunks = [(int(a), t, [int(x) for x in m]) for a, t, m in zip(group["at"], group["chunk"], group["marks"], strict=True)]
+        pieces = stitch(v.split, chunks)
+        out = pd.DataFrame({"row": group["row"].iloc[0], "number": range(len(pieces)), "piece": pieces})
+        return out.assign(doc_id=group["doc_id"].astype("Int64").iloc[0])[["doc_id", "row", "number", "piece"]].astype({"doc_id": "Int64"})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path, pattern)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "number": b["number"], "ids": [v.encode([p]) for p in b["piece"]]})
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        v = vocabulary(path, pattern)
+        parts = group.sort_values("number")["ids"]
         doc_id = group["doc_id"].iloc[0]
-        return frame([row(v, None if pd.isna(doc_id) else int(doc_id), stitch(v.split, chunks))])
+        got = gathered(v, parts)
+        return frame([(None if pd.isna(doc_id) else int(doc_id), *got, *([[int(x) for part in parts for x in part]] if keep_ids else []))])
 
     # Long texts are numbered so that repeated rows and null ids stay apart.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -190,4 +215,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         .select("doc_id", "row", F.col("at").cast("long").alias("at"), F.expr(f"substring(text, at + 1, {chunk_chars})").alias("chunk"))
     )
     spread = pieces.repartition("row", "at").mapInPandas(cut, "doc_id long, row long, at long, chunk string, marks array<long>")
-    return whole.unionByName(spread.groupBy("row").applyInPandas(join, schema))
+    stitched = spread.groupBy("row").applyInPandas(join, "doc_id long, row long, number int, piece string")
+    # As many tasks as the session shuffles into: merging costs more than its bytes show.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = stitched.repartition(tasks, "row", "number").mapInPandas(merge, "doc_id long, row long, number int, ids array<int>")
+    return whole.unionByName(encoded.groupBy("row").applyInPandas(gather, schema))

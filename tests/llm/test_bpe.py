@@ -43,6 +43,16 @@ def test_empty_table_and_production_chunks(spark, library):
     assert got["n_tokens"] == len(library.encode_ordinary(text))
 
 
+def test_a_text_of_many_chunks_is_gathered_in_order(spark, library):
+    text = " ".join(prose(3000, 40 + k) for k in range(60))
+    rows = [(1, text), (1, text), (2, text[:-5])]
+    found = bpe.encode_documents(documents(spark, rows), PATH, P.PATTERN, keep_ids=True).collect()
+    for r in found:
+        want = library.encode_ordinary(dict(rows)[r["doc_id"]])
+        assert r["ids"] == want and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    assert len(found) == 3
+
+
 @example("111111 \n1a11", 11)
 @settings(max_examples=600, deadline=None)
 @given(st.text(alphabet="ab '\n\t1é.日", max_size=160), st.integers(6, 40))
