@@ -69,6 +69,16 @@ def test_pages(spark):
 
 def test_sentences():
     assert wiki.sentences("# no\n- One is e.g. here. [C1] Two has v1.2.3 and .env files [C2].\n```\ncode.\n```\n1. Three!\n...") == ["One is e.g. here [C1].", "Two has v1.2.3 and .env files [C2].", "Three!"]
+    cases = {
+        "All done.Next one is here [C1].": ["All done.", "Next one is here [C1]."], "Mr. Smith Jr. came [C1].": ["Mr. Smith Jr. came [C1]."], "- 1. x [C1]": ["x [C1]"],
+        "The .env.local file is excluded [C1].": ["The .env.local file is excluded [C1]."], "The file is .env.local.unsupported claim [C1].": ["The file is .env.local.", "unsupported claim [C1]."],
+        "The domain is github.com.unsupported claim [C1].": ["The domain is github.com.", "unsupported claim [C1]."], "See src/main.py for U.S. use [C1].": ["See src/main.py for U.S. use [C1]."],
+        "The source is github.com. [C1] Unsupported claim.": ["The source is github.com [C1].", "Unsupported claim."], "Python 3.13 is supported [C1].": ["Python 3.13 is supported [C1]."],
+        "This concerns U.S. [C1] Unsupported claim.": ["This concerns U.S. [C1]", "Unsupported claim."], "St. Paul": ["St.", "Paul"], "One [C1] [C2] two": ["One [C1] [C2]", "two"], "x [C1] .": ["x [C1]"],
+        "Ends.[C1] More": ["Ends.", "[C1]", "More"], "The .gitignore file": ["The .", "gitignore file"], "한국어 문장. 다음": ["한국어 문장.", "다음"], "a. 3 items": ["a.", "3 items"], "": [], "!!!": [],
+    }
+    for text, want in cases.items():
+        assert wiki.sentences(text) == want, text
 
 
 def test_sections(spark):
@@ -78,3 +88,5 @@ def test_sections(spark):
     assert check("x [C1] y [C1]", "C1") and not check("x [C1]", "C2") and not check("x [C3]", "C3") and not check("x", "C1")
     cited = lambda text: one.select(wiki.every_sentence_cited(F.lit(text))).first()[0]
     assert cited("One [C1]. Two [C2].") and not cited("One [C1]. Two.")
+    among = lambda text: one.select(wiki.every_sentence_cited(F.lit(text), known)).first()[0]
+    assert among("One [C1]. Two [C2].") and not among("One [C1]. Two [C3].") and not among("One [C1] [C9].")
