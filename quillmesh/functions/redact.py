@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import once
 from quillmesh.functions.urls import TOKEN_FORMS
 
 # Names whose values are secret, for each place that redacts, and forms of tokens.
@@ -36,31 +37,40 @@ GONE = "[REDACTED]"
 def error_message(x: Column) -> Column:
     named = F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?i)\b({ERROR_NAMES})\s*[:=]\s*([^&,\s]+)", "$1=<redacted>")
     done = F.regexp_replace(named, f"(?i)(?:{TOKEN_FORMS})", "<redacted>")
-    return F.when(done == "", NO_MESSAGE).otherwise(done)
+    return once(done, lambda x: F.when(x == "", NO_MESSAGE).otherwise(x))
+
+
+# What is redacted in evidence and in prompts, pattern and replacement, in the order in which it is done.
+_EVIDENCE_PREFIX = rf"['\"]?(?:{EVIDENCE_NAMES})['\"]?\s*[:=]\s*"
+EVIDENCE_STEPS = (
+    (r"(?is)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", GONE),
+    (rf"(?is)({_EVIDENCE_PREFIX})(['\"])((?:\\.|(?!\2).)*)\2", rf"$1$2{GONE}$2"),
+    (f"(?i)(?:{EVIDENCE_TOKENS})", GONE),
+    (rf"(?i)({_EVIDENCE_PREFIX}['\"]?)([^'\"\n,;}}]+)(['\"]?)", rf"$1{GONE}$3"),
+    (rf"(?i)({_EVIDENCE_PREFIX}['\"]?)([^'\"\s,;}}]+)(['\"]?)", rf"$1{GONE}$3"),
+    (rf"(?i)([?&](?:{EVIDENCE_NAMES})=)([^&#\s]+)", rf"$1{GONE}"),
+)
+_PROMPT_KINDS = "(?:PRIVATE KEY|SECRET KEY|CERTIFICATE)"
+PROMPT_STEPS = (
+    (rf"(?is)-----BEGIN [A-Z0-9 ]*{_PROMPT_KINDS}-----.*?-----END [A-Z0-9 ]*{_PROMPT_KINDS}-----", GONE),
+    (f"(?i)(?:{EVIDENCE_TOKENS})", GONE),
+    (rf"(?i)((?:{PROMPT_NAMES})\s*[:=]\s*['\"]?)([^'\"\s,;}}]+)(['\"]?)", rf"$1{GONE}$3"),
+    (rf"(?i)([?&](?:{PROMPT_QUERY_NAMES})=)([^&#\s]+)", rf"$1{GONE}"),
+)
 
 
 def evidence(x: Column) -> Column:
-    """Key blocks, quoted assignments, tokens, assignments of several words, assignments, query values, in this order."""
-    prefix = rf"['\"]?(?:{EVIDENCE_NAMES})['\"]?\s*[:=]\s*"
-    steps = (
-        (r"(?is)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", GONE),
-        (rf"(?is)({prefix})(['\"])((?:\\.|(?!\2).)*)\2", rf"$1$2{GONE}$2"),
-        (f"(?i)(?:{EVIDENCE_TOKENS})", GONE),
-        (rf"(?i)({prefix}['\"]?)([^'\"\n,;}}]+)(['\"]?)", rf"$1{GONE}$3"),
-        (rf"(?i)({prefix}['\"]?)([^'\"\s,;}}]+)(['\"]?)", rf"$1{GONE}$3"),
-        (rf"(?i)([?&](?:{EVIDENCE_NAMES})=)([^&#\s]+)", rf"$1{GONE}"),
-    )
-    for pattern, new in steps:
+    """Key blocks, quoted assignments, tokens, assignments of several words, assignments and query values are gone."""
+    for pattern, new in EVIDENCE_STEPS:
         x = F.regexp_replace(x, pattern, new)
     return x
 
 
 def prompt(x: Column) -> Column:
-    kinds = "(?:PRIVATE KEY|SECRET KEY|CERTIFICATE)"
-    x = F.regexp_replace(x, rf"(?is)-----BEGIN [A-Z0-9 ]*{kinds}-----.*?-----END [A-Z0-9 ]*{kinds}-----", GONE)
-    x = F.regexp_replace(x, f"(?i)(?:{EVIDENCE_TOKENS})", GONE)
-    x = F.regexp_replace(x, rf"(?i)((?:{PROMPT_NAMES})\s*[:=]\s*['\"]?)([^'\"\s,;}}]+)(['\"]?)", rf"$1{GONE}$3")
-    return F.regexp_replace(x, rf"(?i)([?&](?:{PROMPT_QUERY_NAMES})=)([^&#\s]+)", rf"$1{GONE}")
+    """Key blocks and certificates, tokens, assignments and query values are gone."""
+    for pattern, new in PROMPT_STEPS:
+        x = F.regexp_replace(x, pattern, new)
+    return x
 
 
 def sensitive_name(key: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import content_hash, first_filled, lstrip, newlines, rstrip, strip
+from quillmesh.functions.text import content_hash, first_filled, lstrip, newlines, once, rstrip, strip
 
 MAX_CHARS, OVERLAP_CHARS = 1200, 120
 # Extensions of Markdown and of code.
@@ -26,43 +26,60 @@ def check(max_chars: int, overlap: int) -> None:
         raise ValueError("the overlap must be at least 0 and less than the largest size")
 
 
-def window_starts(text: Column, max_chars: int, overlap: int) -> Column:
+def raw_windows(text: Column, max_chars: int, overlap: int) -> Column:
+    """Windows as they are, with the number of line breaks ahead of each: array of (raw, ahead).
+
+    A text is split once into steps that don't overlap, whose line breaks are counted once; a window is some of the
+    steps in a row. So the work is linear in the text.
+    """
     step = max_chars - overlap
     more = F.ceil((F.length(text) - max_chars) / F.lit(step)).cast("int")
-    return F.sequence(F.lit(0), F.when(F.length(text) <= max_chars, 0).otherwise(more) * step, F.lit(step))
+    split = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps"), (F.greatest(more, F.lit(0)) + 1).alias("n"))
+
+    def count(s: Column) -> Column:
+        ahead = F.aggregate(s["steps"], F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + newlines(x)))
+        return F.struct(s["steps"].alias("steps"), s["n"].alias("n"), ahead.alias("ahead"))
+
+    def cut(s: Column) -> Column:
+        def window(k: Column) -> Column:
+            parts = [F.coalesce(F.get(s["steps"], k + i), F.lit("")) for i in range(-(-max_chars // step))]
+            return F.struct(F.substring(F.concat(*parts), 1, max_chars).alias("raw"), F.get(s["ahead"], k).alias("ahead"))
+
+        return F.transform(F.sequence(F.lit(0), s["n"] - 1), window)
+
+    return once(once(split, count), cut)
 
 
 def plain_parts(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Windows of a text that is stripped already (a column of its own, not computed anew for each window). A window's
     first line is that of its start before it is stripped itself."""
 
-    # Two steps, so that each window is cut and stripped once.
-    def cut(at: Column) -> Column:
-        return F.struct(strip(F.substring(text, at + 1, F.lit(max_chars))).alias("text"), (newlines(F.substring(text, F.lit(1), at)) + 1).alias("line"))
+    def cut(w: Column) -> Column:
+        return F.struct(strip(w["raw"]).alias("text"), (w["ahead"] + 1).alias("line"))
 
     def place(w: Column) -> Column:
         return F.struct(w["text"].alias("text"), w["line"].cast("int").alias("line_start"), (w["line"] + newlines(w["text"])).cast("int").alias("line_end"))
 
-    cuts = F.filter(F.transform(window_starts(text, max_chars, overlap), cut), lambda w: w["text"] != "")
+    # Two steps, so that each window is stripped once.
+    cuts = F.filter(F.transform(raw_windows(text, max_chars, overlap), cut), lambda w: w["text"] != "")
     return F.transform(cuts, place).cast(PARTS)
 
 
 def section_parts(text: Column, line_start: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Windows of a section, with the lines of their stripped text."""
 
-    def cut(at: Column) -> Column:
-        raw = F.substring(text, at + 1, F.lit(max_chars))
-        return F.struct(at.alias("at"), F.length(raw).alias("size"), lstrip(raw).alias("rest"), newlines(F.substring(text, F.lit(1), at)).alias("ahead"))
+    def cut(w: Column) -> Column:
+        return F.struct(w["raw"].alias("raw"), w["ahead"].alias("ahead"), lstrip(w["raw"]).alias("rest"))
 
     def trim(w: Column) -> Column:
         # Lines before the first character that is kept, and those that end behind the last.
-        lead = newlines(F.substring(text, w["at"] + 1, w["size"] - F.length(w["rest"])))
+        lead = newlines(F.substring(w["raw"], F.lit(1), F.length(w["raw"]) - F.length(w["rest"])))
         return F.struct(rstrip(w["rest"]).alias("text"), (line_start + w["ahead"] + lead).alias("first"))
 
     def place(w: Column) -> Column:
         return F.struct(w["text"].alias("text"), w["first"].cast("int").alias("line_start"), (w["first"] + newlines(w["text"])).cast("int").alias("line_end"))
 
-    cuts = F.filter(F.transform(F.transform(window_starts(text, max_chars, overlap), cut), trim), lambda w: w["text"] != "")
+    cuts = F.filter(F.transform(F.transform(raw_windows(text, max_chars, overlap), cut), trim), lambda w: w["text"] != "")
     return F.transform(cuts, place).cast(PARTS)
 
 
@@ -150,10 +167,13 @@ def windows(text: str, max_chars: int, overlap: int) -> Iterator[tuple[int, str]
 def markdown_parts(content: str, max_chars: int, overlap: int) -> list[tuple[str, int, int]]:
     out = []
     for line, text in markdown_sections(content):
+        last, ahead = 0, 0  # line breaks before the window, counted on from those before the last one
         for at, raw in windows(text, max_chars, overlap):
-            if raw.strip():
-                begin, end = at + len(raw) - len(raw.lstrip()), at + len(raw.rstrip())
-                out.append((raw.strip(), line + text.count("\n", 0, begin), line + text.count("\n", 0, end)))
+            ahead, last = ahead + text.count("\n", last, at), at
+            kept = raw.strip()
+            if kept:
+                first = line + ahead + raw.count("\n", 0, len(raw) - len(raw.lstrip()))
+                out.append((kept, first, first + kept.count("\n")))
     return out
 
 

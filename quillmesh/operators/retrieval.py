@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import preview, words
+from quillmesh.operators.documents import live
 
 
 def clamp_top_k(value: int | None, default: int = 8, most: int = 20) -> int:
@@ -58,7 +59,18 @@ def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
 
 def hydrate(candidates: DataFrame, chunks: DataFrame, sources: DataFrame, source_ids: Iterable[str] = ()) -> DataFrame:
     """Live chunks of bounded candidates (chunk_id, score, rank), of the given sources, with source type and preview."""
-    found = F.broadcast(candidates).join(chunks, "chunk_id")
+    return described(F.broadcast(candidates).join(chunks, "chunk_id"), sources, source_ids)
+
+
+def hydrate_carried(candidates: DataFrame, documents: DataFrame, sources: DataFrame, source_ids: Iterable[str] = ()) -> DataFrame:
+    """As ``hydrate``, for bounded candidates that carry their chunk's columns: only their documents are looked up, so
+    that the chunks are read once."""
+    have = live(documents).select("document_id", "source_id")
+    return described(have.join(F.broadcast(candidates), ["document_id", "source_id"]), sources, source_ids)
+
+
+def described(found: DataFrame, sources: DataFrame, source_ids: Iterable[str]) -> DataFrame:
+    """Hits of the given sources (all, if none are) with source type and preview."""
     ids = list(source_ids)
     if ids:
         found = found.filter(F.col("source_id").isin(ids))

@@ -26,18 +26,16 @@ SQL_RESULTS = f"""results AS (SELECT c.rank, c.chunk_id, c.document_id, c.source
 SQL_BASE = f"WITH {SQL_DOCS}, {SQL_CHUNKS}, {SQL_SOURCES}, {SQL_SCORED}, {SQL_RESULTS}"
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ranked keyword candidates (a bounded few), live chunks, sources."""
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked keyword candidates (a bounded few) with their chunk's columns, and documents."""
     docs = corpus.documents(spark, sf_dir)
-    chunks = corpus.chunks(docs)
-    best = retrieval.keyword_top_k(chunks.select("chunk_id", "text"), F.col("text"), QUERY, TOP_K, ["chunk_id"])
-    best = retrieval.ranked(best.select("chunk_id", "score"), F.col("score").desc(), "chunk_id")
-    return best, live_chunks(chunks, docs), corpus.sources(docs)
+    best = retrieval.keyword_top_k(corpus.chunks(docs), F.col("text"), QUERY, TOP_K, ["chunk_id"])
+    return retrieval.ranked(best, F.col("score").desc(), "chunk_id"), docs
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best, chunks, sources = candidates(spark, sf_dir)
-    return retrieval.hydrate(best, chunks, sources, retrieval.source_filter({"source_ids": SOURCES, "source_id": "src0"}))
+    best, docs = candidates(spark, sf_dir)
+    return retrieval.hydrate_carried(best, docs, corpus.sources(docs), retrieval.source_filter({"source_ids": SOURCES, "source_id": "src0"}))
 
 
 @query(f"WITH {SQL_DOCS}, {SQL_CHUNKS}, {SQL_SCORED} SELECT rank, chunk_id, score FROM candidates")
