@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
-from quillmesh.llm.shared import publish, row_key
+from quillmesh.llm.shared import publish, release, row_key
 from quillmesh.llm.similar import forest_depth, leaders_of, linked, signed
 
 WORDS, THRESHOLD = 5, 0.8
@@ -45,6 +45,7 @@ def classes_of(docs: DataFrame, n: int, threshold: float, trees: int, max_depth:
     # Only sets with a link or a copy differ from a class of one row.
     known = sets.select("set_id", "first", "copies").join(classes, "set_id", "left").filter("links is not null or copies > 1")
     known = publish(known.withColumn("root", F.coalesce("root", "set_id")))
+    release(sets, wanted, done)
     named = known.join(known.groupBy("root").agg(F.min("first").alias("keeper")), "root")
     named = named.select("set_id", F.col("keeper.doc_id").alias("class_id"), "keeper", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.select("doc_id", "k", "set_id"), named

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one is set only where it names none (tests)."""
+    """The session's ``spark.checkpoint.dir``. A local session that names none (as in tests) gets a folder of this machine;
+    a cluster that names none is refused, since its executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         named = "file://" + os.path.join(tempfile.gettempdir(), "quillmesh-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,7 +32,16 @@ def publish(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.published = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete published tables that nothing reads any more: whatever was made of them is published itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.published)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

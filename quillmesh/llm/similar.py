@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.shared import publish
+from quillmesh.llm.shared import publish, release
 from quillmesh.llm.text import minhash, mix, set_ids, shingle_sets, slices, whole_groups, words_of
 
 #: Most texts, and most characters of texts, in one block of a leader's texts.
@@ -208,7 +208,9 @@ def linked(wanted: DataFrame, texts: DataFrame, n: int, threshold: float) -> Dat
             yield pd.DataFrame(out, columns=["set_id", "links", "root"])
 
     dealt = sent.repartition(tasks, "home", "i", "j").sortWithinPartitions("home", "i", "j")
-    return publish(dealt.mapInPandas(verify, "set_id binary, links long, root binary"))
+    done = publish(dealt.mapInPandas(verify, "set_id binary, links long, root binary"))
+    release(homes)
+    return done
 
 
 def signed(texts: pd.DataFrame, n: int, trees: int, depth: int, threshold: float) -> Iterator[tuple[pd.DataFrame, list[bytes | None], list[np.ndarray]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.components import components
-from quillmesh.llm.shared import publish
+from quillmesh.llm.shared import publish, release
 from quillmesh.llm.similar import forest_depth, leaders_of, least_partner, linked, signatures
 from quillmesh.llm.text import Words, mix, set_ids, shingle_sets, slices, whole_groups, words_of
 
@@ -212,6 +212,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     # Equal reaches of a much copied passage are asked for once.
     begin, end = F.greatest(F.lit(0), F.floor((F.col("oa") - AROUND) / 32) * 32).cast("int"), (F.ceil((F.col("ob") + AROUND) / 32) * 32).cast("int")
     found = publish(found.withColumn("begin", begin).withColumn("end", end))
+    release(again)
 
     # What the rows are asked for: texts of lines to compare, and stretches of words to lay beside a chain.
     asked = wanted.select("first.doc_id", "first.h", F.struct(F.col("first.line").alias("line"), "set_id").alias("x")).groupBy("doc_id", "h").agg(F.collect_set("x").alias("lines"))
@@ -241,6 +242,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     roots = components(done.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id")
     known = sets.select("set_id", "first", "times").join(roots, "set_id", "left").filter("root is not null or times > 1")
     known = publish(known.withColumn("root", F.coalesce("root", "set_id")))
+    release(sets, wanted, done)
     keepers = known.groupBy("root").agg(F.min("first").alias("keeper"))
     lost = units.select("set_id", "doc_id", "h", "line").join(known.join(keepers, "root").select("set_id", "keeper").hint("merge"), "set_id").filter(place != F.col("keeper"))
     lost = lost.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.min("keeper.doc_id").alias("of_lines"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.shared import publish
+from quillmesh.llm.shared import publish, release
 from quillmesh.llm.text import mix, slices, whole_groups
 
 LENGTH, GRAM = 200, 32
@@ -198,7 +198,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
             a = Anchors(raw)
             yield pd.DataFrame({"lead": [raw[r][p : p + GRAM] for r, p in zip(a.row[::8], a.place[::8], strict=True)]})
 
-    times = publish(docs.mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    counted = times = publish(docs.mapInPandas(grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
     often = times.filter(F.col("n") > frequent).select("gram", F.lit(True).alias("often"))
     often = F.broadcast(often) if often.count() <= BROADCAST_GRAMS else often.hint("merge")
     salted = docs.mapInPandas(anchors, "gram long, h1 long, h2 long, at long").join(often, "gram", "left")
@@ -207,6 +207,7 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False, frequent: int = FREQU
     marked = salted.join(times.hint("merge"), ["gram", "salt"])
     marked = marked.select("h1", "h2", F.when(F.col("often"), F.col("at").bitwiseOR(F.lit(1 << 16))).otherwise(F.col("at")).alias("at"))
     marks = publish(marked.groupBy("h1", "h2").agg(F.collect_set("at").alias("marks")))
+    release(counted)
     total = marks.agg(F.sum(F.size("marks")).alias("n"), F.max(F.exists("marks", lambda x: x.bitwiseAND(1 << 16) > 0)).alias("hot")).first()
     ranges = min(MOST_RANGES, max(1, round((total["n"] or 0) / RANGE)))
     splitters: list[bytes] = []
