@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 LEASE_HOURS = 24
@@ -39,6 +39,78 @@ def allowed(old: str, new: str) -> bool:
     return old == new or new in TRANSITIONS.get(old, set())
 
 
+PROGRESS = ("heartbeat_at", "total_documents", "processed_documents", "indexed_chunks", "skipped_documents", "error_message")
+
+
+def one(jobs: DataFrame, job_id: str, source_id: str | None = None) -> Row:
+    """A job's row; ValueError for an unknown one and for one of another source."""
+    row = jobs.filter(F.col("job_id") == job_id).first()
+    if row is None:
+        raise ValueError(f"unknown job: {job_id}")
+    if source_id is not None and row["source_id"] != source_id:
+        raise ValueError(f"job {job_id} belongs to {row['source_id']}")
+    return row
+
+
+def changed(rows: DataFrame, which: Column, **values) -> DataFrame:
+    """The rows with some columns set where ``which`` holds."""
+    return rows.withColumns({n: F.when(which, F.lit(v)).otherwise(F.col(n)).cast(rows.schema[n].dataType) for n, v in values.items()})
+
+
+def begin(jobs: DataFrame, sources: DataFrame, job_id: str, source_id: str, now: str, hours: float = LEASE_HOURS) -> tuple[DataFrame, DataFrame, str | None]:
+    """Jobs and sources with a new running job, or the job that is running already, which stays as it is.
+
+    Stale and superseded jobs of the source are resolved first. ValueError for an unknown source.
+    """
+    mine = F.col("source_id") == source_id
+    if sources.filter(mine).isEmpty():
+        raise ValueError(f"unknown source: {source_id}")
+    resolved = resolve_active(jobs, now, hours)
+    active = resolved.filter(mine & (F.col("status") == "running")).first()
+    if active is not None:
+        return resolved, sources, active["job_id"]
+    row = jobs.sparkSession.range(1).select(
+        *[F.lit({"job_id": job_id, "source_id": source_id, "status": "running", "started_at": now, "heartbeat_at": now}.get(f.name, "" if f.dataType.simpleString() == "string" else 0)).cast(f.dataType).alias(f.name) for f in jobs.schema]
+    )
+    return resolved.unionByName(row), changed(sources, mine, sync_status="running", updated_at=now), None
+
+
+def update(jobs: DataFrame, job_id: str, **values) -> DataFrame:
+    """A job's progress; its state is changed by ``begin``, ``succeed`` and ``fail`` only."""
+    one(jobs, job_id)
+    if not set(values) <= set(PROGRESS):
+        raise ValueError("only a job's progress may be updated")
+    return changed(jobs, F.col("job_id") == job_id, **values)
+
+
+def succeed(jobs: DataFrame, sources: DataFrame, job_id: str, source_id: str, counters: dict[str, int], now: str, hours: float = LEASE_HOURS) -> tuple[DataFrame, DataFrame, bool]:
+    """Jobs and sources after a job is done, and whether it was the source's active one; one that wasn't changes nothing of the source."""
+    if one(jobs, job_id, source_id)["status"] != "running":
+        return jobs, sources, False
+    resolved = resolve_active(jobs, now, hours)
+    if one(resolved, job_id)["status"] != "running":
+        return resolved, settled(resolved, sources, source_id, "Sync job is no longer active", now), False
+    done = changed(resolved, F.col("job_id") == job_id, status="succeeded", finished_at=now, error_message="", **counters)
+    return done, changed(sources, F.col("source_id") == source_id, sync_status="succeeded", last_synced_at=now, last_error="", updated_at=now), True
+
+
+def fail(jobs: DataFrame, sources: DataFrame, job_id: str, source_id: str, message: str, now: str, hours: float = LEASE_HOURS) -> tuple[DataFrame, DataFrame]:
+    """Jobs and sources after a queued or running job failed; a finished one stays, and so does the state of a source
+    with another active job."""
+    if one(jobs, job_id, source_id)["status"] not in ("queued", "running"):
+        return jobs, sources
+    failed = resolve_active(changed(jobs, F.col("job_id") == job_id, status="failed", finished_at=now, error_message=message), now, hours)
+    return failed, settled(failed, sources, source_id, message, now)
+
+
+def settled(jobs: DataFrame, sources: DataFrame, source_id: str, message: str, now: str) -> DataFrame:
+    """Sources, with a failure noted where the source has no running job."""
+    mine = F.col("source_id") == source_id
+    if not jobs.filter(mine & (F.col("status") == "running")).isEmpty():
+        return sources
+    return changed(sources, mine, sync_status="failed", last_error=message, updated_at=now)
+
+
 def progress(processed: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(processed / total * 100 + 0.5) / 100).otherwise(F.lit(0.0))
 

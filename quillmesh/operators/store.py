@@ -1,9 +1,8 @@
-"""State as versions: tables are written to new folders, and one manifest row, written last, publishes them together."""
+"""State as versions: a source's rows are written to new folders, and one manifest append, written last, publishes them together."""
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,45 +11,65 @@ from pyspark.sql.utils import AnalysisException
 from quillmesh.schemas import CHUNKS, DOCUMENTS, SOURCES, SYNC_JOBS, TOMBSTONES, align
 
 TABLES = {"sources": SOURCES, "sync_jobs": SYNC_JOBS, "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_tombstones": TOMBSTONES}
-MANIFEST = "version long, name string, path string"
+MANIFEST = "version long, name string, source_id string, path string"
+Manifest = dict[tuple[str, str], tuple[int, str]]
 
 
 class Store:
-    """Tables under a root folder that the whole cluster shares; one writer a source."""
+    """Tables under a root folder that the whole cluster shares; one writer a source. A sync writes its source's rows only."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def manifest(self) -> dict[str, tuple[int, str]]:
-        """Version and folder of each published table: those of its latest manifest row."""
+    def manifest(self) -> Manifest:
+        """Version and folder of each published table and source: those of the latest manifest row."""
         try:
             rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
         except AnalysisException:
             return {}
-        return {r["name"]: (r["version"], r["path"]) for r in rows.groupBy("name").agg(F.max(F.struct("version", "path")).alias("last")).select("name", "last.*").collect()}
+        last = rows.groupBy("name", "source_id").agg(F.max(F.struct("version", "path")).alias("last"))
+        return {(r["name"], r["source_id"]): (r["version"], r["path"]) for r in last.select("name", "source_id", "last.*").collect()}
 
-    def read(self, name: str, manifest: dict[str, tuple[int, str]] | None = None) -> DataFrame:
-        """A table as published (or as a manifest pins it); absent columns are added, absent tables are empty."""
-        found = (self.manifest() if manifest is None else manifest).get(name)
-        if found is None:
+    def read(self, name: str, manifest: Manifest | None = None, source_id: str | None = None, but: str | None = None) -> DataFrame:
+        """A table as published (or as a manifest pins it), of one source, of all but one, or of all; absent columns are
+        added, absent tables are empty."""
+        found = self.manifest() if manifest is None else manifest
+        paths = [path for (n, s), (_, path) in sorted(found.items()) if n == name and s != but and source_id in (None, s)]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return align(self.spark.read.parquet(found[1]), TABLES[name])
+        return align(self.spark.read.schema(TABLES[name]).parquet(*paths), TABLES[name])
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables, then their manifest rows in one append: readers see all of them or none."""
+    def publish(self, tables: dict[str, DataFrame], source_id: str) -> int:
+        """Write a source's rows of some tables, then their manifest rows in one append: readers see all of them or none."""
         version = 1 + max((v for v, _ in self.manifest().values()), default=0)
         rows = []
         for name, df in tables.items():
             path = f"{self.root}/{name}/{version:08d}-{uuid.uuid4().hex}"
             align(df, TABLES[name]).write.parquet(path)
-            rows.append((version, name, path))
+            rows.append((version, name, source_id, path))
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         return version
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """``df`` written once under the root and read again, so that a sync computes it once."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def vacuum(self) -> int:
+        """Delete folders that no published table uses, staged ones too; only while nobody syncs or reads. Returns how many."""
+        used = {path.rstrip("/").rsplit("/", 1)[-1] for _, path in self.manifest().values()}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = []
+        for name in (*TABLES, "staged"):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            if files.exists(folder):
+                old += [s.getPath() for s in files.listStatus(folder) if s.getPath().getName() not in used]
+        for path in old:
+            files.delete(path, True)
+        return len(old)
+
     def search_corpus(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         pinned = self.manifest()
         return tuple(self.read(n, pinned) for n in ("chunks", "documents", "sources"))
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -31,6 +31,9 @@ class Registry:
             raise ValueError(f"unknown source: {source_id}")
         return self._by_id[source_id]
 
+    def ids(self) -> list[str]:
+        return list(self._by_id)
+
     def sources(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(c.source_id, c.source_type) for c in self._by_id.values()], "source_id string, source_type string").orderBy("source_id")
 

@@ -1,17 +1,22 @@
-"""Syncs: one snapshot merged into the store, and streams of landed rows merged batch by batch."""
+"""Syncs: one snapshot merged into the store, jobs around it, and streams of landed rows merged batch by batch."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillmesh.operators import merge
+from quillmesh.functions.redact import error_message, safe_auth_ref
+from quillmesh.operators import jobs, merge
 from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents
 from quillmesh.operators.documents import identity, live, normalize
 from quillmesh.operators.store import Store
+from quillmesh.schemas import SOURCES, names
+from quillmesh.sources.registry import Connector, Registry
 from quillmesh.sources.web import SnapshotInfo
 
 
@@ -25,35 +30,105 @@ class SyncResult:
     missing_documents: int
 
 
-def sync(store: Store, rows: DataFrame, source_id: str, info: SnapshotInfo, seen_at: str, sync_id: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> SyncResult:
+def sync(
+    store: Store, rows: DataFrame, source_id: str, info: SnapshotInfo, seen_at: str, sync_id: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS,
+    finish: Callable[[dict[str, int]], dict[str, DataFrame] | None] | None = None,
+) -> SyncResult:
     """Merge a source's snapshot (connector rows with ``position``) and publish the new state.
 
     The last row of a document counts, all are totalled. Documents that a complete snapshot lacks, within its prefixes,
     are deleted; chunks of changed documents are replaced and recorded. A document of another source is refused.
+    ``finish`` is given the counters and adds tables (the job and its source) to the same publication; None from it
+    publishes nothing.
     """
     pinned = store.manifest()
-    documents, chunks, tombstones = (store.read(n, pinned) for n in ("documents", "chunks", "chunk_tombstones"))
-    ordered = rows if "position" in rows.columns else rows.withColumn("position", F.monotonically_increasing_id())
+    documents, chunks, tombstones = (store.read(n, pinned, source_id) for n in ("documents", "chunks", "chunk_tombstones"))
+    # Rows are numbered once: numbers that were computed again could differ.
+    ordered = store.stage(rows if "position" in rows.columns else rows.withColumn("position", F.monotonically_increasing_id()))
     total = ordered.count()
     last = normalize(latest_rows(ordered), F.lit(source_id), seen_at, sync_id)
-    refused = merge.foreign_owners(documents, last)
-    if not refused.isEmpty():
+    if not merge.foreign_owners(store.read("documents", pinned, but=source_id), last).isEmpty():
         raise ValueError("a document belongs to another source")
-    mine, mine_chunks = documents.filter(F.col("source_id") == source_id), chunks.filter(F.col("source_id") == source_id)
-    new_chunks = chunk_documents(last, max_chars, overlap)
-    changes = merge.diff(last, mine, new_chunks, mine_chunks)
+    new_chunks = store.stage(chunk_documents(last, max_chars, overlap))
+    changes = store.stage(merge.diff(last, documents, new_chunks, chunks))
     count = merge.counters(changes).first()
     redone = changes.filter("action in ('new', 'changed', 'rechunked', 'reappeared')").select("document_id", F.lit(source_id).alias("source_id"))
     seen = changes.filter("action != 'missing'").select("document_id", F.lit(source_id).alias("source_id"))
     state = merge.overlay(documents, last, ["document_id"])
     if info.complete:
         state = merge.tombstone(state, merge.stale(state, source_id, "last_seen_sync_id", sync_id, info.prefixes), seen_at)
-    version = store.publish({
-        "documents": state, "chunks": merge.replace_chunks(chunks, seen, new_chunks), "chunk_tombstones": merge.record_tombstones(tombstones, chunks, redone, seen_at),
-    })
+    numbers = {"total_documents": total, **{n: count[n] for n in ("processed_documents", "skipped_documents", "indexed_chunks")}}
+    more = finish(numbers) if finish else {}
+    version = 0
+    if more is not None:
+        version = store.publish({
+            "documents": state, "chunks": merge.replace_chunks(chunks, seen, new_chunks), "chunk_tombstones": merge.record_tombstones(tombstones, chunks, redone, seen_at), **more,
+        }, source_id)
     return SyncResult(version, total, count["processed_documents"], count["skipped_documents"], count["indexed_chunks"], count["missing_documents"] if info.complete else 0)
 
 
+def register(store: Store, connector: Connector, name: str, now: str, auth_ref: str = "") -> None:
+    """Add a source, or refresh its name and reference; its state stays."""
+    old = store.read("sources", source_id=connector.source_id).first()
+    fresh = {"source_id": connector.source_id, "source_type": connector.source_type, "name": name, "enabled": True, "auth_ref": auth_ref, "sync_status": "idle", "last_synced_at": "", "last_error": "", "created_at": now}
+    if old is not None:
+        fresh |= {n: old[n] for n in ("sync_status", "last_synced_at", "last_error", "created_at")}
+    row = store.spark.createDataFrame([tuple(fresh.get(n, now) for n in names(SOURCES))], SOURCES)
+    store.publish({"sources": row.withColumn("auth_ref", safe_auth_ref(F.col("auth_ref")))}, connector.source_id)
+
+
+def run(store: Store, connector: Connector, now: str, job_id: str | None = None, cleanup: bool = True, hours: float = jobs.LEASE_HOURS) -> dict:
+    """One sync job of a registered source, from its begin to its end; the job's row as a dict.
+
+    A source whose job is running is left alone (``already_running``). The documents, the job's counters and the
+    source's state are published together; a failure is published with its message redacted. Without ``cleanup``
+    nothing is deleted (targets that are synced on demand).
+    """
+    source_id, job_id = connector.source_id, job_id or f"job-{uuid.uuid4().hex}"
+
+    def tables() -> tuple[DataFrame, DataFrame]:
+        pinned = store.manifest()
+        return store.read("sync_jobs", pinned, source_id), store.read("sources", pinned, source_id)
+
+    begun, sources, active = jobs.begin(*tables(), job_id, source_id, now, hours)
+    if active is not None:
+        return {"source_id": source_id, "job_id": active, "status": "already_running"}
+    store.publish({"sync_jobs": begun, "sources": sources}, source_id)
+
+    def finish(counters: dict[str, int]) -> dict[str, DataFrame] | None:
+        done, of_source, active = jobs.succeed(*tables(), job_id, source_id, counters, now, hours)
+        if not active:
+            store.publish({"sync_jobs": done, "sources": of_source}, source_id)
+        return {"sync_jobs": done, "sources": of_source} if active else None
+
+    try:
+        rows, info = connector.read(store.spark)
+        sync(store, rows, source_id, info if cleanup else SnapshotInfo(False), now, job_id, finish=finish)
+    except Exception as e:  # whatever stops a source becomes its job's message
+        message = store.spark.range(1).select(error_message(F.lit(str(e)[:2000]))).first()[0]
+        failed, of_source = jobs.fail(*tables(), job_id, source_id, message, now, hours)
+        store.publish({"sync_jobs": failed, "sources": of_source}, source_id)
+    return jobs.one(tables()[0], job_id).asDict()
+
+
+def run_all(store: Store, registry: Registry, now: str, source_ids: Iterable[str] | None = None, hours: float = jobs.LEASE_HOURS) -> list[dict]:
+    """Jobs of several sources (all, if none are named), one after the other; the failure of one, unknown ones too, doesn't stop the others."""
+    out = []
+    for source_id in registry.ids() if source_ids is None else source_ids:
+        try:
+            out.append(run(store, registry.get(source_id), now, hours=hours))
+        except ValueError as e:
+            out.append({"source_id": source_id, "status": "failed", "error_message": str(e)})
+    return out
+
+
+def status(store: Store, now: str) -> DataFrame:
+    """Every source with its latest job and how far it has come."""
+    sync_jobs = store.read("sync_jobs")
+    last = jobs.latest(sync_jobs, now).select("source_id", "job_id", F.col("status").alias("job_status"), jobs.progress(F.col("processed_documents") + F.col("skipped_documents"), F.col("total_documents")).alias("progress"), "error_message")
+    return store.read("sources").select("source_id", "source_type", "sync_status").join(last, "source_id", "left").orderBy("source_id")
+
+
 def latest_rows(rows: DataFrame) -> DataFrame:
     """Of connector rows of one identity the one of the last position."""
 

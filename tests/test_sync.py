@@ -88,3 +88,84 @@ def test_jobs(spark):
     assert got["j1"][0] == "failed" and "superseded" in got["j1"][1] and "timed out" in got["j3"][1] and "timed out" in got["j6"][1]
     assert {r["status"] for r in jobs.resolve_active(df, now, 0).filter("job_id in ('j1', 'j2', 'j5')").collect()} == {"failed"}
     assert jobs.allowed("running", "failed") and not jobs.allowed("succeeded", "running") and not jobs.allowed("failed", "succeeded")
+
+
+class Landed:
+    source_type = "web"
+
+    def __init__(self, source_id, make, info=None):
+        self.source_id, self.make, self.info = source_id, make, info or SnapshotInfo(True)
+
+    def read(self, spark):
+        return self.make(spark), self.info
+
+
+def test_jobs_and_documents_are_published_together(spark, tmp_path):
+    from quillmesh.sources.registry import Registry
+
+    store = Store(spark, str(tmp_path / "state"))
+    good = Landed("good", lambda s: rows(s, ("a", "A", "alpha"), ("b", "B", "beta")))
+
+    def broken(s):
+        raise RuntimeError("no answer: token=abcdef123456")
+
+    bad = Landed("bad", broken)
+    registry = Registry([good, bad])
+    assert S.run_all(store, registry, "2024-01-01 00:00:00", ["good"])[0]["error_message"] == "unknown source: good"
+    for c in (good, bad):
+        S.register(store, c, c.source_id.title(), "2024-01-01 00:00:00", "env:TOKEN")
+    out = {x["source_id"]: x for x in S.run_all(store, registry, "2024-01-01 00:00:01", ["bad", "nowhere", "good"])}
+    assert out["good"]["status"] == "succeeded" and (out["good"]["total_documents"], out["good"]["indexed_chunks"]) == (2, 2)
+    assert out["bad"]["status"] == "failed" and "abcdef" not in out["bad"]["error_message"] and out["nowhere"]["status"] == "failed"
+    sources = {r["source_id"]: r for r in store.read("sources").collect()}
+    assert (sources["good"]["sync_status"], sources["good"]["last_synced_at"], sources["good"]["auth_ref"]) == ("succeeded", "2024-01-01 00:00:01", "env:TOKEN")
+    assert sources["bad"]["sync_status"] == "failed" and "<redacted>" in sources["bad"]["last_error"]
+    assert [(r["source_id"], r["job_status"], r["progress"]) for r in S.status(store, "2024-01-01 00:01:00").collect()] == [("bad", "failed", 0.0), ("good", "succeeded", 1.0)]
+    # A target without cleanup deletes nothing; names are refreshed, states stay.
+    part = Landed("good", lambda s: rows(s, ("a", "A", "alpha")))
+    S.run(store, part, "2024-01-02 00:00:00", cleanup=False)
+    assert live(store.read("documents")).count() == 2
+    S.register(store, good, "New", "2024-01-03 00:00:00")
+    kept = store.read("sources", source_id="good").first()
+    assert (kept["name"], kept["sync_status"], kept["created_at"], kept["auth_ref"]) == ("New", "succeeded", "2024-01-01 00:00:00", "")
+    assert store.vacuum() > 0 and live(store.read("documents")).count() == 2 and store.vacuum() == 0
+
+
+def test_a_running_job_is_left_alone_and_a_stale_one_gives_way(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "state"))
+    c = Landed("s", lambda s: rows(s, ("a", "A", "alpha")))
+    S.register(store, c, "S", "2024-01-01 00:00:00")
+    begun, sources, active = jobs.begin(store.read("sync_jobs"), store.read("sources"), "j1", "s", "2024-01-01 00:00:00")
+    assert active is None
+    store.publish({"sync_jobs": begun, "sources": sources}, "s")
+    assert S.run(store, c, "2024-01-01 01:00:00")["status"] == "already_running"
+    assert store.read("documents").count() == 0
+    done = S.run(store, c, "2024-01-03 00:00:00", "j2")
+    assert done["status"] == "succeeded" and {r["job_id"]: r["status"] for r in store.read("sync_jobs").collect()} == {"j1": "failed", "j2": "succeeded"}
+
+
+def test_the_life_of_a_job(spark):
+    from quillmesh.schemas import SOURCES, SYNC_JOBS
+
+    now = "2024-01-01 00:00:00"
+    sources = spark.createDataFrame([("s", "web", "S", True, "", "idle", "", "", now, now)], SOURCES)
+    state, sources, _ = jobs.begin(spark.createDataFrame([], SYNC_JOBS), sources, "j1", "s", now)
+    state = jobs.update(state, "j1", processed_documents=3, heartbeat_at="2024-01-01 00:05:00")
+    assert state.first()["processed_documents"] == 3
+    for bad in ({"status": "succeeded"}, {"status": "running"}, {"source_id": "t"}):
+        with pytest.raises(ValueError):
+            jobs.update(state, "j1", **bad)
+    with pytest.raises(ValueError):
+        jobs.update(state, "j9", processed_documents=1)
+    with pytest.raises(ValueError):
+        jobs.fail(state, sources, "j1", "other", "x", now)
+    # Another job took over: the first can't finish for the source any more.
+    both = state.unionByName(jobs.changed(state, F.lit(True), job_id="j2", started_at="2024-01-01 01:00:00"))
+    late, of_source, active = jobs.succeed(both, sources, "j1", "s", {"total_documents": 1}, "2024-01-01 02:00:00")
+    assert not active and {r["job_id"]: r["status"] for r in late.collect()} == {"j1": "failed", "j2": "running"} and of_source.first()["sync_status"] == "running"
+    failed, of_source = jobs.fail(both, sources, "j1", "s", "gone", "2024-01-01 02:00:00")
+    assert of_source.first()["sync_status"] == "running" and failed.filter("job_id = 'j1'").first()["error_message"] == "gone"
+    failed, of_source = jobs.fail(failed, of_source, "j2", "s", "gone too", "2024-01-01 03:00:00")
+    assert (of_source.first()["sync_status"], of_source.first()["last_error"]) == ("failed", "gone too")
+    same, _ = jobs.fail(failed, of_source, "j2", "s", "again", "2024-01-01 04:00:00")
+    assert same.filter("job_id = 'j2'").first()["error_message"] == "gone too"
