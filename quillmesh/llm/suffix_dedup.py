@@ -32,7 +32,7 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
 #: Anchors of one gram from which on its windows are counted by hashes; suffixes in one range, about, as long as there
 #: are no more than MOST_RANGES (then ranges grow; tasks read them in parts); sampled suffixes for each splitter.
-FREQUENT, RANGE, MOST_RANGES, SAMPLED = 100_000, 25_000, 20_000, 40
+FREQUENT, RANGE, MOST_RANGES, SAMPLED = 100_000, 25_000, 20_000, 16
 #: Parts of a frequent gram's rows in a join, and the most frequent grams that are broadcast (8 bytes each, counted before).
 SALTS, BROADCAST_GRAMS = 64, 1 << 20
 PLACE_BITS = np.uint64(22)
