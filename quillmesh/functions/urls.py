@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,25 @@ def unquote(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(safe), x)
 
 
+def file_extension(name: Column) -> Column:
+    """What follows the last dot of the last segment, in lower case, with the dot; '' without one."""
+    return F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+
+
+def url_extension(url: Column) -> Column:
+    """The extension of a URL's path, percent escapes decoded."""
+    return file_extension(unquote(part(url, 5)))
+
+
+def hints_at(url: Column, extensions: Sequence[str]) -> Column:
+    """Whether the path, or a name or value of the query, ends in one of some extensions."""
+    pairs = F.filter(F.split(part(url, 6), "[&]"), lambda p: p != "")
+    names = F.flatten(F.transform(pairs, lambda p: F.array(F.regexp_extract(p, "^([^=]*)", 1), F.regexp_extract(p, "^[^=]*=(.*)$", 1))))
+    # A query's names and values are decoded as forms are, then once more.
+    asked = F.transform(names, lambda n: file_extension(unquote(unquote(F.replace(n, F.lit("+"), F.lit(" "))))))
+    return url_extension(url).isin(*extensions) | F.exists(asked, lambda x: x.isin(*extensions))
+
+
 def variants(x: Column) -> Column:
     """The value and what three rounds of decoding make of it."""
     a = unquote(x)

@@ -38,6 +38,11 @@ def live_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(live(documents).select("document_id", "source_id"), ["document_id", "source_id"], "left_semi")
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks by document and index; of one document by index alone."""
+    return chunks.orderBy("document_id", "chunk_index")
+
+
 def chunk_documents(chunks: DataFrame) -> DataFrame:
     """Chunks in the form that indexing takes: a chunk is a document of its own id."""
     return chunks.select(

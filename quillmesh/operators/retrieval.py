@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import preview, words
-from quillmesh.operators.documents import live
+from quillmesh.functions.text import legacy_preview, preview, words
+from quillmesh.operators.documents import live, live_chunks
+
+#: Local results from which on the web isn't asked.
+FALLBACK_BELOW = 3
 
 
 def clamp_top_k(value: int | None, default: int = 8, most: int = 20) -> int:
@@ -130,6 +133,60 @@ def by_url(documents: DataFrame, url: str) -> DataFrame:
     return a.unionByName(b).orderBy(F.col("updated_at").desc(), "document_id")
 
 
+def search_vectors(vectors: DataFrame, query: Sequence[float], k: int, chunks: DataFrame, tombstones: DataFrame, documents: DataFrame) -> DataFrame:
+    """The k nearest hits that may be shown, one a title, with previews of the older kind.
+
+    ``vectors``: doc_id, chunk_id, document_id, source_id, url, canonical_url, title, text, managed, embedding. Managed
+    vectors count if they are those of live chunks; raw ones if they aren't known otherwise. All are judged before the
+    limit, so no window has to be widened; titles are told apart before it, too.
+    """
+    keyed = vectors.withColumn("rank", F.col("doc_id"))
+    raw = suppress_raw(keyed.filter("coalesce(managed, '') != 'true'"), chunks.select("chunk_id").unionByName(tombstones.select("chunk_id")), documents)
+    accepted = owned_hits(keyed, live_chunks(chunks, documents)).unionByName(raw)
+    near = accepted.withColumn("distance", distance(F.col("embedding"), query)).drop("rank", "embedding")
+    first = first_per_title(near.withColumn("order", F.struct("distance", "doc_id")), "order").drop("order")
+    best = first.orderBy("distance", "doc_id").limit(k)
+    return best.withColumn("preview", legacy_preview(F.col("text")))
+
+
+def with_fallback(local: DataFrame, web: Callable[[], DataFrame], threshold: int = FALLBACK_BELOW) -> tuple[str, DataFrame]:
+    """Where the answer is from, and its rows: local ones if there are enough, else those of the web (instead, not in
+    addition), else the local ones after all. ``local`` is bounded by top-k; ``web`` is only asked when needed."""
+    if local.limit(threshold).count() >= threshold:
+        return "local", local
+    found = web()
+    return ("local", local) if found.isEmpty() else ("web", found)
+
+
+# Fixed value: source types that are another's.
+TYPE_ALIASES = {"docs": "web", "pdf": "web"}
+
+
+def chosen_sources(sources: DataFrame, filters: dict | None = None, source_types: object = None, source_ids: object = None) -> list[str]:
+    """Ids that a request is limited to: those of its filters, of the sources of its types, and its own; [] for no limit.
+
+    Values are strings (split at commas and line ends), iterables or single values. ValueError where types are named that
+    no source has. ``sources`` (source_id, source_type) are configured ones, a bounded few.
+    """
+
+    def listed(value: object) -> list[str]:
+        parts = value.replace("\n", ",").split(",") if isinstance(value, str) else value if isinstance(value, Iterable) else [value] if value else []
+        return [x for x in (" ".join(str(p if p is not None else "").split()) for p in parts or []) if x]
+
+    given = filters or {}
+    types = {TYPE_ALIASES.get(t.lower(), t.lower()) for key in ("source_types", "source_type") for t in listed(given.get(key))}
+    types |= {TYPE_ALIASES.get(t.lower(), t.lower()) for t in listed(source_types)}
+    ids = [x for key in ("source_ids", "source_id") for x in listed(given.get(key))]
+    if types:
+        alias = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+        kind = F.lower(F.trim(F.coalesce("source_type", F.lit(""))))
+        of_types = [r["source_id"] for r in sources.filter(F.coalesce(alias[kind], kind).isin(*types)).select("source_id").distinct().orderBy("source_id").collect()]
+        if not of_types:
+            raise ValueError("no configured sources match selected source types")
+        ids += of_types
+    return list(dict.fromkeys([*ids, *listed(source_ids)]))
+
+
 def federated(results: DataFrame, platforms: Sequence[str], max_results: int) -> DataFrame:
     """Each platform's first results, platforms in their order, cut to max_results."""
     per = max(3, max_results // max(1, len(platforms)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import first_filled, location, markers, snippet
+from quillmesh.functions.redact import prompt
+from quillmesh.functions.text import first_filled, location, markers, slug, snippet
 
 # Abbreviations whose dots end no sentence; the parts behind a dot that belong to the name before it; names
 # with dots, files whose names begin with one, and initials.
@@ -145,3 +147,56 @@ def page(evidence: DataFrame, topic: str, min_results: int = 1) -> DataFrame:
         F.when(enough, text).otherwise("Insufficient evidence in indexed context to generate a wiki page.").alias("markdown"),
         F.when(enough, F.array_join(F.transform("entries", lambda r: r["chunk_id"]), ",")).otherwise("").alias("used_chunks"),
     )
+
+
+#: What a synthesizer is asked to give back.
+CONTRACT = {
+    "title": "Short page title.",
+    "sections": [{"heading": "Section heading", "content": "Section prose with citation markers such as [C1].", "citation_markers": ["C1"]}],
+    "markdown": "Full Markdown page using the same citation markers.",
+}
+
+
+def prompt_payload(cited: DataFrame, topic: str, instructions: str, links: DataFrame, max_chars: int = 1200) -> DataFrame:
+    """One row: the payload of a synthesis as JSON, everything redacted and evidence cut to ``max_chars``.
+
+    ``cited`` is bounded evidence with markers (see ``citations``), ``links`` its backlinks.
+    """
+
+    def clean(name: str) -> Column:
+        return prompt(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias(name)
+
+    fields = ("marker", "chunk_id", "document_id", "source_id", "title", "url", "path")
+    row = F.struct("n", *[clean(c) for c in fields], "line_start", "line_end", snippet(prompt(F.coalesce("text", F.lit(""))), max_chars).alias("text"))
+    left = cited.agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    right = links.agg(F.array_sort(F.collect_list(F.struct("first_rank", *[clean(c) for c in ("document_id", "source_id", "title", "url", "path")], "chunk_ids"))).alias("links"))
+
+    def without(x: Column, first: str) -> Column:
+        return F.transform(x, lambda r: r.dropFields(first))
+
+    evidence = without(F.col("rows"), "n")
+    made = F.struct(
+        prompt(F.lit(topic)).alias("topic"), prompt(F.lit(instructions)).alias("instructions"),
+        F.from_json(F.lit(json.dumps(CONTRACT)), "title string, sections array<struct<heading:string,content:string,citation_markers:array<string>>>, markdown string").alias("output_contract"),
+        evidence.alias("evidence"), F.transform(evidence, lambda r: r.dropFields("text")).alias("citations"), without(F.col("links"), "first_rank").alias("backlinks"),
+    )
+    return left.crossJoin(right).select(F.to_json(made).alias("payload"))
+
+
+def results_markdown(results: DataFrame, query: str) -> DataFrame:
+    """One row: bounded results (rank, title, url, platform, date, score, text) as a Markdown list."""
+    line = F.concat(
+        F.lit("## "), F.col("rank").cast("string"), F.lit(". ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")\n**Platform**: "), F.col("platform"), F.lit(" | **Date**: "), F.col("date"),
+        F.lit("\n**Relevance**: "), F.format_string("%.3f", "score"), F.lit("\n**Preview**: "), F.col("text"), F.lit("\n"),
+    )
+    one = results.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    text = F.concat(F.lit(f"# 🔍 Search results: '{query}'\n\nTotal "), F.col("n").cast("string"), F.lit(" documents found\n\n"), body)
+    return one.select(F.when(F.col("n") == 0, f"No results found for '{query}'").otherwise(text).alias("markdown"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Pages as files: each page's Markdown as text under its slug's partition, and all rows as JSON."""
+    named = pages.withColumn("slug", slug(F.col("title")))
+    named.select("slug", F.col("markdown").alias("value")).write.partitionBy("slug").mode("overwrite").text(f"{folder}/markdown")
+    named.write.mode("overwrite").json(f"{folder}/json")

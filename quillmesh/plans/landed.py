@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import media
-from quillmesh.functions.urls import credential_like, crawl_key, fetchable, robots_allows, same_origin, sensitive_key, shown, unquote
+from quillmesh.functions.urls import credential_like, crawl_key, fetchable, hints_at, robots_allows, same_origin, sensitive_key, shown, unquote, url_extension
 from quillmesh.plans.registry import query, table
 from quillmesh.sources import github, html, notion, web
 
@@ -92,17 +92,14 @@ def a4_snapshot_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return github.completeness(github.select_entries(tree(spark, sf_dir), 20, 6000))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 OR n_chars <> n_chars THEN 'size mismatch' WHEN strlen(text) > 9000 THEN 'too large' WHEN doc_id % 5 = 2 THEN 'undecodable' WHEN doc_id % 5 = 3 THEN 'binary' END AS error,
-  CASE WHEN doc_id % 5 IN (0, 4) AND strlen(text) <= 9000 THEN md5(text) END AS text FROM documents""")
+@query("""WITH b AS (SELECT doc_id, text, strlen(text) + CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS size FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'size mismatch' WHEN size > 9000 THEN 'too large' WHEN doc_id % 5 = 2 THEN 'undecodable' WHEN doc_id % 5 = 3 THEN 'binary' END AS error,
+  CASE WHEN doc_id % 5 IN (0, 4) AND size <= 9000 THEN md5(text) END AS text FROM b""")
 def sc14_blob_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 5
     raw = F.when(n == 3, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("01")))).otherwise(F.encode("text", "UTF-8"))
-    size = F.when(n == 3, F.length(raw)).otherwise(F.length(F.encode("text", "UTF-8")))
-    blobs = table(spark, sf_dir, "documents").select("doc_id", F.lit("base64").alias("encoding"), F.when(n == 2, "%%%").otherwise(F.base64(raw)).alias("content"), F.when(n == 1, size + 1).otherwise(size).alias("size"), size.alias("tree_size"))
-    # A control byte makes a text one byte longer; only its limit differs.
-    done = github.decode_blobs(blobs.withColumn("size", F.col("size")), 9000)
-    error = F.when((n == 3) & (F.col("size") == 9001), "binary").otherwise(F.col("error"))
-    return done.select("doc_id", error.alias("error"), F.md5(F.encode("text", "UTF-8")).alias("text"))
+    blobs = table(spark, sf_dir, "documents").select("doc_id", F.lit("base64").alias("encoding"), F.when(n == 2, "%%%").otherwise(F.base64(raw)).alias("content"), F.when(n == 1, F.length(raw) + 1).otherwise(F.length(raw)).alias("size"), F.length(raw).alias("tree_size"))
+    return github.decode_blobs(blobs, 9000).select("doc_id", "error", F.md5(F.encode("text", "UTF-8")).alias("text"))
 
 
 @query("""WITH p AS (SELECT doc_id, 'Own' AS owner, 'R' || doc_id % 40 AS name, 0 AS list FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'oWN' ELSE 'else' END, 'r' || doc_id % 60, 1 FROM documents WHERE doc_id % 2 = 1),
@@ -212,3 +209,94 @@ def f12_body_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, 'a b+c/' || page_id || '%zz' AS plain FROM pages")
 def f23_unquote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", unquote(F.concat(F.lit("a%20b+c%2F"), F.col("page_id").cast("string"), F.lit("%zz"))).alias("plain"))
+
+
+@query(f"""WITH {SQL_KEYS}, l AS (SELECT page_id, scheme || '://' || host AS origin, path, CASE page_id % 5 WHEN 0 THEN '/docs/' || page_id WHEN 1 THEN '//cdn.example/x' WHEN 2 THEN 'next' WHEN 3 THEN 'HTTPS://other.example/a' ELSE '?p=' || page_id END AS link FROM keys)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN origin || link WHEN 1 THEN split_part(origin, '//', 1) || link WHEN 2 THEN origin || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link
+  WHEN 3 THEN link ELSE origin || path || link END AS joined FROM l""")
+def f23_joined_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, text = F.col("page_id") % 5, F.col("page_id").cast("string")
+    link = F.when(n == 0, F.concat(F.lit("/docs/"), text)).when(n == 1, "//cdn.example/x").when(n == 2, "next").when(n == 3, "HTTPS://other.example/a").otherwise(F.concat(F.lit("?p="), text))
+    return table(spark, sf_dir, "pages").select("page_id", html.joined(F.col("url"), link).alias("joined"))
+
+
+_ENDS = ("a.PDF", "b.md", "c%2Epng", "d", "e.tar/f")
+_QUERY = ("", "?file=x.zip", "?v=1.0", "?n=a%2Epdf&m=1", "?doc.exe")
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.md' WHEN 2 THEN '.png' ELSE '' END AS extension,
+  page_id % 5 IN (0, 2) OR page_id // 5 % 5 IN (1, 3, 4) AS hints FROM pages""")
+def f11_url_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    name, more = F.array(*map(F.lit, _ENDS))[(n % 5).cast("int")], F.array(*map(F.lit, _QUERY))[(F.floor(n / 5) % 5).cast("int")]
+    url = F.concat(F.lit("https://docs.example/v1.2/"), name, more)
+    return table(spark, sf_dir, "pages").select("page_id", url_extension(url).alias("extension"), hints_at(url, media.OTHER_EXTENSIONS).alias("hints"))
+
+
+_TYPES = ("text/html; charset=utf-8", "", "application/xhtml+xml", "text/plain", "application/pdf", "text/markdown")
+_BODIES = ("<!DOCTYPE html><html></html>", "plain words", "<urlset></urlset>", "<em>part</em>")
+
+
+@query("""WITH c AS (SELECT page_id, page_id % 6 AS t, page_id // 6 % 4 AS b, page_id // 24 % 3 AS u FROM pages)
+SELECT page_id, CASE WHEN u = 1 THEN b = 0 WHEN t = 1 THEN u = 2 OR b = 0 WHEN t = 0 THEN true WHEN t = 2 THEN b IN (0, 3) WHEN t = 3 AND b IN (0, 2, 3) THEN b = 0 ELSE t IN (3, 5) END AS supported,
+  CASE WHEN u = 1 THEN true WHEN t = 0 THEN false WHEN t = 2 THEN b NOT IN (0, 3) WHEN t IN (3, 5) THEN true WHEN t = 1 AND u = 2 THEN true ELSE false END AS open,
+  CASE WHEN t = 2 THEN b NOT IN (0, 3) WHEN t = 0 THEN b = 2 ELSE false END AS wrong_root FROM c""")
+def f12_page_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, first elements and extensions of responses: what can be read, what leaves a site's contents open."""
+    n = F.col("page_id")
+    kind, body = F.array(*map(F.lit, _TYPES))[(n % 6).cast("int")], F.array(*map(F.lit, _BODIES))[(F.floor(n / 6) % 4).cast("int")]
+    url = F.array(*map(F.lit, ("https://a.example/x", "https://a.example/x.pdf", "https://a.example/x.md")))[(F.floor(n / 24) % 3).cast("int")]
+    headers = F.create_map(F.lit("X-Other"), F.lit("1"), F.lit("CONTENT-type"), kind)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", media.supports_page(url, headers, body, F.encode(body, "UTF-8")).alias("supported"), media.disables_cleanup(url, headers, body).alias("open"), media.unsupported_root(url, headers, body).alias("wrong_root"),
+    )
+
+
+@query("""SELECT source AS repo, md5(source) || substr(md5(source), 1, 8) AS commit_sha, 'f' || doc_id AS path, n_chars AS size FROM documents""")
+def sc12_snapshot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def sha(x):
+        return F.concat(F.md5(F.encode(x, "UTF-8")), F.substring(F.md5(F.encode(x, "UTF-8")), 1, 8))
+
+    of_tree = sha(F.concat("repo", F.lit("/tree")))
+    commits = docs.select(F.col("source").alias("repo")).distinct().select("repo", sha(F.col("repo")).alias("sha"), F.struct(F.struct(of_tree.alias("sha")).alias("tree")).alias("commit"))
+    entry = F.struct(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.lit("blob").alias("type"), F.md5(F.encode("text", "UTF-8")).alias("sha"), F.col("n_chars").alias("size"))
+    trees = docs.groupBy(F.col("source").alias("repo")).agg(F.collect_list(entry).alias("tree")).withColumn("sha", of_tree).withColumn("truncated", F.lit(False))
+    return github.snapshot_entries(commits, trees).select("repo", "commit_sha", "path", "size")
+
+
+@query("SELECT doc_id AS position, md5(text) AS id FROM documents WHERE doc_id < 40")
+def sc3_paged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty documents as answers of ten pages each, landed in another order and one of them twice."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 40")
+    empty = [F.lit("").alias(c) for c in ("url", "created_time", "last_edited_time")]
+    page = F.struct("doc_id", F.struct(F.md5(F.encode("text", "UTF-8")).alias("id"), *empty).alias("page"))
+    n = F.floor(F.col("doc_id") / 10).cast("int")
+    answers = docs.groupBy(n.alias("n")).agg(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["page"]).alias("results"))
+    answers = answers.select(F.when(F.col("n") > 0, F.col("n").cast("string")).alias("cursor"), F.when(F.col("n") < 3, (F.col("n") + 1).cast("string")).alias("next_cursor"), (F.col("n") < 3).alias("has_more"), "results")
+    found = notion.paged(answers.unionByName(answers.filter("cursor = '2'")).orderBy(F.desc("cursor")))
+    return found.select((F.floor(F.col("position") / 1000) * 10 + F.col("position") % 1000).alias("position"), "id")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 1 AND page_id < 60")
+def sc6_target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id that no page has is a database's."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), "url")
+    databases = pages.filter("page_id < 60").withColumn("database_id", F.concat(F.lit("db"), (F.col("page_id").cast("int") % 3).cast("string")))
+    return notion.target_pages("db1", pages, databases).select(F.col("page_id").cast("long").alias("page_id"), "url")
+
+
+_SQL_LOC = "'https://m.example/' || page_id % 40 || '/' || page_id"
+
+
+@query(f"SELECT page_id % 40 AS map, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) - 1 AS position, {_SQL_LOC} AS link, page_id % 40 % 2 = 0 AS sure FROM pages")
+def sc19_sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sitemaps of forty sites; every second one holds an element that is none of a sitemap's."""
+    n = F.col("page_id")
+    loc = F.concat(F.lit("<url><loc> https://m.example/"), (n % 40).cast("string"), F.lit("/"), n.cast("string"), F.lit(" </loc><lastmod>x</lastmod></url>"))
+    maps = table(spark, sf_dir, "pages").groupBy((n % 40).alias("map")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("loc")))), lambda x: x["loc"]), "").alias("locs"))
+    space = F.when(F.col("map") % 3 == 0, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"')).otherwise("")
+    body = F.concat(F.lit("<?xml version='1.0'?><urlset"), space, F.lit(">"), F.when(F.col("map") % 2 == 1, "<image/>").otherwise(""), F.col("locs"), F.lit("</urlset>"))
+    landed = maps.select("map", F.concat(F.lit("https://m.example/sitemap"), F.col("map").cast("string"), F.lit(".xml")).alias("url"), body.alias("text"))
+    return web.sitemap_links(landed, "map").select("map", F.col("position").cast("long").alias("position"), "link", "sure")

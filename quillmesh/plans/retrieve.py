@@ -11,6 +11,7 @@ from quillmesh.operators import answers, retrieval, wiki
 from quillmesh.operators.documents import live_chunks, vector_metadata
 from quillmesh.plans import corpus
 from quillmesh.plans.corpus import SQL_CHUNKS, SQL_DOCS, SQL_SOURCES
+from quillmesh.operators.store import union
 from quillmesh.plans.registry import query, table
 
 QUERY, TOP_K = "the tion heat of", 10
@@ -180,17 +181,79 @@ def sc21_federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.federated(found, ["en", "de", "fr"], 8).select("platform", "doc_id")
 
 
-@query(f"WITH {SQL_DOCS} SELECT document_id FROM docs WHERE url = 'https://docs.example/src0/5'")
+# Lookups: a live document, a deleted one (ids that end in 9), and one under its canonical URL.
+_SQL_PLACES = f"places AS (SELECT document_id, CASE WHEN doc_id % 2 = 0 THEN url ELSE 'https://old.example/' || doc_id END AS url, url AS canonical_url, deleted_at, doc_id FROM docs)"
+
+
+def looked_up(spark: SparkSession, sf_dir: str, n: int) -> str:
+    """The id of the document of that number ('' where there is none)."""
+    row = table(spark, sf_dir, "documents").filter(F.col("doc_id") == n).select(F.concat_ws(":", "source", "doc_id").alias("id")).first()
+    return row["id"] if row else ""
+
+
+@query(f"""WITH {SQL_DOCS}, {_SQL_PLACES}, asked AS (SELECT canonical_url AS u, 'canonical' AS how FROM places WHERE doc_id IN (5, 6) UNION ALL SELECT url, 'url' FROM places WHERE doc_id IN (4, 7))
+SELECT how, document_id FROM asked JOIN places p ON p.url = u OR p.canonical_url = u""")
 def j8_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.by_url(corpus.documents(spark, sf_dir), "https://docs.example/src0/5").select("document_id")
+    docs = corpus.documents(spark, sf_dir)
+    n = F.regexp_extract("document_id", r"(\d+)$", 1).cast("long")
+    docs = docs.withColumn("canonical_url", F.col("url")).withColumn("url", F.when(n % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://old.example/"), n.cast("string"))))
+
+    def shown(k: int) -> str:
+        return f"https://docs.example/{looked_up(spark, sf_dir, k).replace(':', '/')}"
+
+    asked = [("canonical", shown(5)), ("canonical", shown(6)), ("url", shown(4)), ("url", "https://old.example/7")]
+    return union([retrieval.by_url(docs, url).select(F.lit(how).alias("how"), "document_id") for how, url in asked])
 
 
-@query(f"WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT chunk_id, document_id, text FROM chunks WHERE document_id = 'src0:2' AND deleted_at = ''")
+@query(f"WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT chunk_id, document_id, text FROM chunks WHERE doc_id IN (2, 9) AND deleted_at = ''")
 def q5_fetch_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir).filter("document_id = 'src0:2'")
+    """The chunks of a live document; those of a deleted one are none."""
+    ids = [looked_up(spark, sf_dir, n) for n in (2, 9)]
+    docs = corpus.documents(spark, sf_dir).filter(F.col("document_id").isin(ids))
     return live_chunks(corpus.chunks(docs), docs).select("chunk_id", "document_id", "text")
 
 
+# Vectors as hits: every third is managed, with a chunk of its own or one of another source; raw ones may be known by id or URL.
+_SQL_VECTORS = """v AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS doc_id, vec_id % 3 = 0 AS managed, CASE WHEN vec_id % 3 = 0 AND vec_id % 4 <> 1 THEN true WHEN vec_id % 3 <> 0 AND vec_id % 7 <> 2 AND vec_id % 5 <> 4 THEN true ELSE false END AS good,
+  'Title ' || vec_id % 150 AS title, list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform((SELECT embedding FROM embeddings WHERE vec_id = 0), lambda x: CAST(x AS DOUBLE))) AS distance FROM embeddings),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY distance, doc_id) AS rn FROM v WHERE good)"""
+
+
+@query(f"WITH {_SQL_VECTORS} SELECT doc_id, title, round(distance, 6) AS distance, 'words of ' || doc_id || '...' AS preview FROM firsts WHERE rn = 1 ORDER BY distance, doc_id LIMIT {TOP_K}")
+def q7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector hits with ownership and suppression judged before the limit, one a title, and the web only if they are too few."""
+    n = F.col("vec_id")
+    text = n.cast("string")
+    managed = n % 3 == 0
+    vectors = table(spark, sf_dir, "embeddings").select(
+        text.alias("doc_id"), F.when(managed, F.concat(F.lit("c"), text)).otherwise("").alias("chunk_id"), F.when(managed, F.concat(F.lit("d"), text)).otherwise("").alias("document_id"),
+        F.when(managed & (n % 4 == 1), "other").otherwise("s").alias("source_id"), F.concat(F.lit("https://v.example/"), text).alias("url"), F.lit("").alias("canonical_url"),
+        F.concat(F.lit("Title "), (n % 150).cast("string")).alias("title"), F.concat(F.lit("words of "), text).alias("text"), managed.cast("string").alias("managed"), "embedding",
+    )
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    live = F.lit("").alias("deleted_at")
+    chunks = ids.filter(managed).select(F.concat(F.lit("c"), text).alias("chunk_id"), F.concat(F.lit("d"), text).alias("document_id"), F.lit("s").alias("source_id"))
+    own = ids.filter(managed).select(F.concat(F.lit("d"), text).alias("document_id"), F.lit("s").alias("source_id"), F.lit("").alias("url"), F.lit("").alias("canonical_url"), live)
+    by_id = ids.filter(~managed & (n % 7 == 2)).select(text.alias("document_id"), F.lit("s").alias("source_id"), F.lit("").alias("url"), F.lit("").alias("canonical_url"), live)
+    by_url = ids.filter(~managed & (n % 5 == 4)).select(F.concat(F.lit("u"), text).alias("document_id"), F.lit("s").alias("source_id"), F.lit("").alias("url"), F.concat(F.lit("https://v.example/"), text).alias("canonical_url"), live)
+    first = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
+    found = retrieval.search_vectors(vectors, first["embedding"] if first else [0.0], TOP_K, chunks, chunks.filter("false"), union([own, by_id, by_url]))
+    return found.select("doc_id", "title", F.round("distance", 6).alias("distance"), "preview")
+
+
+@query("""SELECT 'local' AS origin, 'en' AS lang, count(*) AS n_results FROM documents WHERE lang = 'en' AND doc_id < 40
+UNION ALL SELECT 'web', 'de', count(*) FROM documents WHERE doc_id < 7 UNION ALL SELECT 'local', 'xx', count(*) FROM documents WHERE doc_id < 1""")
+def t5_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enough local rows; too few, so those of the web; too few and none of the web."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    cases = [("en", docs.filter("lang = 'en' and doc_id < 40"), docs.filter("doc_id < 7")), ("de", docs.filter("doc_id < 2"), docs.filter("doc_id < 7")), ("xx", docs.filter("doc_id < 1"), docs.filter("false"))]
+    out = []
+    for name, local, web in cases:
+        origin, rows = retrieval.with_fallback(local, lambda web=web: web)
+        out.append(rows.agg(F.count("*").alias("n_results")).select(F.lit(origin).alias("origin"), F.lit(name).alias("lang"), "n_results"))
+    return union(out)
+
+
 _SQL_LEGACY = f"""WITH {SQL_DOCS}, scored AS (SELECT *, CAST(len(list_filter({_TERMS}, lambda t: contains(lower(content), t))) AS DOUBLE) / 4 AS score FROM docs WHERE doc_id % 2 = 1 AND platform <> 'de'),
 top AS (SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 20) ORDER BY score DESC, document_id) AS rn FROM scored WHERE score > 0)
 SELECT document_id, score, substr(content, 1, 200) || '...' AS preview FROM top WHERE rn = 1 ORDER BY score DESC, document_id LIMIT {TOP_K}"""
@@ -245,3 +308,14 @@ def f2_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT 'managed:' || source_id || ':' || chunk_id AS vector_key, chunk_index, line_start, line_end, content_hash, 'true' AS managed FROM chunks")
 def p4_vector_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_metadata(corpus.chunks(corpus.documents(spark, sf_dir))).select("vector_key", "chunk_index", "line_start", "line_end", "content_hash", "managed")
+
+
+@query(f"""{SQL_BASE}, evidence AS (SELECT *, row_number() OVER (ORDER BY rank) AS n, trim(regexp_replace({_prompt_sql('text')}, '\\s+', ' ', 'g')) AS t FROM results WHERE score >= 0.35)
+SELECT 'C' || n AS marker, chunk_id, CASE WHEN length(t) <= 1200 THEN t ELSE regexp_replace(substr(t, 1, 1200), '\\s+$', '') || '...' END AS text FROM evidence""")
+def f33_prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence inside a synthesis payload."""
+    found = answers.evidence(results(spark, sf_dir), None)
+    made = wiki.prompt_payload(wiki.citations(found), "heat tion", "Cite everything.", wiki.backlinks(found))
+    item = "marker string, chunk_id string, text string"
+    rows = made.select(F.explode(F.from_json(F.get_json_object("payload", "$.evidence"), f"array<struct<{item.replace(' string', ':string')}>>")).alias("e"))
+    return rows.select("e.marker", "e.chunk_id", "e.text")

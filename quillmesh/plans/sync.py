@@ -9,11 +9,14 @@ from quillmesh.functions.redact import ERROR_NAMES, error_message, evidence, saf
 from quillmesh.functions.text import base64_bound, extension, location, markers, once, response_bound, slug
 from quillmesh.functions.urls import TOKEN_FORMS
 from quillmesh.operators import chunking, jobs, merge
-from quillmesh.operators.documents import chunk_documents, live_chunks, normalize
+from quillmesh.operators.documents import chunk_documents, in_order, live_chunks, normalize
+from quillmesh.operators.retrieval import chosen_sources
 from quillmesh.operators.wiki import markers_valid, section_valid, substantive_sentences
 from quillmesh.plans import corpus
 from quillmesh.plans.corpus import NOW, SEEN_AT, SQL_CHUNKS, SQL_DOCS, SQL_JOBS, SQL_SOURCES, SYNC_ID
 from quillmesh.plans.registry import query, table
+from quillmesh.schemas import SOURCES, SYNC_JOBS
+from quillmesh.sources.registry import Landing, Registry
 
 
 def number(column: str = "document_id"):
@@ -280,3 +283,45 @@ def f34_safe_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_SOURCES} SELECT source_id, source_type FROM sources WHERE source_type = 'web'")
 def p7_sources_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sources(corpus.documents(spark, sf_dir)).filter("source_type = 'web'")
+
+
+@query(f"""WITH {SQL_SOURCES}, n AS (SELECT count(*) FILTER (source_type = 'web') AS w FROM sources)
+SELECT source_id FROM sources WHERE source_type = 'web' UNION SELECT unnest(['src1', 'extra', 'given'])""")
+def p7_chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of filters, of types (an alias among them) and of the request, together."""
+    kinds = corpus.sources(corpus.documents(spark, sf_dir))
+    ids = chosen_sources(kinds, {"source_ids": "src1, extra", "source_type": "PDF"}, ["docs"], ["given", "extra"])
+    return spark.createDataFrame([(i,) for i in ids], "source_id string")
+
+
+@query(f"""WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT document_id, chunk_index, row_number() OVER (ORDER BY document_id, chunk_index) AS place FROM chunks WHERE doc_id < 50""")
+def t4_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of fifty documents by document and index, with their place in that order."""
+    docs = corpus.documents(spark, sf_dir).filter(number() < 50)
+    rows = in_order(corpus.chunks(docs)).select("document_id", "chunk_index")
+    # The order is that of the rows: one partition numbers them as they come.
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query(f"""WITH {SQL_JOBS}, s AS (SELECT DISTINCT source_id FROM jobs) SELECT source_id, 'github' AS source_type, row_number() OVER (ORDER BY source_id) AS place FROM s""")
+def sc2_list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered connectors in order of their ids; of repeated ids the last counts."""
+    ids = [r["source_id"] for r in corpus.jobs(spark, sf_dir).select("source_id").distinct().collect()]
+    registry = Registry([Landing(i, kind) for kind in ("web", "github") for i in ids])
+    return registry.sources(spark).coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query(f"""WITH {SQL_JOBS}, n AS (SELECT count(*) AS total FROM jobs WHERE source_id = 'user2')
+SELECT 'user1' AS source_id, 'failed' AS status, '{NOW}' AS finished_at, 0 AS total_documents, 'failed' AS sync_status, '' AS last_synced_at
+UNION ALL SELECT 'user2', 'succeeded', '{NOW}', CAST(total AS INTEGER), 'succeeded', '{NOW}' FROM n UNION ALL SELECT 'user3', 'running', '', 0, 'running', ''""")
+def m9_finished_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources' jobs: one fails, one succeeds with its counters, one goes on."""
+    total = corpus.jobs(spark, sf_dir).filter("source_id = 'user2'").count()
+    ids = ("user1", "user2", "user3")
+    sources = spark.createDataFrame([(i, "web", "S", True, "", "idle", "", "", NOW, NOW) for i in ids], SOURCES)
+    state = spark.createDataFrame([], SYNC_JOBS)
+    for i in ids:
+        state, sources, _ = jobs.begin(state, sources, f"job-{i}", i, NOW)
+    state, sources = jobs.fail(state, sources, "job-user1", "user1", "gone", NOW)
+    state, sources, _ = jobs.succeed(state, sources, "job-user2", "user2", {"total_documents": total}, NOW)
+    return state.join(sources.select("source_id", "sync_status", "last_synced_at"), "source_id").select("source_id", "status", "finished_at", "total_documents", "sync_status", "last_synced_at")

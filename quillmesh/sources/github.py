@@ -20,6 +20,27 @@ def supported(path: Column) -> Column:
     return F.lower(path).rlike("(?:" + "|".join(re.escape(x) for x in TEXT) + ")$")
 
 
+COMMIT = "repo string, sha string, commit struct<tree:struct<sha:string>>"
+TREE = "repo string, sha string, truncated boolean, tree array<struct<path:string,type:string,sha:string,size:long>>"
+
+
+def snapshot_entries(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """Entries (repo, commit_sha, path, type, sha, size) of landed commits and their trees (COMMIT, TREE).
+
+    A repository whose commit or tree has no sound object id, or whose tree is missing or truncated, stops the job: a
+    snapshot with a part of a tree would delete the rest.
+    """
+    sound = lambda c: F.coalesce(c.rlike(OBJECT_ID), F.lit(False))
+    heads = commits.select("repo", F.col("sha").alias("commit_sha"), F.col("commit.tree.sha").alias("tree_sha"))
+    joined = heads.join(trees.select("repo", F.col("sha").alias("tree_sha"), "truncated", "tree"), ["repo", "tree_sha"], "left")
+    why = (
+        F.when(~sound(F.col("commit_sha")), "commit sha was invalid").when(~sound(F.col("tree_sha")), "tree sha was invalid")
+        .when(F.coalesce("truncated", F.lit(False)), "tree was truncated").when(F.col("tree").isNull(), "tree was missing")
+    )
+    checked = joined.withColumn("tree", F.when(why.isNull(), F.col("tree")).otherwise(F.raise_error(F.concat_ws(": ", "repo", why)).cast(joined.schema["tree"].dataType)))
+    return checked.select("repo", "commit_sha", F.explode("tree").alias("e")).select("repo", "commit_sha", "e.*")
+
+
 def select_entries(tree: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Entries (repo, path, type, sha, size) with a verdict each: keep, skip (silently) or incomplete.
 

@@ -116,6 +116,16 @@ def join(base: str, link: str) -> str | None:
         return None
 
 
+def joined(base: Column, link: Column) -> Column:
+    """Links in full, without fragments; null where they lead to no page."""
+
+    @F.pandas_udf("string")
+    def run(base: pd.Series, link: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or x is None else join(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
+
+    return run(base, link)
+
+
 def parse(url: str, html: str) -> dict:
     """Title, text, base, canonical link ('' for none), links in order, and whether any was malformed or out of place."""
     root = Tree(html or "").root

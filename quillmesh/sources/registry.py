@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
@@ -20,6 +21,20 @@ class Connector(Protocol):
     def read(self, spark: SparkSession) -> tuple[DataFrame, SnapshotInfo]: ...
 
 
+@dataclass(frozen=True)
+class Landing:
+    """A connector whose rows have landed as Parquet files; ``complete`` says whether all of the source's did."""
+
+    source_id: str
+    source_type: str
+    path: str = ""
+    complete: bool = True
+    prefixes: tuple[str, ...] = ()
+
+    def read(self, spark: SparkSession) -> tuple[DataFrame, SnapshotInfo]:
+        return spark.read.parquet(self.path), SnapshotInfo(self.complete, self.prefixes)
+
+
 class Registry:
     """Connectors by source id; of repeated ids the last counts."""
 

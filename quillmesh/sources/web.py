@@ -89,6 +89,19 @@ def sitemap(url: str, body: str) -> tuple[list[str], bool] | None:
     return found, sure and bool(found)
 
 
+def sitemap_links(landed: DataFrame, *keep: str) -> DataFrame:
+    """Locations of landed sitemaps (url, text): the columns to keep, position, link, and whether the sitemap was read
+    without doubt. Bodies that are no sitemap give none."""
+
+    @F.pandas_udf("struct<links:array<string>,sure:boolean>")
+    def read(url: pd.Series, text: pd.Series) -> pd.DataFrame:
+        found = [sitemap(u, t or "") or ([], False) for u, t in zip(url, text, strict=True)]
+        return pd.DataFrame({"links": [a for a, _ in found], "sure": [b for _, b in found]})
+
+    each = landed.withColumn("found", read("url", "text"))
+    return each.select(*keep, F.posexplode("found.links").alias("position", "link"), F.col("found.sure").alias("sure"))
+
+
 @dataclass(frozen=True)
 class SnapshotInfo:
     """Whether a snapshot is whole, and to which ids stale cleanup is limited."""
