@@ -157,7 +157,9 @@ def g7_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("external_id", "title", F.md5(F.encode("content", "UTF-8")).alias("content"), "canonical_url", "complete")
 
 
-@query()
+@query(f"""WITH {SQL_KEYS}, l AS (SELECT url, scheme || '://' || host AS origin, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM keys JOIN pages USING (page_id, url)),
+e AS (SELECT url, unnest(links) AS href, generate_subscripts(links, 1) - 1 AS position, origin FROM l)
+SELECT url, origin || href AS key, origin || href AS link, CAST(min(position) AS INTEGER) AS position FROM e GROUP BY ALL""")
 def g8_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(html.extract(table(spark, sf_dir, "pages")))
 
@@ -211,12 +213,12 @@ def f23_unquote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", unquote(F.concat(F.lit("a%20b+c%2F"), F.col("page_id").cast("string"), F.lit("%zz"))).alias("plain"))
 
 
-@query(f"""WITH {SQL_KEYS}, l AS (SELECT page_id, scheme || '://' || host AS origin, path, CASE page_id % 5 WHEN 0 THEN '/docs/' || page_id WHEN 1 THEN '//cdn.example/x' WHEN 2 THEN 'next' WHEN 3 THEN 'HTTPS://other.example/a' ELSE '?p=' || page_id END AS link FROM keys)
+@query(f"""WITH {SQL_KEYS}, l AS (SELECT page_id, scheme || '://' || host AS origin, path, CASE page_id % 5 WHEN 0 THEN '/docs/' || page_id WHEN 1 THEN '//cdn.example/x' WHEN 2 THEN 'next' WHEN 3 THEN 'https://other.example/a' ELSE '?p=' || page_id END AS link FROM keys)
 SELECT page_id, CASE page_id % 5 WHEN 0 THEN origin || link WHEN 1 THEN split_part(origin, '//', 1) || link WHEN 2 THEN origin || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link
   WHEN 3 THEN link ELSE origin || path || link END AS joined FROM l""")
 def f23_joined_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.col("page_id") % 5, F.col("page_id").cast("string")
-    link = F.when(n == 0, F.concat(F.lit("/docs/"), text)).when(n == 1, "//cdn.example/x").when(n == 2, "next").when(n == 3, "HTTPS://other.example/a").otherwise(F.concat(F.lit("?p="), text))
+    link = F.when(n == 0, F.concat(F.lit("/docs/"), text)).when(n == 1, "//cdn.example/x").when(n == 2, "next").when(n == 3, "https://other.example/a").otherwise(F.concat(F.lit("?p="), text))
     return table(spark, sf_dir, "pages").select("page_id", html.joined(F.col("url"), link).alias("joined"))
 
 

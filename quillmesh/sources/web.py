@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillmesh.functions.urls import crawl_key, fetchable, robots_allows, same_origin
@@ -110,48 +110,72 @@ class SnapshotInfo:
     prefixes: tuple[str, ...] = ()
 
 
-def crawl(pages: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], seeds: Iterable[str], max_pages: int = MAX_PAGES, robots: DataFrame | None = None) -> tuple[DataFrame, SnapshotInfo]:
+def crawl(
+    pages: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], seeds: Iterable[str], max_pages: int = MAX_PAGES, robots: DataFrame | None = None, sitemaps: DataFrame | None = None,
+) -> tuple[DataFrame, SnapshotInfo]:
     """Pages (url) that a breadth-first crawl from the seeds reaches: key, url, depth, position; at most ``max_pages``.
 
     ``links``: url, link, position; or a function that adds link and position to the frontier's rows of ``pages`` (so
-    that only the frontier's links are ever made). Every round joins the frontier with the links of its pages and takes the first link
-    to each new page by (position of the page, position of the link), while there is room. The number of rounds and the
-    frontier are bounded by ``max_pages``; links over the budget, links that robots forbid and pages that didn't land
-    make the snapshot incomplete. ``robots``: origin, rules.
+    that only the frontier's links are ever made). Every round joins the first of the queue with the links of their
+    pages and queues the first link to each new page by (position of the page, position of the link). ``sitemaps`` (url,
+    text, landed): their locations of a seed's origin are queued behind the seeds, and reading them costs no page.
+
+    A page that didn't land costs an attempt, not a page; there are two attempts a page and one a seed. Links that find
+    no room wait, up to ``max_pages`` of them. So the number of rounds and the queue are bounded. Links that can't wait,
+    attempts that run out, links that robots forbid, doubtful sitemaps and pages that didn't land make the snapshot
+    incomplete. ``robots``: origin, rules.
     """
     spark = pages.sparkSession
     landed = pages.select(crawl_key(F.col("url")).alias("key"), "url").dropDuplicates(["key"])
-    start = spark.createDataFrame([(k, u) for k, u in enumerate(seeds)], "position int, link string")
+    given = list(seeds)
+    start = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "position int, link string")
     start = start.filter(fetchable(F.col("link"))).select("position", "link", crawl_key(F.col("link")).alias("key"))
-    frontier = [(r["key"], r["link"]) for r in start.groupBy("key").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("p")).orderBy("p").collect()]
+    queue = [(r["key"], r["link"], 0) for r in start.groupBy("key").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("p")).orderBy("p").collect()]
+    attempts, complete = 2 * max_pages + len(queue), True
+    known = {k for k, _, _ in queue}
+
+    def allowed(found: DataFrame) -> DataFrame:
+        """Links that robots allow; one that they forbid leaves the snapshot incomplete."""
+        nonlocal complete
+        if robots is None:
+            return found
+        origin = F.lower(F.regexp_extract("link", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+        judged = found.withColumn("origin", origin).join(robots, "origin", "left").withColumn("allowed", F.coalesce(robots_allows(F.col("link"), F.col("rules")), F.lit(True)))
+        complete &= judged.filter("not allowed").isEmpty()
+        return judged.filter("allowed")
+
+    def add(found: DataFrame, order: Column, depth: Callable[[Row], int]) -> None:
+        """Queue the first link to each new page, while they can wait."""
+        nonlocal complete
+        room = max_pages - len(seen) + max_pages - len(queue)
+        fresh = allowed(found.filter(fetchable(F.col("link"))).withColumn("to", crawl_key(F.col("link"))).filter(~F.col("to").isin(list(known))))
+        first = fresh.groupBy("to").agg(F.min_by("link", order).alias("link"), F.min(order).alias("o")).orderBy("o").limit(max(0, room) + 1).collect()
+        complete &= len(first) <= room
+        for r in first[: max(0, room)]:
+            queue.append((r["to"], r["link"], depth(r["o"])))
+            known.add(r["to"])
+
     seen: dict[str, tuple] = {}
-    complete, depth = True, 0
-    known = {k for k, _ in frontier}
-    while frontier and len(seen) < max_pages:
-        room = max_pages - len(seen)
-        complete &= len(frontier) <= room
-        rows = spark.createDataFrame([(k, u, n) for n, (k, u) in enumerate(frontier[:room])], "key string, link string, n int")
-        got = F.broadcast(rows).join(landed, "key", "left").select("key", "n", "url")
-        for r in got.orderBy("n").collect():
+    if sitemaps is not None:
+        found = sitemap_links(sitemaps, "url")
+        read = sitemap_links(sitemaps).agg(F.bool_and("sure")).first()[0]
+        complete &= bool(read) and found.select("url").distinct().count() == sitemaps.count()
+        origins = F.broadcast(start.select(F.col("link").alias("seed")).distinct())
+        add(found.join(origins, same_origin(F.col("seed"), F.col("link"))).select("url", "position", "link"), F.struct("url", "position"), lambda _: 1)
+    while queue and len(seen) < max_pages and attempts > 0:
+        take = min(max_pages - len(seen), attempts)
+        now, queue = queue[:take], queue[take:]
+        attempts -= len(now)
+        rows = spark.createDataFrame([(k, n) for n, (k, _, _) in enumerate(now)], "key string, n int")
+        for r in F.broadcast(rows).join(landed, "key", "left").select("key", "n", "url").orderBy("n").collect():
             if r["url"] is None:
                 complete = False
             else:
-                seen[r["key"]] = (r["key"], r["url"], depth, len(seen))
-        at = F.broadcast(rows.select("key", "n"))
+                seen[r["key"]] = (r["key"], r["url"], now[r["n"]][2], len(seen))
         source = pages if callable(links) else links
-        out = at.join(source.withColumn("key", crawl_key(F.col("url"))), "key")
+        out = F.broadcast(rows).join(source.withColumn("key", crawl_key(F.col("url"))), "key")
         out = (links(out) if callable(links) else out).filter(same_origin(F.col("url"), F.col("link")))
-        out = out.filter(fetchable(F.col("link"))).withColumn("to", crawl_key(F.col("link"))).filter(~F.col("to").isin(list(known)))
-        if robots is not None:
-            origin = F.regexp_extract("link", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-            out = out.withColumn("origin", F.lower(origin)).join(robots, "origin", "left").withColumn("allowed", F.coalesce(robots_allows(F.col("link"), F.col("rules")), F.lit(True)))
-            complete &= out.filter("not allowed").isEmpty()
-            out = out.filter("allowed")
-        order = F.struct("n", "position")
-        nexts = out.groupBy("to").agg(F.min_by("link", order).alias("link"), F.min(order).alias("o")).orderBy("o").limit(max_pages - len(seen) + 1).collect()
-        frontier = [(r["to"], r["link"]) for r in nexts]
-        known |= {k for k, _ in frontier}
-        depth += 1
-    complete &= not frontier
+        add(out, F.struct("n", "position"), lambda o: now[o["n"]][2] + 1)
+    complete &= not queue
     table = spark.createDataFrame(list(seen.values()), "key string, url string, depth int, position int")
     return table, SnapshotInfo(complete, ("web:",))

@@ -162,3 +162,21 @@ def test_a_crawl_within_one_large_host_makes_only_the_frontiers_links(spark, tmp
         nexts = [t for p in todo for t in range(p + 1, min(2 * p + 10, 3000)) if hosts[t] == hosts[p]]
         todo = [t for t in dict.fromkeys(nexts) if t not in want]
     assert found == [rows[k][1] for k in want] and len(found) == 20
+
+
+def test_links_wait_while_pages_fail_and_sitemaps_cost_no_page(spark):
+    url = "https://e.c/"
+    pages = spark.createDataFrame([(url + x,) for x in ("a", "b4", "b5", "m1", "m2")], "url string")
+    links = spark.createDataFrame([(url + "a", f"{url}b{k}", k) for k in range(6)] + [(url + "b4", url + "b5", 0)], "url string, link string, position int")
+    table, info = web.crawl(pages, links, [url + "a"], max_pages=3)
+    # b0 to b3 didn't land; each cost an attempt only. b5 couldn't wait, but b4 links to it again (2 * 3 + 1 attempts).
+    assert [(r["url"][-2:], r["depth"]) for r in table.orderBy("position").collect()] == [("/a", 0), ("b4", 1), ("b5", 2)] and not info.complete
+    table, info = web.crawl(pages, links, [url + "a"], max_pages=4)
+    assert [(r["url"][-2:], r["depth"]) for r in table.orderBy("position").collect()] == [("/a", 0), ("b4", 1), ("b5", 1)]
+    body = "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in (url + "m1", "https://other.org/m", url + "m2")) + "</urlset>"
+    maps = spark.createDataFrame([(url + "sitemap.xml", body)], "url string, text string")
+    none = links.filter("false")
+    table, info = web.crawl(pages, none, [url + "a"], sitemaps=maps)
+    assert [(r["url"][-2:], r["depth"]) for r in table.orderBy("position").collect()] == [("/a", 0), ("m1", 1), ("m2", 1)] and info.complete
+    doubtful = maps.unionByName(spark.createDataFrame([(url + "x.xml", "no map")], "url string, text string"))
+    assert not web.crawl(pages, none, [url + "a"], sitemaps=doubtful)[1].complete
