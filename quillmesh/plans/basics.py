@@ -100,7 +100,8 @@ def u2_u4_term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", F.size(F.array_except("x", "y")).cast("long").alias("gone"), F.size(F.array_intersect("x", "y")).cast("long").alias("kept"), (F.array_sort("x") == F.array_sort("y")).alias("same"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, false AS control, '.txt' AS extension FROM documents WHERE text <> '' AND NOT ends_with(text, chr(10))")
+@query(r"""WITH t AS (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS p FROM documents)
+SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END AS BIGINT) AS n_lines, regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AS control, '.txt' AS extension FROM t""")
 def f4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"), has_control_bytes(F.col("text")).alias("control"), extension(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".TXT"))).alias("extension"))

@@ -245,10 +245,10 @@ def g12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(substantive_sentences("text")).alias("n_sentences"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, substr(text, 1, 60) AS s FROM documents), m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS s FROM t)
+@query(r"""WITH t AS (SELECT doc_id, text AS s FROM documents), m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS s FROM t)
 SELECT doc_id, CASE WHEN substr(s, 1, 80) = '' THEN 'wiki-page' ELSE substr(s, 1, 80) END AS slug FROM m""")
 def f5_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, CAST(floor((n_chars + 2) / 3) AS BIGINT) * 4 AS encoded, greatest(1024, 2 * n_chars + 4096) AS response FROM documents")
