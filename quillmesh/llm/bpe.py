@@ -15,16 +15,22 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.text import slices
+
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
-#: Pre-tokens whose ids a worker keeps.
-CACHE_ENTRIES = 200_000
+#: Pre-tokens whose ids a worker keeps; bytes of those that are merged many at once, and how many.
+CACHE_ENTRIES, SHORT_BYTES, MERGED_AT_ONCE = 250_000, 48, 4096
+#: The rank of parts that aren't joined.
+NONE = 1 << 40
 
 
 class Vocabulary(dict):
@@ -36,30 +42,65 @@ class Vocabulary(dict):
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.split = regex.compile(pattern)
+        self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        # Every way to put a token together from two tokens, by both of them, in order.
+        ranks = self.ranks
+        joins = [(ranks[t[:k]] << 32 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.pair, self.joined = np.array(sorted(joins) or [(-1, NONE)], np.int64).T.copy()
+        self.byte_pairs = self.rank_of(self.byte_ids[:, None], self.byte_ids[None, :])
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         raw = token.encode("utf-8", "surrogatepass")
-        got = (self.ranks[raw],) if raw in self.ranks else tuple(self.merge_short(raw) if len(raw) <= 48 else self.merge(raw))
-        if len(token) <= 64:
-            self[token] = got
-        return got
-
-    def merge_short(self, raw: bytes) -> list[int]:
-        """As ``merge``, with plain lists: faster for few bytes."""
-        ranks, none = self.ranks, 1 << 62
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [ranks.get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
-        while pairs and (low := min(pairs)) < none:
-            i = pairs.index(low)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[x] for x in parts]
+        return (self.ranks[raw],) if raw in self.ranks else tuple(self.merge(raw))
+
+    def fill(self, tokens: set[str]) -> None:
+        """Ids of all of some pre-tokens that are short enough to be kept."""
+        if len(self) + len(tokens) > CACHE_ENTRIES:
+            self.clear()
+        coded = [(t, t.encode("utf-8", "surrogatepass")) for t in tokens if len(t) <= SHORT_BYTES]
+        self.update((t, (self.ranks[raw],)) for t, raw in coded if raw in self.ranks)
+        rest = sorted(((len(raw), t, raw) for t, raw in coded if raw not in self.ranks and len(raw) <= SHORT_BYTES), key=lambda x: x[0])
+        for k in range(0, len(rest), MERGED_AT_ONCE):
+            part = rest[k : k + MERGED_AT_ONCE]
+            self.update(zip((t for _, t, _ in part), self.merge_many([raw for _, _, raw in part]), strict=True))
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that two parts make together; NONE where they don't, and where one of them is none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.joined[at], NONE)
+
+    def merge_many(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many short sequences at once, one step of each at a time."""
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        width = int(size.max())
+        inside = np.arange(width + 1) < size[:, None]
+        data = np.zeros(inside.shape, np.uint8)
+        data[inside] = np.frombuffer(b"".join(raws), np.uint8)
+        part = np.where(inside, self.byte_ids[data], -1)  # the id of the part that begins at each byte; the last column stays none
+        after = np.minimum(np.tile(np.arange(1, width + 2), (len(raws), 1)), size[:, None])
+        after[~inside] = width
+        after[np.arange(len(raws)), size - 1] = width
+        before = np.tile(np.arange(-1, width), (len(raws), 1))
+        rank = np.full(inside.shape, NONE)
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_pairs[data[:, :-1], data[:, 1:]], NONE)
+        row = np.arange(len(raws))
+        while len(row):
+            at = rank[row].argmin(axis=1)  # the leftmost of the least
+            best = rank[row, at]
+            go = best < NONE
+            row, at, best = row[go], at[go], best[go]
+            gone = after[row, at]
+            follower = after[row, gone]
+            part[row, at], part[row, gone], rank[row, gone] = best, -1, NONE
+            after[row, at], before[row, follower] = follower, at
+            rank[row, at] = self.rank_of(best, part[row, follower])
+            ahead = before[row, at]
+            has = ahead >= 0
+            rank[row[has], ahead[has]] = self.rank_of(part[row[has], ahead[has]], best[has])
+        left = part >= 0
+        ids, stop = part[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *stop], stop, strict=False)]
 
     def merge(self, raw: bytes) -> list[int]:
         """Join the adjacent pair of the lowest rank, leftmost first, until no pair has a rank; O(n log n)."""
@@ -86,13 +127,13 @@ class Vocabulary(dict):
             i = end[i]
         return out
 
-    def encode(self, pieces: Iterable[str]) -> list[int]:
-        """Ids of whole pre-token sequences."""
-        ids: list[int] = []
-        for piece in pieces:
-            for got in map(self.__getitem__, self.split.findall(piece)):
-                ids += got
-        return ids
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each of some texts that end where pre-tokens end."""
+        split = [self.split.findall(p) for p in pieces]
+        every = set(chain.from_iterable(split))
+        fresh = every.difference(self)
+        self.fill(fresh if len(self) + len(fresh) <= CACHE_ENTRIES else every)
+        return [list(chain.from_iterable(map(self.__getitem__, some))) for some in split]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -166,17 +207,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
-    def row(v: Vocabulary, doc_id, pieces: list[str]) -> tuple:
-        return (doc_id, *digest(v, v.encode(pieces))[: 4 if keep_ids else 3])
-
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
         return out.astype({"doc_id": "Int64"})
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path, pattern)
-        for b in batches:
-            yield frame([row(v, i, [t]) for i, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True)])
+        for b in (part for batch in batches for part in slices(batch)):
+            ids = v.encode(b["text"].tolist())
+            yield frame([(i, *digest(v, x)[: 4 if keep_ids else 3]) for i, x in zip(b["doc_id"].astype("Int64"), ids, strict=True)])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path, pattern)
@@ -194,8 +233,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path, pattern)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "number": b["number"], "ids": [v.encode([p]) for p in b["piece"]]})
+        for b in (part for batch in batches for part in slices(batch.rename(columns={"piece": "text"}))):
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "number": b["number"], "ids": v.encode(b["text"].tolist())})
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         v = vocabulary(path, pattern)

@@ -69,4 +69,5 @@ def test_stitched_pieces_end_where_pre_tokens_end(text, size):
 @given(st.binary(min_size=1, max_size=60))
 def test_both_ways_to_merge_agree(raw):
     v = bpe.vocabulary(PATH, P.PATTERN)
-    assert v.merge_short(raw) == v.merge(raw)
+    many = [raw, raw[::-1], raw[:1], raw + raw[:7]]
+    assert v.merge_many(many) == [tuple(v.merge(x)) for x in many]
