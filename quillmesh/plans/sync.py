@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions.redact import ERROR_NAMES, error_message, evidence, safe_auth_ref
+from quillmesh.functions.redact import ERROR_NAMES, EVIDENCE_STEPS, GONE, error_message, evidence, safe_auth_ref
 from quillmesh.functions.text import base64_bound, extension, location, markers, once, response_bound, slug
 from quillmesh.functions.urls import TOKEN_FORMS
 from quillmesh.operators import chunking, jobs, merge
 from quillmesh.operators.documents import chunk_documents, in_order, live_chunks, normalize
 from quillmesh.operators.retrieval import chosen_sources
-from quillmesh.operators.wiki import markers_valid, section_valid, substantive_sentences
+from quillmesh.operators.wiki import ABBREVIATIONS, NAME_PARTS, markers_valid, section_valid, substantive_sentences
 from quillmesh.plans import corpus
 from quillmesh.plans.corpus import NOW, SEEN_AT, SQL_CHUNKS, SQL_DOCS, SQL_JOBS, SQL_SOURCES, SYNC_ID
 from quillmesh.plans.registry import query, table
@@ -235,12 +237,33 @@ def f30_error_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.redacted", "made.changed")
 
 
-@query()
+def _evidence_sql(column: str) -> str:
+    """The steps as SQL; the one that looks ahead for its own quote becomes one step a kind of quote."""
+    steps = []
+    for pattern, new in EVIDENCE_STEPS:
+        if "(?!" in pattern:
+            head = pattern.rsplit("([", 1)[0]
+            steps += [(rf"{head}{q}((?:\\.|[^{q}])*){q}", rf"\1{q}{GONE}{q}") for q in ("'", '"')]
+        else:
+            steps.append((pattern, new.replace("$", "\\")))
+    for pattern, new in steps:
+        column = "regexp_replace({}, '{}', '{}', 'g')".format(column, *(x.replace("'", "''") for x in (pattern, new)))
+    return column
+
+
+@query(f"SELECT doc_id, md5({_evidence_sql('text')}) AS redacted FROM documents")
 def f31_evidence_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(evidence(F.col("text")), "UTF-8")).alias("redacted"))
 
 
-@query()
+_SQL_HELD = "|".join(re.escape(x) for x in ABBREVIATIONS)
+
+
+# Turns have no fences, headings, bullets or citations; each cut behind a mark that no digit follows is a sentence if it says something.
+@query(rf"""WITH l AS (SELECT conv_id, turn, unnest(list_concat([''], string_split_regex(text, '\r\n|[\n\x0b\f\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'))) AS line FROM conversations),
+h AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(line, '(?i)(?:{_SQL_HELD})', 'x', 'g'), '\b(?:[A-Za-z]\.){{2,}}', 'x', 'g'), '([A-Za-z0-9_-])\.({"|".join(sorted(NAME_PARTS))})\b', '\1\2', 'g') AS line FROM l),
+p AS (SELECT conv_id, turn, unnest(list_concat([''], string_split_regex(regexp_replace(regexp_replace(line, '([.!?])', '\1' || chr(10), 'g'), chr(10) || '([0-9])', '\1', 'g'), chr(10)))) AS piece FROM h)
+SELECT conv_id, turn, CAST(count(*) FILTER (regexp_matches(piece, '[A-Za-z0-9가-힣]')) AS INTEGER) AS n_sentences FROM p GROUP BY ALL""")
 def g12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(substantive_sentences("text")).alias("n_sentences"))
 
