@@ -152,7 +152,20 @@ def g7_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.col("page.title").alias("title"))
 
 
-@query()
+# The texts between tags of the article, without blank ones; its entities are those that escaping makes.
+def _sql_texts(body: str) -> str:
+    plain = "x"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#x27;", "chr(39)"), ("&amp;", "'&'")):
+        plain = f"replace({plain}, '{entity}', {char})"
+    trimmed = rf"list_transform(string_split_regex({body}, '<[^>]*>'), lambda x: regexp_replace({plain}, '^\s+|\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({trimmed}, lambda x: x <> ''), chr(10))"
+
+
+_SQL_ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+
+
+@query(rf"""WITH {SQL_KEYS} SELECT 'web:' || key AS external_id, array_to_string(list_filter(string_split({_sql_texts(r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, chr(10)), lambda x: x <> ''), chr(10)) AS title,
+  md5({_sql_texts(_SQL_ARTICLE)}) AS content, key AS canonical_url, {_sql_texts(_SQL_ARTICLE)} <> '' AS complete FROM keys JOIN pages USING (page_id, url)""")
 def g7_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("external_id", "title", F.md5(F.encode("content", "UTF-8")).alias("content"), "canonical_url", "complete")
 
@@ -186,7 +199,8 @@ def w9_canonical_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.canonical_replacement(fetched)
 
 
-@query()
+@query(rf"""SELECT 'blog:' || page_id AS external_id, {_sql_texts(r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, md5({_sql_texts(_SQL_ARTICLE)}) AS content, 'https://blog.tistory.com/' || page_id AS url
+FROM pages WHERE page_id BETWEEN 1 AND 200 AND page_id % 9 <> 0 AND {_sql_texts(_SQL_ARTICLE)} <> ''""")
 def sc10_blog_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a blog's responses, their articles as its content elements."""
     body = F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="entry-content">'), "</article>", "</div>")
