@@ -53,7 +53,8 @@ def select_entries(tree: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
         .when(size.isNull() | (size < 0) | (size > max_bytes), "incomplete").otherwise("keep")
     )
     judged = tree.withColumn("verdict", verdict)
-    w = Window.partitionBy("repo", "verdict").orderBy("path", "sha")
+    # Only kept entries are numbered together; the others are spread.
+    w = Window.partitionBy("repo", "verdict", F.when(F.col("verdict") != "keep", F.pmod(F.hash("path"), F.lit(256)))).orderBy("path", "sha")
     over = (F.col("verdict") == "keep") & (F.row_number().over(w) > max_files)
     return judged.withColumn("verdict", F.when(over, "incomplete").otherwise(F.col("verdict")))
 
