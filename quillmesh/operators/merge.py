@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.operators.documents import live
+from quillmesh.operators.documents import live, vector_metadata
 
 ACTIONS = ("unchanged", "rechunked", "changed", "new", "reappeared", "missing")
 
@@ -122,6 +122,15 @@ def new_or_updated(items: DataFrame, vectors: DataFrame) -> DataFrame:
     return marked.filter(F.col("known").isNull() | (F.col("known") != F.col("content_hash"))).withColumn("state", F.when(F.col("known").isNull(), "new").otherwise("updated")).drop("known")
 
 
+def merged_vectors(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A source's vectors after a sync: those of its live chunks. ``embed`` adds ``embedding`` to chunks with their text,
+    and is given only those that are new or have another text."""
+    items = vector_metadata(chunks).join(chunks.select("chunk_id", "text"), "chunk_id")
+    fresh = new_or_updated(items, vectors.withColumn("position", F.lit(0))).drop("state")
+    kept = vectors.join(items.select("vector_key"), "vector_key", "left_semi").join(fresh.select("vector_key"), "vector_key", "left_anti")
+    return kept.select(vectors.columns).unionByName(embed(fresh).select(vectors.columns))
+
+
 def delete_vectors(vectors: DataFrame, ids: DataFrame, source_id: str | None) -> DataFrame:
     """Vectors that stay: with a source its managed ones of these ids go, without one the raw ones of these ids."""
     scope = (F.col("managed") == "true") & (F.col("source_id") == source_id) if source_id is not None else F.col("managed") != "true"

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from quillmesh.schemas import CHUNKS, DOCUMENTS, SOURCES, SYNC_JOBS, TOMBSTONES, align
+from quillmesh.schemas import CHUNKS, DOCUMENTS, SOURCES, SYNC_JOBS, TOMBSTONES, VECTORS, align
 
-TABLES = {"sources": SOURCES, "sync_jobs": SYNC_JOBS, "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_tombstones": TOMBSTONES}
+TABLES = {"sources": SOURCES, "sync_jobs": SYNC_JOBS, "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_tombstones": TOMBSTONES, "vectors": VECTORS}
 MANIFEST = "version long, name string, source_id string, path string"
 Manifest = dict[tuple[str, str], tuple[int, str]]
 

@@ -11,6 +11,8 @@ DOCUMENTS = "document_id string, source_id string, external_id string, title str
 CHUNKS = "chunk_id string, document_id string, source_id string, title string, text string, url string, path string, chunk_index int, line_start int, line_end int, version_id string, content_hash string, updated_at string"
 TOMBSTONES = "chunk_id string, document_id string, source_id string, recorded_at string"
 
+VECTORS = "vector_key string, doc_id string, chunk_id string, document_id string, source_id string, title string, url string, path string, content_hash string, managed string, embedding array<float>"
+
 
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]

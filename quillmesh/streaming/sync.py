@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillmesh.functions.redact import error_message, safe_auth_ref
 from quillmesh.operators import jobs, merge
 from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents
-from quillmesh.operators.documents import identity, live, normalize
+from quillmesh.operators.documents import identity, live, live_chunks, normalize
 from quillmesh.operators.store import Store
 from quillmesh.schemas import SOURCES, names
 from quillmesh.sources.registry import Connector, Registry
@@ -32,14 +32,15 @@ class SyncResult:
 
 def sync(
     store: Store, rows: DataFrame, source_id: str, info: SnapshotInfo, seen_at: str, sync_id: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS,
-    finish: Callable[[dict[str, int]], dict[str, DataFrame] | None] | None = None,
+    finish: Callable[[dict[str, int]], dict[str, DataFrame] | None] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> SyncResult:
     """Merge a source's snapshot (connector rows with ``position``) and publish the new state.
 
     The last row of a document counts, all are totalled. Documents that a complete snapshot lacks, within its prefixes,
     are deleted; chunks of changed documents are replaced and recorded. A document of another source is refused.
     ``finish`` is given the counters and adds tables (the job and its source) to the same publication; None from it
-    publishes nothing.
+    publishes nothing. ``embed`` adds embeddings to new chunks, whose vectors are published with them; those of chunks
+    that are gone go.
     """
     pinned = store.manifest()
     documents, chunks, tombstones = (store.read(n, pinned, source_id) for n in ("documents", "chunks", "chunk_tombstones"))
@@ -59,10 +60,12 @@ def sync(
         state = merge.tombstone(state, merge.stale(state, source_id, "last_seen_sync_id", sync_id, info.prefixes), seen_at)
     numbers = {"total_documents": total, **{n: count[n] for n in ("processed_documents", "skipped_documents", "indexed_chunks")}}
     more = finish(numbers) if finish else {}
-    version = 0
+    replaced, version = merge.replace_chunks(chunks, seen, new_chunks), 0
     if more is not None:
+        if embed:
+            more = more | {"vectors": merge.merged_vectors(store.read("vectors", pinned, source_id), live_chunks(replaced, state), embed)}
         version = store.publish({
-            "documents": state, "chunks": merge.replace_chunks(chunks, seen, new_chunks), "chunk_tombstones": merge.record_tombstones(tombstones, chunks, redone, seen_at), **more,
+            "documents": state, "chunks": replaced, "chunk_tombstones": merge.record_tombstones(tombstones, chunks, redone, seen_at), **more,
         }, source_id)
     return SyncResult(version, total, count["processed_documents"], count["skipped_documents"], count["indexed_chunks"], count["missing_documents"] if info.complete else 0)
 

@@ -169,3 +169,20 @@ def test_the_life_of_a_job(spark):
     assert (of_source.first()["sync_status"], of_source.first()["last_error"]) == ("failed", "gone too")
     same, _ = jobs.fail(failed, of_source, "j2", "s", "again", "2024-01-01 04:00:00")
     assert same.filter("job_id = 'j2'").first()["error_message"] == "gone too"
+
+
+def test_vectors_follow_their_chunks(spark, tmp_path):
+    store, whole = Store(spark, str(tmp_path / "state")), SnapshotInfo(True)
+    given = []
+
+    def embed(chunks):
+        given.append(sorted(r["text"] for r in chunks.select("text").collect()))
+        return chunks.withColumn("embedding", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")))
+
+    run = lambda n, *v: S.sync(store, rows(spark, *v), "src", whole, f"t{n}", f"s{n}", embed=embed)
+    run(1, ("a", "A", "alpha"), ("b", "B", "beta"))
+    run(2, ("a", "A", "alpha"), ("b", "B", "beta two"), ("c", "C", "gamma"))
+    run(3, ("a", "A", "alpha"), ("c", "C", "gamma"))
+    assert given == [["alpha", "beta"], ["beta two", "gamma"], []]
+    found = {r["document_id"]: r for r in store.read("vectors").collect()}
+    assert found.keys() == {"a", "c"} and list(found["c"]["embedding"]) == [5.0, 1.0] and found["a"]["managed"] == "true" and found["a"]["vector_key"].startswith("managed:src:a:chunk:0:")
