@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word's input is the mean of the embeddings of its byte trigrams plus the embedding of the word itself, where the
-training texts hold it often enough. Two gated recurrent layers read a window of words in both directions; attention
+A word's input is the mean of the embeddings of its byte trigrams, plus those of its stems (its first bytes, hashed), plus
+that of the word itself, where the training texts hold it often enough. Two gated recurrent layers read a window of words in both directions; attention
 weights the states; a linear layer scores the sum. Every text is cut into windows that overlap by half, all are
 scored, and the text's score is that of its worst window. All is numpy: training runs on a bounded sample of labelled
 texts on the driver (a text's loss pools its windows), scoring inside the tasks over whole texts.
@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.labelled import Adam, frequent, lookup, remainder, sample, sigmoid, trigrams
-from quillmesh.llm.text import Words, slices, words_of
+from quillmesh.llm.text import Words, mix, slices, words_of
 
 WINDOW, STRIDE = 48, 24
 EMBED, HIDDEN, ATTEND, CHAR_BUCKETS = 8, 8, 8, 4096
+#: Bytes of a word's stems, and the buckets that they are hashed to.
+STEMS, STEM_BUCKETS = (6, 8), 1 << 14
 #: Bounds of the training sample: rows of each class, characters of a text; texts that a word must be in.
 PER_CLASS, MOST_CHARS, LEAST_TEXTS = 2500, 6000, 8
 #: Passes over the sample, more of them for a small one so that there are STEPS at least.
 EPOCHS, STEPS, BATCH, RATE = 8, 240, 64, 0.01
 #: Against learning single texts by heart: the part of words that a training window lacks, and the weights' decay.
-DROPPED, DECAY = 0.2, 0.1
+DROPPED, DECAY = 0.2, 0.4
 #: Windows scored at once.
 SCORED = 2048
 
@@ -38,6 +40,18 @@ def window_starts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE, owner
 
 
+def stems(w: Words, which: np.ndarray) -> np.ndarray:
+    """Buckets of the first bytes of some words (of all bytes of shorter words), one row a word."""
+    raw = np.frombuffer(w.data + bytes(max(STEMS)), np.uint8).astype(np.uint64)
+    code, out = np.zeros(len(which), np.uint64), []
+    for k in range(max(STEMS)):
+        inside = w.start[which] + k < w.end[which]
+        code = mix(code * np.uint64(257) + np.where(inside, raw[w.start[which] + k], np.uint64(0)))
+        if k + 1 in STEMS:
+            out.append(code % np.uint64(STEM_BUCKETS))
+    return np.stack(out, axis=1).astype(np.int64)
+
+
 class Inputs:
     """Distinct words of a batch (row 0: padding) and the windows as rows of them."""
 
@@ -46,6 +60,7 @@ class Inputs:
         self.word = lookup(vocabulary, w.hash[which])
         self.char, self.char_first = trigrams(w, which, CHAR_BUCKETS)
         self.char_size = np.diff(np.append(self.char_first, len(self.char)))
+        self.stem = stems(w, which)
         count = np.diff(w.first)
         self.start, self.owner = window_starts(count)
         self.left = count[self.owner] - self.start
@@ -68,13 +83,14 @@ class Network:
 
         self.p = {
             "word": some(len(vocabulary) + 1, EMBED, scale=0.1), "char": some(CHAR_BUCKETS, EMBED, scale=0.3),
-            "w": some(EMBED, 2 * 3 * HIDDEN, scale=0.4), "b": np.zeros(2 * 3 * HIDDEN, np.float32), "u": some(2, HIDDEN, 3 * HIDDEN, scale=0.3),
+            "stem": some(STEM_BUCKETS, EMBED, scale=0.1), "w": some(EMBED, 2 * 3 * HIDDEN, scale=0.4), "b": np.zeros(2 * 3 * HIDDEN, np.float32), "u": some(2, HIDDEN, 3 * HIDDEN, scale=0.3),
             "a": some(2 * HIDDEN, ATTEND, scale=0.3), "v": some(ATTEND, scale=0.3), "o": some(2 * HIDDEN, scale=0.3), "c": np.full(1, -2, np.float32),
         }
 
     def embed(self, x: Inputs) -> np.ndarray:
         e = self.p["word"][x.word]
         e[x.word == 0] = 0
+        e = e + self.p["stem"][x.stem].sum(axis=1)
         if len(x.char):
             e = e + np.add.reduceat(self.p["char"][x.char], x.char_first) / x.char_size[:, None].astype(np.float32)
         return e
@@ -152,11 +168,12 @@ class Network:
         d_gates = d_gates[1:]
         g["w"], g["b"] = e.T @ d_gates, d_gates.sum(axis=0)
         d_e = d_gates @ p["w"].T
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
+        g["word"], g["char"], g["stem"] = np.zeros_like(p["word"]), np.zeros_like(p["char"]), np.zeros_like(p["stem"])
         per_char = np.repeat(d_e / np.maximum(x.char_size, 1)[:, None], x.char_size, axis=0)
         for k in range(EMBED):
             g["word"][:, k] = np.bincount(x.word, d_e[:, k], len(p["word"]))
             g["char"][:, k] = np.bincount(x.char, per_char[:, k], CHAR_BUCKETS)
+            g["stem"][:, k] = np.bincount(x.stem.ravel(), np.repeat(d_e[:, k], x.stem.shape[1]), STEM_BUCKETS)
         g["word"][0] = 0
         return {k: v.astype(np.float32) for k, v in g.items()}
 
