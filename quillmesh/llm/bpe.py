@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +29,7 @@ from quillmesh.llm.text import slices
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
 #: Pre-tokens whose ids a worker keeps; bytes of those that are merged many at once, and how many.
-CACHE_ENTRIES, SHORT_BYTES, MERGED_AT_ONCE = 250_000, 48, 4096
+CACHE_ENTRIES, SHORT_BYTES, MERGED_AT_ONCE = 150_000, 48, 2048
 #: The rank of parts that aren't joined.
 NONE = 1 << 40
 
@@ -44,9 +45,15 @@ class Vocabulary(dict):
         self.split = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
         # Every way to put a token together from two tokens, by both of them, in order.
-        ranks = self.ranks
-        joins = [(ranks[t[:k]] << 32 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.pair, self.joined = np.array(sorted(joins) or [(-1, NONE)], np.int64).T.copy()
+        ranks, keys, values = self.ranks, array("q", [-1]), array("q", [NONE])
+        for t, i in ranks.items():
+            for k in range(1, len(t)):
+                if (left := ranks.get(t[:k])) is not None and (right := ranks.get(t[k:])) is not None:
+                    keys.append(left << 32 | right)
+                    values.append(i)
+        pair, joined = np.frombuffer(keys, np.int64), np.frombuffer(values, np.int64)
+        order = np.argsort(pair)
+        self.pair, self.joined = pair[order], joined[order]
         self.byte_pairs = self.rank_of(self.byte_ids[:, None], self.byte_ids[None, :])
 
     def __missing__(self, token: str) -> tuple[int, ...]:

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pd.DataFrame, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """A batch's rows in order, in parts of about ``chars`` characters of text (one row at least), so that the arrays of a part stay small."""
     size = batch["text"].str.len().fillna(0).to_numpy(np.int64)
     part = (np.cumsum(size) - size) // chars
