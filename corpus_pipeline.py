@@ -7,32 +7,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import bpe, decontaminate, jaccard_join, secret_scan, toxicity
 from quillmesh.llm.labelled import remainder
-from quillmesh.llm.shared import publish, table
+from quillmesh.llm.shared import publish, small_batches, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be toxic go; all others stay as they are."""
+    small_batches(spark)
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     return toxicity.keep_clean(docs, network)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one with the least id stays."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a test item, edited or not, go."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to their kind in angle brackets; n_chars follows the text."""
+    small_batches(spark)
     return secret_scan.redact_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with hashes of the ids and of the bytes decoded from them."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 

@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Rows in a batch that a Python worker is given, where stages follow each other in the same workers.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Python workers hold BATCH_ROWS rows at once: what they hold is a batch's texts, several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def publish(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
