@@ -149,13 +149,12 @@ def interactions(counters: DataFrame, names: str) -> DataFrame:
     if not 0 < len(names) <= MOST_FILTERS:
         raise ValueError(f"1 to {MOST_FILTERS} filters are audited")
     total = math.factorial(len(names))
-    steps = []
-    for order in map("".join, itertools.permutations(names)):
-        bits = [1 << names.index(x) for x in order]
-        for k, bit in enumerate(bits):
-            steps.append(F.struct(F.lit(order).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(bit).alias("own"), F.lit(sum(bits[:k])).alias("before")))
+    orders = ",".join(map("".join, itertools.permutations(names)))
     by_part = counters.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("counts"))
-    each = by_part.select("part", "counts", F.explode(F.array(*steps)).alias("s")).select("part", "counts", "s.*")
+    each = by_part.select("part", "counts", F.explode(F.split(F.lit(orders), ",")).alias("filter_order"))
+    each = each.withColumn("bits", F.transform(F.filter(F.split("filter_order", ""), lambda x: x != ""), lambda x: F.pow(F.lit(2), F.instr(F.lit(names), x) - 1).cast("int")))
+    each = each.select("*", F.posexplode("bits").alias("at", "own"))
+    each = each.withColumn("step", F.col("at") + 1).withColumn("before", F.aggregate(F.slice("bits", F.lit(1), F.col("at")), F.lit(0), lambda acc, x: acc + x))
     own, before = F.col("own"), F.col("before")
 
     def total_of(what: str, when) -> Column:

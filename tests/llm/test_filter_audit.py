@@ -95,7 +95,7 @@ def batches(rows, size):
 @pytest.mark.parametrize("size", [1, 2, 3, 100])
 def test_equal_fingerprints_of_different_texts(size):
     """Texts that share a fingerprint are told apart, in a partition and over its edges."""
-    rows = [(b"f", t, i) for i, t in enumerate("abcabcaab")] + [(b"g", "a", 1), (b"g", "z", 0), (b"g", "z", 7), (b"h", "q", None), (b"h", "q", None), (b"h", "q", 3)]
+    rows = [(b"f", t, i) for i, t in enumerate("abcabcaab")] + [(b"g", "y", 1), (b"g", "z", 0), (b"g", "z", 7), (b"h", "q", None), (b"h", "q", None), (b"h", "q", 3)]
     for cut in range(0, 10):
         # As ranges go: by fingerprint and id.
         ordered = sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0))
