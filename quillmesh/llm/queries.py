@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import bpe, decontaminate, filter_audit, hidden_markov, jaccard_join, media, quality, secret_scan, substring_dedup, suffix_dedup, toxicity, url_filters
+from quillmesh.llm import bpe, decontaminate, filter_audit, hidden_markov, jaccard_join, media, quality, secret_scan, substring_dedup, suffix_dedup, token_alignment, toxicity, url_filters
 from quillmesh.llm.shared import table
 
 
@@ -60,9 +60,13 @@ def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_byte_bpe, op3_jaccard_join, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_url_filters, op8_toxicity, op9_media, op10_secret_scan, op11_filter_audit, op12_hidden_markov)
+    for f in (op1_decontaminate, op2_byte_bpe, op3_jaccard_join, op4_substring_dedup, op5_suffix_dedup, op6_quality, op7_url_filters, op8_toxicity, op9_media, op10_secret_scan, op11_filter_audit, op12_hidden_markov, op13_token_alignment)
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": url_filters.SQL, "op11_filter_audit": filter_audit.SQL}
