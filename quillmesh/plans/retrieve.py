@@ -27,21 +27,20 @@ SQL_RESULTS = f"""results AS (SELECT c.rank, c.chunk_id, c.document_id, c.source
 SQL_BASE = f"WITH {SQL_DOCS}, {SQL_CHUNKS}, {SQL_SOURCES}, {SQL_SCORED}, {SQL_RESULTS}"
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ranked keyword candidates (a bounded few) with their chunk's columns, and documents."""
-    docs = corpus.documents(spark, sf_dir)
-    best = retrieval.keyword_top_k(corpus.chunks(docs), F.col("text"), QUERY, TOP_K, ["chunk_id"])
-    return retrieval.ranked(best, F.col("score").desc(), "chunk_id"), docs
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked keyword candidates (a bounded few) with their chunk's columns, by the index of the published chunks."""
+    best = corpus.published(spark, sf_dir).index.top_k(QUERY, TOP_K, ["chunk_id"])
+    return retrieval.ranked(best, F.col("score").desc(), "chunk_id")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best, docs = candidates(spark, sf_dir)
-    return retrieval.hydrate_carried(best, docs, corpus.sources(docs), retrieval.source_filter({"source_ids": SOURCES, "source_id": "src0"}))
+    held = corpus.published(spark, sf_dir)
+    return retrieval.hydrate_carried(candidates(spark, sf_dir), held.documents, held.sources, retrieval.source_filter({"source_ids": SOURCES, "source_id": "src0"}))
 
 
 @query(f"WITH {SQL_DOCS}, {SQL_CHUNKS}, {SQL_SCORED} SELECT rank, chunk_id, score FROM candidates")
 def t1_keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir)[0].select(F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+    return candidates(spark, sf_dir).select(F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 @query(f"{SQL_BASE} SELECT rank, chunk_id, document_id, source_id, source_type, score, preview, line_start, line_end FROM results")
