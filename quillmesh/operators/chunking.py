@@ -208,6 +208,17 @@ def kind_of(path: Column, title: Column, content: Column) -> Column:
     return F.when(strip(content) == "", "none").when(end.isin(*MARKDOWN), "markdown").when(end.isin(*CODE), "code").otherwise("plain")
 
 
+#: Counts up with every change of the rules below, so that documents are chunked again.
+VERSION = 1
+
+
+def chunker(path: Column, title: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """What made a document's chunks: rules, sizes, and the kind that its path or title names."""
+    end = F.regexp_extract(F.lower(first_filled(path, title)), r"(\.[^.]*)$", 1)
+    kind = F.when(end.isin(*MARKDOWN), "markdown").when(end.isin(*CODE), "code").otherwise("plain")
+    return F.concat(F.lit(f"{VERSION}:{max_chars}:{overlap}:"), kind)
+
+
 def chunk_documents(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """All chunks of normalized documents, with ids, positions and lines."""
     check(max_chars, overlap)

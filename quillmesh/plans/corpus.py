@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import strip
-from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, number_chunks, plain_parts
+from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunker, number_chunks, plain_parts
 from quillmesh.operators import substring_index
 from quillmesh.operators.documents import normalize
 from quillmesh.operators.published import shared_folder, written
@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized documents; one in ten is deleted."""
     rows = normalize(raw_documents(spark, sf_dir), F.col("source_id"), SEEN_AT, SYNC_ID)
     gone = F.regexp_extract("document_id", r"(\d+)$", 1).cast("long") % 10 == 9
-    return rows.withColumn("deleted_at", F.when(gone, SEEN_AT).otherwise(""))
+    return rows.withColumn("deleted_at", F.when(gone, SEEN_AT).otherwise("")).withColumn("chunker", chunker(F.col("path"), F.col("title")))
 
 
 def chunks(docs: DataFrame) -> DataFrame:

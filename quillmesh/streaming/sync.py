@@ -12,17 +12,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.functions.redact import error_message, safe_auth_ref
 from quillmesh.operators import jobs, merge
-from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents
-from quillmesh.operators.documents import identity, live, live_chunks, normalize
-from quillmesh.operators.store import Store
-from quillmesh.schemas import SOURCES, names
+from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents, chunker
+from quillmesh.operators.documents import identity, live, normalize
+from quillmesh.operators.store import Delta, Store
+from quillmesh.schemas import CLAIMS, SOURCES, names
 from quillmesh.sources.registry import Connector, Registry
 from quillmesh.sources.web import SnapshotInfo
 
 
 @dataclass(frozen=True)
 class SyncResult:
-    version: int
+    version: str
     total_documents: int
     processed_documents: int
     skipped_documents: int
@@ -30,49 +30,107 @@ class SyncResult:
     missing_documents: int
 
 
+#: What a stale job of another source, whose claim gives way, fails with.
+CLAIM_EXPIRED = "Document claim expired with stale sync job"
+
+
 def sync(
     store: Store, rows: DataFrame, source_id: str, info: SnapshotInfo, seen_at: str, sync_id: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS,
     finish: Callable[[dict[str, int]], dict[str, DataFrame] | None] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
+    claim: Callable[[DataFrame], None] | None = None, chunk: Callable[..., DataFrame] = chunk_documents,
 ) -> SyncResult:
-    """Merge a source's snapshot (connector rows with ``position``) and publish the new state.
+    """Merge a source's snapshot (connector rows with ``position``) and publish what changed.
 
-    The last row of a document counts, all are totalled. Documents that a complete snapshot lacks, within its prefixes,
-    are deleted; chunks of changed documents are replaced and recorded. A document of another source is refused.
+    The last row of a document counts, all are totalled. Only documents that are new, live again, of another content or
+    chunked by another chunker are chunked; of the others chunks take over a new title, place or date, and are written only
+    if there is one. Documents that a complete snapshot lacks, within its prefixes, are deleted; chunks of changed documents
+    are replaced and recorded. When unchanged documents were last seen is noted beside them. A document of another source
+    is refused. ``claim`` is given the documents that will be written, before they are chunked, and may refuse them.
     ``finish`` is given the counters and adds tables (the job and its source) to the same publication; None from it
     publishes nothing. ``embed`` adds embeddings to new chunks, whose vectors are published with them; those of chunks
     that are gone go.
     """
-    pinned = store.manifest()
-    documents, chunks, tombstones = (store.read(n, pinned, source_id) for n in ("documents", "chunks", "chunk_tombstones"))
+    pinned = store.pinned(source_id)
+    documents, chunks, tombstones = (store.read(n, source_id, pinned) for n in ("documents", "chunks", "chunk_tombstones"))
     # Rows are numbered once: numbers that were computed again could differ.
     ordered = store.stage(rows if "position" in rows.columns else rows.withColumn("position", F.monotonically_increasing_id()))
     total = ordered.count()
-    last = normalize(latest_rows(ordered), F.lit(source_id), seen_at, sync_id)
-    if not merge.foreign_owners(store.read("documents", pinned, but=source_id), last).isEmpty():
+    last = normalize(latest_rows(ordered), F.lit(source_id), seen_at, sync_id).withColumn("chunker", chunker(F.col("path"), F.col("title"), max_chars, overlap))
+    triaged = store.stage(merge.triage(last, documents))
+    new = triaged.filter("action = 'new'")
+    if not new.isEmpty() and not merge.foreign_owners(store.read("documents", but=source_id), last.join(new, "document_id", "left_semi")).isEmpty():
         raise ValueError("a document belongs to another source")
-    new_chunks = store.stage(chunk_documents(last, max_chars, overlap))
-    changes = store.stage(merge.diff(last, documents, new_chunks, chunks))
+    work = merge.to_chunk(last, triaged)
+    same = last.join(triaged.filter("action = 'unchanged'").select("document_id"), "document_id", "left_semi")
+    moved = changed_rows(same, documents)
+    written = store.stage(work.select("document_id").unionByName(moved.select("document_id")))
+    if claim:
+        claim(written)
+    new_chunks = store.stage(chunk(work, max_chars, overlap))
+    changes = store.stage(merge.settle(triaged, new_chunks, chunks))
     count = merge.counters(changes).first()
-    redone = changes.filter("action in ('new', 'changed', 'rechunked', 'reappeared')").select("document_id", F.lit(source_id).alias("source_id"))
-    seen = changes.filter("action != 'missing'").select("document_id", F.lit(source_id).alias("source_id"))
-    state = merge.overlay(documents, last, ["document_id"])
-    if info.complete:
-        state = merge.tombstone(state, merge.stale(state, source_id, "last_seen_sync_id", sync_id, info.prefixes), seen_at)
     numbers = {"total_documents": total, **{n: count[n] for n in ("processed_documents", "skipped_documents", "indexed_chunks")}}
     more = finish(numbers) if finish else {}
-    replaced, version = merge.replace_chunks(chunks, seen, new_chunks), 0
+    gone = merge.within(changes.filter("action = 'missing'" if info.complete else "false"), info.prefixes).select("document_id")
+    missing = gone.count() if info.complete else 0
+    version = ""
     if more is not None:
-        if embed:
-            more = more | {"vectors": merge.merged_vectors(store.read("vectors", pinned, source_id), live_chunks(replaced, state), embed)}
-        version = store.publish({
-            "documents": state, "chunks": replaced, "chunk_tombstones": merge.record_tombstones(tombstones, chunks, redone, seen_at), **more,
-        }, source_id)
-    return SyncResult(version, total, count["processed_documents"], count["skipped_documents"], count["indexed_chunks"], count["missing_documents"] if info.complete else 0)
+        tables: dict[str, DataFrame | Delta] = dict(more)
+        seen = last.select("document_id", "source_id", "last_seen_at", "last_seen_sync_id").join(written, "document_id", "left_anti")
+        tables["sightings"] = Delta(seen)
+        if missing or not written.isEmpty():
+            fresh = last.join(written, "document_id", "left_semi")
+            deleted = documents.join(gone, "document_id", "left_semi").withColumn("deleted_at", F.lit(seen_at))
+            renewed = store.stage(new_chunks.unionByName(merge.refreshed_chunks(chunks, moved, documents).select(new_chunks.columns)))
+            redone = changes.filter("action in ('changed', 'rechunked', 'reappeared')").select("document_id", F.lit(source_id).alias("source_id"))
+            recorded = merge.record_tombstones(tombstones.filter("false"), chunks, redone, seen_at).join(tombstones.select("chunk_id"), "chunk_id", "left_anti")
+            tables |= {"documents": Delta(fresh.unionByName(deleted.select(fresh.columns))), "chunks": Delta(renewed, written), "chunk_tombstones": Delta(recorded)}
+            if embed:
+                affected = written.unionByName(gone)
+                old = store.read("vectors", source_id, pinned).join(affected, "document_id", "left_semi")
+                tables["vectors"] = Delta(merge.merged_vectors(old, renewed, embed), affected)
+        version = store.publish(tables, source_id)
+        if store.due(source_id):
+            store.compact(source_id)
+    return SyncResult(version, total, count["processed_documents"], count["skipped_documents"], count["indexed_chunks"], missing)
+
+
+def changed_rows(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Documents that differ from the stored ones in more than when they were seen."""
+    kept = [c for c in stored.columns if c not in ("last_seen_at", "last_seen_sync_id")]
+    before = stored.select("document_id", F.xxhash64(*kept).alias("before"))
+    return documents.join(before, "document_id").filter(F.xxhash64(*kept) != F.col("before")).drop("before")
+
+
+def last_seen(store: Store, source_id: str | None = None) -> DataFrame:
+    """Documents with when they were seen last: by their own rows, or by a later sighting."""
+    seen = store.read("sightings", source_id).select("document_id", "source_id", F.struct("last_seen_at", "last_seen_sync_id").alias("seen"))
+    docs = store.read("documents", source_id)
+    own = F.struct("last_seen_at", "last_seen_sync_id")
+    best = F.when(F.col("seen.last_seen_at") > F.col("last_seen_at"), F.col("seen")).otherwise(own)
+    joined = docs.join(seen, ["document_id", "source_id"], "left").withColumn("best", best)
+    return joined.withColumns({"last_seen_at": F.col("best.last_seen_at"), "last_seen_sync_id": F.col("best.last_seen_sync_id")}).select(docs.columns)
+
+
+def claim_documents(store: Store, wanted: DataFrame, source_id: str, job_id: str, now: str, hours: float = jobs.LEASE_HOURS) -> None:
+    """Claim documents for a running job. ValueError where a running job of another source holds one; a claim of a finished
+    job gives way, as does that of a job without a sign of life, which fails by it, its source with it."""
+    claims = store.read("document_claims")
+    held = store.stage(merge.held_claims(claims, store.read("sync_jobs", but=source_id), wanted, source_id, now, hours))
+    taken = held.filter("state = 'running'").orderBy("document_id").first()
+    if taken is not None:
+        raise ValueError(f"document {taken['document_id']} is already claimed by {taken['source_id']}, not {source_id}")
+    # One running job a source at most: a bounded few.
+    for r in held.filter("state = 'stale'").select("source_id", "job_id").distinct().collect():
+        failed, of_source = jobs.fail(store.read("sync_jobs", r["source_id"]), store.read("sources", r["source_id"]), r["job_id"], r["source_id"], CLAIM_EXPIRED, now, hours)
+        store.publish({"sync_jobs": failed, "sources": of_source, "document_claims": claims.filter("false")}, r["source_id"])
+    mine = merge.claimed(store.read("document_claims", source_id), wanted, held, source_id, job_id, now)
+    store.publish({"document_claims": mine}, source_id)
 
 
 def register(store: Store, connector: Connector, name: str, now: str, auth_ref: str = "") -> None:
     """Add a source, or refresh its name and reference; its state stays."""
-    old = store.read("sources", source_id=connector.source_id).first()
+    old = store.read("sources", connector.source_id).first()
     fresh = {"source_id": connector.source_id, "source_type": connector.source_type, "name": name, "enabled": True, "auth_ref": auth_ref, "sync_status": "idle", "last_synced_at": "", "last_error": "", "created_at": now}
     if old is not None:
         fresh |= {n: old[n] for n in ("sync_status", "last_synced_at", "last_error", "created_at")}
@@ -90,9 +148,10 @@ def run(store: Store, connector: Connector, now: str, job_id: str | None = None,
     source_id, job_id = connector.source_id, job_id or f"job-{uuid.uuid4().hex}"
 
     def tables() -> tuple[DataFrame, DataFrame]:
-        pinned = store.manifest()
-        return store.read("sync_jobs", pinned, source_id), store.read("sources", pinned, source_id)
+        pinned = store.pinned(source_id)
+        return store.read("sync_jobs", source_id, pinned), store.read("sources", source_id, pinned)
 
+    released = store.spark.createDataFrame([], CLAIMS)
     begun, sources, active = jobs.begin(*tables(), job_id, source_id, now, hours)
     if active is not None:
         return {"source_id": source_id, "job_id": active, "status": "already_running"}
@@ -100,17 +159,21 @@ def run(store: Store, connector: Connector, now: str, job_id: str | None = None,
 
     def finish(counters: dict[str, int]) -> dict[str, DataFrame] | None:
         done, of_source, active = jobs.succeed(*tables(), job_id, source_id, counters, now, hours)
+        ended = {"sync_jobs": done, "sources": of_source, "document_claims": released}
         if not active:
-            store.publish({"sync_jobs": done, "sources": of_source}, source_id)
-        return {"sync_jobs": done, "sources": of_source} if active else None
+            store.publish(ended, source_id)
+        return ended if active else None
+
+    def claim(wanted: DataFrame) -> None:
+        claim_documents(store, wanted, source_id, job_id, now, hours)
 
     try:
         rows, info = connector.read(store.spark)
-        sync(store, rows, source_id, info if cleanup else SnapshotInfo(False), now, job_id, finish=finish)
+        sync(store, rows, source_id, info if cleanup else SnapshotInfo(False), now, job_id, finish=finish, claim=claim)
     except Exception as e:  # whatever stops a source becomes its job's message
         message = store.spark.range(1).select(error_message(F.lit(str(e)[:2000]))).first()[0]
         failed, of_source = jobs.fail(*tables(), job_id, source_id, message, now, hours)
-        store.publish({"sync_jobs": failed, "sources": of_source}, source_id)
+        store.publish({"sync_jobs": failed, "sources": of_source, "document_claims": released}, source_id)
     return jobs.one(tables()[0], job_id).asDict()
 
 

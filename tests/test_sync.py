@@ -52,7 +52,7 @@ def test_prefixes_are_literal(spark):
 def test_an_unpublished_version_is_invisible(spark, tmp_path):
     store = Store(spark, str(tmp_path / "state"))
     S.sync(store, rows(spark, ("a", "A", "alpha")), "src", SnapshotInfo(True), "t1", "s1")
-    store.read("documents").withColumn("content", F.lit("half written")).write.parquet(f"{store.root}/documents/00000002-lost")
+    store._write("documents", store.read("documents").withColumn("content", F.lit("half written")), store.read("documents"), "src", "00000002-lost")
     assert state(store)[0]["a"][0] == "alpha"
     assert store.read("sources").count() == 0
 
