@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together in the same text.
 
-Arrow batches tokenize a text twice and give ids and byte ends; everything after that is Spark's own functions on arrays:
-the intersection of both end arrays cuts the tokens into groups, and the two tokens that end at a cut are linked. Cuts are
-sorted into each side's tokens as marks, since a running aggregate would copy what it has gathered at every token; so the
-work is linear in the tokens, but for a sort of numbers that come as two sorted runs.
+Arrow batches tokenize a text twice and give each side's tokens (id and byte end in one number) and ends; everything after
+that is Spark's own functions on arrays: the intersection of both end arrays cuts the tokens into groups, and the two tokens
+that end at a cut are linked. Cuts are sorted into each side's tokens as marks, since a running aggregate would copy what it
+has gathered at every token; so the work is linear in the tokens, but for a sort of numbers that come as two sorted runs.
 
 How often two ids are linked is counted over the whole corpus. Of those counts a bounded number, the largest, is sent to
 all workers, so that no id pair is frequent among the links that are shuffled to their counts.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from quillmesh.llm.shared import publish, release
 FREQUENT = 65_536
 #: Characters of text that are tokenized at once.
 SLICE = 1 << 20
-#: Bits of an id beside its end; the largest number of that size marks a cut.
+#: Bits of an id beside its end. An end as such has MARK in their place, so that it sorts behind its token; ids are smaller.
 ID_BITS = 17
-MARK = (1 << ID_BITS) - 1
+LOW, MARK = (1 << ID_BITS) - 1, 1 << ID_BITS - 1
 # Fixed value: what splits a text before the merges of a byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,6 +60,7 @@ class ByteLevel:
             spec = json.load(f)
         alphabet, vocab, special = byte_alphabet(), spec["model"]["vocab"], {x["id"] for x in spec.get("added_tokens", [])}
         self.bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if i not in special}
+        self.lossless = True  # whatever is encoded, single bytes have tokens
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         before, extra = spec.get("pre_tokenizer") or {}, spec["model"]
         ranked = (
@@ -80,7 +82,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = {}
+        self.bytes, self.lossless = {}, False
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             byte = re.fullmatch("<0x([0-9A-Fa-f]{2})>", piece)
@@ -88,29 +90,40 @@ class Pieces:
         self.encode = lambda text: model.encode(text, num_threads=1)
 
 
+@lru_cache(maxsize=2)
+def both_sides(byte_level: str, pieces: str) -> list[tuple[ByteLevel | Pieces, np.ndarray]]:
+    """The two tokenizers with the bytes that each id has, made once a worker."""
+    sides: list[tuple[ByteLevel | Pieces, np.ndarray]] = []
+    for t in (ByteLevel(byte_level), Pieces(pieces)):
+        if max(t.bytes) >= MARK:
+            raise ValueError(f"ids from {MARK} on aren't aligned")
+        size = np.zeros(max(t.bytes) + 1, np.int64)
+        size[list(t.bytes)] = [len(x) for x in t.bytes.values()]
+        sides.append((t, size))
+    return sides
+
+
 def tokenize(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """key, doc_id, and both sides' ids and byte ends in a space and the text."""
-    whole = T.ArrayType(T.IntegerType(), False)
-    names = ("a_ids", "a_ends", "b_ids", "b_ends")
+    """key, doc_id, and both sides' tokens and ends in a space and the text: end << ID_BITS, with the id or MARK below."""
+    whole = T.ArrayType(T.LongType(), False)
+    names = ("a", "a_ends", "b", "b_ends")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(n, whole) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(byte_level), Pieces(pieces)
-        sides = []
-        for t in (a, b):
-            size = np.zeros(max(t.bytes) + 1, np.int32)
-            size[list(t.bytes)] = [len(x) for x in t.bytes.values()]
-            sides.append((t, size))
-        none = np.zeros(0, np.int32)
+        from quillmesh.llm.token_alignment import both_sides  # the module's own: what is sent along has no cache
+
+        sides = both_sides(byte_level, pieces)
+        none = np.zeros(0, np.int64)
 
         def both(text: str) -> list[np.ndarray]:
             data, out = (" " + text).encode("utf-8", "surrogatepass"), []
             for (t, size), given in zip(sides, (" " + text, text), strict=True):
                 ids = t.encode(given)
-                if b"".join(map(t.bytes.__getitem__, ids)) != data:
+                if not t.lossless and b"".join(map(t.bytes.__getitem__, ids)) != data:
                     return [none] * 4
-                ids = np.array(ids, np.int32)
-                out += [ids, np.cumsum(size[ids], dtype=np.int32)]
+                ids = np.array(ids, np.int64)
+                ends = np.cumsum(size[ids]) << ID_BITS
+                out += [ends | ids, ends | MARK]
             return out
 
         def batch_of(keys: list, doc_ids: list, rows: list) -> pa.RecordBatch:
@@ -141,28 +154,24 @@ def tokenize(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 def align(tokens: DataFrame) -> DataFrame:
     """key, doc_id, n_a, n_b, and of every text its groups ("a1,a2|b1") and links (a, b) in order."""
 
-    def marked(ids: str, ends: str) -> Column:
-        """A side's tokens by their ends, with a mark behind each cut, as text: ",12,13;,14;"."""
-        tokens = F.zip_with(ends, ids, lambda e, i: F.coalesce(e.cast("long") * (1 << ID_BITS) + i, F.lit(0).cast("long")))
-        ordered = F.sort_array(F.concat(tokens, F.col("cuts")))
-        shown = F.transform(ordered, lambda x: F.when(x.bitwiseAND(F.lit(MARK).cast("long")) == MARK, ";").otherwise(F.concat(F.lit(","), x.bitwiseAND(F.lit(MARK).cast("long")).cast("string"))))
-        return F.array_join(shown, "")
+    def marked(side: str) -> Column:
+        """A side's ids by their ends, with a mark behind each cut, as text: "12,13,MARK,14,MARK"."""
+        ordered = F.sort_array(F.concat(F.col(side), F.col("cuts")))
+        return F.array_join(F.transform(ordered, lambda x: x.bitwiseAND(F.lit(LOW))).cast("array<string>"), ",")
 
     def groups(text: str) -> Column:
-        bare = F.replace(F.col(text), F.lit(";,"), F.lit(";"))
-        return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(bare, F.lit(2), F.length(bare) - 2), ";"))
+        """The parts between the marks; the last mark ends the text."""
+        bare = F.substring(F.col(text), F.lit(1), F.length(text) - len(f",{MARK}"))
+        return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.replace(bare, F.lit(f",{MARK},"), F.lit(";")), ";"))
 
     def last(group: Column) -> Column:
         return F.substring_index(group, ",", -1).cast("int")
 
-    cuts = F.transform(F.array_intersect("a_ends", "b_ends"), lambda e: e.cast("long") * (1 << ID_BITS) + MARK)
-    cut = tokens.select("*", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), cuts.alias("cuts"))
-    sides = cut.select("key", "doc_id", "n_a", "n_b", marked("a_ids", "a_ends").alias("a_text"), marked("b_ids", "b_ends").alias("b_text"))
+    cut = tokens.select("*", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.array_intersect("a_ends", "b_ends").alias("cuts"))
+    sides = cut.select("key", "doc_id", "n_a", "n_b", marked("a").alias("a_text"), marked("b").alias("b_text"))
     parts = sides.select("key", "doc_id", "n_a", "n_b", groups("a_text").alias("a"), groups("b_text").alias("b"))
-    return parts.select(
-        "key", "doc_id", "n_a", "n_b", F.zip_with("a", "b", lambda x, y: F.concat(x, F.lit("|"), y)).alias("groups"),
-        F.zip_with("a", "b", lambda x, y: F.struct(last(x).alias("a"), last(y).alias("b"))).alias("links"),
-    )
+    both = F.zip_with("a", "b", lambda x, y: F.struct(F.concat(x, F.lit("|"), y).alias("group"), F.struct(last(x).alias("a"), last(y).alias("b")).alias("link")))
+    return parts.select("key", "doc_id", "n_a", "n_b", both.alias("both")).select("key", "doc_id", "n_a", "n_b", F.col("both.group").alias("groups"), F.col("both.link").alias("links"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

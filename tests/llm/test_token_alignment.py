@@ -66,7 +66,7 @@ def brute(rows, libraries):
 @pytest.mark.parametrize("most", [0, 20, ta.FREQUENT])
 def test_groups_links_and_counts_agree_with_brute_force(spark, libraries, most):
     rows = [*enumerate(TEXTS), (None, "null id"), (3, TEXTS[5]), (3, TEXTS[5])]
-    docs = documents(spark, rows).withColumnsRenamed({"set_id": "key", "h": "a_ids", "links": "b", "spans": "cuts", "root": "n"})
+    docs = documents(spark, rows).withColumnsRenamed({"set_id": "key", "h": "a_ends", "links": "b", "spans": "cuts", "root": "n"})
     got = ta.align_documents(docs, A, B, most)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert all(kind == "bigint" for name, kind in got.dtypes if name != "groups_sha256")
