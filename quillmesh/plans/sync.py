@@ -204,6 +204,33 @@ def m14_safe_to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_STALE = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(CAST(started_at AS TIMESTAMP)) > 86400000000)"
 
 
+# Every event's job has claimed a document; user1 wants each second one.
+_SQL_HELD = f"""wanted AS (SELECT 'doc-' || substr(job_id, 5) AS document_id FROM jobs WHERE CAST(substr(job_id, 5) AS BIGINT) % 2 = 0),
+claims AS (SELECT 'doc-' || substr(job_id, 5) AS document_id, source_id, job_id FROM jobs),
+held AS (SELECT c.*, CASE WHEN j.status <> 'running' THEN 'over' WHEN {_SQL_STALE} THEN 'stale' ELSE 'running' END AS state FROM claims c JOIN wanted USING (document_id) JOIN jobs j ON j.job_id = c.job_id WHERE c.source_id <> 'user1')"""
+
+
+def event_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims, those documents that are wanted, and what other sources hold of them."""
+    state = corpus.jobs(spark, sf_dir)
+    claims = state.select(F.concat(F.lit("doc-"), F.substring("job_id", 5, 20)).alias("document_id"), "source_id", "job_id", F.col("started_at").alias("claimed_at"))
+    wanted = claims.filter(F.substring("job_id", 5, 20).cast("long") % 2 == 0).select("document_id")
+    return claims, wanted, merge.held_claims(claims, state, wanted, "user1", NOW, jobs.LEASE_HOURS)
+
+
+@query(f"WITH {SQL_JOBS}, {_SQL_HELD} SELECT document_id, source_id, state FROM held")
+def m6_held_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_claims(spark, sf_dir)[2].select("document_id", "source_id", "state")
+
+
+@query(f"""WITH {SQL_JOBS}, {_SQL_HELD}, mine AS (SELECT document_id FROM wanted WHERE document_id NOT IN (SELECT document_id FROM held WHERE state = 'running'))
+SELECT document_id, source_id, job_id FROM claims WHERE document_id NOT IN (SELECT document_id FROM mine) UNION ALL SELECT document_id, 'user1', 'job-new' FROM mine""")
+def m6_claims_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims after user1's job took what it could: finished and stale jobs' claims are released, running ones' stay."""
+    claims, wanted, held = event_claims(spark, sf_dir)
+    return merge.claimed(claims, wanted, held, "user1", "job-new", NOW).select("document_id", "source_id", "job_id")
+
+
 @query(f"""WITH {SQL_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN status = 'running' AND NOT {_SQL_STALE} THEN 1 ELSE 0 END DESC, started_at DESC, job_id DESC) AS rn FROM jobs) SELECT source_id, job_id, status FROM r WHERE rn = 1""")
 def w1_latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(corpus.jobs(spark, sf_dir), NOW).select("source_id", "job_id", "status")
