@@ -107,3 +107,20 @@ def test_bodies(spark):
 @pytest.mark.parametrize("size,want", [(0, 0), (1, 4), (3, 4), (4, 8)])
 def test_base64_bounds(spark, size, want):
     assert spark.range(1).select(text.base64_bound(F.lit(size))).first()[0] == want
+
+
+def test_what_a_response_is_decides_what_it_is_good_for(spark):
+    page, part, sitemap, medium, markup, bare = "<html><p>x</p></html>", "<em>x</em>", "<urlset/>", "<svg/>", "<note/>", "words"
+    web, doc, file, xml, none = "https://a.example/x.html", "https://a.example/x.md", "https://a.example/x.zip", "https://a.example/x.xml", "https://a.example/x"
+    cases = [
+        # url, type, body: read, leaves the site open, contradicts its type
+        (none, "text/html", bare, True, False, False), (none, "text/html; charset=x", sitemap, True, False, True), (none, "text/html", medium, False, False, False), (xml, "text/html", markup, True, False, True), (xml, "text/html", part, True, False, False),
+        (none, "text/html", "<?xml version='1.0'?><note/>", True, False, True), (file, "text/html", page, True, True, False), (file, "text/html", bare, False, True, False), (none, "application/xhtml+xml", part, True, False, False),
+        (none, "application/xhtml+xml", markup, False, True, True), (none, "application/xhtml+xml", bare, False, True, True), (none, "text/plain", bare, True, True, False), (none, "text/plain", part, False, True, False), (none, "text/markdown", markup, True, True, False),
+        (web, "", bare, True, True, False), (web, "", part, True, False, False), (doc, "", page, True, True, False), (none, "", page, True, False, False), (none, "", part, False, False, False), (none, "application/pdf", page, False, False, False),
+        (none, "text/plain", "<!doctype html>", True, True, False), (none, "text/html", "PK\x03\x04 \x00", False, False, False),
+    ]
+    df = spark.createDataFrame([(k, u, t, b) for k, (u, t, b, *_) in enumerate(cases)], "k int, url string, type string, body string")
+    url, headers, body = F.col("url"), F.create_map(F.lit("Content-Type"), F.col("type")), F.col("body")
+    got = df.select("k", media.supports_page(url, headers, body, F.encode(body, "UTF-8")), media.disables_cleanup(url, headers, body), media.unsupported_root(url, headers, body)).orderBy("k").collect()
+    assert [tuple(r)[1:] for r in got] == [c[3:] for c in cases]
