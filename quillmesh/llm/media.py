@@ -122,6 +122,13 @@ def walk(data: bytes, at: int = 0, stop: int | None = None, path: tuple[bytes, .
         at += size
 
 
+def fields(form: str, data: bytes, at: int, stop: int) -> tuple:
+    """Fields of a box, which end where it does."""
+    if at + struct.calcsize(form) > stop:
+        raise Malformed("a box ends within its fields")
+    return struct.unpack_from(form, data, at)
+
+
 def numbers(data: bytes, at: int, stop: int, count: int, kind: str) -> np.ndarray:
     if at + count * np.dtype(kind).itemsize > stop:
         raise Malformed("a table is cut off")
@@ -142,27 +149,27 @@ def sampled(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
     """A track from the boxes of its own ``trak``."""
     track = Track()
     at, stop = tables[b"mdhd"]
-    track.timescale, track.duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+    track.timescale, track.duration = fields(">20xIQ" if fields("B", data, at, stop)[0] else ">12xII", data, at, stop)
     if b"tkhd" in tables:
-        at, _ = tables[b"tkhd"]
-        track.number = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
+        at, stop = tables[b"tkhd"]
+        track.number = fields(">20xI" if fields("B", data, at, stop)[0] else ">12xI", data, at, stop)[0]
     at, stop = tables[b"stsd"]
-    track.codec = data[at + 12 : at + 16].decode("latin-1")
+    track.codec = fields("4s", data, at + 12, stop)[0].decode("latin-1")
     if b"stsz" in tables:
         at, stop = tables[b"stsz"]
-        same, count = struct.unpack_from(">II", data, at + 4)
+        same, count = fields(">II", data, at + 4, stop)
         if same and count * same > len(data):
             raise Malformed("the samples don't fit")
         track.sizes = np.full(count, same, np.int64) if same else numbers(data, at + 12, stop, count, ">u4")
     elif b"stz2" in tables:
         at, stop = tables[b"stz2"]
-        bits, count = struct.unpack_from(">xxxBI", data, at + 4)
+        bits, count = fields(">xxxBI", data, at + 4, stop)
         track.sizes = compact(data, at + 12, stop, count, bits)
     wide = b"co64" in tables
     at, stop = tables[b"co64" if wide else b"stco"]
-    chunk = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u8" if wide else ">u4")
+    chunk = numbers(data, at + 8, stop, fields(">I", data, at + 4, stop)[0], ">u8" if wide else ">u4")
     at, stop = tables[b"stsc"]
-    runs = numbers(data, at + 8, stop, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
+    runs = numbers(data, at + 8, stop, 3 * fields(">I", data, at + 4, stop)[0], ">u4").reshape(-1, 3)
     reach = np.diff(np.append(runs[:, 0], len(chunk) + 1))
     if len(runs) and (runs[0, 0] != 1 or (reach < 0).any()) or (runs[:, 1] * reach).sum() != len(track.sizes):
         raise Malformed("chunks and samples don't agree")
@@ -170,11 +177,12 @@ def sampled(data: bytes, tables: dict[bytes, tuple[int, int]]) -> Track:
     first = np.cumsum(per) - per
     before = np.cumsum(track.sizes) - track.sizes
     track.offsets = np.repeat(chunk, per) + before - np.repeat(before[np.minimum(first, len(before) - 1)], per) if len(before) else before
-    if len(before) and (track.offsets + track.sizes).max() > len(data):
+    # Offsets of 64 bits can pass for negative ones.
+    if len(before) and not 0 <= track.offsets.min() <= (track.offsets + track.sizes).max() <= len(data):
         raise Malformed("a sample lies outside the file")
     if b"stss" in tables:
         at, stop = tables[b"stss"]
-        track.keys = numbers(data, at + 8, stop, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
+        track.keys = numbers(data, at + 8, stop, fields(">I", data, at + 4, stop)[0], ">u4") - 1
         if len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < len(track.sizes):
             raise Malformed("a keyframe isn't among the samples")
     else:
@@ -198,34 +206,36 @@ class Fragments:
         self.now: Track | None = None
         self.usual = (0, 0, 0)
 
-    def header(self, at: int) -> None:
+    def header(self, at: int, stop: int) -> None:
         """A track fragment's header: its track, base offset and defaults."""
-        flags, number = struct.unpack_from(">II", self.data, at)
+        flags, number = fields(">II", self.data, at, stop)
         flags &= 0xFFFFFF
         at += 8
         self.now = self.tracks.get(number)
         self.base, usual = self.start, list(self.defaults.get(number, (0, 0, 0)))
         if flags & BASE_GIVEN:
-            self.base, at = struct.unpack_from(">Q", self.data, at)[0], at + 8
+            self.base, at = fields(">Q", self.data, at, stop)[0], at + 8
         at += 4 * bool(flags & DESCRIPTION_GIVEN)
         for k, bit in enumerate((DURATION_GIVEN, SIZE_GIVEN, FLAGS_GIVEN)):
             if flags & bit:
-                usual[k], at = struct.unpack_from(">I", self.data, at)[0], at + 4
+                usual[k], at = fields(">I", self.data, at, stop)[0], at + 4
+        if self.base > len(self.data):
+            raise Malformed("a fragment's base lies outside the file")
         self.usual, self.next = (usual[0], usual[1], usual[2]), self.base
 
     def run(self, at: int, stop: int) -> None:
         """A run of samples, which follow each other in the file."""
         if self.now is None:
             return
-        flags, count = struct.unpack_from(">II", self.data, at)
+        flags, count = fields(">II", self.data, at, stop)
         flags &= 0xFFFFFF
         at += 8
         begin = self.next
         if flags & OFFSET_IN_RUN:
-            begin, at = self.base + struct.unpack_from(">i", self.data, at)[0], at + 4
+            begin, at = self.base + fields(">i", self.data, at, stop)[0], at + 4
         first = None
         if flags & FIRST_FLAGS_IN_RUN:
-            first, at = struct.unpack_from(">I", self.data, at)[0], at + 4
+            first, at = fields(">I", self.data, at, stop)[0], at + 4
         given = [bit for bit in RUN_FIELDS if flags & bit]
         if not given and count * max(1, self.usual[1]) > len(self.data):
             raise Malformed("the samples don't fit")
@@ -261,7 +271,7 @@ def tracks(data: bytes) -> list[Track]:
         elif path[:2] == (b"moov", b"trak"):
             scopes[-1].setdefault(path[-1], (at, stop))
         elif path == (b"moov", b"mvex", b"trex") and stop - at >= 24:
-            number, _, *usual = struct.unpack_from(">5I", data, at + 4)
+            number, _, *usual = fields(">5I", data, at + 4, stop)
             defaults[number] = (usual[0], usual[1], usual[2])
         elif path[0] == b"moof":
             parts.append((path[-1], at, stop))
@@ -274,10 +284,12 @@ def tracks(data: bytes) -> list[Track]:
             if kind == b"moof":
                 fragments.start = at - (8 if data[at - 4 : at] == b"moof" else 16)
             elif kind == b"tfhd":
-                fragments.header(at)
+                fragments.header(at, stop)
             elif kind == b"trun":
                 fragments.run(at, stop)
-    except (struct.error, KeyError) as e:
+    except Malformed:
+        raise
+    except (struct.error, KeyError, IndexError, OverflowError, ValueError) as e:
         raise Malformed(f"a table is missing or cut off: {e}") from e
     return found
 
@@ -306,7 +318,7 @@ def describe(table: DataFrame, media: str = "media") -> DataFrame:
     one = "codec:string,seconds:double,samples:long,keyframes:array<struct<start:long,end:long>>"
     made = f"struct<{one},tracks:array<struct<{one}>>,error:string>"
 
-    def fields(t: Track) -> dict:
+    def shown(t: Track) -> dict:
         return {"codec": t.codec, "seconds": t.duration / t.timescale if t.timescale else None, "samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in t.key_ranges()]}
 
     @F.pandas_udf(made)
@@ -316,7 +328,7 @@ def describe(table: DataFrame, media: str = "media") -> DataFrame:
             try:
                 if data is None:
                     raise Malformed("null")
-                every = [fields(t) for t in tracks(bytes(data))]
+                every = [shown(t) for t in tracks(bytes(data))]
                 rows.append((*every[0].values(), every, None))
             except Malformed as e:
                 rows.append((None, None, None, None, None, str(e)))

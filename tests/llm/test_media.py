@@ -132,3 +132,56 @@ def test_fragments_add_samples_to_their_tracks():
     assert [data[a:b] for a, b in track.key_ranges()] == [b"abc", b"hi"]
     with pytest.raises(M.Malformed):
         M.tracks(data[:-1])
+
+
+def test_offsets_beyond_the_file_are_malformed():
+    payload = b"x" * 8 * M.UNIT
+    data = M.store(payload)
+    at = data.index(b"stco") + 12
+    # The same table with 64-bit offsets, one of them just below 2**64.
+    for offset in (2**64 - 5, 2**63, 2**40):
+        wide = data.replace(data[at - 16 : at + 4], M.full(b"co64", 0, struct.pack(">IQ", 1, offset)))
+        grown = len(wide) - len(data)
+        for name in (b"stbl", b"minf", b"mdia", b"trak", b"moov"):
+            k = wide.index(name) - 4
+            wide = wide[:k] + struct.pack(">I", struct.unpack_from(">I", wide, k)[0] + grown) + wide[k + 4 :]
+        with pytest.raises(M.Malformed):
+            M.tracks(wide)
+
+
+def test_a_fragments_base_beyond_the_file_and_empty_headers_are_malformed():
+    trex = M.full(b"trex", 0, struct.pack(">5I", 1, 1, 10, 3, 0))
+    moov = M.box(b"moov", trak(1, b"avc1", [], 0), M.box(b"mvex", trex))
+    head = M.full(b"tfhd", M.BASE_GIVEN, struct.pack(">IQ", 1, 2**64 - 1))
+    with pytest.raises(M.Malformed):
+        M.tracks(moov + M.box(b"moof", M.box(b"traf", head, M.full(b"trun", 0x200, struct.pack(">II", 1, 4)))))
+    for name in (b"mdhd", b"tkhd", b"stsd", b"stsc", b"stco", b"stsz"):
+        whole = trak(1, b"avc1", [2, 2], 8)
+        k = whole.index(name) - 4
+        size = struct.unpack_from(">I", whole, k)[0]
+        # The box is emptied and stands last in the file: nothing behind it may be read in its place.
+        cut = M.box(b"moov", whole[:k] + struct.pack(">I", 8) + name + M.box(b"free", bytes(size - 16)) + whole[k + size :])
+        with pytest.raises(M.Malformed):
+            M.tracks(cut)
+        last = M.box(b"trak", M.box(b"mdia", M.box(b"minf", M.box(b"stbl", *(M.full(n, 0, bytes(8)) for n in (b"stsd", b"stsc", b"stco")))), M.box(b"mdhd")))
+        with pytest.raises(M.Malformed):
+            M.tracks(M.box(b"moov", last))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0, 1, 2, 3, 7, 8, 0x7F, 0xFF, 0x7FFFFFFF, 0x80000000, 0xFFFFFFFB, 0xFFFFFFFF, 2**63, 2**64 - 1, 2**64 - 5]), st.sampled_from([">I", ">Q", ">H"]), st.integers(0, 5), st.integers(0, 5))
+def test_whole_fields_and_the_order_of_boxes_may_be_anything(at, value, form, first, second):
+    trex = M.full(b"trex", 0, struct.pack(">5I", 1, 1, 10, 3, 0))
+    runs = M.full(b"trun", M.OFFSET_IN_RUN | 0x200, struct.pack(">Ii2I", 2, 8, 1, 2))
+    moof = M.box(b"moof", M.box(b"traf", M.full(b"tfhd", M.BASE_GIVEN, struct.pack(">IQ", 1, 0)), runs))
+    boxes = [M.store(b"y" * 3 * M.UNIT), M.box(b"moov", trak(1, b"avc1", [2, 1], 0, [1]), trak(2, b"mp4a", [1, 2, 3], 4, narrow=True), M.box(b"mvex", trex)), moof, M.box(b"mdat", b"0123456789"), M.box(b"free"), moof]
+    boxes[first], boxes[second] = boxes[second], boxes[first]
+    data = bytearray(b"".join(boxes))
+    at %= len(data) - 8
+    struct.pack_into(form, data, at, value % 2 ** (8 * struct.calcsize(form)))
+    try:
+        for t in M.tracks(bytes(data)):
+            M.read_back(bytes(data), t)
+            assert all(0 <= a <= b <= len(data) for a, b in t.key_ranges())
+    except M.Malformed:
+        pass
