@@ -1,15 +1,11 @@
-"""Chunking: plain windows and sections as native expressions; Markdown and code by state machines in Arrow batches."""
+"""Chunking as native expressions: plain windows, sections of Markdown, lines of code."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import content_hash, first_filled, lstrip, newlines, once, rstrip, strip
+from quillmesh.functions.text import SPACE, content_hash, first_filled, lstrip, newlines, once, rstrip, split_lines, strip
 
 MAX_CHARS, OVERLAP_CHARS = 1200, 120
 # Extensions of Markdown and of code.
@@ -83,123 +79,134 @@ def section_parts(text: Column, line_start: Column, max_chars: int = MAX_CHARS,
     return F.transform(cuts, place).cast(PARTS)
 
 
-_HEADING = re.compile(r" {0,3}#{1,6}(?:\s|$)")
-_UNDERLINE = re.compile(r" {0,3}(?! )\s*(?:=+|-+)\s*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$", re.DOTALL)
-
-
-class Fence:
-    """Whether a line stands in a fenced block, and whether it opened or closed one."""
-
-    def __init__(self) -> None:
-        self.open = ""
-
-    def feed(self, line: str) -> bool:
-        """True if the line belongs to a fence: its opener, its closer or what is between them."""
-        m = _FENCE.match(line)
-        if self.open:
-            if m and m[1][0] == self.open[0] and len(m[1]) >= len(self.open) and not m[2].strip():
-                self.open = ""
-            return True
-        if m and not (m[1][0] == "`" and "`" in m[2]):
-            self.open = m[1]
-            return True
-        return False
-
-
-def titles_paragraph(line: str) -> bool:
-    """Whether a line can be the text of an underlined heading."""
-    shallow = len(line) - len(line.lstrip(" ")) <= 3
-    return bool(line.strip()) and shallow and not _HEADING.match(line) and not _UNDERLINE.match(line) and not Fence().feed(line)
-
-
-def has_heading(content: str) -> bool:
-    fence, paragraph = Fence(), []
-    for line in content.splitlines():
-        if not fence.open:
-            if _HEADING.match(line) or paragraph and _UNDERLINE.match(line) and all(map(titles_paragraph, paragraph)):
-                return True
-        fenced = fence.feed(line)
-        paragraph = [] if fenced or not line.strip() else [*paragraph, line]
-    return False
-
-
-def markdown_sections(content: str) -> list[tuple[int, str]]:
-    """First line and text of each section; blank lines at a section's ends are left out."""
-    fence, held, first, boundary, out = Fence(), [], 1, 0, []
-
-    def close(lines: list[str], at: int) -> None:
-        solid = [k for k, x in enumerate(lines) if x.strip()]
-        if solid:
-            out.append((at + solid[0], "\n".join(lines[solid[0] : solid[-1] + 1])))
-
-    for number, line in enumerate(content.splitlines(), 1):
-        if not held and not line.strip():
-            continue
-        if not held:
-            first, boundary = number, 0
-        inside = bool(fence.open)
-        if not inside and held and _UNDERLINE.match(line) and titles_paragraph(held[-1]):
-            close(held[:boundary], first)
-            held, first = [*held[boundary:], line], first + boundary
-            boundary = len(held)
-            continue
-        heading = not inside and bool(_HEADING.match(line))
-        if heading and held:
-            close(held, first)
-            held, first = [], number
-        held.append(line)
-        if fence.feed(line) or heading or not line.strip():
-            boundary = len(held)
-    close(held, first)
-    return out
-
-
-def windows(text: str, max_chars: int, overlap: int) -> Iterator[tuple[int, str]]:
-    at = 0
-    while at < len(text):
-        yield at, text[at : at + max_chars]
-        if at + max_chars >= len(text):
-            return
-        at += max_chars - overlap
-
-
-def markdown_parts(content: str, max_chars: int, overlap: int) -> list[tuple[str, int, int]]:
-    out = []
-    for line, text in markdown_sections(content):
-        last, ahead = 0, 0  # line breaks before the window, counted on from those before the last one
-        for at, raw in windows(text, max_chars, overlap):
-            ahead, last = ahead + text.count("\n", last, at), at
-            kept = raw.strip()
-            if kept:
-                first = line + ahead + raw.count("\n", 0, len(raw) - len(raw.lstrip()))
-                out.append((kept, first, first + kept.count("\n")))
-    return out
-
-
-def code_parts(content: str, max_chars: int, overlap: int) -> list[tuple[str, int, int]]:
+# Lines of Markdown: a heading, an underline, a fence's marker and what follows it.
+_HEADING = f"^ {{0,3}}#{{1,6}}(?:[{SPACE}]|$)"
+_UNDERLINE = f"^ {{0,3}}(?! )[{SPACE}]*(?:=+|-+)[{SPACE}]*$"
+_FENCE = r"(?s)^ {0,3}(`{3,}|~{3,})(.*)$"
+RANGES = "array<struct<a:int,b:int>>"
+
+
+def marked_lines(lines: Column) -> Column:
+    """Each line with its number and what it can be: array of (n, blank, heading, under, mark, opens, ends, titles)."""
+
+    def mark(x: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("n"), x.alias("line"), (strip(x) == "").alias("blank"), x.rlike(_HEADING).alias("heading"), x.rlike(_UNDERLINE).alias("under"), F.regexp_extract(x, _FENCE, 1).alias("mark"), F.regexp_extract(x, _FENCE, 2).alias("rest"))
+
+    def judge(m: Column) -> Column:
+        opens = (m["mark"] != "") & ~(F.startswith(m["mark"], F.lit("`")) & F.contains(m["rest"], F.lit("`")))
+        titles = ~m["blank"] & ~F.startswith(m["line"], F.lit("    ")) & ~m["heading"] & ~m["under"] & ~opens
+        return F.struct(*[m[c].alias(c) for c in ("n", "blank", "heading", "under", "mark")], opens.alias("opens"), (strip(m["rest"]) == "").alias("ends"), titles.alias("titles"))
+
+    return F.transform(F.transform(lines, mark), judge)
+
+
+def markdown_ranges(marked: Column) -> Column:
+    """The line ranges of sections (first, last), blank lines at their ends included, and whether there is a heading at all
+    (outside fences, or a paragraph of nothing but text that is underlined): struct of (ranges, found).
+
+    One pass carries the open fence, the section's first line, how many of its lines a new title leaves to it, and what the
+    paragraph before is (0 for none, 1 for one of text only, 2 for another).
+    """
+
+    def state(open_: Column, held: Column, kept: Column, titles: Column, paragraph: Column, found: Column, ranges: Column) -> Column:
+        return F.struct(
+            open_.cast("string").alias("open"), held.cast("int").alias("held"), kept.cast("int").alias("kept"), titles.cast("boolean").alias("titles"), paragraph.cast("int").alias("paragraph"),
+            found.cast("boolean").alias("found"), ranges.cast(RANGES).alias("ranges"),
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        inside, held, n = s["open"] != "", s["held"], x["n"]
+        closes = inside & F.startswith(x["mark"], F.substring(s["open"], 1, 1)) & (F.length(x["mark"]) >= F.length(s["open"])) & x["ends"]
+        opened = F.when(inside, F.when(closes, "").otherwise(s["open"])).when(x["opens"], x["mark"]).otherwise("")
+        fenced = inside | x["opens"]
+        paragraph = F.when(fenced | x["blank"], 0).when(x["titles"] & (s["paragraph"] != 2), 1).otherwise(2)
+        found = s["found"] | (~inside & (x["heading"] | (x["under"] & (s["paragraph"] == 1))))
+
+        def ended(first: Column, last: Column) -> Column:
+            return F.array_append(s["ranges"], F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")))
+
+        underlined = ~inside & (held > 0) & x["under"] & s["titles"]
+        begins = ~inside & x["heading"]
+        first = F.when((held == 0) | begins, n).otherwise(held)
+        kept = F.when(fenced | x["heading"] & ~inside | x["blank"], n - first + 1).when(held == 0, 0).otherwise(s["kept"])
+        return (
+            F.when((held == 0) & x["blank"], state(s["open"], held, s["kept"], F.lit(False), paragraph, found, s["ranges"]))
+            .when(underlined, state(s["open"], held + s["kept"], n - held - s["kept"] + 1, F.lit(False), paragraph, found, F.when(s["kept"] > 0, ended(held, held + s["kept"] - 1)).otherwise(s["ranges"])))
+            .otherwise(state(opened, first, kept, x["titles"], paragraph, found, F.when(begins & (held > 0), ended(held, n - 1)).otherwise(s["ranges"])))
+        )
+
+    none = state(F.lit(""), F.lit(0), F.lit(0), F.lit(False), F.lit(0), F.lit(False), F.array())
+
+    def finish(s: Column) -> Column:
+        last = F.struct(s["held"].alias("a"), F.lit(2**31 - 1).alias("b"))
+        return F.struct(F.when(s["held"] > 0, F.array_append(s["ranges"], last)).otherwise(s["ranges"]).alias("ranges"), s["found"].alias("found"))
+
+    return F.aggregate(marked, none, step, finish)
+
+
+def markdown_parts(content: Column, max_chars: int, overlap: int) -> Column:
+    """Windows of each section; null where there is no heading."""
+
+    def sections(s: Column) -> Column:
+        def solid(r: Column) -> Column:
+            return F.filter(F.sequence(r["a"], F.least(r["b"], F.size(s["lines"]))), lambda k: ~F.get(s["marked"], k - 1)["blank"])
+
+        def text(k: Column) -> Column:
+            first, last = F.element_at(k, 1), F.element_at(k, -1)
+            return F.struct(first.alias("line"), F.array_join(F.transform(F.sequence(first, last), lambda n: F.get(s["lines"], n - 1)), "\n").alias("text"))
+
+        cuts = F.transform(F.filter(F.transform(s["found"]["ranges"], solid), lambda k: F.size(k) > 0), text)
+        parts = F.flatten(F.transform(cuts, lambda c: section_parts(c["text"], c["line"], max_chars, overlap)))
+        return F.when(s["found"]["found"], parts)
+
+    def with_ranges(s: Column) -> Column:
+        return F.struct(s["lines"].alias("lines"), s["marked"].alias("marked"), markdown_ranges(s["marked"]).alias("found"))
+
+    lines = once(split_lines(content), lambda x: F.struct(x.alias("lines"), marked_lines(x).alias("marked")))
+    return once(once(lines, with_ranges), sections)
+
+
+def code_parts(content: Column, max_chars: int, overlap: int) -> Column:
     """Lines packed while they fit; blank lines before a chunk are skipped; a line that is too long is cut with overlap."""
-    out, held, size, first = [], [], 0, 1
-
-    def close() -> None:
-        if any(x.strip() for x in held):
-            out.append(("\n".join(held), first, first + len(held) - 1))
-        held.clear()
-
-    for number, line in enumerate(content.splitlines(), 1):
-        if held and size + 1 + len(line) > max_chars:
-            close()
-        elif not held and not line.strip():
-            continue
-        if held:
-            held.append(line)
-            size += 1 + len(line)
-        elif len(line) > max_chars:
-            out += [(raw, number, number) for _, raw in windows(line, max_chars, overlap) if raw.strip()]
-        else:
-            held, size, first = [line], len(line), number
-    close()
-    return out
+
+    def state(held: Column, size: Column, out: Column) -> Column:
+        return F.struct(held.cast("int").alias("held"), size.cast("int").alias("size"), out.cast(RANGES).alias("out"))
+
+    def pack(lines: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            n, held = x["n"], s["held"]
+            full = (held > 0) & (s["size"] + 1 + x["size"] > max_chars)
+
+            def ended(out: Column, first: Column, last: Column) -> Column:
+                return F.array_append(out, F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")))
+
+            before = F.when(full, ended(s["out"], held, n - 1)).otherwise(s["out"])
+            return (
+                F.when((held == 0) & x["blank"], s)
+                .when((held > 0) & ~full, state(held, s["size"] + 1 + x["size"], s["out"]))
+                .when(x["size"] > max_chars, state(F.lit(0), F.lit(0), ended(before, n, n)))
+                .otherwise(state(n, x["size"], before))
+            )
+
+        sized = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), F.length(x).alias("size"), (strip(x) == "").alias("blank")))
+        last = F.struct(F.lit(0).alias("a"), F.size(lines).alias("b"))
+        ranges = F.aggregate(sized, state(F.lit(0), F.lit(0), F.array()), step, lambda s: F.when(s["held"] > 0, F.array_append(s["out"], F.struct(s["held"].alias("a"), last["b"].alias("b")))).otherwise(s["out"]))
+        return F.struct(lines.alias("lines"), ranges.alias("ranges"))
+
+    def texts(s: Column) -> Column:
+        def text(r: Column) -> Column:
+            return F.struct(F.array_join(F.transform(F.sequence(r["a"], r["b"]), lambda n: F.get(s["lines"], n - 1)), "\n").alias("text"), r["a"].alias("a"), r["b"].alias("b"))
+
+        def part(x: Column, line_text: Column) -> Column:
+            return F.struct(line_text.alias("text"), x["a"].alias("line_start"), x["b"].alias("line_end")).cast("struct<text:string,line_start:int,line_end:int>")
+
+        def cut(x: Column) -> Column:
+            # Only a line of its own can be too long.
+            return F.when(F.length(x["text"]) > max_chars, F.transform(raw_windows(x["text"], max_chars, overlap), lambda w: part(x, w["raw"]))).otherwise(F.array(part(x, x["text"])))
+
+        return F.filter(F.flatten(F.transform(F.transform(s["ranges"], text), cut)), lambda x: strip(x["text"]) != "")
+
+    return once(once(split_lines(content), pack), texts).cast(PARTS)
 
 
 def kind_of(path: Column, title: Column, content: Column) -> Column:
@@ -223,26 +230,11 @@ def chunk_documents(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: i
     """All chunks of normalized documents, with ids, positions and lines."""
     check(max_chars, overlap)
 
-    @F.pandas_udf(PARTS)
-    def stateful(kind: pd.Series, content: pd.Series) -> pd.Series:
-        def one(k: str, x: str):
-            if k == "code":
-                rows = code_parts(x, max_chars, overlap)
-            elif k == "markdown" and has_heading(x):
-                rows = markdown_parts(x, max_chars, overlap)
-            else:
-                return None
-            return [{"text": t, "line_start": a, "line_end": b} for t, a, b in rows]
-
-        return pd.Series([one(k, x) for k, x in zip(kind, content, strict=True)])
-
-    kinds = documents.withColumn("kind", kind_of(F.col("path"), F.col("title"), F.col("content"))).filter("kind != 'none'")
-    kinds = kinds.withColumn("body", strip(F.col("content")))
-    plain = kinds.filter("kind = 'plain'").withColumn("parts", plain_parts(F.col("body"), max_chars, overlap))
+    content = F.col("content")
+    kinds = documents.withColumn("kind", kind_of(F.col("path"), F.col("title"), content)).filter("kind != 'none'").withColumn("body", strip(content))
+    structured = F.when(F.col("kind") == "code", code_parts(content, max_chars, overlap)).when(F.col("kind") == "markdown", markdown_parts(content, max_chars, overlap))
     # Markdown without a heading outside fences is plain text.
-    other = kinds.filter("kind != 'plain'").withColumn("parts", stateful("kind", "content"))
-    other = other.withColumn("parts", F.coalesce("parts", plain_parts(F.col("body"), max_chars, overlap)))
-    return number_chunks(plain.unionByName(other))
+    return number_chunks(kinds.withColumn("parts", F.coalesce(structured, plain_parts(F.col("body"), max_chars, overlap))))
 
 
 def number_chunks(documents: DataFrame) -> DataFrame:

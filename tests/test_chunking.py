@@ -1,6 +1,7 @@
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import structured
 from pyspark.sql import functions as F
 
 from quillmesh.operators import chunking as C
@@ -66,15 +67,29 @@ def test_code_packing(spark):
     assert found[-1] == ("end", 10, 10)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["# h", "text", "", "```", "~~~", "===", "---", "   ## x", "    code", "``` `"]), max_size=14))
-def test_sections_keep_all_lines_in_order(lines):
-    text = "\n".join(lines)
-    sections = C.markdown_sections(text)
-    kept = [x for _, s in sections for x in s.split("\n") if x.strip()]
-    assert kept == [x for x in lines if x.strip()]
-    for at, s in sections:
-        assert text.splitlines()[at - 1 : at - 1 + s.count("\n") + 1] == s.split("\n")
+LINES = ["# h", "text", "", "```", "~~~", "===", "---", "   ## x", "    code", "``` `", "````", " ~~~~ x", "#no", "####### 7", "\u3000", "  == ", "- ", "x" * 45, "y " * 30, "#\tt", "~~~ `", "long " * 9, "a\x0bb", "\xa0"]
+
+
+@pytest.mark.parametrize(("end", "sizes"), [(".md", (40, 5)), (".MDX", (1200, 120)), (".py", (40, 5)), (".json", (90, 0))])
+def test_rules_step_by_step(spark, end, sizes):
+    """Random texts of lines that matter, against the rules as a plain program."""
+    r, texts = random.Random(len(end) + sizes[0]), {}
+    for k in range(300):
+        pick = r.sample(LINES, r.randrange(1, 9))
+        texts[f"k{k:03d}"] = r.choice(["\n", "\n", "\r\n", "\u2028"]).join(r.choice(pick) for _ in range(r.randrange(16))) + r.choice(["", "\n", "\n\n"])
+    found = chunks(spark, [(k, f"f{end}", t) for k, t in texts.items()], max_chars=sizes[0], overlap=sizes[1])
+    for k, t in texts.items():
+        if end in (".py", ".json"):
+            want = structured.code_parts(t, *sizes)
+        else:
+            want = structured.markdown_parts(t, *sizes) if structured.has_heading(t) else plain(t, *sizes)
+        assert found.get(k, []) == (want if t.strip() else []), (k, t)
+
+
+def test_structured_chunks_take_no_python_workers(spark):
+    docs = normalize(spark.createDataFrame([("a", "a.md", "# h"), ("b", "b.py", "x")], "id string, path string, content string"), F.lit("src"), "now", "sync")
+    plan = C.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_sizes_are_checked():
