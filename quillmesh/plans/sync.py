@@ -11,6 +11,7 @@ from quillmesh.functions.redact import ERROR_NAMES, EVIDENCE_STEPS, GONE, error_
 from quillmesh.functions.text import base64_bound, extension, location, markers, once, response_bound, slug
 from quillmesh.functions.urls import TOKEN_FORMS
 from quillmesh.operators import chunking, jobs, merge
+from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS
 from quillmesh.operators.documents import chunk_documents, in_order, live_chunks, normalize
 from quillmesh.operators.retrieval import chosen_sources
 from quillmesh.operators.wiki import ABBREVIATIONS, NAME_PARTS, markers_valid, section_valid, substantive_sentences
@@ -45,9 +46,32 @@ def g5_section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.md5(F.encode("p.text", "UTF-8")).alias("part"), "p.line_start", "p.line_end")
 
 
-@query()
+# The tables hold neither fences nor underlined titles nor line ends but line feeds: sections begin at headings.
+_SQL_STRUCTURED = rf"""src AS (SELECT document_id, doc_id % 2 = 0 AS md, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(content, '(?m)^([A-Z]\S* \S*)$', '## \1', 'g') ELSE content END AS content FROM docs WHERE regexp_matches(content, '\S')),
+lines AS (SELECT document_id, md, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS n, size FROM (SELECT document_id, md, string_split(content, chr(10)) AS all_lines, len(all_lines) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END AS size FROM src)),
+kept AS (SELECT document_id, md, line, n, regexp_matches(line, '^\s*$') AS blank, md AND regexp_matches(line, '^ {{0,3}}#{{1,6}}(\s|$)') AS heading FROM lines WHERE n <= size),
+placed AS (SELECT *, sum(CAST(heading AS INTEGER)) OVER (PARTITION BY document_id ORDER BY n) AS section, bool_or(heading) OVER (PARTITION BY document_id) AS sectioned FROM kept WHERE md),
+ends AS (SELECT *, min(n) FILTER (NOT blank) OVER (PARTITION BY document_id, section) AS a, max(n) FILTER (NOT blank) OVER (PARTITION BY document_id, section) AS b FROM placed WHERE sectioned),
+sections AS (SELECT document_id, section, min(a) AS line, string_agg(line, chr(10) ORDER BY n) AS text FROM ends WHERE n BETWEEN a AND b GROUP BY document_id, section),
+pack AS (SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS chunk, false AS used FROM kept WHERE NOT md
+  UNION ALL SELECT document_id, n, CASE what WHEN 'skip' THEN 0 WHEN 'join' THEN held WHEN 'long' THEN 0 ELSE n END, CASE what WHEN 'join' THEN size + 1 + length(line) WHEN 'start' THEN length(line) ELSE 0 END, CASE WHEN what IN ('long', 'start') THEN chunk + 1 ELSE chunk END, what <> 'skip'
+  FROM (SELECT k.document_id, k.n, k.line, p.held, p.size, p.chunk, CASE WHEN p.held = 0 AND k.blank THEN 'skip' WHEN p.held > 0 AND p.size + 1 + length(k.line) <= {MAX_CHARS} THEN 'join' WHEN length(k.line) > {MAX_CHARS} THEN 'long' ELSE 'start' END AS what
+    FROM pack p JOIN kept k ON k.document_id = p.document_id AND k.n = p.n + 1)),
+packed AS (SELECT document_id, chunk, min(n) AS a, max(n) AS b, string_agg(line, chr(10) ORDER BY n) AS text FROM pack JOIN kept USING (document_id, n) WHERE used GROUP BY document_id, chunk),
+whole AS (SELECT 'plain' AS kind, document_id, 0 AS place, 0 AS a, 0 AS b, regexp_replace(content, '^\s+|\s+$', '', 'g') AS text FROM src WHERE md AND document_id NOT IN (SELECT document_id FROM sections)
+  UNION ALL SELECT 'section', document_id, section, line, 0, text FROM sections UNION ALL SELECT 'code', document_id, chunk, a, b, text FROM packed),
+windows AS (SELECT *, unnest(generate_series(0, CASE WHEN length(text) <= {MAX_CHARS} THEN 0 ELSE CAST(ceil((length(text) - {MAX_CHARS}) / {MAX_CHARS - OVERLAP_CHARS}.0) AS BIGINT) END)) AS k FROM whole),
+cut AS (SELECT *, substr(text, k * {MAX_CHARS - OVERLAP_CHARS} + 1, {MAX_CHARS}) AS raw, substr(text, 1, k * {MAX_CHARS - OVERLAP_CHARS}) AS ahead FROM windows),
+trimmed AS (SELECT *, CASE kind WHEN 'code' THEN raw ELSE regexp_replace(raw, '^\s+|\s+$', '', 'g') END AS piece, substr(raw, 1, length(raw) - length(regexp_replace(raw, '^\s+', ''))) AS lead FROM cut),
+counted AS (SELECT *, length(ahead) - length(replace(ahead, chr(10), '')) AS above, length(lead) - length(replace(lead, chr(10), '')) AS skipped, length(piece) - length(replace(piece, chr(10), '')) AS breaks,
+  row_number() OVER (PARTITION BY document_id ORDER BY place, k) - 1 AS chunk_index FROM trimmed WHERE regexp_matches(piece, '\S')),
+numbered AS (SELECT *, CASE kind WHEN 'code' THEN a WHEN 'plain' THEN 1 + above ELSE a + above + skipped END AS line FROM counted)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_DOCS}, {_SQL_STRUCTURED} SELECT document_id || ':chunk:' || chunk_index || ':' || substr(md5(piece), 1, 12) AS chunk_id, document_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(line AS INTEGER) AS line_start,
+  CAST(CASE kind WHEN 'code' THEN b ELSE line + breaks END AS INTEGER) AS line_end FROM numbered""")
 def g3_g4_structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown (lines as headings) and as code, by the state machines."""
+    """Documents as Markdown (lines as headings) and as code."""
     docs = corpus.documents(spark, sf_dir)
     name = F.concat(F.lit("f"), number().cast("string"), F.when(number() % 2 == 0, ".md").otherwise(".py"))
     text = F.when(number() % 2 == 0, F.regexp_replace("content", r"(?m)^([A-Z]\S* \S*)$", "## $1")).otherwise(F.col("content"))
