@@ -83,19 +83,25 @@ def section_parts(text: Column, line_start: Column, max_chars: int = MAX_CHARS,
 _HEADING = f"^ {{0,3}}#{{1,6}}(?:[{SPACE}]|$)"
 _UNDERLINE = f"^ {{0,3}}(?! )[{SPACE}]*(?:=+|-+)[{SPACE}]*$"
 _FENCE = r"(?s)^ {0,3}(`{3,}|~{3,})(.*)$"
+# What a text without any heading or underline lacks: a line that begins, behind white space, with one of their characters.
+_MAY_HAVE_HEADINGS = f"(?:^|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029])[{SPACE}]*[#=-]"
 RANGES = "array<struct<a:int,b:int>>"
 
 
+def blank(x: Column) -> Column:
+    return ~x.rlike(f"[^{SPACE}]")
+
+
 def marked_lines(lines: Column) -> Column:
     """Each line with its number and what it can be: array of (n, blank, heading, under, mark, opens, ends, titles)."""
 
     def mark(x: Column, i: Column) -> Column:
-        return F.struct((i + 1).alias("n"), x.alias("line"), (strip(x) == "").alias("blank"), x.rlike(_HEADING).alias("heading"), x.rlike(_UNDERLINE).alias("under"), F.regexp_extract(x, _FENCE, 1).alias("mark"), F.regexp_extract(x, _FENCE, 2).alias("rest"))
+        return F.struct((i + 1).alias("n"), x.alias("line"), blank(x).alias("blank"), x.rlike(_HEADING).alias("heading"), x.rlike(_UNDERLINE).alias("under"), F.regexp_extract(x, _FENCE, 1).alias("mark"), F.regexp_extract(x, _FENCE, 2).alias("rest"))
 
     def judge(m: Column) -> Column:
         opens = (m["mark"] != "") & ~(F.startswith(m["mark"], F.lit("`")) & F.contains(m["rest"], F.lit("`")))
         titles = ~m["blank"] & ~F.startswith(m["line"], F.lit("    ")) & ~m["heading"] & ~m["under"] & ~opens
-        return F.struct(*[m[c].alias(c) for c in ("n", "blank", "heading", "under", "mark")], opens.alias("opens"), (strip(m["rest"]) == "").alias("ends"), titles.alias("titles"))
+        return F.struct(*[m[c].alias(c) for c in ("n", "blank", "heading", "under", "mark")], opens.alias("opens"), blank(m["rest"]).alias("ends"), titles.alias("titles"))
 
     return F.transform(F.transform(lines, mark), judge)
 
@@ -188,7 +194,7 @@ def code_parts(content: Column, max_chars: int, overlap: int) -> Column:
                 .otherwise(state(n, x["size"], before))
             )
 
-        sized = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), F.length(x).alias("size"), (strip(x) == "").alias("blank")))
+        sized = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), F.length(x).alias("size"), blank(x).alias("blank")))
         last = F.struct(F.lit(0).alias("a"), F.size(lines).alias("b"))
         ranges = F.aggregate(sized, state(F.lit(0), F.lit(0), F.array()), step, lambda s: F.when(s["held"] > 0, F.array_append(s["out"], F.struct(s["held"].alias("a"), last["b"].alias("b")))).otherwise(s["out"]))
         return F.struct(lines.alias("lines"), ranges.alias("ranges"))
@@ -204,7 +210,7 @@ def code_parts(content: Column, max_chars: int, overlap: int) -> Column:
             # Only a line of its own can be too long.
             return F.when(F.length(x["text"]) > max_chars, F.transform(raw_windows(x["text"], max_chars, overlap), lambda w: part(x, w["raw"]))).otherwise(F.array(part(x, x["text"])))
 
-        return F.filter(F.flatten(F.transform(F.transform(s["ranges"], text), cut)), lambda x: strip(x["text"]) != "")
+        return F.filter(F.flatten(F.transform(F.transform(s["ranges"], text), cut)), lambda x: ~blank(x["text"]))
 
     return once(once(split_lines(content), pack), texts).cast(PARTS)
 
@@ -232,7 +238,7 @@ def chunk_documents(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: i
 
     content = F.col("content")
     kinds = documents.withColumn("kind", kind_of(F.col("path"), F.col("title"), content)).filter("kind != 'none'").withColumn("body", strip(content))
-    structured = F.when(F.col("kind") == "code", code_parts(content, max_chars, overlap)).when(F.col("kind") == "markdown", markdown_parts(content, max_chars, overlap))
+    structured = F.when(F.col("kind") == "code", code_parts(content, max_chars, overlap)).when((F.col("kind") == "markdown") & content.rlike(_MAY_HAVE_HEADINGS), markdown_parts(content, max_chars, overlap))
     # Markdown without a heading outside fences is plain text.
     return number_chunks(kinds.withColumn("parts", F.coalesce(structured, plain_parts(F.col("body"), max_chars, overlap))))
 

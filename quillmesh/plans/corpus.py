@@ -18,9 +18,15 @@ from quillmesh.plans.registry import table
 SEEN_AT, SYNC_ID, NOW = "2026-01-02T00:00:00+00:00", "sync-2", "2024-01-30 12:00:00"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files have fewer splits than that; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("doc_id").cast("string").alias("id"), key.alias("external_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"),
         F.concat(F.lit("https://docs.example/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("platform"), F.lit("2026-01-01").alias("date"), F.col("source").alias("source_id"),
     )
