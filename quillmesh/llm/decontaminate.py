@@ -69,7 +69,6 @@ class Items:
         owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
         keep = long[owner] if len(owner) else np.zeros(0, bool)
         gram, owner = values[keep], owner[keep]
-        place = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds)))[keep] if len(keep) else owner
         # Shorter items: their one gram, by number of words.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(1, GRAM):
@@ -79,7 +78,8 @@ class Items:
                 by = np.argsort(whole, kind="stable")
                 self.short[n] = whole[by], mine[by]
         order = np.argsort(gram, kind="stable")
-        self.seed, self.seed_owner, self.seed_place = gram[order], owner[order], place[order]
+        self.seed, self.seed_owner = gram[order], owner[order]
+        self.kept_grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def search(self, w: Words, short: bool = True) -> pd.DataFrame:
         """Alignments of at least the threshold: text, item, score, first and end word; the best of each pair.
@@ -105,38 +105,80 @@ class Items:
         return pd.DataFrame({"row": row, "item": self.ids[item], "score": 1.0, "start_word": at - bounds[row], "end_word": at - bounds[row] + n})
 
     def aligned(self, w: Words) -> pd.DataFrame:
-        """Alignments around seeds; a pair may have several."""
-        none = pd.DataFrame({"row": [], "item": [], "score": [], "start_word": [], "end_word": []})
+        """Alignments around seeds; a pair may have several.
+
+        Pairs of a text and an item that share a seed are few of all, but where a seed is common they are many: only those
+        go on whose text holds as many of the item's words as the threshold needs, and of these only such windows.
+        """
         values, bounds = grams(w, GRAM)
         left = np.searchsorted(self.seed, values, "left")
         hits = np.flatnonzero(np.append(self.seed, np.uint64(0))[left] == values) if len(self.seed) else np.zeros(0, int)
         hits = hits[left[hits] < len(self.seed)]
+        none = pd.DataFrame({"row": [], "item": [], "score": [], "start_word": [], "end_word": []})
         if not len(hits):
             return none
-        right = np.searchsorted(self.seed, values[hits], "right")
-        times = right - left[hits]
-        seed = np.repeat(left[hits], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        row = np.repeat(np.searchsorted(bounds, hits, "right") - 1, times)
-        place = np.repeat(hits, times) - bounds[row]
-        item = self.seed_owner[seed]
-        begin = place - self.seed_place[seed]
+        # Distinct seeds of each text: a text that repeats itself repeats them.
+        row = np.searchsorted(bounds, hits, "right") - 1
+        seen = np.unique(row * np.int64(len(self.seed)) + left[hits])
+        row, first = seen // len(self.seed), seen % len(self.seed)
+        times = np.searchsorted(self.seed, self.seed[first], "right") - first
+        places = Places(w, self.words)
+        need = np.ceil(THRESHOLD * np.diff(self.words.first)).astype(np.int64)
+        out = []
+        for part in in_parts(times, PAIRS):
+            owner = self.seed_owner[runs(first[part], times[part])]
+            pairs = np.unique(np.repeat(row[part], times[part]) * np.int64(len(self.ids)) + owner)
+            r, i = pairs // len(self.ids), pairs % len(self.ids)
+            held = places.enough(i, w.first[r], w.first[r + 1], need[i])
+            out.append(pairs[held])
+        pairs = np.unique(np.concatenate(out))
+        if not len(pairs):
+            return none
+        r, i = pairs // len(self.ids), pairs % len(self.ids)
+        found = [self.windows(w, values, bounds, r[part], i[part], places, need) for part in in_parts(np.diff(w.first)[r], PAIRS)]
+        found = [f for f in found if len(f)]
+        return pd.concat(found) if found else none
+
+    def windows(self, w: Words, values: np.ndarray, bounds: np.ndarray, rows: np.ndarray, items: np.ndarray, places: Places, need: np.ndarray) -> pd.DataFrame:
+        """Alignments of pairs: windows around groups of hits on near diagonals, in pieces of bounded size."""
+        lows, highs, of = [], [], []
+        for k, (r, i) in enumerate(zip(rows.tolist(), items.tolist(), strict=True)):
+            mine = self.own_grams(i)
+            text = values[bounds[r] : bounds[r + 1]]
+            left = np.searchsorted(mine[0], text, "left")
+            at = np.flatnonzero(np.append(mine[0], np.uint64(0))[left] == text)
+            at = at[left[at] < len(mine[0])]
+            if not len(at):
+                continue
+            times = np.searchsorted(mine[0], text[at], "right") - left[at]
+            begin = np.unique(np.repeat(at, times) - mine[1][runs(left[at], times)])
+            size = int(self.words.first[i + 1] - self.words.first[i])
+            cut = np.flatnonzero(np.diff(begin) > size) + 1
+            slack, count = size // 2 + 1, int(w.first[r + 1] - w.first[r])
+            low = np.maximum(begin[np.append(0, cut)] - slack, 0)
+            high = np.minimum(begin[np.append(cut - 1, len(begin) - 1)] + size + slack, count)
+            # An alignment that reaches the threshold spans at most size + (2 - 2 * THRESHOLD) * size words.
+            span, step = 3 * size + 1, 3 * size
+            pieces = np.maximum(1, -(-(high - low - span) // step))
+            begin_at = np.repeat(low, pieces) + step * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            lows.append(begin_at)
+            highs.append(np.minimum(begin_at + step + span, np.repeat(high, pieces)))
+            of.append(np.full(len(begin_at), k))
+        none = pd.DataFrame({"row": [], "item": [], "score": [], "start_word": [], "end_word": []})
+        if not lows:
+            return none
+        low, high, of_pair = np.concatenate(lows), np.concatenate(highs), np.concatenate(of)
+        row, item = rows[of_pair], items[of_pair]
+        held = places.enough(item, w.first[row] + low, w.first[row] + high, need[item])
+        low, high, row, item = low[held], high[held], row[held], item[held]
         size = np.diff(self.words.first)[item]
-        order = np.lexsort((begin, item, row))
-        row, item, begin, size = row[order], item[order], begin[order], size[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[1:])
-        group = np.flatnonzero(new)
-        low = begin[group]
-        high = begin[np.append(group[1:], len(begin)) - 1]
-        row, item, size = row[group], item[group], size[group]
-        count = np.diff(w.first)[row]
-        slack = size // 2 + 1
-        low, high = np.maximum(low - slack, 0), np.minimum(high + size + slack, count)
         out = []
         order = np.lexsort((high - low, size))
         at = 0
         while at < len(order):
-            take = max(1, int(CELLS // max(1, size[order[min(at + 255, len(order) - 1)]])))
+            # Rows are as wide as their longest: the last ones of 256.
+            last = order[min(at + 255, len(order) - 1)]
+            take = max(1, int(CELLS // max(1, size[last], high[last] - low[last])))
             part = order[at : at + min(take, 256)]
             at += len(part)
             a = padded(self.words.hash, self.words.first[item[part]], size[part], 0)
@@ -152,6 +194,60 @@ class Items:
             out.append(pd.DataFrame({"row": row[part], "item": self.ids[item[part]], "score": best / (MATCH * size[part]), "start_word": low[part] + end - span, "end_word": low[part] + end}))
         return pd.concat(out) if out else none
 
+    def own_grams(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """An item's n-grams in order, and where in it they stand."""
+        if i not in self.kept_grams:
+            a, b = self.words.first[i], self.words.first[i + 1]
+            part = Words(self.words.data, self.words.hash[a:b], self.words.start[a:b], self.words.end[a:b], np.array([0, b - a]), np.zeros(1, np.int64))
+            values = grams(part, GRAM)[0]
+            order = np.argsort(values, kind="stable")
+            self.kept_grams[i] = values[order], order
+        return self.kept_grams[i]
+
+
+#: Pairs of texts and items, or words of texts, that are looked at together.
+PAIRS = 1 << 20
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def in_parts(size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices in order, in parts of about ``most`` in sum (one at least)."""
+    group = (np.cumsum(size) - size) // most
+    return (part for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(group)) + 1) if len(part))
+
+
+class Places:
+    """Where the words of some texts stand, to tell how many of an item's words a range of them holds."""
+
+    def __init__(self, w: Words, items: Words):
+        self.n = np.int64(len(w.hash) + 1)
+        words, code = np.unique(w.hash, return_inverse=True)
+        self.sorted = np.sort(code.astype(np.int64) * self.n + np.arange(len(w.hash)))
+        at = np.minimum(np.searchsorted(words, items.hash), max(0, len(words) - 1))
+        self.code = np.where(words[at] == items.hash, at, -1) if len(words) else np.full(len(items.hash), -1)
+        self.first = items.first
+        known = np.concatenate(([0], np.cumsum(self.code >= 0)))
+        self.known = known[items.first[1:]] - known[items.first[:-1]]
+
+    def enough(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Whether the words from ``low`` to ``high`` hold ``need`` of the item's, so that their alignment can reach it."""
+        out = self.known[item] >= need
+        size = np.diff(self.first)[item]
+        for part in in_parts(np.where(out, size, 0), PAIRS):
+            part = part[out[part]]
+            code = self.code[runs(self.first[item[part]], size[part])]
+            key = code * self.n + np.repeat(low[part], size[part])
+            at = np.searchsorted(self.sorted, key)
+            found = np.append(self.sorted, np.int64(2**63 - 1))[at] < code * self.n + np.repeat(high[part], size[part])
+            total = np.concatenate(([0], np.cumsum(found & (code >= 0))))
+            ends = np.cumsum(size[part])
+            out[part] = total[ends] - total[ends - size[part]] >= need[part]
+        return out
+
 
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[Items]:
     """The items in blocks of at most ``block_bytes`` of text (one item at least)."""

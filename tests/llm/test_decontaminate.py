@@ -1,9 +1,13 @@
+import random
+import time
+
 import numpy as np
 from helpers import documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmesh.llm import decontaminate as D
+from quillmesh.llm.text import words_of
 
 
 def items(spark, rows):
@@ -103,3 +107,39 @@ def test_alignment_scores_are_those_of_the_full_table(a, b):
     best, end = D.align(np.array([a + [0] * 3], np.uint64), np.array([b + [1] * 2], np.uint64))
     assert best[0] == smith_waterman(a, b)
     assert smith_waterman(a, b[: end[0]]) == best[0]
+
+
+def test_pairs_that_share_seeds_are_those_of_whole_alignments():
+    """Few words, so that seeds are common and texts repeat themselves: scores are those of aligning the whole text."""
+    r = random.Random(8)
+    words = ["one", "of", "the", *"abcdefghij"]
+    items = [" ".join(r.choice(words) for _ in range(r.randrange(3, 25))) for _ in range(25)] + ["one of the " * 8]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 90))) for _ in range(20)] + ["one of the " * 300, "one of the " * 100 + items[3] + " b" * 50, " ".join(items[:12]) * 3]
+    block, w = D.Items(list(range(len(items))), items), words_of(texts, bare=True)
+    got = {(int(x["row"]), int(x["item"])): float(x["score"]) for _, x in block.search(w).iterrows()}
+    for row, text in enumerate(texts):
+        t = text.split()
+        for k, item in enumerate(items):
+            i = item.split()
+            seeds = {tuple(i[x : x + 3]) for x in range(len(i) - 2)} & {tuple(t[x : x + 3]) for x in range(len(t) - 2)}
+            if not seeds:
+                assert (row, k) not in got
+                continue
+            a, b = block.words.hash[block.words.first[k] : block.words.first[k + 1]][None, :], w.hash[w.first[row] : w.first[row + 1]][None, :]
+            score = int(D.align(a, b)[0][0]) / (2 * len(i))
+            if score >= D.THRESHOLD:
+                # A window around seeds holds the alignment unless it lies away from every seed's diagonal.
+                assert (row, k) in got and got[row, k] <= score
+                assert score < 0.6 or got[row, k] == score
+            else:
+                assert (row, k) not in got
+
+
+def test_common_seeds_and_repetitive_texts_cost_little():
+    r = random.Random(3)
+    voc = [f"w{k}" for k in range(3000)]
+    items = [" ".join([*r.choices(voc, k=20), "one", "of", "the", *r.choices(voc, k=20)]) for _ in range(1000)]
+    texts = ["one of the " * 30_000, " ".join([*r.choices(voc, k=100), "one", "of", "the", items[5], *r.choices(voc, k=100)])]
+    began = time.process_time()
+    got = D.Items(list(range(1000)), items).search(words_of(texts, bare=True))
+    assert [(x["row"], x["item"], x["score"]) for _, x in got.iterrows()] == [(1, 5, 1.0)] and time.process_time() - began < 20
