@@ -140,13 +140,16 @@ def search_vectors(vectors: DataFrame, query: Sequence[float], k: int, chunks: D
     vectors count if they are those of live chunks; raw ones if they aren't known otherwise. All are judged before the
     limit, so no window has to be widened; titles are told apart before it, too.
     """
-    keyed = vectors.withColumn("rank", F.col("doc_id"))
+    near = shown_hits(vectors.withColumn("distance", distance(F.col("embedding"), query)), chunks, tombstones, documents)
+    return near.orderBy("distance", "doc_id").limit(k).withColumn("preview", legacy_preview(F.col("text")))
+
+
+def shown_hits(hits: DataFrame, chunks: DataFrame, tombstones: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of vectors with their distance those that may be shown, the nearest of each title."""
+    keyed = hits.withColumn("rank", F.col("doc_id")).drop("embedding")
     raw = suppress_raw(keyed.filter("coalesce(managed, '') != 'true'"), chunks.select("chunk_id").unionByName(tombstones.select("chunk_id")), documents)
-    accepted = owned_hits(keyed, live_chunks(chunks, documents)).unionByName(raw)
-    near = accepted.withColumn("distance", distance(F.col("embedding"), query)).drop("rank", "embedding")
-    first = first_per_title(near.withColumn("order", F.struct("distance", "doc_id")), "order").drop("order")
-    best = first.orderBy("distance", "doc_id").limit(k)
-    return best.withColumn("preview", legacy_preview(F.col("text")))
+    accepted = owned_hits(keyed, live_chunks(chunks, documents)).unionByName(raw).drop("rank")
+    return first_per_title(accepted.withColumn("order", F.struct("distance", "doc_id")), "order").drop("order")
 
 
 def with_fallback(local: DataFrame, web: Callable[[], DataFrame], threshold: int = FALLBACK_BELOW) -> tuple[str, DataFrame]:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import strip
 from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunker, number_chunks, plain_parts
-from quillmesh.operators import substring_index
+from quillmesh.operators import substring_index, vector_index
 from quillmesh.operators.documents import normalize
 from quillmesh.operators.published import shared_folder, written
 from quillmesh.operators.substring_index import SubstringIndex
+from quillmesh.operators.vector_index import VectorIndex
 from quillmesh.plans.registry import table
 
 SEEN_AT, SYNC_ID, NOW = "2026-01-02T00:00:00+00:00", "sync-2", "2024-01-30 12:00:00"
@@ -66,6 +67,17 @@ def published(spark: SparkSession, sf_dir: str) -> Published:
     return _published[key]
 
 
+_vectors: dict[tuple[str, str], VectorIndex] = {}
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The published vectors of these tables by cell, written once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vectors:
+        _vectors[key] = vector_index.build(table(spark, sf_dir, "embeddings"), "vec_id", shared_folder(spark))
+    return _vectors[key]
+
+
 def sources(docs: DataFrame) -> DataFrame:
     """A source of documents each, with a type by the length of its name; one in the list has none."""
     kind = F.when(F.length("source_id") % 2 == 0, "web").otherwise("github")

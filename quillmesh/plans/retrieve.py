@@ -89,9 +89,9 @@ def a2_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id, CAST(label AS BIGINT) AS label, round(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.e, lambda x: CAST(x AS DOUBLE))), 6) AS distance
 FROM vecs, q WHERE label NOT IN (0, 3) ORDER BY distance, vec_id LIMIT {TOP_K}""")
 def t2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.filter("vec_id = 0").select("embedding").first()
-    found = retrieval.vector_top_k(vectors, first["embedding"] if first else [0.0], TOP_K, ~F.col("label").isin(0, 3), "vec_id")
+    index = corpus.vectors(spark, sf_dir)
+    first = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
+    found = index.search(first["embedding"] if first else [0.0], TOP_K, lambda rows: rows.filter(~F.col("label").isin(0, 3)), "vec_id")
     return found.select("vec_id", F.col("label").cast("long").alias("label"), F.round("distance", 6).alias("distance"))
 
 
