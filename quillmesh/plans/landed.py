@@ -282,24 +282,25 @@ def sc12_snapshot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return github.snapshot_entries(commits, trees).select("repo", "commit_sha", "path", "size")
 
 
-@query("SELECT doc_id AS position, md5(text) AS id FROM documents WHERE doc_id < 40")
+@query("SELECT doc_id AS position, md5(text) AS id FROM documents")
 def sc3_paged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty documents as answers of ten pages each, landed in another order and one of them twice."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 40")
+    """All documents as answers of a hundred pages each, landed in another order and one of them twice."""
+    docs = table(spark, sf_dir, "documents")
+    last = docs.agg(F.floor(F.max("doc_id") / 100).cast("int").alias("n")).first()["n"] or 0
     empty = [F.lit("").alias(c) for c in ("url", "created_time", "last_edited_time")]
     page = F.struct("doc_id", F.struct(F.md5(F.encode("text", "UTF-8")).alias("id"), *empty).alias("page"))
-    n = F.floor(F.col("doc_id") / 10).cast("int")
+    n = F.floor(F.col("doc_id") / 100).cast("int")
     answers = docs.groupBy(n.alias("n")).agg(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["page"]).alias("results"))
-    answers = answers.select(F.when(F.col("n") > 0, F.col("n").cast("string")).alias("cursor"), F.when(F.col("n") < 3, (F.col("n") + 1).cast("string")).alias("next_cursor"), (F.col("n") < 3).alias("has_more"), "results")
-    found = notion.paged(answers.unionByName(answers.filter("cursor = '2'")).orderBy(F.desc("cursor")))
-    return found.select((F.floor(F.col("position") / 1000) * 10 + F.col("position") % 1000).alias("position"), "id")
+    answers = answers.select(F.when(F.col("n") > 0, F.col("n").cast("string")).alias("cursor"), F.when(F.col("n") < last, (F.col("n") + 1).cast("string")).alias("next_cursor"), (F.col("n") < last).alias("has_more"), "results")
+    found = notion.paged(answers.unionByName(answers.filter("cursor = '1'")).orderBy(F.desc("cursor")))
+    return found.select((F.floor(F.col("position") / 1000) * 100 + F.col("position") % 1000).alias("position"), "id")
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 1 AND page_id < 60")
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 1")
 def sc6_target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An id that no page has is a database's."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), "url")
-    databases = pages.filter("page_id < 60").withColumn("database_id", F.concat(F.lit("db"), (F.col("page_id").cast("int") % 3).cast("string")))
+    databases = pages.withColumn("database_id", F.concat(F.lit("db"), (F.col("page_id").cast("int") % 3).cast("string")))
     return notion.target_pages("db1", pages, databases).select(F.col("page_id").cast("long").alias("page_id"), "url")
 
 

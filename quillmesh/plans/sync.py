@@ -371,13 +371,14 @@ def p7_chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "source_id string")
 
 
-@query(f"""WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT document_id, chunk_index, row_number() OVER (ORDER BY document_id, chunk_index) AS place FROM chunks WHERE doc_id < 50""")
+@query(f"""WITH {SQL_DOCS}, {SQL_CHUNKS} SELECT document_id, chunk_index, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS place FROM chunks""")
 def t4_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of fifty documents by document and index, with their place in that order."""
-    docs = corpus.documents(spark, sf_dir).filter(number() < 50)
-    rows = in_order(corpus.chunks(docs)).select("document_id", "chunk_index")
-    # The order is that of the rows: one partition numbers them as they come.
-    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    """All chunks by document and index, with the place that each has among its document's in that order."""
+    rows = in_order(corpus.chunks(corpus.documents(spark, sf_dir)).select("document_id", "chunk_index"))
+    # Ids rise with the rows' order, over partitions too.
+    came = rows.withColumn("came", F.monotonically_increasing_id())
+    first = came.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("came", "chunk_index"))).alias("all"))
+    return first.select("document_id", F.posexplode("all").alias("at", "x")).select("document_id", "x.chunk_index", (F.col("at") + 1).cast("long").alias("place"))
 
 
 @query(f"""WITH {SQL_JOBS}, s AS (SELECT DISTINCT source_id FROM jobs) SELECT source_id, 'github' AS source_type, row_number() OVER (ORDER BY source_id) AS place FROM s""")
