@@ -191,6 +191,21 @@ def sc17_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl(pages, links, seeds, 20)[0]
 
 
+@query("""WITH RECURSIVE links AS (SELECT page_id, unnest([2 * page_id + 1, 2 * page_id + 2, page_id + 7]) AS target FROM pages),
+reach AS (SELECT page_id, 0 AS depth FROM pages WHERE page_id = 0 UNION SELECT p.page_id, r.depth + 1 FROM reach r JOIN links l USING (page_id) JOIN pages p ON p.page_id = l.target)
+SELECT 'https://site.example/p' || page_id AS key, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY page_id""")
+def sc17_whole_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as one site of three links a page, with room for all: what is reached, and in how many steps."""
+
+    def site(n):
+        return F.concat(F.lit("https://site.example/p"), n.cast("string"))
+
+    pages, n = table(spark, sf_dir, "pages").select("page_id", site(F.col("page_id")).alias("url")), F.col("page_id")
+    links = pages.select("url", F.posexplode(F.array(2 * n + 1, 2 * n + 2, n + 7)).alias("position", "target")).select("url", "position", site(F.col("target")).alias("link"))
+    # Links to pages that aren't there cost attempts only.
+    return web.crawl(pages, links, ["https://site.example/p0"], 50_000)[0].select("key", "depth")
+
+
 @query("""WITH f AS (SELECT doc_id AS seq, 'd' || doc_id % 50 AS id, doc_id % 3 = 0 AS canon, md5(text) AS content FROM documents)
 SELECT id AS external_id, min(seq) AS position, coalesce(arg_max(content, seq) FILTER (canon), arg_min(content, seq)) AS content FROM f GROUP BY id""")
 def w9_canonical_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:

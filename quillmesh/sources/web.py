@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.urls import crawl_key, fetchable, robots_allows, same_origin
+from quillmesh.operators.published import shared_folder, written
 from quillmesh.sources.html import join
 
 MAX_PAGES = 50
@@ -124,15 +126,17 @@ def crawl(
     no room wait, up to ``max_pages`` of them. So the number of rounds and the queue are bounded. Links that can't wait,
     attempts that run out, links that robots forbid, doubtful sitemaps and pages that didn't land make the snapshot
     incomplete. ``robots``: origin, rules.
+
+    What was ever queued is a table (place, key, link, depth), to which each round appends; its keys are those that are
+    known, and a round takes the next places. The driver holds counts only.
     """
     spark = pages.sparkSession
-    landed = pages.select(crawl_key(F.col("url")).alias("key"), "url").dropDuplicates(["key"])
-    given = list(seeds)
-    start = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "position int, link string")
+    folder = shared_folder(spark)
+    landed = written(pages.select(crawl_key(F.col("url")).alias("key"), "url").dropDuplicates(["key"]), f"{folder}/landed")
+    start = spark.createDataFrame([(k, u) for k, u in enumerate(seeds)], "position int, link string")
     start = start.filter(fetchable(F.col("link"))).select("position", "link", crawl_key(F.col("link")).alias("key"))
-    queue = [(r["key"], r["link"], 0) for r in start.groupBy("key").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("p")).orderBy("p").collect()]
-    attempts, complete = 2 * max_pages + len(queue), True
-    known = {k for k, _, _ in queue}
+    queued, seen = Appended(spark, f"{folder}/queued", QUEUED), Appended(spark, f"{folder}/seen", SEEN)
+    complete = True
 
     def allowed(found: DataFrame) -> DataFrame:
         """Links that robots allow; one that they forbid leaves the snapshot incomplete."""
@@ -144,38 +148,69 @@ def crawl(
         complete &= judged.filter("not allowed").isEmpty()
         return judged.filter("allowed")
 
-    def add(found: DataFrame, order: Column, depth: Callable[[Row], int]) -> None:
-        """Queue the first link to each new page, while they can wait."""
+    def add(found: DataFrame, order: Column, depth: Column, room: int) -> None:
+        """Queue the first link to each new page, while they can wait. A queue's room bounds what is numbered here."""
         nonlocal complete
-        room = max_pages - len(seen) + max_pages - len(queue)
-        fresh = allowed(found.filter(fetchable(F.col("link"))).withColumn("to", crawl_key(F.col("link"))).filter(~F.col("to").isin(list(known))))
-        first = fresh.groupBy("to").agg(F.min_by("link", order).alias("link"), F.min(order).alias("o")).orderBy("o").limit(max(0, room) + 1).collect()
-        complete &= len(first) <= room
-        for r in first[: max(0, room)]:
-            queue.append((r["to"], r["link"], depth(r["o"])))
-            known.add(r["to"])
-
-    seen: dict[str, tuple] = {}
+        keyed = found.filter(fetchable(F.col("link"))).withColumn("key", crawl_key(F.col("link")))
+        fresh = allowed(keyed.join(queued.table.select("key"), "key", "left_anti"))
+        first = fresh.groupBy("key").agg(F.min_by("link", order).alias("link"), F.min_by(depth, order).alias("depth"), F.min(order).alias("o"))
+        few = first.orderBy("o").limit(max(0, room) + 1)
+        placed = few.select((F.row_number().over(Window.orderBy("o")) - 1 + queued.count).cast("long").alias("place"), "key", "link", F.col("depth").cast("int").alias("depth"))
+        complete &= queued.append(placed, room) <= room
+
+    begun = start.groupBy("key").agg(F.min_by("link", "position").alias("link"), F.min("position").alias("p"))
+    queued.append(begun.select((F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("place"), "key", "link", F.lit(0).alias("depth")))
+    attempts, taken = 2 * max_pages + queued.count, 0
     if sitemaps is not None:
         found = sitemap_links(sitemaps, "url")
         read = sitemap_links(sitemaps).agg(F.bool_and("sure")).first()[0]
         complete &= bool(read) and found.select("url").distinct().count() == sitemaps.count()
         origins = F.broadcast(start.select(F.col("link").alias("seed")).distinct())
-        add(found.join(origins, same_origin(F.col("seed"), F.col("link"))).select("url", "position", "link"), F.struct("url", "position"), lambda _: 1)
-    while queue and len(seen) < max_pages and attempts > 0:
-        take = min(max_pages - len(seen), attempts)
-        now, queue = queue[:take], queue[take:]
-        attempts -= len(now)
-        rows = spark.createDataFrame([(k, n) for n, (k, _, _) in enumerate(now)], "key string, n int")
-        for r in F.broadcast(rows).join(landed, "key", "left").select("key", "n", "url").orderBy("n").collect():
-            if r["url"] is None:
-                complete = False
-            else:
-                seen[r["key"]] = (r["key"], r["url"], now[r["n"]][2], len(seen))
+        add(found.join(origins, same_origin(F.col("seed"), F.col("link"))).select("url", "position", "link"), F.struct("url", "position"), F.lit(1), 2 * max_pages - queued.count)
+    while taken < queued.count and seen.count < max_pages and attempts > 0:
+        take = min(max_pages - seen.count, attempts, queued.count - taken)
+        now = queued.table.filter((F.col("place") >= taken) & (F.col("place") < taken + take))
+        attempts, taken = attempts - take, taken + take
+        got = now.join(landed, "key").select("key", "url", "depth", (F.row_number().over(Window.orderBy("place")) - 1 + seen.count).cast("int").alias("position"))
+        complete &= seen.append(got) == take
         source = pages if callable(links) else links
-        out = F.broadcast(rows).join(source.withColumn("key", crawl_key(F.col("url"))), "key")
-        out = (links(out) if callable(links) else out).filter(same_origin(F.col("url"), F.col("link")))
-        add(out, F.struct("n", "position"), lambda o: now[o["n"]][2] + 1)
-    complete &= not queue
-    table = spark.createDataFrame(list(seen.values()), "key string, url string, depth int, position int")
-    return table, SnapshotInfo(complete, ("web:",))
+        rows = now.select("key", F.col("place").alias("of_place"), F.col("depth").alias("of_depth"))
+        out = rows.join(source.withColumn("key", crawl_key(F.col("url"))), "key")
+        out = (links(out) if callable(links) else out).filter(same_origin(F.col("url"), F.col("link"))).drop("key")
+        add(out, F.struct("of_place", "position"), F.col("of_depth") + 1, 2 * max_pages - seen.count - (queued.count - taken))
+    complete &= taken == queued.count
+    return seen.table, SnapshotInfo(complete, ("web:",))
+
+
+QUEUED, SEEN = "place long, key string, link string, depth int", "key string, url string, depth int, position int"
+
+
+class Appended:
+    """A table that grows by parts; each is written once, and folded with the others after some."""
+
+    PARTS = 8
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.folder, self.count, self.written_parts = folder, 0, 0
+        self.parts: list[DataFrame] = []
+        self.none = spark.createDataFrame([], schema)
+
+    @property
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts) if self.parts else self.none
+
+    def append(self, rows: DataFrame, most: int | None = None) -> int:
+        """Write more rows, of which the first ``most`` by place count; how many there are."""
+        part = self._write(rows)
+        n = part.count()
+        if most is not None and n > most:
+            part = part.filter(F.col("place") < self.count + max(0, most))
+        self.count += n if most is None else min(n, max(0, most))
+        self.parts.append(part)
+        if len(self.parts) > self.PARTS:
+            self.parts = [self._write(self.table)]
+        return n
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        self.written_parts += 1
+        return written(rows, f"{self.folder}/{self.written_parts:06d}")
