@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -17,6 +18,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 PRUNED = {"base", "footer", "head", "header", "link", "meta", "nav", "noscript", "script", "style"}
 BLOG_CONTENT = (("div", "class", "entry-content"), ("div", "class", "article"), ("div", "class", "post-content"), ("div", "class", "tt_article_useless_p_margin"), ("div", "class", "contents_style"), ("div", "id", "content"))
 BLOG_ADS = (("div", "revenue_unit_wrap"), ("ins", "google-auto-placed"))
+#: An ampersand that begins no whole character reference.
+BARE = re.compile(r"&(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)")
 
 
 class Node:
@@ -57,10 +60,12 @@ class Node:
 
 
 class Tree(HTMLParser):
-    def __init__(self, html: str):
+    """``bare``: references that lack their semicolon (&amp) are read too; else they are plain text."""
+
+    def __init__(self, html: str, bare: bool = True):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
-        self.feed(html)
+        self.feed(html if bare else BARE.sub("&amp;", html))
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -126,9 +131,9 @@ def joined(base: Column, link: Column) -> Column:
     return run(base, link)
 
 
-def parse(url: str, html: str) -> dict:
+def parse(url: str, html: str, bare: bool = True) -> dict:
     """Title, text, base, canonical link ('' for none), links in order, and whether any was malformed or out of place."""
-    root = Tree(html or "").root
+    root = Tree(html or "", bare).root
     title = flat(root.first("h1")) or flat(root.first("title")) or url
     head, odd = head_of(root), False
     metas = {"base": "", "link": ""}
@@ -165,20 +170,20 @@ def parse(url: str, html: str) -> dict:
 PAGE = "struct<title:string,content:string,base:string,canonical:string,links:array<string>,odd:boolean>"
 
 
-def parsed(url: Column | str, html: Column | str) -> Column:
+def parsed(url: Column | str, html: Column | str, bare: bool = True) -> Column:
     """``parse`` over batches of pages."""
 
     @F.pandas_udf(PAGE)
     def run(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(u or "", h or "") for u, h in zip(url, html, strict=True)], columns=["title", "content", "base", "canonical", "links", "odd"])
+        return pd.DataFrame([parse(u or "", h or "", bare) for u, h in zip(url, html, strict=True)], columns=["title", "content", "base", "canonical", "links", "odd"])
 
     return run(url, html)
 
 
-def extract(pages: DataFrame, allowed: Column | None = None) -> DataFrame:
+def extract(pages: DataFrame, allowed: Column | None = None, bare: bool = True) -> DataFrame:
     """Pages (url, html) as web documents, with their links. A canonical link of another origin, or one that may not
     be fetched, counts as none and makes the snapshot incomplete; so does a page without text."""
-    p = pages.withColumn("page", parsed("url", "html"))
+    p = pages.withColumn("page", parsed("url", "html", bare))
     told = F.col("page.canonical")
     sound = (told != "") & same_origin(F.col("url"), told) & fetchable(told) & (allowed if allowed is not None else F.lit(True))
     canonical = F.when(sound, crawl_key(told)).otherwise(crawl_key(F.col("url")))
@@ -204,9 +209,9 @@ def canonical_replacement(documents: DataFrame) -> DataFrame:
     return documents.groupBy("external_id").agg(F.min("seq").alias("position"), F.max_by(F.struct(*rest), best).alias("row")).select("external_id", "position", "row.*")
 
 
-def blog_post(post_id: int, html: str) -> tuple[str, str, str]:
+def blog_post(post_id: int, html: str, bare: bool = True) -> tuple[str, str, str]:
     """Title, date and content of a blog post; content '' if there is none."""
-    root = Tree(html or "").root
+    root = Tree(html or "", bare).root
     h1 = root.first("h1")
     if h1 is not None:
         title = flat(h1)
@@ -226,18 +231,18 @@ def blog_post(post_id: int, html: str) -> tuple[str, str, str]:
     return title, flat(date), ""
 
 
-def blog_parsed(post_id: Column | str, html: Column | str) -> Column:
+def blog_parsed(post_id: Column | str, html: Column | str, bare: bool = True) -> Column:
     @F.pandas_udf("struct<title:string,date:string,content:string>")
     def run(post_id: pd.Series, html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([blog_post(i, h or "") for i, h in zip(post_id, html, strict=True)], columns=["title", "date", "content"])
+        return pd.DataFrame([blog_post(i, h or "", bare) for i, h in zip(post_id, html, strict=True)], columns=["title", "date", "content"])
 
     return run(post_id, html)
 
 
-def blog_posts(landed: DataFrame, blog: str, max_id: int = 200) -> DataFrame:
+def blog_posts(landed: DataFrame, blog: str, max_id: int = 200, bare: bool = True) -> DataFrame:
     """Posts 1 to max_id of a blog from landed responses (post_id, status, html), as connector rows in order of their ids."""
     ids = landed.sparkSession.range(1, max_id + 1).withColumnRenamed("id", "post_id")
-    rows = landed.filter("status = 200").join(ids, "post_id", "left_semi").withColumn("post", blog_parsed("post_id", "html")).filter("post.content != ''")
+    rows = landed.filter("status = 200").join(ids, "post_id", "left_semi").withColumn("post", blog_parsed("post_id", "html", bare)).filter("post.content != ''")
     url = F.concat(F.lit(f"https://{blog}.tistory.com/"), F.col("post_id").cast("string"))
     return rows.select(
         F.concat(F.lit("tistory_"), F.col("post_id").cast("string")).alias("id"), F.concat(F.lit(f"{blog}:"), F.col("post_id").cast("string")).alias("external_id"), "post.title", "post.content",

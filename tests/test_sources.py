@@ -3,6 +3,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh import plans
 from quillmesh.plans import landed
 from quillmesh.sources import github, html, notion, registry, web
 
@@ -180,3 +181,15 @@ def test_links_wait_while_pages_fail_and_sitemaps_cost_no_page(spark):
     assert [(r["url"][-2:], r["depth"]) for r in table.orderBy("position").collect()] == [("/a", 0), ("m1", 1), ("m2", 1)] and info.complete
     doubtful = maps.unionByName(spark.createDataFrame([(url + "x.xml", "no map")], "url string, text string"))
     assert not web.crawl(pages, none, [url + "a"], sitemaps=doubtful)[1].complete
+
+
+@pytest.mark.parametrize("name", ["g7_page_documents", "sc10_blog_posts"])
+def test_references_cut_short_stay_as_their_sql_has_them(spark, tmp_path, name):
+    import duckdb
+
+    pages = [(k, f"https://a.example/{k}", f"<html><body><h1>x &amp;&amp{end}</h1><article><h1>x{end}</h1><p>a &lt; b&amp{end}</p></article></body></html>") for k, end in enumerate(["", "", "&am", "&", "&#38", "&amp;"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df, want = plans.QUERIES[name](spark, str(tmp_path)), con.sql(plans.ORACLES[name])
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
