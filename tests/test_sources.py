@@ -183,7 +183,7 @@ def test_links_wait_while_pages_fail_and_sitemaps_cost_no_page(spark):
     assert not web.crawl(pages, none, [url + "a"], sitemaps=doubtful)[1].complete
 
 
-@pytest.mark.parametrize("name", ["g7_page_documents", "sc10_blog_posts"])
+@pytest.mark.parametrize("name", ["g7_page_titles", "g7_page_documents", "sc10_blog_posts"])
 def test_references_cut_short_stay_as_their_sql_has_them(spark, tmp_path, name):
     import duckdb
 
