@@ -161,6 +161,16 @@ def with_fallback(local: DataFrame, web: Callable[[], DataFrame], threshold: int
     return ("local", local) if found.isEmpty() else ("web", found)
 
 
+def with_fallbacks(local: DataFrame, web: DataFrame, key: str, threshold: int = FALLBACK_BELOW) -> DataFrame:
+    """``with_fallback`` for all questions of a key at once: the rows that each is answered by, and their origin. Both
+    tables are dealt by counts of their keys, so that rows are joined with one row a question."""
+    counts = local.groupBy(key).agg(F.count("*").alias("n_local")).join(web.groupBy(key).agg(F.count("*").alias("n_web")), key, "full")
+    enough = (F.coalesce("n_local", F.lit(0)) >= threshold) | (F.coalesce("n_web", F.lit(0)) == 0)
+    origins = counts.select(key, F.when(enough, "local").otherwise("web").alias("origin"))
+    rows = local.withColumn("origin", F.lit("local")).unionByName(web.withColumn("origin", F.lit("web")))
+    return rows.join(origins, [key, "origin"], "left_semi")
+
+
 # Fixed value: source types that are another's.
 TYPE_ALIASES = {"docs": "web", "pdf": "web"}
 

@@ -90,3 +90,13 @@ def test_sections(spark):
     assert cited("One [C1]. Two [C2].") and not cited("One [C1]. Two.")
     among = lambda text: one.select(wiki.every_sentence_cited(F.lit(text), known)).first()[0]
     assert among("One [C1]. Two [C2].") and not among("One [C1]. Two [C3].") and not among("One [C1] [C9].")
+
+
+def test_fallbacks_of_all_questions(spark, tmp_path):
+    """Enough; too few and the web has some; none and the web has some; too few and the web has none; none at all."""
+    from quillmesh import plans
+
+    langs = ["en"] * 3 + ["de"] * 5 + ["en"] * 2 + ["de"] * 6 + ["de"] * 4 + ["fr"] * 4 + ["en"] * 2 + ["fr"] * 6 + ["fr"] * 8
+    spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["question"]: (r["origin"], r["n_results"]) for r in plans.QUERIES["t5_fallback"](spark, str(tmp_path)).collect()}
+    assert found == {0: ("local", 3), 1: ("web", 6), 2: ("web", 4), 3: ("local", 2), 4: ("local", 0)}
