@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.urls import credential_like, crawl_key, fetchable, same_origin
@@ -52,6 +52,11 @@ class Node:
                 todo += reversed(node.children)
         return out
 
+    def drop(self) -> None:
+        """Cut the links to parents, so that a tree is freed once it is left, not when cycles are collected."""
+        for node in self.all(lambda _: True):
+            node.parent = None
+
     def inside(self, name: str) -> bool:
         node = self.parent
         while node is not None and node.name != name:
@@ -164,7 +169,18 @@ def parse(url: str, html: str, bare: bool = True) -> dict:
     kept = [n for n in root.all(lambda n: n.name in ("article", "main", "body")) if not any(map(n.inside, PRUNED))]
     body = next((n for name in ("article", "main", "body") for n in kept if n.name == name), root)
     canonical = join(base, metas["link"]) if metas["link"] else ""
-    return {"title": title, "content": clean(body.strings(pruned)), "base": base, "canonical": canonical or "", "links": links, "odd": odd or canonical is None}
+    content = clean(body.strings(pruned))
+    root.drop()
+    return {"title": title, "content": content, "base": base, "canonical": canonical or "", "links": links, "odd": odd or canonical is None}
+
+
+#: Pages in a batch that a Python worker is given: what it holds is a batch's pages, several times over.
+BATCH_PAGES = 200
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Python workers hold BATCH_PAGES rows at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_PAGES)
 
 
 PAGE = "struct<title:string,content:string,base:string,canonical:string,links:array<string>,odd:boolean>"
@@ -183,6 +199,7 @@ def parsed(url: Column | str, html: Column | str, bare: bool = True) -> Column:
 def extract(pages: DataFrame, allowed: Column | None = None, bare: bool = True) -> DataFrame:
     """Pages (url, html) as web documents, with their links. A canonical link of another origin, or one that may not
     be fetched, counts as none and makes the snapshot incomplete; so does a page without text."""
+    small_batches(pages.sparkSession)
     p = pages.withColumn("page", parsed("url", "html", bare))
     told = F.col("page.canonical")
     sound = (told != "") & same_origin(F.col("url"), told) & fetchable(told) & (allowed if allowed is not None else F.lit(True))
@@ -212,6 +229,12 @@ def canonical_replacement(documents: DataFrame) -> DataFrame:
 def blog_post(post_id: int, html: str, bare: bool = True) -> tuple[str, str, str]:
     """Title, date and content of a blog post; content '' if there is none."""
     root = Tree(html or "", bare).root
+    found = blog_parts(post_id, root)
+    root.drop()
+    return found
+
+
+def blog_parts(post_id: int, root: Node) -> tuple[str, str, str]:
     h1 = root.first("h1")
     if h1 is not None:
         title = flat(h1)
@@ -241,6 +264,7 @@ def blog_parsed(post_id: Column | str, html: Column | str, bare: bool = True) ->
 
 def blog_posts(landed: DataFrame, blog: str, max_id: int = 200, bare: bool = True) -> DataFrame:
     """Posts 1 to max_id of a blog from landed responses (post_id, status, html), as connector rows in order of their ids."""
+    small_batches(landed.sparkSession)
     ids = landed.sparkSession.range(1, max_id + 1).withColumnRenamed("id", "post_id")
     rows = landed.filter("status = 200").join(ids, "post_id", "left_semi").withColumn("post", blog_parsed("post_id", "html", bare)).filter("post.content != ''")
     url = F.concat(F.lit(f"https://{blog}.tistory.com/"), F.col("post_id").cast("string"))

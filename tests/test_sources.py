@@ -193,3 +193,19 @@ def test_references_cut_short_stay_as_their_sql_has_them(spark, tmp_path, name):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     df, want = plans.QUERIES[name](spark, str(tmp_path)), con.sql(plans.ORACLES[name])
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_parsed_pages_leave_no_cycles():
+    """What a worker has parsed is freed at once, however rarely cycles are collected."""
+    import gc
+
+    page = "<html><body><div><article><h1>t</h1><p>a<b>b</b></p></article><div class='entry-content'><p>x</p></div></div></body></html>"
+    gc.collect()
+    gc.disable()
+    try:
+        for k in range(50):
+            html.parse("https://a.example/", page)
+            html.blog_post(k, page)
+        assert gc.collect() < 100
+    finally:
+        gc.enable()
