@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import legacy_preview, preview, words
+from quillmesh.functions.text import legacy_preview, preview
 from quillmesh.operators.documents import live, live_chunks
+from quillmesh.operators.substring_index import terms_of
 
 #: Local results from which on the web isn't asked.
 FALLBACK_BELOW = 3
@@ -31,14 +33,14 @@ def source_filter(filters: dict | None) -> list[str]:
 
 def keyword_score(haystack: Column, query: str) -> Column:
     """The part of the query's terms that a text contains; a repeated term counts each time."""
-    terms = words(F.lower(F.lit(query)))
-    hits = F.aggregate(terms, F.lit(0), lambda n, t: n + F.contains(haystack, t).cast("int"))
-    return hits / F.greatest(F.size(terms), F.lit(1))
+    asked = terms_of(query)
+    hits = reduce(lambda n, t: n + F.contains(haystack, F.lit(t)).cast("int") * asked[t], sorted(asked), F.lit(0))
+    return hits / F.lit(max(1, sum(asked.values())))
 
 
 def keyword_top_k(corpus: DataFrame, text: Column, query: str, k: int, order: Sequence[str]) -> DataFrame:
     """The k best rows by keyword score, ties by ``order``; rows without a hit are none. The limit comes first: what is
-    filtered later is not made up for."""
+    filtered later is not made up for. One pass over the rows; many searches of the same rows are worth an index."""
     scored = corpus.withColumn("score", keyword_score(F.lower(text), query)).filter("score > 0")
     return scored.orderBy(F.col("score").desc(), *order).limit(k)
 

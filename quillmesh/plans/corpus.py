@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import strip
 from quillmesh.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunker, number_chunks, plain_parts
-from quillmesh.operators import substring_index, vector_index
+from quillmesh.operators import vector_index
 from quillmesh.operators.documents import normalize
-from quillmesh.operators.published import shared_folder, written
-from quillmesh.operators.substring_index import SubstringIndex
+from quillmesh.operators.published import shared_folder
 from quillmesh.operators.vector_index import VectorIndex
 from quillmesh.plans.registry import table
 
@@ -45,28 +42,6 @@ def chunks(docs: DataFrame) -> DataFrame:
     return number_chunks(docs.withColumn("body", strip(F.col("content"))).withColumn("parts", plain_parts(F.col("body"))))
 
 
-@dataclass(frozen=True)
-class Published:
-    """What a search reads: documents without their content, sources, and the index with the chunks."""
-
-    documents: DataFrame
-    sources: DataFrame
-    index: SubstringIndex
-
-
-_published: dict[tuple[str, str], Published] = {}
-
-
-def published(spark: SparkSession, sf_dir: str) -> Published:
-    """The published corpus of these tables: written once an application, as a sync would, and read by all searches."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _published:
-        folder, docs = shared_folder(spark), documents(spark, sf_dir)
-        held = written(docs.drop("content"), f"{folder}/documents")
-        _published[key] = Published(held, written(sources(held), f"{folder}/sources"), substring_index.build(chunks(docs), folder))
-    return _published[key]
-
-
 _vectors: dict[tuple[str, str], VectorIndex] = {}
 
 

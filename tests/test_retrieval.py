@@ -100,3 +100,16 @@ def test_fallbacks_of_all_questions(spark, tmp_path):
     spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["question"]: (r["origin"], r["n_results"]) for r in plans.QUERIES["t5_fallback"](spark, str(tmp_path)).collect()}
     assert found == {0: ("local", 3), 1: ("web", 6), 2: ("web", 4), 3: ("local", 2), 4: ("local", 0)}
+
+
+def test_single_searches_write_nothing(spark):
+    """A search reads the chunks once; it publishes neither them nor an index."""
+    import os
+
+    from quillmesh import plans
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/quillmesh"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for name in ("t1_keyword_top_k", "a2_backlinks", "f33_prompt_payload"):
+        plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
