@@ -16,16 +16,20 @@ def once(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), use), 1)
 
 
+#: The same characters as they are. Trimming looks at a text's ends only, where an expression tries each of its places.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def lstrip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+", "")
+    return F.ltrim(x, F.lit(SPACES))
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, f"[{SPACE}]+$", "")
+    return F.rtrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:
@@ -73,9 +77,9 @@ def snippet(x: Column, size: int = 320) -> Column:
 
 
 def slug(x: Column, size: int = 80, default: str = "wiki-page") -> Column:
-    made = F.regexp_replace(F.regexp_replace(strip(x), "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
-    cut = F.substring(made, 1, size)
-    return F.when(cut == "", default).otherwise(cut)
+    """What may stand, with a dash for all between. What can't stand at the ends, space too, would be a dash that is cut off."""
+    made = F.btrim(F.array_join(F.regexp_extract_all(x, F.lit("[A-Za-z0-9._-]+"), F.lit(0)), "-"), F.lit("-."))
+    return once(F.substring(made, 1, size), lambda cut: F.when(cut == "", default).otherwise(cut))
 
 
 def location(path: Column, url: Column, document_id: Column, start: Column, end: Column) -> Column:
