@@ -1,9 +1,8 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together in the same text.
 
-Arrow batches tokenize a text twice and give each side's tokens (id and byte end in one number) and ends; everything after
-that is Spark's own functions on arrays: the intersection of both end arrays cuts the tokens into groups, and the two tokens
-that end at a cut are linked. Cuts are sorted into each side's tokens as marks, since a running aggregate would copy what it
-has gathered at every token; so the work is linear in the tokens, but for a sort of numbers that come as two sorted runs.
+Arrow batches tokenize a text twice and mark the bytes at which tokens end; what both sides mark cuts the tokens into groups,
+and the two tokens that end at a cut are linked. This is done for many texts at once: each side's tokens spell the same bytes,
+so a text's tokens end where the next one's begin. The work is linear in bytes and tokens.
 
 How often two ids are linked is counted over the whole corpus. Of those counts a bounded number, the largest, is sent to
 all workers, so that no id pair is frequent among the links that are shuffled to their counts.
@@ -18,22 +17,19 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmesh.llm.shared import publish, release
 
 #: Id pairs at most whose counts are sent to all workers.
 FREQUENT = 65_536
 #: Characters of text that are tokenized at once.
-SLICE = 1 << 20
-#: Bits of an id beside its end. An end as such has MARK in their place, so that it sorts behind its token; ids are smaller.
-ID_BITS = 17
-LOW, MARK = (1 << ID_BITS) - 1, 1 << ID_BITS - 1
+SLICE = 1 << 18
 # Fixed value: what splits a text before the merges of a byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -60,7 +56,6 @@ class ByteLevel:
             spec = json.load(f)
         alphabet, vocab, special = byte_alphabet(), spec["model"]["vocab"], {x["id"] for x in spec.get("added_tokens", [])}
         self.bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if i not in special}
-        self.lossless = True  # whatever is encoded, single bytes have tokens
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         before, extra = spec.get("pre_tokenizer") or {}, spec["model"]
         ranked = (
@@ -82,7 +77,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes, self.lossless = {}, False
+        self.bytes = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             byte = re.fullmatch("<0x([0-9A-Fa-f]{2})>", piece)
@@ -91,61 +86,95 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def both_sides(byte_level: str, pieces: str) -> list[tuple[ByteLevel | Pieces, np.ndarray]]:
-    """The two tokenizers with the bytes that each id has, made once a worker."""
-    sides: list[tuple[ByteLevel | Pieces, np.ndarray]] = []
+def both_sides(byte_level: str, pieces: str) -> tuple[list[tuple[ByteLevel | Pieces, pa.Array]], np.ndarray]:
+    """The two tokenizers with the bytes that each id has, and ",id" of all ids in digits, zeros behind; made once a worker."""
+    sides: list[tuple[ByteLevel | Pieces, pa.Array]] = []
     for t in (ByteLevel(byte_level), Pieces(pieces)):
-        if max(t.bytes) >= MARK:
-            raise ValueError(f"ids from {MARK} on aren't aligned")
-        size = np.zeros(max(t.bytes) + 1, np.int64)
-        size[list(t.bytes)] = [len(x) for x in t.bytes.values()]
-        sides.append((t, size))
-    return sides
+        if not all(t.bytes.values()):
+            raise ValueError("tokens without bytes aren't aligned")
+        sides.append((t, pa.array([t.bytes.get(i) for i in range(max(t.bytes) + 1)], pa.binary())))
+    most = max(len(names) for _, names in sides)
+    width = len(f",{most}")
+    digits = "".join(f",{i}".ljust(width, "\0") for i in range(most)).encode()
+    return sides, np.frombuffer(digits, np.uint8).reshape(most, width)
+
+
+def joined(names: pa.Array, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """All ids of ``lists``, the bytes at which they end one after another, and these bytes."""
+    ids = np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists)))
+    if not len(ids):
+        return ids, ids, b""
+    _, offsets, data = names.take(pa.array(ids)).buffers()
+    ends = np.frombuffer(offsets, np.int32)[1 : len(ids) + 1]
+    return ids, ends, data.slice(0, int(ends[-1])).to_pybytes()
+
+
+def cut(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each side, the places of the tokens that end where one of the other side ends."""
+    places = []
+    for ends, others in ((a_ends, b_ends), (b_ends, a_ends)):
+        marks = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, bool)
+        marks[others] = True
+        places.append(np.flatnonzero(marks[ends]))
+    return places[0], places[1]
+
+
+def spelled(digits: np.ndarray, a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups as text, "a1,a2|b1;a3|b2,b3", and where texts end in it; ``starts`` are the first tokens of texts, of both sides' together."""
+    a_first, b_first = (np.concatenate(([0], x[:-1] + 1))[: len(x)] for x in (a_cuts, b_cuts))
+    ids = np.empty(len(a) + len(b), np.int32)
+    ids[np.arange(len(a)) + np.repeat(b_first, a_cuts + 1 - a_first)] = a
+    ids[np.arange(len(b)) + np.repeat(a_cuts + 1, b_cuts + 1 - b_first)] = b
+    text = digits[ids]
+    text[a_first + b_first, 0] = ord(";")
+    text[a_cuts + 1 + b_first, 0] = ord("|")
+    text[starts[starts < len(ids)], 0] = 0
+    kept = text != 0
+    bounds = [*starts.tolist(), len(ids)]
+    return text[kept], np.cumsum([0, *(np.count_nonzero(kept[x:y]) for x, y in zip(bounds, bounds[1:], strict=False))])
 
 
 def tokenize(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """key, doc_id, and both sides' tokens and ends in a space and the text: end << ID_BITS, with the id or MARK below."""
-    whole = T.ArrayType(T.LongType(), False)
-    names = ("a", "a_ends", "b", "b_ends")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(n, whole) for n in names]])
+    """key, doc_id, n_a, n_b, and of every text both sides' ids by groups ("a1,a2|b1;a3|b2,b3") and its links (a, b) in order."""
+    schema = "key long, doc_id long, n_a int, n_b int, ids string, links array<struct<a: int, b: int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillmesh.llm.token_alignment import both_sides  # the module's own: what is sent along has no cache
 
-        sides = both_sides(byte_level, pieces)
-        none = np.zeros(0, np.int64)
-
-        def both(text: str) -> list[np.ndarray]:
-            data, out = (" " + text).encode("utf-8", "surrogatepass"), []
-            for (t, size), given in zip(sides, (" " + text, text), strict=True):
-                ids = t.encode(given)
-                if not t.lossless and b"".join(map(t.bytes.__getitem__, ids)) != data:
-                    return [none] * 4
-                ids = np.array(ids, np.int64)
-                ends = np.cumsum(size[ids]) << ID_BITS
-                out += [ends | ids, ends | MARK]
-            return out
-
-        def batch_of(keys: list, doc_ids: list, rows: list) -> pa.RecordBatch:
-            lists = []
-            for k in range(4):
-                offsets = np.concatenate(([0], np.cumsum([len(r[k]) for r in rows]))).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[k] for r in rows]))))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc_ids, pa.int64()), *lists], names=["key", "doc_id", *names])
+        sides, digits = both_sides(byte_level, pieces)
+
+        def both(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Each side's tokens a text, ids and ends; none of a text that a side doesn't keep byte by byte."""
+            given = [f" {t}" if t else "" for t in texts]
+            data = [t.encode("utf-8", "surrogatepass") for t in given]
+            lists = [[t.encode(x) if x else [] for x in own] for (t, _), own in zip(sides, (given, texts), strict=True)]
+            found = [joined(names, own) for (_, names), own in zip(sides, lists, strict=True)]
+            if any(spelt != b"".join(data) for _, _, spelt in found):
+                same = [all(joined(names, [own[k]])[2] == d for (_, names), own in zip(sides, lists, strict=True)) for k, d in enumerate(data)]
+                lists = [[ids if s else [] for ids, s in zip(own, same, strict=True)] for own in lists]
+                found = [joined(names, own) for (_, names), own in zip(sides, lists, strict=True)]
+            return [(np.array([len(ids) for ids in own], np.int32), ids, ends) for own, (ids, ends, _) in zip(lists, found, strict=True)]
+
+        def batch_of(keys: pa.Array, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            (n_a, a, a_ends), (n_b, b, b_ends) = both(texts)
+            a_cuts, b_cuts = cut(a, a_ends, b, b_ends)
+            a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
+            text, text_ends = spelled(digits, a, a_cuts, b, b_cuts, a_to + b_to - n_a - n_b)
+            bounds = pa.array(text_ends, pa.int32())  # raises where ids spell more than a string may hold
+            ids = pa.StringArray.from_buffers(len(texts), bounds.buffers()[1], pa.py_buffer(text))
+            offsets = np.concatenate(([0], np.searchsorted(a_cuts, a_to))).astype(np.int32)
+            links = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[a_cuts]), pa.array(b[b_cuts])], ["a", "b"]))
+            return pa.RecordBatch.from_arrays([keys, doc_ids, pa.array(n_a), pa.array(n_b), ids, links], names=["key", "doc_id", "n_a", "n_b", "ids", "links"])
 
         for batch in batches:
-            keys, doc_ids, rows, held = [], [], [], 0
-            for key, doc_id, text in zip(*(batch.column(n) for n in ("key", "doc_id", "text")), strict=True):
-                text = text.as_py()
-                keys.append(key.as_py())
-                doc_ids.append(doc_id.as_py())
-                rows.append(both(text) if text else [none] * 4)
-                held += len(text or "")
-                if held > SLICE:
-                    yield batch_of(keys, doc_ids, rows)
-                    keys, doc_ids, rows, held = [], [], [], 0
-            if rows:
-                yield batch_of(keys, doc_ids, rows)
+            keys, doc_ids, texts = (batch.column(n) for n in ("key", "doc_id", "text"))
+            begun, held, size = 0, [], 0
+            for k, text in enumerate(texts):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size > SLICE or k + 1 == len(texts):
+                    yield batch_of(keys[begun : k + 1], doc_ids[begun : k + 1], held)
+                    begun, held, size = k + 1, [], 0
 
     named = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return named.mapInArrow(run, schema)
@@ -153,25 +182,8 @@ def tokenize(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
 def align(tokens: DataFrame) -> DataFrame:
     """key, doc_id, n_a, n_b, and of every text its groups ("a1,a2|b1") and links (a, b) in order."""
-
-    def marked(side: str) -> Column:
-        """A side's ids by their ends, with a mark behind each cut, as text: "12,13,MARK,14,MARK"."""
-        ordered = F.sort_array(F.concat(F.col(side), F.col("cuts")))
-        return F.array_join(F.transform(ordered, lambda x: x.bitwiseAND(F.lit(LOW))).cast("array<string>"), ",")
-
-    def groups(text: str) -> Column:
-        """The parts between the marks; the last mark ends the text."""
-        bare = F.substring(F.col(text), F.lit(1), F.length(text) - len(f",{MARK}"))
-        return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.replace(bare, F.lit(f",{MARK},"), F.lit(";")), ";"))
-
-    def last(group: Column) -> Column:
-        return F.substring_index(group, ",", -1).cast("int")
-
-    cut = tokens.select("*", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    sides = cut.select("key", "doc_id", "n_a", "n_b", marked("a").alias("a_text"), marked("b").alias("b_text"))
-    parts = sides.select("key", "doc_id", "n_a", "n_b", groups("a_text").alias("a"), groups("b_text").alias("b"))
-    both = F.zip_with("a", "b", lambda x, y: F.struct(F.concat(x, F.lit("|"), y).alias("group"), F.struct(last(x).alias("a"), last(y).alias("b")).alias("link")))
-    return parts.select("key", "doc_id", "n_a", "n_b", both.alias("both")).select("key", "doc_id", "n_a", "n_b", F.col("both.group").alias("groups"), F.col("both.link").alias("links"))
+    groups = F.when(F.col("ids") == "", F.array().cast("array<string>")).otherwise(F.split("ids", ";"))
+    return tokens.select("key", "doc_id", "n_a", "n_b", groups.alias("groups"), "links")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -210,11 +222,11 @@ def weigh(aligned: DataFrame, pairs: DataFrame, most: int = FREQUENT) -> DataFra
 
 def align_documents(docs: DataFrame, byte_level: str, pieces: str, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    aligned = align(tokenize(docs, byte_level, pieces))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    aligned = publish(aligned.select("key", "doc_id", "n_a", "n_b", F.size("groups").alias("n_groups"), digest.alias("groups_sha256"), "links"))
+    digest = F.when(F.col("ids") != "", F.sha2("ids", 256)).otherwise("")
+    # Tokens have bytes, so one of each side ends at a cut: a text has as many links as groups.
+    aligned = publish(tokenize(docs, byte_level, pieces).select("key", "doc_id", "n_a", "n_b", F.size("links").alias("n_groups"), digest.alias("groups_sha256"), "links"))
     pairs = pair_counts(aligned)
     weights = weigh(aligned, pairs, most)
-    joined = aligned.select("key", "doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups_sha256").join(weights, "key", "left")
+    joined = aligned.select("key", "doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "groups_sha256").join(weights, "key", "left")
     counted = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     return joined.select("doc_id", *counted, "groups_sha256")
